@@ -7,18 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import exact_dedup, simhash_dedup
+from gleanery.llm import exact_dedup, license_scan, line_dedup, simhash_dedup, url_filter
 from gleanery.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+LOWER_SQL = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(table(spark, sf_dir, "documents"))
 
 
-OP2_SQL = """
-WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, sha256({LOWER_SQL.format('text')}) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256)
@@ -30,9 +32,96 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.clean(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+totals AS (SELECT host, count(*) AS pages FROM d GROUP BY host),
+each AS (SELECT host, unnest(list_distinct(lines)) AS line FROM d),
+over_ratio AS (
+  SELECT host, line FROM each JOIN totals USING (host) WHERE trim(line) <> ''
+  GROUP BY host, line, pages HAVING count(*) >= {line_dedup.MIN_PAGES} AND count(*) > pages * {line_dedup.RATIO}),
+bad AS (SELECT host, list(line) AS dropped FROM over_ratio GROUP BY host),
+kept AS (SELECT doc_id, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(dropped, []), x)) AS rest FROM d LEFT JOIN bad USING (host))
+SELECT doc_id, array_to_string(rest, chr(10)) AS text, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(rest) AS BIGINT) AS n_dropped FROM kept
+"""
+
+#: The rules of the query.
+URL_RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+
+
+OP8_SQL = f"""
+WITH cutoff AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw_host, rest FROM cutoff),
+p AS (SELECT page_id, {LOWER_SQL.format('raw_host')} AS host, regexp_extract(substr(rest, length(raw_host) + 1), '^[^?#]*') AS path FROM parts),
+r AS (SELECT * FROM (VALUES {', '.join(str(x) for x in URL_RULES)}) t(rule_host, rule_path, action)),
+m AS (SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(action, length(rule_host || rule_path)) AS action
+  FROM p JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)
+"""
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def license_sql() -> str:
+    """SQL counts words and overlaps of every line with every template."""
+    not_word = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    words = lambda x: f"list_filter(string_split_regex({x}, '{not_word}'), lambda w: w <> '')"
+    starts, base = [], []
+    for phrase, label in license_scan.PHRASES.items():
+        parts = phrase.split()
+        here = " AND ".join(f"words[i + {k + 1}] = '{w}'" for k, w in enumerate(parts))
+        starts.append(f"list_filter(range(0, len(words) - {len(parts) - 1}), lambda i: {here})")
+        base.append(f"CASE WHEN len(places[{len(base) + 1}]) > 0 THEN '{label}' END")
+    templates = []
+    for label, text in license_scan.TEMPLATES:
+        own = sorted(set(license_scan.words_of(text)))
+        templates.append(f"('{label}', {own}, {license_scan.needed(len(own), license_scan.THRESHOLD)})")
+    return f"""
+WITH d AS (SELECT doc_id, {LOWER_SQL.format('text')} AS low FROM documents),
+w AS (SELECT doc_id, {words('low')} AS words FROM d),
+s AS (SELECT doc_id, len(words) AS n_words, [{', '.join(starts)}] AS places FROM w),
+b AS (SELECT doc_id, n_words, flatten(places) AS places, list_filter([{', '.join(base)}], lambda x: x IS NOT NULL) AS base FROM s),
+t AS (SELECT * FROM (VALUES {', '.join(templates)}) v(label, own, need)),
+l AS (SELECT doc_id, list_distinct({words('line')}) AS line FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM d)),
+m AS (SELECT doc_id, list(DISTINCT label) AS found, max(len(list_intersect(line, own)) / len(own)) AS score
+  FROM l JOIN t ON len(list_intersect(line, own)) >= need GROUP BY doc_id)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, CAST(list_min(places) AS BIGINT) AS first_word, CAST(list_max(places) AS BIGINT) AS last_word,
+       array_to_string(list_sort(base), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(base, coalesce(found, [])))), ',') AS labels, coalesce(score, 0.0) AS score
+FROM b LEFT JOIN m USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_exact_dedup": op2_exact_dedup, "op4_simhash_dedup": op4_simhash_dedup}
+    return {
+        "op2_exact_dedup": op2_exact_dedup,
+        "op4_simhash_dedup": op4_simhash_dedup,
+        "op5_line_dedup": op5_line_dedup,
+        "op8_url_filter": op8_url_filter,
+        "op9_license_scan": op9_license_scan,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {
+        "op2_exact_dedup": OP2_SQL,
+        "op5_line_dedup": OP5_SQL,
+        "op8_url_filter": OP8_SQL,
+        "op9_license_scan": license_sql(),
+    }
