@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import exact_dedup, license_scan, line_dedup, simhash_dedup, url_filter
+from gleanery.llm import decontaminate, exact_dedup, language_id, license_scan, line_dedup, mixing, pii, secret_scan, simhash_dedup, url_filter
 from gleanery.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 LOWER_SQL = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,10 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -48,6 +56,20 @@ kept AS (SELECT doc_id, lines, list_filter(lines, lambda x: NOT list_contains(co
 SELECT doc_id, array_to_string(rest, chr(10)) AS text, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(rest) AS BIGINT) AS n_dropped FROM kept
 """
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.weigh(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "source", "lang", F.element_at(F.split("cell", "\x1f"), 3).alias("topic"), "n_tokens", "factor", "probability", "sampled")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents declare a language and name a source; pages have markup, an address and a host."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
+    pages = table(spark, sf_dir, "pages").select(
+        F.lit(None).cast("long").alias("doc_id"), "page_id", language_id.markup_text(F.col("html")).alias("text"), language_id.markup_language(F.col("html")).alias("declared"), url_filter.url_host(F.col("url")).alias("host")
+    )
+    return language_id.identify(docs.unionByName(pages)).withColumn("kept", ~language_id.rejected())
+
+
 #: The rules of the query.
 URL_RULES = [
     ("com", "/en/", "block"),
@@ -108,13 +130,29 @@ FROM b LEFT JOIN m USING (doc_id)
 """
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_decontaminate": op1_decontaminate,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_pii": op3_pii,
         "op4_simhash_dedup": op4_simhash_dedup,
         "op5_line_dedup": op5_line_dedup,
+        "op6_mixing": op6_mixing,
+        "op7_language_id": op7_language_id,
         "op8_url_filter": op8_url_filter,
         "op9_license_scan": op9_license_scan,
+        "op10_secret_scan": op10_secret_scan,
+        "pipeline": pipeline,
     }
 
 
