@@ -143,7 +143,7 @@ def argmax(values: Column) -> Column:
 
 def priors(rows: DataFrame, count: int, smoothing: float = SMOOTHING) -> DataFrame:
     """(host, prior): smoothed log-shares of the known languages, by grouped counts of what the texts suggest."""
-    best = argmax(F.slice("likely", 1, count)) if count else F.lit(None).cast("int")
+    best = argmax(F.slice("likely", 1, count))
     seen = rows.where("likely is not null").select("host", "domain", "suffix", best.alias("best"))
     sums = [F.sum(F.when(F.col("best") == i, 1).otherwise(0)).alias(f"c{i}") for i in range(count)]
     names = [f"c{i}" for i in range(count)]
@@ -151,13 +151,13 @@ def priors(rows: DataFrame, count: int, smoothing: float = SMOOTHING) -> DataFra
     again = [F.sum(c).alias(c) for c in names]
     domains = cut(hosts.groupBy("domain", "suffix").agg(*again), "domains")
     suffixes = cut(domains.groupBy("suffix").agg(*again), "suffixes")
-    totals = suffixes.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first() if count else []
+    totals = suffixes.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()
     n = sum(totals)
-    above = F.array(*[F.lit((c + 1.0) / (n + count)) for c in totals]) if count else F.array().cast("array<double>")
+    above = F.array(*[F.lit((c + 1.0) / (n + count)) for c in totals])
 
     def share(parent: Column, own: list[Column]) -> Column:
         total = sum(own, F.lit(0))
-        return F.array(*[(c + smoothing * F.get(parent, F.lit(i))) / (total + smoothing) for i, c in enumerate(own)]) if own else parent
+        return F.array(*[(c + smoothing * F.get(parent, F.lit(i))) / (total + smoothing) for i, c in enumerate(own)])
 
     level = suffixes.select("suffix", share(above, [F.col(c) for c in names]).alias("up"))
     level = domains.join(level, "suffix").select("domain", "suffix", share(F.col("up"), [F.col(c) for c in names]).alias("up"))
@@ -170,8 +170,9 @@ def fuse(rows: DataFrame, models: Models, reliability: float = RELIABILITY) -> D
     known = models.languages[:-1]
     n = len(known)
     languages = F.array(*map(F.lit, models.languages))
-    joined = rows.join(priors(rows, n), "host", "left")
-    flat = math.log(1 / n) if n else 0.0
+    # without any declared language there is nothing to count
+    joined = rows.join(priors(rows, n), "host", "left") if n else rows.withColumn("prior", F.array().cast("array<double>"))
+    flat = math.log(1 / max(1, n))
     prior = F.concat(F.coalesce("prior", F.array_repeat(F.lit(flat), n)), F.array(F.lit(math.log(UNKNOWN_PRIOR))))
     wrong = (1 - reliability) / max(1, n - 1)
     says = F.array(*[F.when(F.col("declared") == x, math.log(reliability)).otherwise(math.log(wrong)) for x in known], F.lit(math.log(wrong)))
