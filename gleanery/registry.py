@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleanery.plans import posting_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = [posting_queries]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: q for m in MODULES for name, (q, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+    return posting_queries.rule_stage(spark, sf_dir)
