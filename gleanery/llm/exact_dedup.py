@@ -93,20 +93,19 @@ def annotate(docs: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """docs, all columns, without all but one row of each text. Rows with an unset bit are never shuffled."""
+    """docs, all columns, without all but one row of each text. Rows with an unset bit are never shuffled.
+
+    Possibly repeated rows stay if they are the keeper of their digest. They meet the keepers on digest and
+    id together, so the copies of one text spread over all tasks; few keepers are broadcast (measured)."""
     rows = digests(docs.select("doc_id", "text"))
     repeats = RepeatFilter(rows, "h", rows.count())
-    groups = repeated_groups(repeats.mark(rows, "h", "possible", limit).where("possible").select("doc_id", "text_sha256"))
-    h, possible, digest, keep, size = (fresh(docs, x) for x in ("_h", "_possible", "_digest", "_keep", "_size"))
+    candidates = repeats.mark(rows, "h", "possible", limit).where("possible").select("doc_id", "text_sha256")
+    keepers = cut(candidates.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id")), "keepers")
+    h, possible, digest, keep_digest, keep_id = (fresh(docs, x) for x in ("_h", "_possible", "_digest", "_keep_digest", "_keep_id"))
     marked = repeats.mark(docs.withColumn(h, coarse_hash(F.col("text"))), h, possible, limit)
-    named = groups.select(F.col("text_sha256").alias(digest), F.col("keep_id").alias(keep), F.col("group_size").alias(size))
-    stay = (
-        marked.where(F.col(possible)).withColumn(digest, text_digest(F.col("text"))).join(named, digest, "left")
-        .where(F.col(size).isNull() | F.col("doc_id").eqNullSafe(F.col(keep)))
-    )
-    once = stay.where(F.col(size).isNotNull()).dropDuplicates(["doc_id", digest])
-    parts = (marked.where(~F.col(possible)), stay.where(F.col(size).isNull()), once)
-    out = parts[0].select(*docs.columns)
-    for part in parts[1:]:
-        out = out.unionByName(part.select(*docs.columns))
-    return out
+    named = keepers.select(F.col("text_sha256").alias(keep_digest), F.col("keep_id").alias(keep_id))
+    named = F.broadcast(named) if named.count() * 100 <= limit else named.hint("merge")
+    stay = marked.where(F.col(possible)).withColumn(digest, text_digest(F.col("text")))
+    stay = stay.join(named, (F.col(digest) == F.col(keep_digest)) & F.col("doc_id").eqNullSafe(F.col(keep_id)), "left_semi")
+    once = stay.dropDuplicates(["doc_id", digest])
+    return marked.where(~F.col(possible)).select(*docs.columns).unionByName(once.select(*docs.columns))

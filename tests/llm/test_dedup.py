@@ -38,9 +38,10 @@ def test_exact_annotate(docs, limit):
     assert got == sorted(want, key=str)
 
 
-def test_exact_drop(docs):
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_exact_drop(docs, limit):
     df, rows = docs
-    got = exact_dedup.drop_copies(df)
+    got = exact_dedup.drop_copies(df, limit)
     assert got.columns == df.columns
     assert sorted(str(r.doc_id) for r in got.collect()) == sorted(map(str, [9, 3, 4, 5, 7, 8, None]))
 
