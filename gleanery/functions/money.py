@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gleanery.functions.text import let
+
 #: Currency signs and names.
 CURRENCIES = {
     "$": "USD", "usd": "USD", "us$": "USD", "€": "EUR", "eur": "EUR", "£": "GBP", "gbp": "GBP", "₹": "INR", "inr": "INR", "rs": "NPR", "rs.": "NPR", "npr": "NPR",
@@ -33,17 +35,20 @@ def salary(text: Column, base_currency: str = "NPR") -> Column:
     """struct(min, max, currency, period) of the first pay in a text, null if there is none."""
     group = lambda i: F.nullif(F.regexp_extract(text, SALARY, i), F.lit(""))
     number = lambda i: F.replace(group(i), F.lit(","), F.lit("")).try_cast("double")
-    low = number(2) * F.when(group(3).isNotNull(), 1000).otherwise(1)
-    high = number(4) * F.when(F.coalesce(group(5), group(3)).isNotNull(), 1000).otherwise(1)
-    currency = F.coalesce(lookup(CURRENCIES, F.lower(F.trim(group(1)))), F.lit("USD"))
-    tail = F.lower(group(6))  # the wordings are ASCII
-    stated = F.coalesce(*[F.when(tail.rlike(p), F.lit(k)) for k, p in PERIODS.items()])
-    reference = F.coalesce(F.nullif(high, F.lit(0.0)), low)
-    guessed = (
-        F.when(currency == base_currency, F.when(reference >= 600_000, "year").otherwise("month"))
-        .when(reference < 250, "hour").when(reference < 20_000, "month").otherwise("year")
+    found = F.struct(
+        (number(2) * F.when(group(3).isNotNull(), 1000).otherwise(1)).alias("min"),
+        (number(4) * F.when(F.coalesce(group(5), group(3)).isNotNull(), 1000).otherwise(1)).alias("max"),
+        F.coalesce(lookup(CURRENCIES, F.lower(F.trim(group(1)))), F.lit("USD")).alias("currency"),
+        let(F.lower(group(6)), lambda tail: F.coalesce(*[F.when(tail.rlike(p), F.lit(k)) for k, p in PERIODS.items()])).alias("stated"),
     )
-    return F.when(low > 0, F.struct(low.alias("min"), high.alias("max"), currency.alias("currency"), F.coalesce(stated, guessed).alias("period")))
+
+    def complete(s: Column) -> Column:
+        size = F.coalesce(F.nullif(s["max"], F.lit(0.0)), s["min"])
+        home = F.when(size >= 600_000, "year").otherwise("month")
+        guessed = F.when(s["currency"] == base_currency, home).when(size < 250, "hour").when(size < 20_000, "month").otherwise("year")
+        return F.when(s["min"] > 0, F.struct(s["min"].alias("min"), s["max"].alias("max"), s["currency"].alias("currency"), F.coalesce(s["stated"], guessed).alias("period")))
+
+    return let(found, complete)
 
 
 def monthly(amount: Column, currency: Column, period: Column, fx: dict[str, float]) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +12,11 @@ from pyspark.sql import functions as F
 NULL_STRING = "string"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def _folding() -> tuple[str, str, dict[str, str]]:
     """Characters whose compatibility decomposition has ASCII characters: those with one, and the rest."""
     one, to, more = [], [], {}
@@ -153,7 +159,22 @@ def sorted_words(c: Column) -> Column:
 
 def title_similarity(a: Column, b: Column) -> Column:
     """0 to 100: twice the longest common subsequence of the word-sorted titles over their lengths."""
-    x, y = sorted_words(a), sorted_words(b)
+    return let(F.struct(sorted_words(a).alias("x"), sorted_words(b).alias("y")), lambda s: sorted_similarity(s["x"], s["y"]))
+
+
+def similar(a: Column, b: Column, least: float) -> Column:
+    """title_similarity(a, b) >= least, but for most pairs without computing it: the edit distance of the
+    word-sorted titles is at most the number of their letters outside the common subsequence."""
+
+    def decide(s: Column) -> Column:
+        x, y = s["x"], s["y"]
+        bound = 100 * (1 - F.levenshtein(x, y) / (F.length(x) + F.length(y)))
+        return F.when(x == y, F.lit(True)).when(bound < least, F.lit(False)).otherwise(sorted_similarity(x, y) >= least)
+
+    return let(F.struct(sorted_words(a).alias("x"), sorted_words(b).alias("y")), decide)
+
+
+def sorted_similarity(x: Column, y: Column) -> Column:
     letters = lambda s: F.filter(F.split(s, ""), lambda ch: ch != "")
 
     def extend(row: Column, ch: Column) -> Column:

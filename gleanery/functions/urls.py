@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gleanery.functions.text import let
+
 #: Second-level labels under country suffixes.
 SECOND_LEVEL = ["co", "com", "org", "net", "edu", "gov", "ac", "ltd", "plc"]
 #: Parameters that only track visits (besides utm_*).
@@ -31,12 +33,15 @@ def host(url: Column) -> Column:
 
 def registrable(host_or_url: Column) -> Column:
     """The last two labels, or three under a country suffix with a known second level."""
+
+    def last_labels(labels: Column) -> Column:
+        deep = (F.size(labels) >= 3) & (F.length(F.element_at(labels, -1)) == 2) & F.get(labels, F.size(labels) - 2).isin(SECOND_LEVEL)
+        n = F.when(deep, 3).otherwise(F.least(F.size(labels), F.lit(2)))
+        return F.when(F.size(labels) == 0, "").otherwise(F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), F.greatest(n, F.lit(1))), "."))
+
     c = F.coalesce(host_or_url, F.lit(""))
     name = F.when(c.contains("://"), host(c)).otherwise(F.lower(c))
-    labels = F.filter(F.split(name, r"\."), lambda x: x != "")
-    deep = (F.size(labels) >= 3) & (F.length(F.element_at(labels, -1)) == 2) & F.get(labels, F.size(labels) - 2).isin(SECOND_LEVEL)
-    n = F.when(deep, 3).otherwise(F.least(F.size(labels), F.lit(2)))
-    return F.when(F.size(labels) == 0, "").otherwise(F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), F.greatest(n, F.lit(1))), "."))
+    return let(F.filter(F.split(name, r"\."), lambda x: x != ""), last_labels)
 
 
 def on_domains(name: Column, domains: list[str]) -> Column:
@@ -47,15 +52,15 @@ def on_domains(name: Column, domains: list[str]) -> Column:
 def canonical(url: Column) -> Column:
     """One spelling for addresses of the same page."""
     port = F.regexp_extract(authority(url), r":([0-9]+)$", 1)
-    where = F.concat(host(url), F.when((port == "") | port.isin("80", "443"), "").otherwise(F.concat(F.lit(":"), port)))
-    path = F.regexp_replace(F.when(part(url, 3) == "", "/").otherwise(part(url, 3)), "/{2,}", "/")
-    path = F.when(F.length(path) > 1, F.regexp_replace(path, "/+$", "")).otherwise(path)
+    ported = let(port, lambda p: F.when((p == "") | p.isin("80", "443"), "").otherwise(F.concat(F.lit(":"), p)))
+    path = F.regexp_replace(F.coalesce(F.nullif(part(url, 3), F.lit("")), F.lit("/")), "/{2,}", "/")
+    path = let(path, lambda p: F.when(F.length(p) > 1, F.regexp_replace(p, "/+$", "")).otherwise(p))
     pairs = F.filter(F.split(part(url, 4), "&"), lambda p: p.rlike("^[^=]+=.+"))
     key = lambda p: F.lower(F.substring_index(p, "=", 1))
     pairs = F.filter(pairs, lambda p: ~(key(p).startswith("utm_") | key(p).isin(TRACKING)))
     pairs = F.array_sort(F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), p.alias("p"))))
-    query = F.array_join(F.transform(pairs, lambda p: p["p"]), "&")
-    return F.concat(F.lit("https://"), where, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    query = let(F.array_join(F.transform(pairs, lambda p: p["p"]), "&"), lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
+    return F.concat(F.lit("https://"), host(url), ported, path, query)
 
 
 def url_key(url: Column) -> Column:
@@ -86,15 +91,17 @@ def board(url: Column) -> Column:
     """struct(provider, slug) of a company board, null for other addresses."""
     name = F.regexp_replace(authority(url), ":[0-9]*$", "")
     segments = F.filter(F.split(part(url, 3), "/"), lambda x: x != "")
-    provider = F.coalesce(*[F.when(name.rlike(p), F.lit(k)) for k, p in BOARD_HOSTS.items()])
-    embedded = (provider == "greenhouse") & (F.get(segments, F.lit(0)) == "embed") & (F.get(segments, F.lit(1)) == "job_board")
-    named = (
-        F.when(provider == "recruitee", F.substring_index(name, ".", 1))
-        .when(embedded, F.regexp_extract(part(url, 4), r"(?:^|&)for=([^&]+)", 1))
-        .otherwise(F.get(segments, F.lit(0)))
-    )
-    usable = named.rlike("^[A-Za-z0-9_.-]{2,80}$") & ~F.lower(named).isin(RESERVED)
-    return F.when(provider.isNotNull() & usable, F.struct(provider.alias("provider"), named.alias("slug")))
+
+    def named(s: Column) -> Column:
+        first, second = F.get(s["segments"], F.lit(0)), F.get(s["segments"], F.lit(1))
+        embedded = (s["provider"] == "greenhouse") & (first == "embed") & (second == "job_board")
+        slug = F.when(s["provider"] == "recruitee", F.substring_index(s["name"], ".", 1)).when(embedded, s["for"]).otherwise(first)
+        return F.struct(s["provider"].alias("provider"), slug.alias("slug"))
+
+    provider = let(name, lambda n: F.coalesce(*[F.when(n.rlike(p), F.lit(k)) for k, p in BOARD_HOSTS.items()]))
+    parts = F.struct(name.alias("name"), provider.alias("provider"), segments.alias("segments"), F.regexp_extract(part(url, 4), r"(?:^|&)for=([^&]+)", 1).alias("for"))
+    usable = lambda b: b["provider"].isNotNull() & b["slug"].rlike("^[A-Za-z0-9_.-]{2,80}$") & ~F.lower(b["slug"]).isin(RESERVED)
+    return let(let(parts, named), lambda b: F.when(usable(b), b))
 
 
 def slug_title(url: Column) -> Column:

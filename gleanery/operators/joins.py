@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleanery.functions.text import title_similarity
+from gleanery.functions.text import similar
 
 col = F.col
 
@@ -39,9 +39,7 @@ def prior_applications(postings: DataFrame, applications: DataFrame, now_hour: i
     live = applications.where((col("status") != "withdrawn") & (col("applied_hour") > now_hour - 24 * window_days) & (col("company_norm") != ""))
     firsts = live.groupBy("company_norm", col("title_norm").alias("applied_title")).agg(F.min("id").alias("application_id"))
     titles = postings.where("company_norm <> ''").select("company_norm", "title_norm").distinct()
-    near = titles.join(firsts, "company_norm").where(
-        F.when(col("title_norm") == col("applied_title"), True).otherwise(title_similarity(col("title_norm"), col("applied_title")) >= least)
-    )
+    near = titles.join(firsts, "company_norm").where(similar(col("title_norm"), col("applied_title"), least))
     by_title = near.groupBy("company_norm", "title_norm").agg(F.min("application_id").alias("_by_title"))
     same = live.groupBy("company_norm", col("opportunity_id").alias("id")).agg(F.min("id").alias("_same"))
     out = postings.join(by_title, ["company_norm", "title_norm"], "left").join(same, ["company_norm", "id"], "left")

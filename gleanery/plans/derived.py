@@ -71,7 +71,7 @@ USAGE = f"""
 SELECT l_orderkey * 8 + l_linenumber AS id, l_orderkey % 40 + 1 AS run_id, {pick('l_linenumber', ['analyze', 'extract', 'discovery', 'materials'])} AS purpose,
   {pick('l_suppkey', ['large', 'large-next-2', 'medium-1', 'small', 'other'])} AS model, l_partkey AS opportunity_id,
   CAST(l_quantity AS BIGINT) * 100 AS tokens_in, CAST(l_quantity AS BIGINT) * 7 AS tokens_out, l_suppkey % 50 AS cache_read, l_partkey % 30 AS cache_write,
-  CAST(l_linenumber % 3 AS INT) AS searches, CAST(l_extendedprice AS BIGINT) AS cost_micro, {NOW_HOUR} - (l_orderkey * 8 + l_linenumber) % 1000 AS at_hour
+  CAST(l_linenumber % 3 AS INT) AS searches, CAST(floor(l_extendedprice) AS BIGINT) AS cost_micro, {NOW_HOUR} - (l_orderkey * 8 + l_linenumber) % 1000 AS at_hour
 FROM lineitem
 """
 
