@@ -15,7 +15,7 @@ MANUAL_METHODS = ["ats_form", "external_form", "login_required"]
 
 def clamp(c: Column) -> Column:
     """Rounded half to even into 0..100; null gives 0."""
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(100), F.bround(c.cast("double"), 0))), F.lit(0)).cast("int")
+    return F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce(F.bround(c.cast("double"), 0), F.lit(0)))).cast("int")
 
 
 def compensation(low: Column, high: Column, employment: Column, cfg: Config = DEFAULT) -> Column:

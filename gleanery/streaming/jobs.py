@@ -26,11 +26,11 @@ def first_seen(stream: DataFrame, key: str, at: str, horizon: str) -> DataFrame:
 
 
 def daily_counts(stream: DataFrame, at: str, delay: str = "1 day") -> DataFrame:
-    """Events and their sum by day and type, updated until the watermark has passed the day."""
+    """Events and their largest value by day and type, updated until the watermark has passed the day."""
     return (
         stream.withWatermark(at, delay).groupBy(F.window(at, "1 day"), "event_type")
-        .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
-        .select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total")
+        .agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("most"))
+        .select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", "most")
     )
 
 
