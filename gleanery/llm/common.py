@@ -46,6 +46,14 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Caps the rows that Spark sends to Python at a time, for this session from now on: rows that hold whole
+    texts make batches of tens of MB otherwise, which JVM and Python hold several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def without(df: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df without the rows whose key is in ids (a table that is cheap to read again, one integer column).
 

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import cut, without
+from gleanery.llm.common import cut, small_batches, without
 
 NGRAM = 3
 SEED_BITS = 24.0
@@ -178,6 +178,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE,
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     letters = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-letters // (2 * block_words)))  # a word and its separator are two characters at least
+    small_batches(spark)
     docs = docs.select("doc_id", "text")
     out = None
     for b in range(blocks):

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import cut, without
+from gleanery.llm.common import cut, small_batches, without
 
 BUCKETS = 1 << 15
 MODEL_ROWS = 10_000
@@ -100,6 +100,7 @@ class Models:
 
 def fit(rows: DataFrame, model_rows: int = MODEL_ROWS) -> Models:
     """Models from rows (text, declared): a hashed sample of model_rows rows in expectation."""
+    small_batches(rows.sparkSession)
     rows = rows.where("declared <> '' and text <> ''")
     n = rows.count()
     sample = rows if n <= model_rows else rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < math.ceil(1e6 * model_rows / n))
@@ -192,6 +193,7 @@ def fuse(rows: DataFrame, models: Models, reliability: float = RELIABILITY) -> D
 def identify(rows: DataFrame, models: Models | None = None, model_rows: int = MODEL_ROWS) -> DataFrame:
     """rows (text, declared, host and any key columns) without the text, plus domain, suffix, language,
     probability, text_language."""
+    small_batches(rows.sparkSession)
     rows = rows.withColumns({"text": F.coalesce("text", F.lit("")), "declared": code(F.col("declared"))})
     rows = rows.withColumns(host_levels(F.col("host")))
     models = models or fit(rows, model_rows)

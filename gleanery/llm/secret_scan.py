@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.llm.common import small_batches
+
 LAYER_BYTES = 32 << 20
 
 #: The strict kinds, in order, with the least length of the part that counts.
@@ -231,5 +233,6 @@ def find(docs: DataFrame) -> DataFrame:
                 out.append((doc_id, *(sum(s[0] == k for s in base) for k in KINDS), digest, listing(base + more), len(more)))
             yield pd.DataFrame(out, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_added"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInPandas(scanned, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import connected_components, cut, without
+from gleanery.llm.common import connected_components, cut, small_batches, without
 
 SHINGLE = 4
 SEED = 42
@@ -60,6 +60,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": [fingerprint(t) for t in batch["text"]]})
 
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     return cut(docs.mapInPandas(hashed, "doc_id long, fp long"), "fingerprints")
 
