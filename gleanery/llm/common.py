@@ -61,7 +61,7 @@ def without(df: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_BYTE
     more are joined by a shuffle of both sides."""
     ids = ids.select(key)
     small = ids.count() * 16 <= limit
-    return df.join(F.broadcast(ids) if small else ids.hint("merge"), key, "left_anti")
+    return df.join(F.broadcast(ids) if small else ids.hint("merge"), key, "left_anti").select(*df.columns)
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:

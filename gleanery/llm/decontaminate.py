@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,8 @@ NGRAM = 3
 SEED_BITS = 24.0
 LEAST_SEEDS = 8
 MIN_SCORE = 0.5
-BLOCK_WORDS = 2_000_000
+#: Words of a block of items; three word numbers below this fit a 64-bit seed.
+BLOCK_WORDS = 1_000_000
 WORD = re.compile(r"[^\W_]+")
 OUT = "doc_id long, item_id long, score double, first_word long, last_word long"
 
@@ -46,6 +48,11 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def arrow(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], list(kinds))
+
+
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     """Best local alignment of two arrays of word numbers: score, first and last word in the passage."""
     n = len(passage)
@@ -119,10 +126,12 @@ def block_matches(docs: DataFrame, items: list[tuple[int, list[str]]], min_score
     sizes = sorted({min(NGRAM, len(words)) for _, words in items})
     reach = max(len(words) for _, words in items)
 
-    def passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = {"doc_id": pa.int64(), "at": pa.int64(), "words": pa.list_(pa.int64()), "seeds": pa.list_(pa.int64())}
+
+    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 words = words_of(text)
                 ids = np.array([vocabulary.get(w, -1) for w in words], np.int64) + 1
                 spots, found = [], []
@@ -146,11 +155,10 @@ def block_matches(docs: DataFrame, items: list[tuple[int, list[str]]], min_score
                 for run in np.split(np.arange(len(spot)), np.flatnonzero(np.diff(spot) > reach) + 1):
                     lo, hi = max(0, int(spot[run[0]]) - reach), min(len(words), int(spot[run[-1]]) + NGRAM + reach)
                     out.append((doc_id, lo, ids[lo:hi].tolist(), np.unique(gram[run]).tolist()))
-            if out:
-                yield pd.DataFrame(out, columns=["doc_id", "at", "words", "seeds"])
+            yield arrow(out, kinds)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    found = cut(rows.mapInPandas(passages, "doc_id long, at long, words array<long>, seeds array<long>"), "passages")
+    found = cut(rows.mapInArrow(passages, "doc_id long, at long, words array<long>, seeds array<long>"), "passages")
     found = found.withColumn("passage", F.monotonically_increasing_id())
 
     # the block's seeds and items have at most BLOCK_WORDS words
@@ -159,17 +167,18 @@ def block_matches(docs: DataFrame, items: list[tuple[int, list[str]]], min_score
     met = found.select("passage", "doc_id", "at", "words", F.explode("seeds").alias("seed")).join(seeds, "seed")
     met = met.groupBy("passage", "item_id").agg(F.first("doc_id").alias("doc_id"), F.first("at").alias("at"), F.first("words").alias("words")).join(texts, "item_id")
 
-    def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    scores = {"doc_id": pa.int64(), "item_id": pa.int64(), "score": pa.float64(), "first_word": pa.int64(), "last_word": pa.int64()}
+
+    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, item_id, at, words, item in zip(*(batch[c] for c in ("doc_id", "item_id", "at", "words", "item"))):
+            for doc_id, item_id, at, words, item in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item_id", "at", "words", "item"))):
                 score, first, last = align(np.asarray(item), np.asarray(words))
                 if score >= min_score * len(item):
                     out.append((doc_id, item_id, score / len(item), at + first, at + last))
-            frame = pd.DataFrame(out, columns=["doc_id", "item_id", "score", "first_word", "last_word"])
-            yield frame.astype({"doc_id": "Int64"})
+            yield arrow(out, scores)
 
-    return met.select("doc_id", "item_id", "at", "words", "item").mapInPandas(aligned, OUT)
+    return met.select("doc_id", "item_id", "at", "words", "item").mapInArrow(aligned, OUT)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, block_words: int = BLOCK_WORDS) -> DataFrame:

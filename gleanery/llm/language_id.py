@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,13 +130,15 @@ def scored(rows: DataFrame, models: Models) -> DataFrame:
     """rows (key, text, ...) without the text, plus likely: an array of log-likelihoods, null without letters."""
     others = [f for f in rows.schema.fields if f.name != "text"]
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.drop(columns="text").assign(likely=[models.score(t) for t in batch["text"]])
+            likely = pa.array([models.score(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))
+            kept = [n for n in batch.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), likely], [*kept, "likely"])
 
     kept = rows.select(*[f.name for f in others], "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others) + ", likely array<double>"
-    return cut(kept.mapInPandas(each, schema), "likelihoods")
+    return cut(kept.mapInArrow(each, schema), "likelihoods")
 
 
 def argmax(values: Column) -> Column:

@@ -23,7 +23,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -224,15 +224,19 @@ def listing(spans: list[Span]) -> str:
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_added for each row of docs."""
 
-    def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            out: dict[str, list] = {n: [] for n in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_added")}
+            for text in batch.column("text").to_pylist():
                 base, more = strict(text), hidden(text)
-                digest = hashlib.sha256(listing(base).encode()).hexdigest()
-                out.append((doc_id, *(sum(s[0] == k for s in base) for k in KINDS), digest, listing(base + more), len(more)))
-            yield pd.DataFrame(out, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_added"])
+                for kind in KINDS:
+                    out[f"n_{kind}"].append(sum(s[0] == kind for s in base))
+                out["base_sha256"].append(hashlib.sha256(listing(base).encode()).hexdigest())
+                out["spans"].append(listing(base + more))
+                out["n_added"].append(len(more))
+            kinds = {n: pa.string() if n in ("base_sha256", "spans") else pa.int64() for n in out}
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, kinds[n]) for n, v in out.items())], ["doc_id", *out])
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(scanned, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long")
+    return rows.mapInArrow(scanned, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long")

@@ -20,7 +20,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +44,11 @@ def host_key(host: Column) -> Column:
     return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit(".")))
 
 
+def table_of(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
+
 class Sweep:
     """The stack of open rules at one key."""
 
@@ -88,38 +93,42 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", ranges: int
     keys = sorted((r.key, r.path, -1 if r.page_id is None else r.page_id) for r in rows.select("key", "path", "page_id").sample(share, seed=11).collect())
     bounds = [keys[len(keys) * i // n] for i in range(1, n)] if keys else []
 
-    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["page_id", "host", "path", "key", "part", "kind", "rule", "action"]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [-1 if pd.isna(i) else int(i) for i in batch["page_id"]]
-            yield batch.assign(part=[bisect_right(bounds, at) for at in zip(batch["key"], batch["path"], ids)], kind=1, rule=None, action=None)
+            ids, keys, paths = (batch.column(c).to_pylist() for c in ("page_id", "key", "path"))
+            parts = [bisect_right(bounds, (key, path, -1 if i is None else i)) for i, key, path in zip(ids, keys, paths)]
+            none = pa.nulls(len(parts), pa.string())
+            columns = [*(batch.column(c) for c in names[:4]), pa.array(parts, pa.int32()), pa.array([1] * len(parts), pa.int32()), none, none]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for r in batch.itertuples():
-                last = bisect_right(bounds, (r.key[:-1] + AFTER_DOT,)) if r.key else n - 1
-                out += [(None, r.host, r.path, r.key, part, 0, r.rule, r.action) for part in range(bisect_right(bounds, (r.key,)), last + 1)]
-            yield pd.DataFrame(out, columns=["page_id", "host", "path", "key", "part", "kind", "rule", "action"])
+            for host, path, key, rule, action in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "key", "rule", "action"))):
+                last = bisect_right(bounds, (key[:-1] + AFTER_DOT,)) if key else n - 1
+                out += [(None, host, path, key, part, 0, rule, action) for part in range(bisect_right(bounds, (key,)), last + 1)]
+            yield table_of(out, names, kinds)
 
     schema = "page_id long, host string, path string, key string, part int, kind int, rule string, action string"
     named = rules.select(ascii_lower(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "action")
     named = named.withColumn("key", host_key(F.col("host"))).withColumn("rule", F.concat("host", "path"))
-    both = rows.mapInPandas(dealt, schema).unionByName(named.mapInPandas(spread, schema))
+    both = rows.mapInArrow(dealt, schema).unionByName(named.mapInArrow(spread, schema))
 
-    def swept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, sweep = None, Sweep()
+    def swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, sweep = None, Sweep()
         for batch in batches:
             out = []
-            for r in batch.itertuples(index=False):
-                if r.part != part:
-                    part, sweep = r.part, Sweep()
-                if r.kind == 0:
-                    sweep.open(r.key, r.path, r.rule, r.action)
+            for page_id, host, path, key, part, kind, rule, action in zip(*(batch.column(c).to_pylist() for c in names)):
+                if part != current:
+                    current, sweep = part, Sweep()
+                if kind == 0:
+                    sweep.open(key, path, rule, action)
                 else:
-                    rule, verdict = sweep.judge(r.key, r.path) or (None, default)
-                    out.append((r.page_id, r.host, r.path, rule, verdict))
-            found = pd.DataFrame(out, columns=["page_id", "host", "path", "rule", "verdict"])
-            yield found.astype({"page_id": "Int64"})
+                    out.append((page_id, host, path, *(sweep.judge(key, path) or (None, default))))
+            yield table_of(out, ["page_id", "host", "path", "rule", "verdict"], [pa.int64(), *[pa.string()] * 4])
 
     ordered = both.repartition(n, "part").sortWithinPartitions("part", "key", "kind")
-    return ordered.mapInPandas(swept, "page_id long, host string, path string, rule string, verdict string")
+    return ordered.mapInArrow(swept, "page_id long, host string, path string, rule string, verdict string")
