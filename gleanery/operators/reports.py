@@ -153,3 +153,36 @@ def remaining(postings: DataFrame, run_id: int) -> DataFrame:
     from gleanery.operators.views import claimable
 
     return postings.agg(F.count_if(claimable(run_id)).alias("remaining"))
+
+
+def search_health(tasks: DataFrame, now_hour: int, days: int = 7) -> DataFrame:
+    recent = tasks.where(since("created_hour", now_hour, days) & (col("kind") == "search"))
+    return recent.groupBy("source").agg(F.count_if(col("status") == "ok").alias("ok"), F.count_if(col("status") != "ok").alias("problems"), F.sum("items_found").alias("found"))
+
+
+def page_health(tasks: DataFrame, now_hour: int, days: int = 7) -> DataFrame:
+    recent = tasks.where(since("created_hour", now_hour, days) & (col("kind") == "page"))
+    return recent.agg(*[F.count_if(col("status") == s).alias(s) for s in ("ok", "blocked", "failed", "skipped")])
+
+
+def processed_stats(postings: DataFrame, usage: DataFrame) -> DataFrame:
+    """For each run: what it processed, how that ended, and its cost."""
+    status = {"filtered_out": "filtered_out", "analyzed": "analyzed", "awaiting_ai": "awaiting_ai", "analysis_failed": "analysis_failed"}
+    advice = {"blocked": "blocked", "auto_apply_candidates": "auto_apply_candidate", "manual_apply": "manual_apply", "approval_required": "approval_required", "ignored": "ignore"}
+    done = postings.where("last_processed_run_id is not null").groupBy(col("last_processed_run_id").alias("run_id")).agg(
+        F.count(F.lit(1)).alias("processed"), *[F.count_if(col("pipeline_status") == v).alias(k) for k, v in status.items()], *[F.count_if(col("recommendation") == v).alias(k) for k, v in advice.items()])
+    return run_costs(done, usage)
+
+
+def warnings(spent: Column, budget: Column, last_status: Column, last_error: Column) -> Column:
+    """What the overview warns about."""
+    error = F.lower(F.coalesce(last_error, F.lit("")))
+    quota = (last_status == "failed") & (error.contains("quota") | error.contains("429"))
+    return F.array_compact(F.array(F.when(quota, "AI API Quota Exceeded"), F.when((budget > 0) & (spent >= budget), "Daily AI budget cap reached")))
+
+
+def digest_line(mode: Column, eligibility: Column, pay: Column, materials: Column) -> Column:
+    """The details of a digest item, joined by dots; empty parts are left out."""
+    note = F.when(materials == "generated", "materials ✓").when(materials == "needs_review", "materials need review")
+    parts = F.array(mode, F.replace(eligibility, F.lit("_"), F.lit(" ")), pay, note)
+    return F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), " · ")

@@ -97,3 +97,75 @@ def next_versions(requests: DataFrame, materials: DataFrame) -> DataFrame:
     top = materials.groupBy("opportunity_id").agg(F.max("version").alias("_top"))
     place = F.row_number().over(W.partitionBy("opportunity_id").orderBy("id"))
     return requests.join(top, "opportunity_id", "left").withColumn("version", F.coalesce("_top", F.lit(0)) + place).drop("_top")
+
+
+def prescored(postings: DataFrame, scores: DataFrame, statuses: tuple[str, ...] = ("new", "awaiting_ai", "analysis_failed")) -> DataFrame:
+    """Postings without a queue score get theirs in the waiting states."""
+    out = postings.join(scores.select("id", col("score").alias("_score")), "id", "left")
+    fill = col("prescore").isNull() & col("pipeline_status").isin(*statuses)
+    return out.withColumn("prescore", F.when(fill, col("_score")).otherwise(col("prescore"))).drop("_score")
+
+
+def awaiting(postings: DataFrame, deferred: DataFrame) -> DataFrame:
+    """Postings whose analysis was put off wait for it; the reason is kept."""
+    out = postings.join(deferred.select("id", col("reason").alias("_reason")), "id", "left")
+    return out.withColumns({"pipeline_status": F.when(col("_reason").isNotNull(), "awaiting_ai").otherwise(col("pipeline_status")), "wait_reason": col("_reason")}).drop("_reason")
+
+
+def reprocessed(postings: DataFrame, ids: list[int]) -> DataFrame:
+    """A person's selection goes back to the start."""
+    again = col("id").isin(ids)
+    return postings.withColumns({"pipeline_status": F.when(again, "new").otherwise(col("pipeline_status")), "analysis_attempts": F.when(again, 0).otherwise(col("analysis_attempts"))})
+
+
+def notified(postings: DataFrame, digest: DataFrame, at_hour: int) -> DataFrame:
+    """The digest's postings are marked with its time."""
+    sent = digest.select("id", F.lit(True).alias("_sent"))  # a digest is short
+    return postings.join(F.broadcast(sent), "id", "left").withColumn("notified_hour", F.when(col("_sent"), F.lit(at_hour)).otherwise(col("notified_hour"))).drop("_sent")
+
+
+def run_closed(runs: DataFrame, run_id: int, added: dict[str, int]) -> DataFrame:
+    """The run is completed; new statistics replace old ones of the same name."""
+    mine = col("id") == run_id
+    extra = F.create_map(*[F.lit(x) for k, v in added.items() for x in (k, v)])
+    kept = F.map_filter("stats", lambda k, v: ~k.isin(*added))
+    return runs.withColumns({"status": F.when(mine & (col("status") == "running"), "completed").otherwise(col("status")), "stats": F.when(mine, F.map_concat(kept, extra)).otherwise(col("stats"))})
+
+
+def counter_bumped(runs: DataFrame, run_id: int, key: str) -> DataFrame:
+    """One more in a named counter of a run."""
+    kept = F.map_filter("stats", lambda k, v: k != key)
+    one = F.create_map(F.lit(key), F.coalesce(F.element_at("stats", key), F.lit(0)) + 1)
+    return runs.withColumn("stats", F.when(col("id") == run_id, F.map_concat(kept, one)).otherwise(col("stats")))
+
+
+def run_failed(runs: DataFrame, error: str, run_id: int | None = None) -> DataFrame:
+    """A running run fails; without an id the latest running one."""
+    if run_id is None:
+        latest_run = runs.where("status = 'running'").agg(F.max("id").alias("_id"))
+        marked = runs.join(F.broadcast(latest_run), runs["id"] == col("_id"), "left")
+        hit = col("_id").isNotNull()
+    else:
+        marked, hit = runs.withColumn("_id", F.lit(None)), (col("id") == run_id) & (col("status") == "running")
+    return marked.withColumns({"error": F.when(hit, F.lit(error[:1000])).otherwise(col("error")), "status": F.when(hit, "failed").otherwise(col("status"))}).drop("_id")
+
+
+def materials_done(postings: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """materials_status after attempts (id, outcome): deferred ones can be tried again."""
+    to = {"deferred": "none", "failed": "failed", "verified": "generated", "unverified": "needs_review"}
+    out = postings.join(outcomes.select("id", col("outcome").alias("_o")), "id", "left")
+    return out.withColumn("materials_status", F.coalesce(*[F.when(col("_o") == k, F.lit(v)) for k, v in to.items()], col("materials_status"))).drop("_o")
+
+
+def without_ids(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    return rows.join(gone.select("id"), "id", "left_anti")
+
+
+def applied(requests: DataFrame, prior: DataFrame) -> DataFrame:
+    """requests (id, company_norm, title_norm) with `accepted` and a reason: not where an application is known,
+    and the first of a company and title among the requests."""
+    first = requests.where("company_norm <> ''").groupBy("company_norm", "title_norm").agg(F.min("id").alias("_first"))
+    out = requests.join(prior.select("id", "application_id"), "id", "left").join(first, ["company_norm", "title_norm"], "left")
+    known = F.concat(F.lit("Already applied to this company for a similar role (application #"), col("application_id").cast("string"), F.lit(")"))
+    reason = F.when(col("application_id").isNotNull(), known).when(col("_first") < col("id"), "An application for this company and role is already recorded")
+    return out.withColumns({"reason": reason, "accepted": reason.isNull()}).drop("_first", "application_id")

@@ -1,6 +1,7 @@
 """Posting-engine tables derived from the given ones, in SQL that Spark and DuckDB both read.
 
-Every row comes from a row of a given table, so the work of a query grows with its input. Times are hours
+Every row comes from a row of a given table, so the work of a query grows with its input. The lists have
+lengths that share few factors, and multipliers that share none with their list, so that all combinations occur. Times are hours
 (`*_hour`) or days since 1970, whole numbers in both engines.
 """
 
@@ -24,25 +25,25 @@ SOURCES = ["remotive", "greenhouse", "lever", "merojob", "hackernews", "himalaya
 LEVELS = ["", "Junior ", "Senior ", "", "Lead ", "Entry-Level ", "Sr. "]
 ROLES = ["Frontend Developer", "Front-End Developer (m/f/d)", "React.js Engineer", "Software Engineer", "PHP Developer", "Full Stack Dev", "QA Engineer - Remote", "IT Officer", "Sales Manager", "Développeur React", "Graduate Programmer", "Technical Support Engineer", "C++ Developer"]
 COMPANIES = ["Acme Inc.", "ACME, LLC", "Globex GmbH", "Initech Pvt. Ltd.", "Hooli", None, "Umbrella Corp", "Café Ltd", "Stark Co Limited", " "]
-PLACES = ["Kathmandu, Nepal", "Remote - Worldwide", "Berlin, Germany", None, "New York, USA", "APAC", "", "Lalitpur", "Remote, Europe"]
-RESTRICTIONS = [None, None, "Nepal;India", "USA", "Worldwide", "Asia", " ;", None, "NP"]
-MODES = ["remote", "unknown", "hybrid", "remote", "onsite", "remote"]
+PLACES = ["Kathmandu, Nepal", "Remote - Worldwide", "Berlin, Germany", None, "New York, USA", "APAC", "", "Lalitpur", "Remote, Europe", "Pokhara", "Remote - Canada"]
+RESTRICTIONS = [None, "NP", "Nepal;India", "USA", "Worldwide", "Asia", " ;", None]
+MODES = ["remote", "unknown", "hybrid", "remote", "onsite"]
 PAY = [None, "$40k - $60k per year", "NPR 30,000 - 50,000", "€25/hour", "Rs. 800,000", "£1,500 per month", "USD 120-150k", "competitive", "₹ 90000 monthly"]
 PHRASES = [
     "", " Please apply with your CV to jobs@acme.io.", " 3+ years of professional experience required.", " Must be based in the United States.", " Work from anywhere. No experience needed.",
     " Pay a registration fee of $50.", " We hire worldwide but remote in Europe only.", " Experience with React and TypeScript, 1-2 years.", " Contact on telegram only.", " US only.",
     " 5 years experience preferred. Send resume to noreply@x.com or to hr@globex.com!", " We cannot hire in Nepal.",
 ]
-APPLY = [None, "https://boards.greenhouse.io/acme/jobs/1", "mailto:jobs@hooli.com?subject=x", "https://www.linkedin.com/jobs/2", "https://careers.acme.io/apply", "https://jobs.lever.co/globex/3"]
-WEBSITES = [None, "https://www.acme.io/about", "https://hooli.com", "https://globex.co.uk", ""]
-EMAILS = [None, None, None, "me@gmail.com", "jobs@globex.com"]
+APPLY = [None, "https://boards.greenhouse.io/acme/jobs/1", "mailto:jobs@hooli.com?subject=x", "https://www.linkedin.com/jobs/2", "https://careers.acme.io/apply", "https://jobs.lever.co/globex/3", None]
+WEBSITES = [None, "https://www.acme.io/about", "https://hooli.com", "https://globex.co.uk"]
+EMAILS = [None, None, None, "me@gmail.com", None, "jobs@globex.com", None, None, None, None, None]
 HINTS = [None, "Senior", "Entry level", None, "Mid-Senior"]
 
 OPPORTUNITIES = f"""
 SELECT doc_id AS id, {pick('doc_id', SOURCES)} AS source,
   concat({pick('doc_id * 5 + 1', LEVELS)}, {pick('doc_id * 3', ROLES)}) AS title,
   {pick('doc_id * 7', COMPANIES)} AS company_name, {pick('doc_id', PLACES)} AS location_text,
-  {pick('doc_id * 2', RESTRICTIONS)} AS restrictions, {pick('doc_id', MODES)} AS remote_type,
+  {pick('doc_id * 3', RESTRICTIONS)} AS restrictions, {pick('doc_id', MODES)} AS remote_type,
   {pick('doc_id * 4', PAY)} AS pay_text, {pick('doc_id', APPLY)} AS apply_url, {pick('doc_id * 3', WEBSITES)} AS company_website,
   {pick('doc_id', EMAILS)} AS apply_email, {pick('doc_id', HINTS)} AS seniority_hint,
   concat(coalesce(text, ''), {pick('doc_id * 5', PHRASES)}) AS description,
@@ -51,16 +52,16 @@ SELECT doc_id AS id, {pick('doc_id', SOURCES)} AS source,
   {NOW_HOUR} - (doc_id * 29) % 1500 AS first_seen_hour,
   CAST((doc_id * 37) % 101 AS INT) AS match_score, CAST((doc_id * 53) % 101 AS INT) AS prescore_value,
   {pick('doc_id * 7', ['new', 'analyzed', 'filtered_out', 'awaiting_ai', 'duplicate', 'analyzed', 'analysis_failed', 'processing'])} AS pipeline_status,
-  {pick('doc_id * 3', ['auto_apply_candidate', 'approval_required', 'ignore', 'blocked', 'manual_apply', None])} AS recommendation,
-  {pick('doc_id * 11', ['none', 'pending_approval', 'ready_to_apply', 'applied', 'rejected', 'dismissed', 'auto_apply_disabled', 'approved'])} AS review_status,
+  {pick('doc_id * 5', ['auto_apply_candidate', 'approval_required', 'ignore', 'blocked', 'manual_apply', None])} AS recommendation,
+  {pick('doc_id * 11', ['none', 'pending_approval', 'ready_to_apply', 'applied', 'rejected', 'dismissed', 'auto_apply_disabled', 'approved', 'none'])} AS review_status,
   {pick('doc_id', ['eligible', 'likely_eligible', 'unclear', 'not_eligible', None])} AS eligibility,
   CAST(doc_id % 5 AS INT) AS analysis_attempts, doc_id % 40 + 1 AS run_id, CASE WHEN doc_id % 4 = 0 THEN doc_id % 40 + 1 END AS last_processed_run_id
 FROM documents
 """
 
 TASKS = f"""
-SELECT event_id AS id, event_id % 40 + 1 AS run_id, {pick('event_id * 3', ['feed', 'page', 'ats_board', 'search', 'local_board', 'page'])} AS kind,
-  {pick('event_id', SOURCES)} AS source, {pick('event_id * 7', ['ok', 'ok', 'failed', 'pending', 'skipped', 'running', 'ok', 'blocked'])} AS status,
+SELECT event_id AS id, event_id % 40 + 1 AS run_id, {pick('event_id * 5', ['feed', 'page', 'ats_board', 'search', 'local_board', 'page'])} AS kind,
+  {pick('event_id', SOURCES)} AS source, {pick('event_id * 3', ['ok', 'ok', 'failed', 'pending', 'skipped', 'running', 'blocked'])} AS status,
   CAST(event_id % 5 AS INT) AS priority, CAST((event_id * 13) % 23 AS INT) AS items_found, CAST((event_id * 13) % 23 - (event_id * 13) % 3 AS INT) AS items_new,
   CASE WHEN event_id % 8 = 6 THEN concat('timeout ', CAST(event_id % 10 AS STRING)) END AS error,
   {NOW_HOUR} - event_id % 400 AS finished_hour, {NOW_HOUR} - event_id % 400 - 1 AS created_hour, user_id, event_type, CAST(event_id % 4 AS INT) AS attempts
@@ -97,7 +98,7 @@ SELECT page_id AS id, CASE page_id % 12
     WHEN 4 THEN 'ftp://example.com/x' WHEN 5 THEN concat('https://company', CAST(page_id % 20 AS STRING), '.recruitee.com/o/dev')
     WHEN 6 THEN 'https://boards.greenhouse.io/embed/job_board?for=acme&b=2' ELSE url END AS url,
   {pick('page_id', ['search', 'local_board:merojob', 'page', 'hackernews'])} AS via, page_id % 40 + 1 AS run_id, {NOW_HOUR} - (page_id * 7) % 900 AS seen_hour,
-  {pick('page_id * 5', ['pending', 'fetched', 'lead_only', 'failed', 'skipped'])} AS status, CAST(page_id % 5 AS INT) AS attempts
+  {pick('page_id * 3', ['pending', 'fetched', 'lead_only', 'failed', 'skipped'])} AS status, CAST(page_id % 5 AS INT) AS attempts
 FROM pages
 """
 
