@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gleanery.config import DEFAULT, Config
 from gleanery.functions import urls
+from gleanery.functions.text import similar, title_similarity
 from gleanery.operators.views import capped
 
 col = F.col
@@ -55,32 +56,54 @@ class Leaders:
         return None
 
 
-def near_duplicates(postings: DataFrame, now_hour: int, cfg: Config = DEFAULT) -> DataFrame:
-    """(id, duplicate_of) for postings (id, company_norm, title_norm, first_seen_hour).
+def leaders(titles: DataFrame, least: float) -> DataFrame:
+    """(company_norm, leader_title, leader, seen) for distinct titles (company_norm, title_norm, seen, id).
 
-    Companies are dealt to tasks and sorted by arrival; a task streams over its rows and holds the leaders
-    of one company, at most LEADERS. Rows without company or title, and rows older than the window (which
-    can be no candidates), are originals. A row that equals a leader's title, or is similar enough to the
-    most similar leader (the earliest on ties), is its duplicate; others become leaders."""
-    old = now_hour - 24 * cfg.posting_window_days
-    least = float(cfg.posting_title_similarity)
+    Companies are dealt to tasks and sorted by arrival; a task streams over them and holds the leaders of
+    one company, at most LEADERS."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        company, leaders = None, Leaders(least)
+        company, held = None, Leaders(least)
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
                 if r.company_norm != company:
-                    company, leaders = r.company_norm, Leaders(least)
-                out.append((r.id, leaders.place(r.id, r.title_norm)))
-            yield pd.DataFrame(out, columns=["id", "duplicate_of"]).astype({"duplicate_of": "Int64"})
-
-    rows = postings.select(col("id").cast("long"), F.coalesce("company_norm", F.lit("")).alias("company_norm"), F.coalesce("title_norm", F.lit("")).alias("title_norm"), col("first_seen_hour").cast("long"))
-    can = (col("company_norm") != "") & (col("title_norm") != "") & (col("first_seen_hour") > old)
-    n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = rows.where(can).repartition(n, "company_norm").sortWithinPartitions("company_norm", "first_seen_hour", "id")
-    alone = rows.where(~can).select("id", F.lit(None).cast("long").alias("duplicate_of"))
-    return order.mapInPandas(scan, "id long, duplicate_of long").unionByName(alone)
+                    company, held = r.company_norm, Leaders(least)
+                before = len(held.titles)
+                held.place(r.id, r.title_norm)
+                if len(held.titles) > before:
+                    out.append((company, r.title_norm, r.id, r.seen))
+            yield pd.DataFrame(out, columns=["company_norm", "leader_title", "leader", "seen"]).astype({"leader": "int64", "seen": "int64"})
+
+    n = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = titles.repartition(n, "company_norm").sortWithinPartitions("company_norm", "seen", "id")
+    return order.mapInPandas(scan, "company_norm string, leader_title string, leader long, seen long")
+
+
+def near_duplicates(postings: DataFrame, now_hour: int, cfg: Config = DEFAULT) -> DataFrame:
+    """(id, duplicate_of) for postings (id, company_norm, title_norm, first_seen_hour).
+
+    In order of arrival a row is the duplicate of its company's leader with its title, else of the most
+    similar leader (the earliest on ties) from the threshold on, else it becomes a leader itself. Rows
+    without company or title, and rows older than the window (which can be no candidates), are originals.
+
+    Only the first row of a title can become a leader: whatever kept it from that keeps later rows of the
+    title from it too. So the ordered scan sees distinct titles, not rows, and rows then take the best of
+    the leaders before them by a join on company and title."""
+    old = now_hour - 24 * cfg.posting_window_days
+    least = float(cfg.posting_title_similarity)
+    rows = postings.select(col("id").cast("long"), F.coalesce("company_norm", F.lit("")).alias("company_norm"), F.coalesce("title_norm", F.lit("")).alias("title_norm"), col("first_seen_hour").cast("long").alias("seen"))
+    can = (col("company_norm") != "") & (col("title_norm") != "") & (col("seen") > old)
+    alone = rows.where(~F.coalesce(can, F.lit(False))).select("id", F.lit(None).cast("long").alias("duplicate_of"))
+    rows = rows.where(can)
+    first = F.min(F.struct("seen", "id")).alias("f")  # aggregated before the shuffle
+    titles = rows.groupBy("company_norm", "title_norm").agg(first).select("company_norm", "title_norm", "f.seen", "f.id")
+    found = leaders(titles, least)
+    near = titles.select("company_norm", "title_norm").join(found, "company_norm").where(similar(col("title_norm"), col("leader_title"), least))
+    score = title_similarity(col("title_norm"), col("leader_title"))
+    options = near.groupBy("company_norm", "title_norm").agg(F.sort_array(F.collect_list(F.struct((-score).alias("s"), "seen", "leader"))).alias("options"))  # LEADERS at most
+    best = F.get(F.filter("options", lambda x: (x["seen"] < col("seen")) | ((x["seen"] == col("seen")) & (x["leader"] < col("id")))), F.lit(0))
+    return rows.join(options, ["company_norm", "title_norm"], "left").select("id", best["leader"].alias("duplicate_of")).unionByName(alone)
 
 
 def exact(incoming: DataFrame) -> DataFrame:

@@ -143,6 +143,8 @@ def test_near_duplicates(spark):
     rng = random.Random(8)
     words = ["frontend", "developer", "developers", "react", "senior", "engineer", "engineers", "qa", "lead"]
     rows = [(i, rng.choice(["a", "b", "hot", "hot", "hot"]), " ".join(rng.sample(words, rng.randrange(2, 5))), 1000 + rng.randrange(500)) for i in range(500)]
+    titles = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(230)]
+    rows += [(2000 + i, "many", t, 1100 + i) for i, t in enumerate(titles)] + [(3000 + i, "many", t, 1400 + i) for i, t in enumerate(titles[::5])]
     extra = [(900, "", "x", 1100), (901, "a", None, 1100), (902, "a", rows[0][2], 10)]
     df = spark.createDataFrame(rows + extra, "id long, company_norm string, title_norm string, first_seen_hour long")
     got = {r.id: r.duplicate_of for r in dedup.near_duplicates(df, 1600).collect()}
