@@ -41,7 +41,8 @@ def fold(c: Column) -> Column:
     c = F.coalesce(c, F.lit(""))
     known = F.create_map(*[F.lit(x) for item in FOLD_MORE.items() for x in item])
     spelled = F.array_join(F.transform(F.split(c, ""), lambda ch: F.coalesce(F.element_at(known, ch), ch)), "")
-    rest = F.when(c.rlike("[" + "".join(FOLD_MORE) + "]"), spelled).otherwise(c)
+    has_more = F.length(F.translate(c, "".join(FOLD_MORE), "")) < F.length(c)
+    rest = F.when(has_more, spelled).otherwise(c)
     rest = F.regexp_replace(F.translate(rest, FOLD_FROM, FOLD_TO), r"[^\x00-\x7F]", "")
     return F.lower(F.when(F.octet_length(c) == F.length(c), c).otherwise(rest))
 

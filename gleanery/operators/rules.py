@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gleanery.config import DEFAULT, Config
 from gleanery.functions import urls
 from gleanery.functions.dates import staleness
-from gleanery.functions.text import emails, first_term, fold, has_any, has_term, hits
+from gleanery.functions.text import emails, first_term, fold, has_any, has_term, hits, let
 
 #: Wordings that the rules look for.
 GENERIC_TITLE = r"\b(?:developer|engineer|programmer|intern|trainee|graduate)\b"
@@ -85,13 +85,17 @@ def required_years(description: Column) -> Column:
 
 def seniority(t: Column, description: Column, cfg: Config = DEFAULT) -> Column:
     """struct(blocked, reasons, required_years, junior_title)."""
-    years = required_years(description)
-    junior, term = t.rlike(JUNIOR), first_term(t, cfg.blocked_title_terms)
-    reasons = F.array_compact(F.array(
-        F.when(term.isNotNull() & ~junior, F.concat(F.lit("Senior-level title ('"), term, F.lit("')"))),
-        F.when(years > cfg.max_required_years, F.concat(F.lit("Requires "), years.cast("string"), F.lit(f"+ years of experience (limit {cfg.max_required_years})"))),
-    ))
-    return F.struct((F.size(reasons) > 0).alias("blocked"), reasons.alias("reasons"), years.alias("required_years"), junior.alias("junior_title"))
+
+    def judged(seen: Column) -> Column:
+        years, junior, term = seen["years"], seen["junior"], seen["term"]
+        reasons = F.array_compact(F.array(
+            F.when(term.isNotNull() & ~junior, F.concat(F.lit("Senior-level title ('"), term, F.lit("')"))),
+            F.when(years > cfg.max_required_years, F.concat(F.lit("Requires "), years.cast("string"), F.lit(f"+ years of experience (limit {cfg.max_required_years})"))),
+        ))
+        return F.struct((F.size(reasons) > 0).alias("blocked"), reasons.alias("reasons"), years.alias("required_years"), junior.alias("junior_title"))
+
+    seen = F.struct(required_years(description).alias("years"), t.rlike(JUNIOR).alias("junior"), first_term(t, cfg.blocked_title_terms).alias("term"))
+    return let(seen, judged)
 
 
 def hint_blocks(hint: Column, t: Column) -> Column:
@@ -207,8 +211,12 @@ def legitimacy(cfg: Config = DEFAULT, *, text: Column, description: Column, sour
     named = lambda terms, code, severity, say, delta: F.transform(hits(text, terms), lambda t: F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.concat(F.lit(say), t, F.lit("'")).alias("message"), F.lit(delta).alias("delta")))
     red = F.concat(named(cfg.strong_red_flags, "payment_request", "high", "Scam indicator: mentions '", -40), named(cfg.weak_red_flags, "weak_red_flag", "medium", "Warning sign: mentions '", -12))
     kept = F.concat(F.array_compact(F.array(*flags[:5])), red, F.array_compact(F.array(*flags[5:])))
-    score = F.greatest(F.lit(0), F.least(F.lit(100), F.aggregate(kept, F.lit(60), lambda n, f: n + f["delta"])))
-    return F.struct(score.alias("score"), verdict_of(score, strong(kept)).alias("verdict"), kept.alias("flags"))
+
+    def total(f: Column) -> Column:
+        score = F.greatest(F.lit(0), F.least(F.lit(100), F.aggregate(f, F.lit(60), lambda n, x: n + x["delta"])))
+        return let(score, lambda n: F.struct(n.alias("score"), verdict_of(n, strong(f)).alias("verdict"), f.alias("flags")))
+
+    return let(kept, total)
 
 
 def strong(flags: Column) -> Column:
@@ -247,19 +255,21 @@ def domain_to_check(website: Column, apply_url: Column, source: Column, cfg: Con
     return F.when(~F.coalesce(source.isin(curated), F.lit(False)), F.coalesce(own(website), own(apply_url)))
 
 
-def queue_score(cfg: Config = DEFAULT, *, t: Column, d: Column, place: Column, mode: Column, source: Column, pay_min: Column, pay_max: Column, eligible: Column) -> Column:
-    """struct(score, reasons): who gets analysed first."""
-    text = F.concat_ws("\n", t, F.substring(d, 1, 6000))
+def queue_score(cfg: Config = DEFAULT, *, t: Column, d: Column, text: Column, place: Column, mode: Column, source: Column, pay_min: Column, pay_max: Column, eligible: Column) -> Column:
+    """struct(score, reasons): who gets analysed first. text: the folded title and start of the description."""
     tier = F.coalesce(*[F.when(has_any(t, terms), F.struct(F.lit(p).alias("points"), F.concat(F.lit("Title matches '"), first_term(t, terms), F.lit(f"' (+{p})")).alias("reason"))) for p, terms in cfg.title_tiers],
         F.struct(F.lit(-10).alias("points"), F.lit("Title has no direct role match (-10)").alias("reason")))
-    stack = hits(text, cfg.stack_terms)
-    stack_points = F.least(F.lit(15), 3 * F.size(stack))
     step = lambda when, points, reason: F.when(when, F.struct((F.lit(points) if isinstance(points, int) else points).alias("points"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason")))
+
+    def mentions(stack: Column) -> Column:
+        points = F.least(F.lit(15), 3 * F.size(stack))
+        return step(F.size(stack) > 0, points, F.concat(F.lit("Mentions "), F.array_join(F.slice(stack, 1, 5), ", "), F.lit(" (+"), points.cast("string"), F.lit(")")))
+
     by_status = {"eligible": 12, "likely_eligible": 6, "not_eligible": -30}
     parts = F.array_compact(F.array(
         tier,
         F.when(t.rlike(JUNIOR_QUEUE), F.struct(F.lit(15).alias("points"), F.lit("Junior / entry-level title (+15)").alias("reason"))).otherwise(step(t.rlike(SENIOR_QUEUE), -25, "Senior-sounding title (-25)")),
-        step(F.size(stack) > 0, stack_points, F.concat(F.lit("Mentions "), F.array_join(F.slice(stack, 1, 5), ", "), F.lit(" (+"), stack_points.cast("string"), F.lit(")"))),
+        let(hits(text, cfg.stack_terms), mentions),
         *[step(eligible == k, v, f"{cfg.home_label} eligibility '{k}' ({v:+d})") for k, v in by_status.items()],
         step(mode == "remote", 5, "Remote role (+5)"),
         step(has_any(place, cfg.home_places[:5]), 10, f"Located in {cfg.home_label} (+10)"),
@@ -267,8 +277,8 @@ def queue_score(cfg: Config = DEFAULT, *, t: Column, d: Column, place: Column, m
         step(source.isin(cfg.trusted_sources), 4, F.concat(F.lit("Structured source '"), source, F.lit("' (+4)"))),
         step(F.length(d) < cfg.min_description_chars, -8, "Very short description (-8)"),
     ))
-    score = F.greatest(F.lit(0), F.least(F.lit(100), F.aggregate(parts, F.lit(40), lambda n, p: n + p["points"])))
-    return F.struct(score.alias("score"), F.transform(parts, lambda p: p["reason"]).alias("reasons"))
+    score = lambda p: F.greatest(F.lit(0), F.least(F.lit(100), F.aggregate(p, F.lit(40), lambda n, x: n + x["points"])))
+    return let(parts, lambda p: F.struct(score(p).alias("score"), F.transform(p, lambda x: x["reason"]).alias("reasons")))
 
 
 def stage(cfg: Config = DEFAULT, *, stale: Column, relevant: Column, senior: Column, eligible: Column, legit: Column, prior_application: Column) -> Column:

@@ -19,7 +19,7 @@ def at(hour: str):
 def folded(postings: DataFrame) -> DataFrame:
     """Postings with folded texts as columns, once for all rules."""
     out = postings.withColumns({f"{n}_folded": text.fold(col(c)) for n, c in (("title", "title"), ("description", "description"), ("location", "location_text"), ("company", "company_name"))})
-    return out.withColumn("whole_folded", F.concat_ws("\n", "title_folded", "description_folded"))
+    return out.withColumns({"whole_folded": F.concat_ws("\n", "title_folded", "description_folded"), "start_folded": F.concat_ws("\n", "title_folded", F.substring("description_folded", 1, 6000))})
 
 
 def formed(postings: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -55,7 +55,7 @@ def ruled(postings: DataFrame, now_hour: int, cfg: Config = DEFAULT) -> DataFram
     legit = rules.legitimacy(
         cfg, text=col("whole_folded"), description=col("description"), source=source, source_url=F.lit(None).cast("string"), apply_url=col("apply_url"), apply_email=col("apply_email"),
         company=col("company_name"), website=col("company_website"), pay_min=col("pay_min"), pay_max=col("pay_max"), domain_age=F.lit(None).cast("int"))
-    queue = rules.queue_score(cfg, t=t, d=d, place=place, mode=col("remote_type"), source=source, pay_min=col("pay_min"), pay_max=col("pay_max"), eligible=col("eligible.status"))
+    queue = rules.queue_score(cfg, t=t, d=d, text=col("start_folded"), place=place, mode=col("remote_type"), source=source, pay_min=col("pay_min"), pay_max=col("pay_max"), eligible=col("eligible.status"))
     return out.withColumns({"senior": senior, "legit": legit, "queue": queue})
 
 
