@@ -2,8 +2,8 @@
 
 Every text is scanned for secrets, then unwrapped: percent-escapes, Unicode escapes, base64 tokens and
 compressed data inside them give new layers, which are scanned and unwrapped in turn until no new layer
-appears. A layer that was seen before is not taken again, which ends cycles. Each layer maps its
-characters back, so that a find is reported where it lies in the original text.
+appears. Each distinct layer is opened once, which ends cycles. Each layer maps its characters back to all
+places that it comes from, so that a find is reported wherever it lies in the original text.
 
 A layer that unpacks to more than LAYER_BYTES is not read further; its place is reported as `opaque`, so
 that nothing passes unseen. Positions are code points, ends exclusive.
@@ -21,6 +21,7 @@ import hashlib
 import lzma
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -78,33 +79,44 @@ class Origin:
 
     def __init__(self, runs: list[tuple[int, int, int, int, bool]]):
         self.runs = runs  # (start, end) in the layer, (start, end) in the text, copied character by character?
+        self.ends = [r[1] for r in runs]
+
+    def touched(self, start: int, end: int) -> Iterator[tuple[int, int, int, int, bool]]:
+        for i in range(bisect_right(self.ends, start), len(self.runs)):
+            if self.runs[i][0] >= end:
+                return
+            yield self.runs[i]
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         lo, hi = None, 0
-        for a, b, x, y, copied in self.runs:
-            if a < end and start < b:
-                lo = (x + max(start, a) - a if copied else x) if lo is None else lo
-                hi = x + min(end, b) - a if copied else y
+        for a, b, x, y, copied in self.touched(start, end):
+            lo = (x + max(start, a) - a if copied else x) if lo is None else lo
+            hi = x + min(end, b) - a if copied else y
         return lo or 0, hi
 
+    def through(self, outer: Origin) -> Origin:
+        """The origin in the text of a layer with this origin in a layer that has `outer`."""
+        runs: list[tuple[int, int, int, int, bool]] = []
+        for a, b, x, y, copied in self.runs:
+            if not copied:
+                runs.append((a, b, *outer.span(x, y), False))
+                continue
+            for c, d, u, v, same in outer.touched(x, y):  # split where the outer runs end
+                lo, hi = max(c, x), min(d, y)
+                runs.append((a + lo - x, a + hi - x, u + lo - c if same else u, u + hi - c if same else v, same))
+        return Origin(runs)
+
 
-def replaced(layer: str, origin: Origin, pattern: re.Pattern, decode) -> tuple[str, Origin] | None:
-    """The layer with each match decoded, None if nothing changes."""
+def replaced(layer: str, pattern: re.Pattern, decode) -> tuple[str, Origin] | None:
+    """The layer with each match decoded and its origin in the layer, None if nothing changes."""
     out, runs, at, size = [], [], 0, 0
 
     def add(piece: str, start: int, end: int, copied: bool) -> None:
         nonlocal size
-        if not piece:
-            return
-        if copied:  # split where the origin's runs end
-            for a, b, x, y, same in origin.runs:
-                lo, hi = max(a, start), min(b, end)
-                if lo < hi:
-                    runs.append((size + lo - start, size + hi - start, x + lo - a if same else x, x + hi - a if same else y, same))
-        else:
-            runs.append((size, size + len(piece), *origin.span(start, end), False))
-        out.append(piece)
-        size += len(piece)
+        if piece:
+            runs.append((size, size + len(piece), start, end, copied))
+            out.append(piece)
+            size += len(piece)
 
     changed = False
     for m in pattern.finditer(layer):
@@ -171,48 +183,76 @@ def unbase64(token: str) -> bytes | None:
         return None
 
 
+def digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def unpacked(data: bytes) -> tuple[str, str | None] | None:
+    """The names of the wrappings of data and the text in it, None for a text that is too large."""
+    name, packed = "base64-", set()
+    while (inner := readable(data)) is None:
+        key = digest(data)
+        try:
+            found = None if key in packed else inflate(data)
+        except MemoryError:
+            return name, None
+        if found is None:
+            return None
+        packed.add(key)
+        name, data = f"{name}{found[0]}-", found[1]
+    return name, inner
+
+
+def opened(layer: str) -> tuple[list[Span], list[tuple[str, str, Origin]]]:
+    """The spans that the layer shows, and the layers in it: name, text, origin in the layer."""
+    spans, inside = strict(layer) + further(layer), []
+    if "%" in layer and (new := replaced(layer, PERCENT, unpercent)):
+        inside.append(("url-", *new))
+    if "\\u" in layer and (new := replaced(layer, ESCAPE, unescape)):
+        inside.append(("unicode-", *new))
+    for m in BASE64.finditer(layer):
+        data = unbase64(m[0])
+        if data is None or (found := unpacked(data)) is None:
+            continue
+        name, inner = found
+        if inner is None:
+            spans.append((f"{name}opaque", *m.span()))
+        else:
+            inside.append((name, inner, Origin([(0, len(inner), *m.span(), False)])))
+    return spans, inside
+
+
 def hidden(text: str) -> list[Span]:
-    """Spans that only show in decoded layers, as kind `layer-...-kind`, plus the further kinds of the text."""
+    """Spans that only show in decoded layers, as kind `layer-...-kind`, plus the further kinds of the text.
+
+    Each distinct layer is opened once; its finds are reported at every place that it comes from."""
     out = dict.fromkeys(further(text))
     plain = {(a, b) for _, a, b in strict(text)} | {(a, b) for _, a, b in out}
-    work = [(text, Origin([(0, len(text), 0, len(text), True)]), "")]
-    seen = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
-
-    def push(layer: str, origin: Origin, chain: str) -> None:
-        key = hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        if key not in seen:
-            seen.add(key)
-            work.append((layer, origin, chain))
-
+    key = lambda layer: digest(layer.encode("utf-8", "surrogatepass"))
+    root = key(text)
+    layers: dict[bytes, tuple[list[Span], list[tuple[str, bytes, Origin]]]] = {}
+    unopened = {root: text}
+    while unopened:
+        at, layer = unopened.popitem()
+        spans, inside = opened(layer)
+        layers[at] = spans, [(name, key(inner), origin) for name, inner, origin in inside]
+        for (_, k, _), (_, inner, _) in zip(layers[at][1], inside):
+            if k not in layers:
+                unopened[k] = inner
+
+    work = [(root, Origin([(0, len(text), 0, len(text), True)]), "")]
+    seen: set[tuple] = set()  # layers with their places: a layer within itself has the same place again
     while work:
-        layer, origin, chain = work.pop()
-        if chain:
-            for kind, a, b in strict(layer) + further(layer):
-                place = origin.span(a, b)
-                if place not in plain:
-                    out[(f"{chain}{kind}", *place)] = None
-        if "%" in layer and (new := replaced(layer, origin, PERCENT, unpercent)):
-            push(*new, chain + "url-")
-        if "\\u" in layer and (new := replaced(layer, origin, ESCAPE, unescape)):
-            push(*new, chain + "unicode-")
-        for m in BASE64.finditer(layer):
-            data, name = unbase64(m[0]), chain + "base64-"
-            place = origin.span(*m.span())
-            packed: set[bytes] = set()
-            while data is not None:
-                if (inner := readable(data)) is not None:
-                    push(inner, Origin([(0, len(inner), *place, False)]), name)
-                    break
-                key = hashlib.blake2b(data, digest_size=16).digest()
-                try:
-                    found = None if key in packed else inflate(data)
-                except MemoryError:
-                    out[(f"{name}opaque", *place)] = None
-                    break
-                packed.add(key)
-                if found is None:
-                    break
-                name, data = f"{name}{found[0]}-", found[1]
+        at, origin, chain = work.pop()
+        if (at, *origin.runs) in seen:
+            continue
+        seen.add((at, *origin.runs))
+        spans, inside = layers[at]
+        for kind, a, b in spans:
+            place = origin.span(a, b)
+            if kind.endswith("-opaque") or (chain and place not in plain):
+                out[(f"{chain}{kind}", *place)] = None
+        work += [(k, inner.through(origin), chain + name) for name, k, inner in inside]
     return list(out)
 
 

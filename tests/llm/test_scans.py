@@ -149,6 +149,20 @@ def test_decoding_ends_on_cycles_and_bombs(monkeypatch):
     assert secret_scan.hidden(f"x {bomb}") == [("base64-opaque", 2, 2 + len(bomb))]
 
 
+@pytest.mark.parametrize("wrap", sorted(WRAPPERS))
+def test_repeated_layers_are_reported_at_each_place(wrap):
+    token = WRAPPERS[wrap]("password=Zx9kLmN0pQrStUv")
+    text = f"a {token} b {token}\n" * 3
+    assert len({s[1:] for s in secret_scan.hidden(text) if s[0].endswith("-assign")}) == 6
+
+
+def test_tokens_with_the_same_inner_text_are_reported_each():
+    plain, packed = (WRAPPERS[w]("password=Zx9kLmN0pQrStUv") for w in ("base64", "gzip"))
+    text = f"{plain} {packed} {WRAPPERS['base64'](plain)} {plain}"
+    starts = [0, len(plain) + 1, len(plain) + len(packed) + 2, len(text) - len(plain)]
+    assert sorted(a for k, a, _ in secret_scan.hidden(text) if k.endswith("-assign")) == starts
+
+
 def test_secret_empty(spark):
     assert secret_scan.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
