@@ -57,8 +57,8 @@ SELECT doc_id, array_to_string(rest, chr(10)) AS text, CAST(len(lines) AS BIGINT
 """
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.weigh(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "source", "lang", F.element_at(F.split("cell", "\x1f"), 3).alias("topic"), "n_tokens", "factor", "probability", "sampled")
+    rows = mixing.weigh(table(spark, sf_dir, "documents"), budget=mixing.BUDGET)
+    return rows.select("doc_id", "source", "lang", F.element_at(F.split("cell", "\x1f"), 3).alias("topic"), "n_tokens", "factor", "probability", "weight", "sampled")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,6 +110,25 @@ def test_mixing_query(spark):
     assert mixing.sample(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("budget", [0.5, 1.0])
+def test_a_rare_cell_does_not_set_the_sample(spark, budget):
+    rows = [(i, "w " * 20, "en" if i % 2 else "fr", "src0" if i % 5 == 0 else "b") for i in range(8000)] + [(9000, "a | b", "de", "src0"), (9001, "w ### w", "es", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.sample(df, budget=budget).collect()
+    total = sum(len(t.split()) for _, t, _, _ in rows)
+    assert sum(r.n_tokens for r in got) > 0.4 * budget * total and {9000, 9001} <= {r.doc_id for r in got}
+    cells = {}
+    for _, t, lang, source in rows:
+        c = (source if source == "src0" else "*", lang, "table" if " | " in t else "symbols" if "###" in t else "prose")
+        cells[c] = cells.get(c, 0) + len(t.split())
+    want, have = mixing.rake(cells, list(mixing.TARGETS.values())), {}
+    for r in got:
+        c = (r.source if r.source == "src0" else "*", r.lang, "table" if " | " in r.text else "symbols" if "###" in r.text else "prose")
+        have[c] = have.get(c, 0) + r.n_tokens * r.weight
+    for c, n in cells.items():
+        assert abs(have.get(c, 0) - budget * want[c] * n) < 0.06 * budget * total
+
+
 WORDS = {
     "en": "the of and to in is that with for was".split(),
     "fr": "le la les des une dans pour qui est avec".split(),
