@@ -1,18 +1,22 @@
 """Language identification by Bayesian evidence fusion.
 
 For each row and language the log-probabilities of four kinds of evidence are added:
-- the text, by character n-grams of the letters (1 to 3), under models fitted on a sample of rows with a
-  declared language. The sample has MODEL_ROWS rows in expectation, whatever the table's size; each text is
-  taken whole. The mean of the n-grams counts as EFFECTIVE n-grams at most, so that long texts don't drown
-  the rest. A uniform model stands for languages that no sample shows (`und`);
-- the declared language (markup or metadata), right with probability RELIABILITY;
+- the text, by character n-grams of the letters (1 to 3), under models fitted on a sample of the distinct
+  texts with a declared language. Which languages there are is counted over all rows: those with LEAST_ROWS
+  distinct texts (about), or LEAST_SHARE of all. The sample has MODEL_ROWS texts in expectation, whatever the
+  table's size, and LANGUAGE_ROWS of each language or all that it has; each text is taken whole and once.
+  The mean of the n-grams counts as EFFECTIVE n-grams at most, so that long texts don't drown the rest. A
+  uniform model stands for all other languages (`und`);
+- the declared language (markup or metadata), right with probability RELIABILITY. Where it has no model, it
+  names the uniform one;
 - the address suffix and the host, as a prior: the share of a language among the rows of the host, smoothed
   towards its domain's share, that towards its suffix's share, and that towards the share of all rows. The
   shares count the languages that the texts alone suggest, in grouped aggregations over all rows.
 
 One pass scores the texts and writes a table without them; counts, priors and the decision come from that.
 The prior tables are joined by host from a written table, so that adaptive execution can split a hot host.
-The models are buckets x languages, sent to every task: at most MOST_LANGUAGES languages.
+The models are buckets x languages, sent to every task (128 KB a language): at most MOST_LANGUAGES, those
+with most texts; of the others the declared language is the only evidence.
 
 Null texts count as empty. A text without letters is `und` with probability 1 and is rejected. Null hosts
 and addresses are one host without a suffix. Repeated rows are each judged. Empty tables give empty results.
@@ -33,7 +37,9 @@ from gleanery.llm.common import cut, small_batches, without
 
 BUCKETS = 1 << 15
 MODEL_ROWS = 10_000
-MOST_LANGUAGES = 100
+LANGUAGE_ROWS = 500
+MOST_LANGUAGES = 400
+LEAST_ROWS = 10
 LEAST_SHARE = 0.005
 EFFECTIVE = 100
 RELIABILITY = 0.9
@@ -99,30 +105,46 @@ class Models:
         return (total / len(found) * min(len(found), EFFECTIVE)).tolist()
 
 
-def fit(rows: DataFrame, model_rows: int = MODEL_ROWS) -> Models:
-    """Models from rows (text, declared): a hashed sample of model_rows rows in expectation."""
-    small_batches(rows.sparkSession)
-    rows = rows.where("declared <> '' and text <> ''")
-    n = rows.count()
-    sample = rows if n <= model_rows else rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < math.ceil(1e6 * model_rows / n))
+def fit(rows: DataFrame, model_rows: int = MODEL_ROWS, language_rows: int = LANGUAGE_ROWS) -> Models:
+    """Models from rows (text, declared): a hashed sample of model_rows distinct texts in expectation, with
+    language_rows of each language where it has them."""
+    spark = rows.sparkSession
+    small_batches(spark)
+    rows = rows.where(f"declared <> '' and declared <> '{UNKNOWN}' and text <> ''").select("declared", "text", F.xxhash64("text").alias("key"))
+    # one row for each code of two or three letters
+    texts = {r.declared: r.n for r in rows.groupBy("declared").agg(F.approx_count_distinct("key").alias("n")).collect()}
+    total = sum(texts.values())
+    keep = [x for x, n in texts.items() if n >= LEAST_ROWS or n >= LEAST_SHARE * total]
+    keep = sorted(keep, key=lambda x: (-texts[x], x))[:MOST_LANGUAGES]
+    share = lambda n: 1 if n <= language_rows or total <= model_rows else max(model_rows / total, language_rows / n)
+    parts = spark.createDataFrame([(x, min(1_000_000, math.ceil(1e6 * share(texts[x])))) for x in keep], "declared string, part long")
+    sample = rows.join(F.broadcast(parts), "declared").where(F.pmod("key", F.lit(1_000_000)) < F.col("part"))
+    # each text once: copies are met before they move. Then dealt out, for the few texts would be one task
+    sample = sample.groupBy("declared", "key").agg(F.first("text").alias("text")).repartition(spark.sparkContext.defaultParallelism)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, np.ndarray] = {}
+
+        def told() -> Iterator[pd.DataFrame]:
+            for language, c in counts.items():
+                at = np.flatnonzero(c)
+                yield pd.DataFrame({"declared": language, "bucket": at, "n": c[at]})
+            counts.clear()
+
         for batch in batches:
             for language, text in zip(batch["declared"], batch["text"]):
-                counts.setdefault(language, np.zeros(BUCKETS, np.int64))
+                if language not in counts:
+                    if len(counts) == 100:
+                        yield from told()
+                    counts[language] = np.zeros(BUCKETS, np.int64)
                 counts[language] += np.bincount(grams(text), minlength=BUCKETS)
-        for language, c in counts.items():
-            at = np.flatnonzero(c)
-            yield pd.DataFrame({"declared": language, "bucket": at, "n": c[at]})
+        yield from told()
 
     parts = sample.select("declared", "text").mapInPandas(counted, "declared string, bucket int, n long")
     parts = cut(parts.groupBy("declared", "bucket").agg(F.sum("n").alias("n")), "models")
-    sizes = {r.declared: r.n for r in parts.groupBy("declared").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "declared").limit(MOST_LANGUAGES).collect()}
-    keep = [x for x, n in sizes.items() if n >= LEAST_SHARE * sum(sizes.values())]
-    counts = {x: np.zeros(BUCKETS, np.int64) for x in keep}
-    for r in parts.where(F.col("declared").isin(keep)).toLocalIterator():  # languages x buckets rows at most
-        counts[r.declared][r.bucket] = r.n
+    counts: dict[str, np.ndarray] = {}
+    for row in parts.toLocalIterator():  # languages x buckets rows at most
+        counts.setdefault(row.declared, np.zeros(BUCKETS, np.int64))[row.bucket] = row.n
     return Models(counts)
 
 
@@ -160,8 +182,10 @@ def priors(rows: DataFrame, count: int, smoothing: float = SMOOTHING) -> DataFra
     above = F.array(*[F.lit((c + 1.0) / (n + count)) for c in totals])
 
     def share(parent: Column, own: list[Column]) -> Column:
-        total = sum(own, F.lit(0))
-        return F.array(*[(c + smoothing * F.get(parent, F.lit(i))) / (total + smoothing) for i, c in enumerate(own)])
+        counts = F.array(*own)
+        total = F.array(F.aggregate(counts, F.lit(0).cast("long"), lambda a, c: a + c))
+        # the total is bound once: written out in each share it would make an expression of count^2 parts
+        return F.get(F.transform(total, lambda t: F.transform(counts, lambda c, i: (c + smoothing * F.get(parent, i)) / (t + smoothing))), F.lit(0))
 
     level = suffixes.select("suffix", share(above, [F.col(c) for c in names]).alias("up"))
     level = domains.join(level, "suffix").select("domain", "suffix", share(F.col("up"), [F.col(c) for c in names]).alias("up"))
@@ -179,15 +203,19 @@ def fuse(rows: DataFrame, models: Models, reliability: float = RELIABILITY) -> D
     flat = math.log(1 / max(1, n))
     prior = F.concat(F.coalesce("prior", F.array_repeat(F.lit(flat), n)), F.array(F.lit(math.log(UNKNOWN_PRIOR))))
     wrong = (1 - reliability) / max(1, n - 1)
-    says = F.array(*[F.when(F.col("declared") == x, math.log(reliability)).otherwise(math.log(wrong)) for x in known], F.lit(math.log(wrong)))
-    says = F.when(F.col("declared").isin(known), says).otherwise(F.array_repeat(F.lit(0.0), n + 1)) if n else F.array(F.lit(0.0))
+    silent = F.col("declared").isin("", UNKNOWN)
+    modelled = F.col("declared").isin(known) if n else F.lit(False)
+    meant = F.when(modelled, F.col("declared")).otherwise(UNKNOWN)
+    says = F.transform(languages, lambda x: F.when(x == meant, math.log(reliability)).otherwise(math.log(wrong)))
+    says = F.when(silent, F.array_repeat(F.lit(0.0), n + 1)).otherwise(says)
     log_odds = F.zip_with(F.zip_with("likely", prior, lambda a, b: a + b), says, lambda a, b: a + b)
     out = joined.withColumn("log_odds", log_odds)
     scale = F.aggregate("log_odds", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.array_max("log_odds")))
     none = F.col("likely").isNull()
+    best = argmax(F.col("log_odds"))
     return out.select(
         *rows.columns,
-        F.when(none, UNKNOWN).otherwise(F.get(languages, argmax(F.col("log_odds")))).alias("language"),
+        F.when(none, UNKNOWN).when((best == n) & ~silent & ~modelled, F.col("declared")).otherwise(F.get(languages, best)).alias("language"),
         F.when(none, 1.0).otherwise(1 / scale).alias("probability"),
         F.when(none, UNKNOWN).otherwise(F.get(languages, argmax(F.col("likely")))).alias("text_language"),
     ).drop("likely")

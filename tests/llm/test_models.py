@@ -177,6 +177,38 @@ def test_language_stage(spark, spoken):
 
 
 
+def test_rare_languages_have_models_and_a_hot_text_counts_once(spark):
+    rng = random.Random(8)
+    words = {x: ["".join(rng.choices(letters, k=rng.randrange(2, 6))) for _ in range(30)] for x, letters in (("aa", "abcdefg"), ("bb", "hijklmn"), ("cc", "opqrstu"))}
+    text = lambda x: " ".join(rng.choices(words[x], k=20))
+    rows = [(i, text("bb") if i % 3 else "hot " + "abc " * 30, "bb" if i % 3 else "aa", "h") for i in range(4000)] + [(4000 + i, text("aa"), "aa", "h") for i in range(1000)]
+    rows += [(9000 + i, text("cc"), "cc", "h") for i in range(15)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, declared string, host string")
+    models = language_id.fit(df, model_rows=300, language_rows=40)
+    assert models.languages == ["aa", "bb", "cc", "und"]
+    got = {r.doc_id: r for r in language_id.identify(df, models).collect()}
+    assert all(got[9000 + i].language == "cc" for i in range(15))
+    letter = lambda x, c: models.table[language_id.grams(c)[0], models.languages.index(x)]
+    assert letter("aa", "g") - letter("aa", "a") > -2  # the hot text has no g: were it counted each time, a would be far ahead
+
+
+def test_a_declared_language_without_model_is_told(spark):
+    rows = [(i, " ".join(WORDS[x] * 3) + f" {i}", x, "h") for i, x in enumerate(["en", "de"] * 300)]
+    rows += [(900, "ни одного знакомого слова в этом тексте нет совсем", "ru-RU", "h"), (901, " ".join(WORDS["en"]), "ru", "h"), (902, "ни одного знакомого слова", "und", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, declared string, host string")
+    got = {r.doc_id: r for r in language_id.identify(df).collect()}
+    assert [got[i].language for i in (900, 901, 902)] == ["ru", "en", "und"]
+    assert got[900].probability > 0.9
+
+
+def test_more_than_a_hundred_languages(spark):
+    codes = [f"{a}{b}" for a in "abcdefghijk" for b in "klmnopqrst"]
+    rows = [(i, f"{x}{x} {x}zz q{x} " * 5 + str(i), x, f"h{x}") for i, x in enumerate(codes * 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, declared string, host string")
+    got = language_id.identify(df).collect()
+    assert sum(r.language == r.text_language == r.declared for r in got) > 0.98 * len(rows)
+
+
 def test_markup_evidence(spark):
     html = ['<!doctype html><HTML class="x" lang="fr-CA"><style>p{}</style><p>Bonjour<br>le&amp;<script>var t="</p>";</script><!-- no --> monde', None, "plain", "<html><body lang='de'>x", "<" * 20_000]
     df = spark.createDataFrame([(i, h) for i, h in enumerate(html)], "i int, html string")
