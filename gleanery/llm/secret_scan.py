@@ -2,7 +2,8 @@
 
 Every text is scanned for secrets, then unwrapped: percent-escapes, Unicode escapes, base64 tokens and
 compressed data inside them give new layers, which are scanned and unwrapped in turn until no new layer
-appears. Each distinct layer is opened once, which ends cycles. Each layer maps its characters back to all
+appears. Base64 may be wrapped over lines, and stand behind or before other characters of its alphabet.
+Each distinct layer is opened once, which ends cycles. Each layer maps its characters back to all
 places that it comes from, so that a find is reported wherever it lies in the original text.
 
 A layer that unpacks to more than LAYER_BYTES is not read further; its place is reported as `opaque`, so
@@ -47,7 +48,12 @@ MORE = {
 }
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A run of base64 characters that may go on over line breaks, its lines, and what can be read in noise.
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+LEAST_LINE = 16
+STRING = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){16,}")
+PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|\x78[\x01\x5e\x9c\xda]")
 
 Span = tuple[str, int, int]
 
@@ -147,22 +153,34 @@ def unescape(s: str) -> str | None:
         return None
 
 
-def inflate(data: bytes) -> tuple[str, bytes] | None:
-    """The name of the compression and the data, None if it is none. Data over LAYER_BYTES raises MemoryError."""
-    for name, magic, make in (
-        ("zip", (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda"), lambda: zlib.decompressobj(47)),
-        ("bz2", (b"BZh",), bz2.BZ2Decompressor),
-        ("xz", (b"\xfd7zXZ",), lzma.LZMADecompressor),
-    ):
-        if data.startswith(magic):
-            try:
-                out = make().decompress(data, LAYER_BYTES + 1)
-            except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-                return None
-            if len(out) > LAYER_BYTES:
-                raise MemoryError
-            return name, out
-    return None
+FORMATS = (
+    ("zip", (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda"), lambda: zlib.decompressobj(47)),
+    ("bz2", (b"BZh",), bz2.BZ2Decompressor),
+    ("xz", (b"\xfd7zXZ",), lzma.LZMADecompressor),
+)
+
+
+def inflate(data: bytes | memoryview) -> tuple[str, bytes, int] | None:
+    """The name of the compression, the data of all members and where they end (0 if not known), None if it is
+    none. Data over LAYER_BYTES raises MemoryError."""
+    first, parts, size, whole, end = "", [], 0, len(data), 0
+    while data:
+        name, make = next(((n, make) for n, magic, make in FORMATS if bytes(data[:6]).startswith(magic)), ("", None))
+        if make is None:
+            break
+        member = make()
+        try:
+            parts.append(member.decompress(data, LAYER_BYTES + 1 - size))
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+            break
+        first, size = first or name, size + len(parts[-1])
+        if size > LAYER_BYTES:
+            raise MemoryError
+        if not member.eof:
+            break
+        end = whole - len(member.unused_data)
+        data = member.unused_data.lstrip(b"\0")  # members may be padded
+    return (first, b"".join(parts), end) if first else None
 
 
 def readable(data: bytes) -> str | None:
@@ -187,9 +205,9 @@ def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def unpacked(data: bytes) -> tuple[str, str | None] | None:
+def unpacked(data: bytes, name: str = "base64-") -> tuple[str, str | None] | None:
     """The names of the wrappings of data and the text in it, None for a text that is too large."""
-    name, packed = "base64-", set()
+    packed = set()
     while (inner := readable(data)) is None:
         key = digest(data)
         try:
@@ -203,6 +221,79 @@ def unpacked(data: bytes) -> tuple[str, str | None] | None:
     return name, inner
 
 
+def single(size: int, start: int, end: int) -> Origin:
+    return Origin([(0, max(1, size), start, end, False)])
+
+
+def tokens(layer: str, m: re.Match) -> Iterator[tuple[str, str | None, Origin]]:
+    """What a run of base64 decodes to: name, text (None for one that is too large), origin in the layer.
+
+    The run is taken whole, its lines joined. If that gives nothing, its lines are taken each, and all four
+    alignments are searched for texts and compressed data, so that words around a token don't hide it."""
+    lines = [x.span() for x in LINE.finditer(layer, *m.span())]
+    joined = "".join(layer[a:b] for a, b in lines).rstrip("=")
+    data = unbase64(joined)
+    if data is not None and (found := unpacked(data)) is not None:
+        name, inner = found
+        if len(lines) == 1 or inner is None or name != "base64-":
+            yield name, inner, single(len(inner or ""), *m.span())
+        else:
+            yield name, inner, placed(lines, data, 0, 0, len(data), m.end())
+        return
+    whole = []  # lines that are read already
+    for a, b in lines if len(lines) > 1 else []:
+        line = unbase64(layer[a:b]) if b - a >= LEAST_LINE else None
+        if line is not None and (found := unpacked(line)) is not None:
+            whole.append((a, b))
+            yield found[0], found[1], single(len(found[1] or ""), a, b)
+    for k in range(4):
+        data = unbase64(joined[k : len(joined) - ((len(joined) - k) % 4 == 1)])
+        if not data:
+            continue
+        for x in STRING.finditer(data):
+            origin = placed(lines, data, k, *x.span())
+            text = x[0].decode("utf-8", "ignore")
+            place = origin.span(0, len(text))
+            if not any(a <= place[0] and place[1] <= b for a, b in whole):
+                yield "base64-", text, origin
+        done = 0
+        for x in PACKED.finditer(data):
+            if x.start() < done:
+                continue
+            end = len(data)
+            try:
+                got = inflate(memoryview(data)[x.start() :])
+            except MemoryError:
+                yield "base64-", None, single(0, *placed(lines, data, k, x.start(), end).span(0, end))
+                break
+            if got is None:
+                continue
+            if got[2]:
+                done = end = x.start() + got[2]
+            place = placed(lines, data, k, x.start(), end).span(0, len(data))
+            found = unpacked(got[1], f"base64-{got[0]}-")
+            if found is not None and not any(a <= place[0] and place[1] <= b for a, b in whole):
+                yield found[0], found[1], single(len(found[1] or ""), *place)
+
+
+def placed(lines: list[tuple[int, int]], data: bytes, k: int, start: int, end: int, to: int | None = None) -> Origin:
+    """The origin of the text of data[start:end], decoded from the k-th character of the joined lines on: a run
+    for each line. `to` is where the last line ends if its padding counts."""
+    runs, before, at, size = [], 0, start, 0
+    for a, b in lines:
+        after = before + b - a
+        stop = min(end, max(at, -(-(after - k) * 3 // 4)))  # bytes whose first character is before `after`
+        if at < stop:
+            text = data[at:stop].decode("utf-8", "ignore")
+            lo, hi = k + at * 8 // 6, k + (stop * 8 - 1) // 6 + 1
+            first = a + lo - before
+            last = a + hi - before if hi <= after else next((c + hi - after for c, _ in lines if c >= b), b)
+            runs.append((size, size + max(1, len(text)), first, to if to is not None and stop == end else last, False))
+            size, at = size + len(text), stop
+        before = after
+    return Origin(runs)
+
+
 def opened(layer: str) -> tuple[list[Span], list[tuple[str, str, Origin]]]:
     """The spans that the layer shows, and the layers in it: name, text, origin in the layer."""
     spans, inside = strict(layer) + further(layer), []
@@ -211,14 +302,11 @@ def opened(layer: str) -> tuple[list[Span], list[tuple[str, str, Origin]]]:
     if "\\u" in layer and (new := replaced(layer, ESCAPE, unescape)):
         inside.append(("unicode-", *new))
     for m in BASE64.finditer(layer):
-        data = unbase64(m[0])
-        if data is None or (found := unpacked(data)) is None:
-            continue
-        name, inner = found
-        if inner is None:
-            spans.append((f"{name}opaque", *m.span()))
-        else:
-            inside.append((name, inner, Origin([(0, len(inner), *m.span(), False)])))
+        for name, inner, origin in tokens(layer, m):
+            if inner is None:
+                spans.append((f"{name}opaque", *origin.span(0, 1)))
+            else:
+                inside.append((name, inner, origin))
     return spans, inside
 
 

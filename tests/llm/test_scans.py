@@ -1,6 +1,8 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import zlib
@@ -163,6 +165,40 @@ def test_tokens_with_the_same_inner_text_are_reported_each():
     assert sorted(a for k, a, _ in secret_scan.hidden(text) if k.endswith("-assign")) == starts
 
 
+SECRET = "password=Zx9kLmN0pQrStUv"
+
+
+@pytest.mark.parametrize("around", [45, 46, 200])
+@pytest.mark.parametrize("pack", [lambda b: b, gzip.compress, zlib.compress])
+def test_base64_over_lines(around, pack):
+    body = base64.encodebytes(pack(("k" * around + f" {SECRET} tail").encode())).decode()
+    for text in (f"see\n{body}\nend", f"{body.rstrip().rstrip('=')}\nword and more", body.replace("\n", "\r\n")):
+        assert any(k.endswith("-assign") for k, _, _ in secret_scan.hidden(text)), text
+
+
+def test_base64_over_lines_maps_to_the_lines():
+    body = base64.encodebytes(("k" * 60 + f" {SECRET} tail").encode()).decode().rstrip()
+    lines = body.split("\n")
+    assert len(lines) == 2 and ("base64-assign", len(lines[0]) + 3, len(body) + 2) in secret_scan.hidden(f"a\n{body}\nb c")
+    split = base64.encodebytes(("k" * 45 + f" {SECRET} tail").encode()).decode().rstrip()
+    assert ("base64-assign", 2, len(split) + 2) in secret_scan.hidden(f"a\n{split}\nb c")
+
+
+@pytest.mark.parametrize("wrap", ["base64", "gzip", "zlib"])
+@pytest.mark.parametrize("before", ["https://h.example/path/x/", "a-b_c/", "x/", "/", "long-name-of-a-thing_"])
+def test_base64_behind_other_characters(wrap, before):
+    token = WRAPPERS[wrap](SECRET)
+    for text in (before + token, before + token.rstrip("=") + "/x/y", f"{before}{token.rstrip('=')}Q"):
+        found = [s for s in secret_scan.hidden(text) if s[0].endswith("-assign")]
+        assert found and all(len(before) <= b and a <= len(before) + len(token) for _, a, b in found), text
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_all_members_are_read(pack):
+    token = base64.b64encode(pack(b"first ") + pack(b"second ") + pack(SECRET.encode())).decode()
+    assert any(k.endswith("-assign") for k, _, _ in secret_scan.hidden(f"x {token} y"))
+
+
 def test_secret_empty(spark):
     assert secret_scan.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
