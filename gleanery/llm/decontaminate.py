@@ -9,7 +9,8 @@ n-grams.
 Seeds mark passages of the documents: seed places and as many words around them as the longest item has.
 Passages meet items in a join on the seed, and each pair is aligned word by word. The score is the best
 local alignment (match 1, mismatch and gap -1) over the item's words: 1 for a verbatim copy, less for each
-word edited, 0.5 for half of an item. Pairs from MIN_SCORE are contaminated.
+word edited, 0.5 for half of an item. Pairs from MIN_SCORE are contaminated. So are pairs whose alignment
+has LOCAL_WORDS net matches, however long the item is, if the words in it are improbable together (LOCAL_BITS).
 
 The items of a block (BLOCK_WORDS words at most) go to every task: their words, seeds and texts are
 bounded by that parameter. A larger benchmark is taken in several blocks, each against all documents.
@@ -38,6 +39,8 @@ NGRAM = 3
 SEED_BITS = 24.0
 LEAST_SEEDS = 8
 MIN_SCORE = 0.5
+LOCAL_WORDS = 20
+LOCAL_BITS = 80.0
 #: Words of a block of items; three word numbers below this fit a 64-bit seed.
 BLOCK_WORDS = 1_000_000
 WORD = re.compile(r"[^\W_]+")
@@ -107,12 +110,13 @@ def seeds_of(words: list[str], bits: dict[str, float], ngram: int) -> set[tuple[
     return {g for i, g in enumerate(ranked) if i < LEAST_SEEDS or sum(bits[w] for w in g) >= SEED_BITS}
 
 
-def block_matches(docs: DataFrame, items: list[tuple[int, list[str]]], min_score: float) -> DataFrame:
+def block_matches(docs: DataFrame, items: list[tuple[int, list[str]]], min_score: float, local_words: int = LOCAL_WORDS) -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word) of the pairs of one block of items."""
     spark = docs.sparkSession
     vocabulary = {w: i for i, w in enumerate(sorted({w for _, words in items for w in words}))}
     counts, total = corpus_counts(docs, set(vocabulary))
     bits = {w: math.log2((total + 1) / (counts.get(w, 0) + 0.5)) for w in vocabulary}
+    weights = np.array([0.0, *(bits[w] for w in vocabulary)])  # by word number; 0 is no word of an item
     base = len(vocabulary) + 1
 
     def code(gram: tuple[str, ...]) -> int:
@@ -173,15 +177,18 @@ def block_matches(docs: DataFrame, items: list[tuple[int, list[str]]], min_score
         for batch in batches:
             out = []
             for doc_id, item_id, at, words, item in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item_id", "at", "words", "item"))):
-                score, first, last = align(np.asarray(item), np.asarray(words))
-                if score >= min_score * len(item):
+                item, words = np.asarray(item), np.asarray(words)
+                score, first, last = align(item, words)
+                shared = words[first : last + 1]
+                local = score >= local_words and weights[shared[np.isin(shared, item)]].sum() >= LOCAL_BITS
+                if local or score >= min_score * len(item):
                     out.append((doc_id, item_id, score / len(item), at + first, at + last))
             yield arrow(out, scores)
 
     return met.select("doc_id", "item_id", "at", "words", "item").mapInArrow(aligned, OUT)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, block_words: int = BLOCK_WORDS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, block_words: int = BLOCK_WORDS, local_words: int = LOCAL_WORDS) -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word): the best alignment of each contaminated pair."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -194,7 +201,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE,
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toLocalIterator()
         held = [(r.item_id, words) for r in part if (words := words_of(r.text))]
         if held:
-            found = block_matches(docs, held, min_score)
+            found = block_matches(docs, held, min_score, local_words)
             out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], OUT)

@@ -68,6 +68,19 @@ def test_decontamination_matches_brute_force(spark, leaky, block_words):
     assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in got}
 
 
+def test_a_part_of_a_long_item_is_a_leak(spark):
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(3000)}"
+    item = [word() for _ in range(120)]
+    filler = lambda n: " ".join(word() for _ in range(n))
+    docs = [(1, f"{filler(50)} {' '.join(item[60:85])} {filler(50)}"), (2, f"{filler(50)} {' '.join(item[60:72])} {filler(50)}")] + [(10 + i, filler(100)) for i in range(50)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = decontaminate.matches(df, bench).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(1, 7)] and got[0].score >= 25 / 120
+    assert 1 not in {r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()}
+
+
 def test_decontamination_of_nothing(spark):
     docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")
