@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,39 +33,58 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a temporary one."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one, for a local master only:
+    the executors of a cluster don't see each other's disks."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="gleanery-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
+def cut(df: DataFrame, name: str = "step", by: str | None = None) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: later work neither repeats what
-    made it nor depends on the executors that made it. One folder for each application holds them all."""
+    made it nor depends on the executors that made it. One folder for each application holds them all.
+    With `by` each value of that column has files of its own, so that a filter on it reads no others."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/gleanery-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Caps the rows that Spark sends to Python at a time, for this session from now on: rows that hold whole
+def row_keys(*columns: Column) -> list[Column]:
+    """Two numbers that stand for a row's doc_id and the given columns: rows that differ in these differ in the
+    keys (but for a chance of 2^-64 among rows of one doc_id). Nulls have keys of their own."""
+    flags = [c.isNull() for c in (F.col("doc_id"), *columns)]
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.xxhash64(*flags, *columns)]
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Caps the rows that Spark sends to Python at a time, for what is planned within: rows that hold whole
     texts make batches of tens of MB otherwise, which JVM and Python hold several times over."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
-def without(df: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df without the rows whose key is in ids (a table that is cheap to read again, one integer column).
+def without(df: DataFrame, rows: DataFrame, keys: list[Column], limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df without the rows whose keys are in rows (a table that is cheap to read again, as many integers).
 
-    The ids are counted first: up to `limit` bytes of them are broadcast, so that df stays where it is;
+    They are counted first: up to `limit` bytes of them are broadcast, so that df stays where it is;
     more are joined by a shuffle of both sides."""
-    ids = ids.select(key)
-    small = ids.count() * 16 <= limit
-    return df.join(F.broadcast(ids) if small else ids.hint("merge"), key, "left_anti").select(*df.columns)
+    small = rows.count() * 32 <= limit
+    named = [fresh(df, f"_key{i}") for i in range(len(keys))]
+    rows = rows.toDF(*named)
+    marked = df.withColumns({f"{n}_": k for n, k in zip(named, keys)})
+    same = reduce(and_, [marked[f"{n}_"] == rows[n] for n in named])
+    return marked.join(F.broadcast(rows) if small else rows.hint("merge"), same, "left_anti").select(*df.columns)
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -1,23 +1,25 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters and digits in lower case. The words of the test items are counted over the whole
-corpus; an n-gram is a rare seed if the words' frequencies make it improbable (SEED_BITS bits or more, by
-the product of its words' shares of the corpus). This is rarity by chance, so a passage that leaked into a
-third of the corpus stays findable. An item with fewer than LEAST_SEEDS seeds takes its most improbable
-n-grams.
-
-Seeds mark passages of the documents: seed places and as many words around them as the longest item has.
-Passages meet items in a join on the seed, and each pair is aligned word by word. The score is the best
+Words are runs of letters and digits in lower case. The words of all test items are counted over the whole
+corpus in one pass (one for each VOCABULARY distinct words). An n-gram is a rare seed if the words'
+frequencies make it improbable: by the product of its words' shares of the corpus it has SEED_BITS bits, or as
+many as make it occur once by chance in a smaller corpus. This is rarity by chance, so a passage that leaked
+into a third of the corpus stays findable. Each place of an item takes its 3-gram, or where that is made of
+common words its 5-gram or 8-gram, and an item without any seed its most improbable 8-gram (or all of it).
+
+Seeds mark passages of the documents: the places of a seed, and as many words around them as the longest item
+with this seed has. Passages meet items by seed, and each pair is aligned word by word. The score is the best
 local alignment (match 1, mismatch and gap -1) over the item's words: 1 for a verbatim copy, less for each
 word edited, 0.5 for half of an item. Pairs from MIN_SCORE are contaminated. So are pairs whose alignment
 has LOCAL_WORDS net matches, however long the item is, if the words in it are improbable together (LOCAL_BITS).
 
-The items of a block (BLOCK_WORDS words at most) go to every task: their words, seeds and texts are
-bounded by that parameter. A larger benchmark is taken in several blocks, each against all documents.
+The items of a block (BLOCK_WORDS words at most) go to every task: their word numbers, seeds and texts are
+bounded by that parameter. A larger benchmark takes one more pass for each further block.
 No document text is shuffled, only passages with seeds.
 
 Null texts count as empty; items without words match nothing. Repeated rows are reported once for each
 doc_id and item. Empty tables give an empty result. Columns other than the id and text don't matter.
+`drop_contaminated` drops rows, not ids: a clean row stays beside a leak with its doc_id.
 """
 
 from __future__ import annotations
@@ -30,27 +32,39 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import cut, small_batches, without
+from gleanery.llm.common import cut, row_keys, small_batches, without
 
-NGRAM = 3
+NGRAMS = (3, 5, 8)
 SEED_BITS = 24.0
-LEAST_SEEDS = 8
 MIN_SCORE = 0.5
 LOCAL_WORDS = 20
 LOCAL_BITS = 80.0
-#: Words of a block of items; three word numbers below this fit a 64-bit seed.
-BLOCK_WORDS = 1_000_000
+#: Words of a block of items, and distinct words counted in one pass (8 bytes each in every task).
+BLOCK_WORDS = 4_000_000
+VOCABULARY = 8_000_000
+#: Distinct words that a task holds as text.
+HELD_WORDS = 500_000
 WORD = re.compile(r"[^\W_]+")
-OUT = "doc_id long, item_id long, score double, first_word long, last_word long"
+ODD = np.uint64(0x9E3779B97F4A7C15)
+OUT = "doc_id long, key long, item_id long, score double, first_word long, last_word long"
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def number_of(word: str) -> int:
+    return xxhash.xxh64_intdigest(word) - (1 << 63)
+
+
+def numbers_of(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(number_of, words), np.int64, len(words))
+
+
 def arrow(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
     columns = list(zip(*rows)) or [()] * len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], list(kinds))
@@ -82,133 +96,221 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def corpus_counts(docs: DataFrame, wanted: set[str]) -> tuple[dict[str, int], int]:
-    """How often the wanted words occur in docs, and how many words docs have."""
+def places(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Where the values are in the sorted array known, -1 for those that aren't."""
+    if not len(known):
+        return np.full(len(values), -1)
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return np.where(known[at] == values, at, -1)
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter[str] = Counter()
-        total = 0
-        for batch in batches:
-            for text in batch["text"]:
-                words = words_of(text)
-                total += len(words)
-                seen.update(words)
-                if len(seen) > 500_000:
-                    seen = Counter({w: n for w, n in seen.items() if w in wanted})
-        rows = [(w, n) for w, n in seen.items() if w in wanted] + [("", total)]
-        yield pd.DataFrame(rows, columns=["word", "n"])
 
-    counts = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(counted, "word string, n long")
-    found = {r.word: r.n for r in counts.groupBy("word").agg(F.sum("n").alias("n")).collect()}  # bounded by wanted
-    return found, found.pop("", 0) or 0
+def vocabulary(items: DataFrame) -> DataFrame:
+    """(word): the numbers of the items' distinct words."""
 
-
-def seeds_of(words: list[str], bits: dict[str, float], ngram: int) -> set[tuple[str, ...]]:
-    size = min(ngram, len(words))
-    grams = {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if words else set()
-    ranked = sorted(grams, key=lambda g: (-sum(bits[w] for w in g), g))
-    return {g for i, g in enumerate(ranked) if i < LEAST_SEEDS or sum(bits[w] for w in g) >= SEED_BITS}
-
-
-def block_matches(docs: DataFrame, items: list[tuple[int, list[str]]], min_score: float, local_words: int = LOCAL_WORDS) -> DataFrame:
-    """(doc_id, item_id, score, first_word, last_word) of the pairs of one block of items."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = {w for t in batch.column("text").to_pylist() for w in words_of(t)}
+            yield pa.RecordBatch.from_arrays([pa.array(numbers_of(list(words)))], ["word"])
+
+    return cut(items.select("text").mapInArrow(each, "word long").distinct(), "vocabulary")
+
+
+def corpus_counts(docs: DataFrame, words: DataFrame, most: int = VOCABULARY) -> tuple[DataFrame, int]:
+    """(word, n): how often the words occur in docs, and how many words docs have."""
+    slices = max(1, -(-words.count() // most))
+    out, total = None, 0
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    for i in range(slices):
+        wanted = np.sort(words.where(F.pmod("word", F.lit(slices)) == i).toPandas()["word"].to_numpy(np.int64))
+
+        def counted(batches: Iterator[pa.RecordBatch], wanted: np.ndarray = wanted) -> Iterator[pa.RecordBatch]:
+            seen: Counter[str] = Counter()
+            n_words = 0
+
+            def told() -> pa.RecordBatch:
+                numbers, n = numbers_of(list(seen)), np.fromiter(seen.values(), np.int64, len(seen))
+                hit = places(wanted, numbers) >= 0
+                seen.clear()
+                return pa.RecordBatch.from_arrays([pa.array(numbers[hit]), pa.array(n[hit])], ["word", "n"])
+
+            for batch in batches:
+                for text in batch.column("text").to_pylist():
+                    found = words_of(text)
+                    n_words += len(found)
+                    seen.update(found)
+                    if len(seen) > HELD_WORDS:
+                        yield told()
+            yield told()
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([n_words])], ["word", "n"])
+
+        sums = texts.mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        sums = cut(sums, "counts")
+        total = sums.where("word is null").agg(F.sum("n")).first()[0] or 0
+        out = sums if out is None else out.unionByName(sums)
+    return out.where("word is not null"), total
+
+
+def grams(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and codes of the n-grams whose words are all numbered (from 1; 0 is no word of an item)."""
+    n = len(ids) - size + 1
+    if n <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    codes, known = np.full(n, size, np.uint64), np.ones(n, bool)
+    for k in range(size):
+        part = ids[k : n + k]
+        codes, known = (codes ^ part.astype(np.uint64)) * ODD, known & (part > 0)
+    at = np.flatnonzero(known)
+    codes = codes[at]
+    return at, codes ^ codes >> np.uint64(29)
+
+
+def seeds_of(ids: np.ndarray, bits: np.ndarray, least: float) -> dict[int, np.ndarray]:
+    """Codes of an item's seeds by size; bits of each of its words."""
+    total = np.concatenate([[0.0], np.cumsum(bits)])
+    open_ = np.ones(len(ids), bool)
+    out = {}
+    for size in [n for n in NGRAMS if n <= len(ids)]:
+        at, codes = grams(ids, size)
+        rare = open_[at] & (total[at + size] - total[at] >= least)
+        open_[at[rare]] = False
+        if rare.any():
+            out[size] = codes[rare]
+    if not out:
+        size = min(NGRAMS[-1], len(ids))
+        at, codes = grams(ids, size)
+        best = int(np.argmax(total[at + size] - total[at]))
+        out[size] = codes[best : best + 1]
+    return out
+
+
+class Numbers(dict):
+    """The numbers from 1 of known words, 0 for others; remembers the words that it has met."""
+
+    def __init__(self, known: np.ndarray):
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= HELD_WORDS:
+            self.clear()
+        number = self[word] = int(places(self.known, np.array([number_of(word)]))[0]) + 1
+        return number
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+class Seeds:
+    """The seeds of a block of items: sorted codes, the items of each, and how far around it to look."""
+
+    def __init__(self, items: list[np.ndarray], weights: np.ndarray, least: float):
+        found = [(c, i) for i, ids in enumerate(items) for c in seeds_of(ids, weights[ids], least).items()]
+        self.sizes = sorted({size for (size, _), _ in found})
+        codes = np.concatenate([c for (_, c), _ in found])
+        owner = np.repeat([i for _, i in found], [len(c) for (_, c), _ in found])
+        order = np.lexsort((owner, codes))
+        self.codes, self.start = np.unique(codes[order], return_index=True)
+        self.items = owner[order]
+        self.reach = np.maximum.reduceat(np.array([len(x) for x in items])[self.items], self.start)
+        self.end = np.append(self.start[1:], len(self.items))
+
+    def passages(self, ids: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(first word, last word + 1, items) of the passages of a text that hold seeds."""
+        spots, sizes, seeds = [], [], []
+        for size in self.sizes:
+            at, codes = grams(ids, size)
+            seed = places(self.codes, codes)
+            hit = seed >= 0
+            spots.append(at[hit])
+            sizes.append(np.full(int(hit.sum()), size))
+            seeds.append(seed[hit])
+        spot, size, seed = map(np.concatenate, (spots, sizes, seeds))
+        if not len(spot):
+            return
+        lo, hi = np.maximum(0, spot - self.reach[seed]), np.minimum(len(ids), spot + size + self.reach[seed])
+        order = np.argsort(lo, kind="stable")
+        lo, hi, seed = lo[order], np.maximum.accumulate(hi[order]), seed[order]
+        for run in np.split(np.arange(len(lo)), np.flatnonzero(lo[1:] > hi[:-1]) + 1):
+            near = np.unique(np.concatenate([self.items[self.start[s] : self.end[s]] for s in np.unique(seed[run])]))
+            yield int(lo[run[0]]), int(hi[run[-1]]), near
+
+
+def block_pairs(docs: DataFrame, items: list[tuple[int, list[str]]], counts: DataFrame, total: int, min_score: float, local_words: int) -> DataFrame:
+    """(doc_id, key, item_id, score, first_word, last_word) of the pairs of one block of items."""
     spark = docs.sparkSession
-    vocabulary = {w: i for i, w in enumerate(sorted({w for _, words in items for w in words}))}
-    counts, total = corpus_counts(docs, set(vocabulary))
-    bits = {w: math.log2((total + 1) / (counts.get(w, 0) + 0.5)) for w in vocabulary}
-    weights = np.array([0.0, *(bits[w] for w in vocabulary)])  # by word number; 0 is no word of an item
-    base = len(vocabulary) + 1
-
-    def code(gram: tuple[str, ...]) -> int:
-        out = 0
-        for w in gram:
-            out = out * base + vocabulary[w] + 1
-        return out + len(gram) * base**NGRAM  # shorter grams of very short items stay apart
-
-    pairs = [(code(g), item_id) for item_id, words in items for g in seeds_of(words, bits, NGRAM)]
-    codes = np.array(sorted({c for c, _ in pairs}), np.int64)
-    sizes = sorted({min(NGRAM, len(words)) for _, words in items})
-    reach = max(len(words) for _, words in items)
-
-    kinds = {"doc_id": pa.int64(), "at": pa.int64(), "words": pa.list_(pa.int64()), "seeds": pa.list_(pa.int64())}
+    known = np.unique(np.concatenate([numbers_of(words) for _, words in items]))
+    # as many rows as the block has distinct words
+    named = spark.createDataFrame(pd.DataFrame({"word": known}))
+    held = counts.join(F.broadcast(named), "word").toPandas()
+    n = np.zeros(len(known))
+    n[places(known, held["word"].to_numpy(np.int64))] = held["n"].to_numpy()
+    weights = np.concatenate([[0.0], np.log2((total + 1) / (n + 0.5))])  # by word number; 0 is no word of an item
+    numbered = [places(known, numbers_of(words)) + 1 for _, words in items]
+    seeds = Seeds(numbered, weights, min(SEED_BITS, math.log2(total + 2)))
+
+    kinds = {"doc_id": pa.int64(), "key": pa.int64(), "at": pa.int64(), "words": pa.list_(pa.int64()), "items": pa.list_(pa.int64())}
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = Numbers(known)
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                words = words_of(text)
-                ids = np.array([vocabulary.get(w, -1) for w in words], np.int64) + 1
-                spots, found = [], []
-                for size in sizes:
-                    if len(ids) < size:
-                        continue
-                    grams, known = np.full(len(ids) - size + 1, 0, np.int64), np.ones(len(ids) - size + 1, bool)
-                    for k in range(size):
-                        part = ids[k : len(ids) - size + 1 + k]
-                        grams, known = grams * base + part, known & (part > 0)
-                    at = np.flatnonzero(known)
-                    grams = grams[at] + size * base**NGRAM
-                    hit = codes[np.minimum(np.searchsorted(codes, grams), len(codes) - 1)] == grams
-                    spots.append(at[hit])
-                    found.append(grams[hit])
-                if not spots or not sum(map(len, spots)):
-                    continue
-                spot, gram = np.concatenate(spots), np.concatenate(found)
-                order = np.argsort(spot, kind="stable")
-                spot, gram = spot[order], gram[order]
-                for run in np.split(np.arange(len(spot)), np.flatnonzero(np.diff(spot) > reach) + 1):
-                    lo, hi = max(0, int(spot[run[0]]) - reach), min(len(words), int(spot[run[-1]]) + NGRAM + reach)
-                    out.append((doc_id, lo, ids[lo:hi].tolist(), np.unique(gram[run]).tolist()))
+            for doc_id, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "text"))):
+                ids = numbers.of(words_of(text))
+                out += [(doc_id, key, lo, ids[lo:hi].tolist(), near.tolist()) for lo, hi, near in seeds.passages(ids)]
             yield arrow(out, kinds)
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    found = cut(rows.mapInArrow(passages, "doc_id long, at long, words array<long>, seeds array<long>"), "passages")
-    found = found.withColumn("passage", F.monotonically_increasing_id())
+    rows = docs.select(F.col("doc_id").cast("long"), row_keys(F.col("text"))[1].alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    found = cut(rows.mapInArrow(passages, "doc_id long, key long, at long, words array<long>, items array<long>"), "passages")
 
-    # the block's seeds and items have at most BLOCK_WORDS words
-    seeds = F.broadcast(spark.createDataFrame(pairs, "seed long, item_id long"))
-    texts = F.broadcast(spark.createDataFrame([(i, [vocabulary[w] + 1 for w in words]) for i, words in items], "item_id long, item array<long>"))
-    met = found.select("passage", "doc_id", "at", "words", F.explode("seeds").alias("seed")).join(seeds, "seed")
-    met = met.groupBy("passage", "item_id").agg(F.first("doc_id").alias("doc_id"), F.first("at").alias("at"), F.first("words").alias("words")).join(texts, "item_id")
+    # the block's items have at most BLOCK_WORDS words
+    texts = F.broadcast(spark.createDataFrame([(i, items[i][0], ids.tolist()) for i, ids in enumerate(numbered)], "number long, item_id long, item array<long>"))
+    # the passages are few bytes but much work: dealt over as many tasks as a shuffle has
+    dealt = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    met = dealt.select("doc_id", "key", "at", "words", F.explode("items").alias("number")).join(texts, "number")
 
-    scores = {"doc_id": pa.int64(), "item_id": pa.int64(), "score": pa.float64(), "first_word": pa.int64(), "last_word": pa.int64()}
+    scores = {"doc_id": pa.int64(), "key": pa.int64(), "item_id": pa.int64(), "score": pa.float64(), "first_word": pa.int64(), "last_word": pa.int64()}
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, item_id, at, words, item in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item_id", "at", "words", "item"))):
+            for doc_id, key, item_id, at, words, item in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "item_id", "at", "words", "item"))):
                 item, words = np.asarray(item), np.asarray(words)
                 score, first, last = align(item, words)
                 shared = words[first : last + 1]
                 local = score >= local_words and weights[shared[np.isin(shared, item)]].sum() >= LOCAL_BITS
                 if local or score >= min_score * len(item):
-                    out.append((doc_id, item_id, score / len(item), at + first, at + last))
+                    out.append((doc_id, key, item_id, score / len(item), at + first, at + last))
             yield arrow(out, scores)
 
-    return met.select("doc_id", "item_id", "at", "words", "item").mapInArrow(aligned, OUT)
+    return cut(met.select("doc_id", "key", "item_id", "at", "words", "item").mapInArrow(aligned, OUT), "aligned")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, block_words: int = BLOCK_WORDS, local_words: int = LOCAL_WORDS) -> DataFrame:
-    """(doc_id, item_id, score, first_word, last_word): the best alignment of each contaminated pair."""
+def pairs(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, block_words: int = BLOCK_WORDS, local_words: int = LOCAL_WORDS) -> DataFrame:
+    """(doc_id, key, item_id, score, first_word, last_word) of the contaminated passages; doc_id and key tell rows apart."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     letters = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-letters // (2 * block_words)))  # a word and its separator are two characters at least
-    small_batches(spark)
     docs = docs.select("doc_id", "text")
     out = None
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toLocalIterator()
-        held = [(r.item_id, words) for r in part if (words := words_of(r.text))]
-        if held:
-            found = block_matches(docs, held, min_score, local_words)
-            out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], OUT)
+    with small_batches(spark):
+        counts, total = corpus_counts(docs, vocabulary(items))
+        for b in range(blocks):
+            part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toLocalIterator()
+            held = [(r.item_id, words) for r in part if (words := words_of(r.text))]
+            if held:
+                found = block_pairs(docs, held, counts, total, min_score, local_words)
+                out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], OUT) if out is None else out
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, block_words: int = BLOCK_WORDS, local_words: int = LOCAL_WORDS) -> DataFrame:
+    """(doc_id, item_id, score, first_word, last_word): the best alignment of each contaminated pair."""
     best = F.max_by(F.struct("score", "first_word", "last_word"), F.struct(F.col("score"), -F.col("first_word"))).alias("best")
-    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+    return pairs(docs, benchmark, min_score, block_words, local_words).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """docs, all columns, without the documents that hold a test item."""
-    return without(docs, cut(matches(docs, benchmark, min_score).select("doc_id").distinct(), "contaminated"), "doc_id")
+    gone = pairs(docs, benchmark, min_score).select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "key").distinct()
+    return without(docs, cut(gone, "contaminated"), row_keys(F.col("text")))

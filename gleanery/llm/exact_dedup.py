@@ -1,9 +1,16 @@
 """Exact dedup with a two-pass Bloom filter. DataFrame functions only.
 
-Pass 1 hashes every text to one block of 32,768 bits and a few bits in it, and counts who sets each bit.
-Bits set by two rows or more form the filter, a table of (block, bitmap). Pass 2 tests each row against
-it. A row with an unset bit is the only one with its text and passes straight through. The others are
-possibly repeated: only they are shuffled and grouped by their exact digest.
+The texts are read once, into a narrow table of ids, digests and 64-bit hashes. Pass 1 counts, for each bit
+of a filter, the hashes that set it; bits set by two rows or more are kept. Rows with an unset bit are the
+only ones with their text. Pass 2 does the same with another hash function over the rows that are left, so
+that few of these are alone. Rows that fail either pass go straight through; the others are possibly
+repeated: only they are shuffled, and grouped by their exact digest. What building a filter moves are counts
+of bits, added up before the shuffle: neither ids, digests nor texts.
+
+A filter is a table of (block, 4 KB bitmap). It is broadcast in ranges of blocks of FILTER_BYTES each, one
+after the other, whatever the number of rows: with more than one range, the rows are first laid out in files
+by range (each task writes its own rows), so that each pass reads its range alone. `drop_copies` builds such
+a filter of the texts that are known to be repeated, and lets the whole rows that miss it through in place.
 
 Null texts count as empty. An empty table gives an empty result. Rows that repeat a doc_id with an equal
 text all count in group_size; `annotate` returns and marks each of them alike, `drop_copies` keeps one.
@@ -12,6 +19,8 @@ A null doc_id stays only if its whole group has null ids. Other columns don't ma
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +28,9 @@ from gleanery.llm.common import BROADCAST_BYTES, ascii_lower, cut, fresh
 
 BLOCK_BITS = 32768
 BLOCK_BYTES = BLOCK_BITS // 8
+BITS_PER_ROW = 16
+#: Bytes of bitmaps that are broadcast at a time.
+FILTER_BYTES = 64 << 20
 
 
 def text_digest(text: Column) -> Column:
@@ -31,47 +43,43 @@ def coarse_hash(text: Column) -> Column:
     return F.xxhash64(F.lower(F.coalesce(text, F.lit(""))))
 
 
-class RepeatFilter:
-    """The Bloom filter of hashes that occur twice or more."""
-
-    def __init__(self, hashes: DataFrame, column: str, rows: int, bits_per_row: int = 16, hash_count: int = 3):
-        self.blocks = max(1, -(-rows * bits_per_row // BLOCK_BITS))
-        self.hash_count = hash_count
-        h = F.col(column)
-        marks = hashes.select(self.block(h).alias("block"), F.explode(F.array_distinct(F.array(*self.bits(h)))).alias("bit"))
-        twice = marks.groupBy("block", "bit").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-        self.table = cut(twice.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bitmap")), "bloom")
+class BloomFilter:
+    """The bits that `least` rows or more of hashes (a table with the column h) set, one bit a row."""
 
-    def block(self, h: Column) -> Column:
-        return F.pmod(h, F.lit(self.blocks)).cast("long")
+    def __init__(self, hashes: DataFrame, rows: int, least: int, seed: int, limit: int = FILTER_BYTES):
+        self.seed = seed
+        self.blocks = max(1, -(-rows * BITS_PER_ROW // BLOCK_BITS))
+        self.blocks_each = max(1, limit // BLOCK_BYTES)
+        self.ranges = -(-self.blocks // self.blocks_each)
+        slots = hashes.groupBy(self.slot(F.col("h")).alias("slot")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+        block, bit = (F.col("slot") / BLOCK_BITS).cast("long"), F.pmod("slot", F.lit(BLOCK_BITS))
+        bitmaps = slots.select(block.alias("block"), bit.alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+        self.table = cut(bitmaps, "bloom")
 
-    def bits(self, h: Column) -> list[Column]:
-        second = F.xxhash64(h, F.lit(7))
-        return [F.shiftrightunsigned(second, 15 * i).bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("long") for i in range(self.hash_count)]
+    def slot(self, h: Column) -> Column:
+        """The bit of a hash, by number. Below 2^52, so that the division into blocks is exact."""
+        return F.pmod(F.xxhash64(h, F.lit(self.seed)), F.lit(self.blocks * BLOCK_BITS))
 
-    def mark(self, df: DataFrame, column: str, possible: str, limit: int = BROADCAST_BYTES) -> DataFrame:
-        """df with a boolean column that is true where all bits of the row's hash are set.
-
-        The filter has blocks x 4 KB at most; up to `limit` it is broadcast, beyond that joined by block."""
+    def test(self, df: DataFrame, h: str, possible: str, number: int | None = None) -> DataFrame:
+        """df with a boolean column that is true where the bit of the row's hash is set."""
         block, bitmap = fresh(df, "_block"), fresh(df, "_bitmap")
-        table = self.table.select(F.col("block").alias(block), F.col("bitmap").alias(bitmap))
-        table = F.broadcast(table) if self.blocks * BLOCK_BYTES <= limit else table.hint("merge")
-        joined = df.withColumn(block, self.block(F.col(column))).join(table, block, "left")
-
-        def is_set(bit: Column) -> Column:
-            byte = F.conv(F.hex(F.substring(F.col(bitmap), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-            return F.getbit(byte, (bit % 8).cast("int")) == 1
-
-        hit = F.col(bitmap).isNotNull()
-        for bit in self.bits(F.col(column)):
-            hit = hit & is_set(bit)
+        table = self.table if number is None else self.table.where((F.col("block") / self.blocks_each).cast("int") == number)
+        table = F.broadcast(table.select(F.col("block").alias(block), F.col("bitmap").alias(bitmap)))
+        slot = self.slot(F.col(h))
+        joined = df.withColumn(block, (slot / BLOCK_BITS).cast("long")).join(table, block, "left")
+        bit = F.pmod(slot, F.lit(BLOCK_BITS))
+        byte = F.conv(F.hex(F.substring(F.col(bitmap), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        hit = F.col(bitmap).isNotNull() & (F.getbit(byte, (bit % 8).cast("int")) == 1)
         return joined.withColumn(possible, F.coalesce(hit, F.lit(False))).drop(block, bitmap)
 
-
-def repeated_groups(candidates: DataFrame) -> DataFrame:
-    """(text_sha256, keep_id, group_size) of the texts with two rows or more, from (doc_id, text_sha256)."""
-    groups = candidates.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return cut(groups.where("group_size > 1"), "groups")
+    def mark(self, df: DataFrame, h: str, possible: str) -> DataFrame:
+        """`test`, one range of blocks after the other, so that one range's bitmaps are held at a time."""
+        if self.ranges == 1:
+            return self.test(df, h, possible)
+        number = fresh(df, "_range")
+        laid = cut(df.withColumn(number, (self.slot(F.col(h)) / (BLOCK_BITS * self.blocks_each)).cast("int")), "ranges", by=number)
+        parts = [cut(self.test(laid.where(F.col(number) == i).drop(number), h, possible, i), "marked") for i in range(self.ranges)]
+        return reduce(DataFrame.unionByName, parts)
 
 
 def digests(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -79,33 +87,54 @@ def digests(docs: DataFrame, text: str = "text") -> DataFrame:
     return cut(docs.select("doc_id", text_digest(F.col(text)).alias("text_sha256"), coarse_hash(F.col(text)).alias("h")), "digests")
 
 
-def annotate(docs: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+def sifted(rows: DataFrame, limit: int = FILTER_BYTES) -> tuple[DataFrame, DataFrame]:
+    """The rows (with a column h) that are alone with their hash, and those that are possibly repeated."""
+    first = BloomFilter(rows, rows.count(), 2, 7, limit).mark(rows, "h", "possible")
+    left = cut(first.where("possible").drop("possible"), "left")
+    second = BloomFilter(left, left.count(), 2, 11, limit).mark(left, "h", "possible")
+    alone = first.where("not possible").unionByName(second.where("not possible"))
+    return alone.drop("possible"), second.where("possible").drop("possible")
+
+
+def repeated_groups(candidates: DataFrame) -> DataFrame:
+    """(text_sha256, h, keep_id, group_size) of the texts with two rows or more, from (doc_id, text_sha256, h)."""
+    groups = candidates.groupBy("text_sha256").agg(F.first("h").alias("h"), F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return cut(groups.where("group_size > 1"), "groups")
+
+
+def annotate(docs: DataFrame, limit: int = FILTER_BYTES) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = digests(docs.select("doc_id", "text"))
-    marked = RepeatFilter(rows, "h", rows.count()).mark(rows, "h", "possible", limit)
-    alone = marked.where("not possible").select("doc_id", "text_sha256", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    candidates = marked.where("possible").select("doc_id", "text_sha256")
+    alone, candidates = sifted(digests(docs.select("doc_id", "text")), limit)
+    alone = alone.select("doc_id", "text_sha256", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    groups = repeated_groups(candidates).drop("h")
     # the groups are a written table: both sides of the join have a shuffle, and a hot digest is split
-    found = candidates.join(repeated_groups(candidates), "text_sha256", "left").select(
+    found = candidates.join(groups, "text_sha256", "left").select(
         "doc_id", "text_sha256", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size")
     )
     return alone.unionByName(found).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def drop_copies(docs: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """docs, all columns, without all but one row of each text. Rows with an unset bit are never shuffled.
+def marked_repeats(docs: DataFrame, groups: DataFrame, h: str, possible: str, limit: int = FILTER_BYTES) -> DataFrame:
+    """docs with the hash of the text, and whether it may be one of the repeated texts. No row moves."""
+    known = BloomFilter(groups, groups.count(), 1, 13, limit)
+    return known.mark(docs.withColumn(h, coarse_hash(F.col("text"))), h, possible)
+
+
+def drop_copies(docs: DataFrame, limit: int = FILTER_BYTES, broadcast: int = BROADCAST_BYTES) -> DataFrame:
+    """docs, all columns, without all but one row of each text. Rows whose text is alone are never shuffled.
 
-    Possibly repeated rows stay if they are the keeper of their digest. They meet the keepers on digest and
-    id together, so the copies of one text spread over all tasks; few keepers are broadcast (measured)."""
-    rows = digests(docs.select("doc_id", "text"))
-    repeats = RepeatFilter(rows, "h", rows.count())
-    candidates = repeats.mark(rows, "h", "possible", limit).where("possible").select("doc_id", "text_sha256")
-    keepers = cut(candidates.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id")), "keepers")
+    Possibly repeated rows stay if their text is none of the repeated ones, or if they are its keeper. They
+    meet the keepers on digest and id together, so the copies of one text spread over all tasks."""
+    _, candidates = sifted(digests(docs.select("doc_id", "text")), limit)
+    groups = repeated_groups(candidates)
     h, possible, digest, keep_digest, keep_id = (fresh(docs, x) for x in ("_h", "_possible", "_digest", "_keep_digest", "_keep_id"))
-    marked = repeats.mark(docs.withColumn(h, coarse_hash(F.col("text"))), h, possible, limit)
-    named = keepers.select(F.col("text_sha256").alias(keep_digest), F.col("keep_id").alias(keep_id))
-    named = F.broadcast(named) if named.count() * 100 <= limit else named.hint("merge")
-    stay = marked.where(F.col(possible)).withColumn(digest, text_digest(F.col("text")))
-    stay = stay.join(named, (F.col(digest) == F.col(keep_digest)) & F.col("doc_id").eqNullSafe(F.col(keep_id)), "left_semi")
-    once = stay.dropDuplicates(["doc_id", digest])
-    return marked.where(~F.col(possible)).select(*docs.columns).unionByName(once.select(*docs.columns))
+    marked = marked_repeats(docs, groups, h, possible, limit)
+    small = groups.count() * 100 <= broadcast  # rows of a digest and an id
+    offer = lambda df: F.broadcast(df) if small else df.hint("merge")
+    named = groups.select(F.col("text_sha256").alias(keep_digest), F.col("keep_id").alias(keep_id))
+    maybe = marked.where(F.col(possible)).withColumn(digest, text_digest(F.col("text")))
+    keepers = maybe.join(offer(named), (F.col(digest) == F.col(keep_digest)) & F.col("doc_id").eqNullSafe(F.col(keep_id)), "left_semi")
+    others = maybe.join(offer(named.select(keep_digest)), F.col(digest) == F.col(keep_digest), "left_anti")
+    once = keepers.dropDuplicates(["doc_id", digest])
+    rows = [df.select(*docs.columns) for df in (marked.where(~F.col(possible)), others, once)]
+    return reduce(DataFrame.unionByName, rows)

@@ -9,17 +9,20 @@ For each row and language the log-probabilities of four kinds of evidence are ad
   uniform model stands for all other languages (`und`);
 - the declared language (markup or metadata), right with probability RELIABILITY. Where it has no model, it
   names the uniform one;
-- the address suffix and the host, as a prior: the share of a language among the rows of the host, smoothed
-  towards its domain's share, that towards its suffix's share, and that towards the share of all rows. The
-  shares count the languages that the texts alone suggest, in grouped aggregations over all rows.
+- the address suffix and the host, as a prior: the share of a language among the other rows of the host,
+  smoothed towards its domain's share, that towards its suffix's share, and that towards the share of all
+  rows. The shares count the languages that the texts alone suggest, in grouped aggregations over all rows;
+  a row's own text is taken out at each level, so that it doesn't count twice.
 
 One pass scores the texts and writes a table without them; counts, priors and the decision come from that.
-The prior tables are joined by host from a written table, so that adaptive execution can split a hot host.
+The priors are joined by host and suggested language from a written table, so that adaptive execution can
+split a hot host.
 The models are buckets x languages, sent to every task (128 KB a language): at most MOST_LANGUAGES, those
 with most texts; of the others the declared language is the only evidence.
 
 Null texts count as empty. A text without letters is `und` with probability 1 and is rejected. Null hosts
 and addresses are one host without a suffix. Repeated rows are each judged. Empty tables give empty results.
+`drop_unidentified` drops rows, not ids: rows that share a doc_id are told apart by text, language and host.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import cut, small_batches, without
+from gleanery.llm.common import cut, row_keys, small_batches, without
 
 BUCKETS = 1 << 15
 MODEL_ROWS = 10_000
@@ -109,7 +112,6 @@ def fit(rows: DataFrame, model_rows: int = MODEL_ROWS, language_rows: int = LANG
     """Models from rows (text, declared): a hashed sample of model_rows distinct texts in expectation, with
     language_rows of each language where it has them."""
     spark = rows.sparkSession
-    small_batches(spark)
     rows = rows.where(f"declared <> '' and declared <> '{UNKNOWN}' and text <> ''").select("declared", "text", F.xxhash64("text").alias("key"))
     # one row for each code of two or three letters
     texts = {r.declared: r.n for r in rows.groupBy("declared").agg(F.approx_count_distinct("key").alias("n")).collect()}
@@ -141,10 +143,13 @@ def fit(rows: DataFrame, model_rows: int = MODEL_ROWS, language_rows: int = LANG
         yield from told()
 
     parts = sample.select("declared", "text").mapInPandas(counted, "declared string, bucket int, n long")
-    parts = cut(parts.groupBy("declared", "bucket").agg(F.sum("n").alias("n")), "models")
+    with small_batches(spark):
+        parts = cut(parts.groupBy("declared", "bucket").agg(F.sum("n").alias("n")), "models")
     counts: dict[str, np.ndarray] = {}
-    for row in parts.toLocalIterator():  # languages x buckets rows at most
-        counts.setdefault(row.declared, np.zeros(BUCKETS, np.int64))[row.bucket] = row.n
+    lists = parts.groupBy("declared").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n"))
+    for row in lists.toLocalIterator():  # a row for each modelled language, of BUCKETS numbers at most
+        counts[row.declared] = np.zeros(BUCKETS, np.int64)
+        counts[row.declared][row.bucket] = row.n
     return Models(counts)
 
 
@@ -160,17 +165,23 @@ def scored(rows: DataFrame, models: Models) -> DataFrame:
 
     kept = rows.select(*[f.name for f in others], "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others) + ", likely array<double>"
-    return cut(kept.mapInArrow(each, schema), "likelihoods")
+    with small_batches(rows.sparkSession):
+        return cut(kept.mapInArrow(each, schema), "likelihoods")
 
 
 def argmax(values: Column) -> Column:
     return F.array_position(values, F.array_max(values)).cast("int") - 1
 
 
+def suggested(count: int) -> Column:
+    """The number of the known language that the text suggests, null without letters."""
+    return argmax(F.slice("likely", 1, count))
+
+
 def priors(rows: DataFrame, count: int, smoothing: float = SMOOTHING) -> DataFrame:
-    """(host, prior): smoothed log-shares of the known languages, by grouped counts of what the texts suggest."""
-    best = argmax(F.slice("likely", 1, count))
-    seen = rows.where("likely is not null").select("host", "domain", "suffix", best.alias("best"))
+    """(host, best, prior): smoothed log-shares of the known languages for the rows of a host whose texts suggest
+    `best`, by grouped counts of what the texts suggest, without the row itself."""
+    seen = rows.where("likely is not null").select("host", "domain", "suffix", suggested(count).alias("best"))
     sums = [F.sum(F.when(F.col("best") == i, 1).otherwise(0)).alias(f"c{i}") for i in range(count)]
     names = [f"c{i}" for i in range(count)]
     hosts = cut(seen.groupBy("host", "domain", "suffix").agg(*sums), "hosts")
@@ -178,19 +189,26 @@ def priors(rows: DataFrame, count: int, smoothing: float = SMOOTHING) -> DataFra
     domains = cut(hosts.groupBy("domain", "suffix").agg(*again), "domains")
     suffixes = cut(domains.groupBy("suffix").agg(*again), "suffixes")
     totals = suffixes.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()
-    n = sum(totals)
-    above = F.array(*[F.lit((c + 1.0) / (n + count)) for c in totals])
+    whole = F.array(*[F.lit(c) for c in totals])
+    held = lambda df, name: df.select(*[c for c in df.columns if c not in names], F.array(*names).alias(name))
+
+    def others(counts: Column) -> Column:
+        """The counts without the row itself."""
+        return F.transform(counts, lambda c, i: c - F.when(i == F.col("best"), 1).otherwise(0))
 
-    def share(parent: Column, own: list[Column]) -> Column:
-        counts = F.array(*own)
-        total = F.array(F.aggregate(counts, F.lit(0).cast("long"), lambda a, c: a + c))
-        # the total is bound once: written out in each share it would make an expression of count^2 parts
-        return F.get(F.transform(total, lambda t: F.transform(counts, lambda c, i: (c + smoothing * F.get(parent, i)) / (t + smoothing))), F.lit(0))
+    def share(counts: Column, parent: Column) -> Column:
+        both = F.array(F.struct(others(counts).alias("c"), parent.alias("up")))
+        # bound once: written out in each share they would make an expression of count^2 parts
+        total = lambda b: F.aggregate(b["c"], F.lit(0).cast("long"), lambda a, c: a + c)
+        split = lambda b: F.transform(F.array(total(b)), lambda t: F.zip_with(b["c"], b["up"], lambda c, u: (c + smoothing * u) / (t + smoothing)))
+        return F.flatten(F.flatten(F.transform(both, split)))
 
-    level = suffixes.select("suffix", share(above, [F.col(c) for c in names]).alias("up"))
-    level = domains.join(level, "suffix").select("domain", "suffix", share(F.col("up"), [F.col(c) for c in names]).alias("up"))
-    level = hosts.join(level, ["domain", "suffix"]).select("host", share(F.col("up"), [F.col(c) for c in names]).alias("prior"))
-    return cut(level.select("host", F.transform("prior", lambda x: F.log(x)).alias("prior")), "priors")
+    rest = sum(totals) - 1
+    top = F.transform(others(whole), lambda c: (c + 1.0) / F.lit(float(rest + count)))
+    level = held(hosts, "own").select("*", F.posexplode("own").alias("best", "n")).where("n > 0").drop("n")
+    level = level.join(held(domains, "of_domain"), ["domain", "suffix"]).join(held(suffixes, "of_suffix"), "suffix")
+    level = level.withColumn("up", share(F.col("of_suffix"), top)).withColumn("up", share(F.col("of_domain"), F.col("up")))
+    return cut(level.select("host", "best", F.transform(share(F.col("own"), F.col("up")), lambda x: F.log(x)).alias("prior")), "priors")
 
 
 def fuse(rows: DataFrame, models: Models, reliability: float = RELIABILITY) -> DataFrame:
@@ -199,7 +217,7 @@ def fuse(rows: DataFrame, models: Models, reliability: float = RELIABILITY) -> D
     n = len(known)
     languages = F.array(*map(F.lit, models.languages))
     # without any declared language there is nothing to count
-    joined = rows.join(priors(rows, n), "host", "left") if n else rows.withColumn("prior", F.array().cast("array<double>"))
+    joined = rows.withColumn("best", suggested(n)).join(priors(rows, n), ["host", "best"], "left") if n else rows.withColumn("prior", F.array().cast("array<double>"))
     flat = math.log(1 / max(1, n))
     prior = F.concat(F.coalesce("prior", F.array_repeat(F.lit(flat), n)), F.array(F.lit(math.log(UNKNOWN_PRIOR))))
     wrong = (1 - reliability) / max(1, n - 1)
@@ -224,7 +242,6 @@ def fuse(rows: DataFrame, models: Models, reliability: float = RELIABILITY) -> D
 def identify(rows: DataFrame, models: Models | None = None, model_rows: int = MODEL_ROWS) -> DataFrame:
     """rows (text, declared, host and any key columns) without the text, plus domain, suffix, language,
     probability, text_language."""
-    small_batches(rows.sparkSession)
     rows = rows.withColumns({"text": F.coalesce("text", F.lit("")), "declared": code(F.col("declared"))})
     rows = rows.withColumns(host_levels(F.col("host")))
     models = models or fit(rows, model_rows)
@@ -237,7 +254,8 @@ def rejected() -> Column:
 
 
 def drop_unidentified(docs: DataFrame, declared: str = "lang", host: str = "source") -> DataFrame:
-    """docs, all columns, without the doc_ids of rejected rows. Rows with a null doc_id stay."""
-    rows = docs.select("doc_id", "text", F.col(declared).alias("declared"), F.col(host).alias("host"))
-    gone = identify(rows).where(rejected()).select("doc_id").distinct()
-    return without(docs, cut(gone, "rejected"), "doc_id")
+    """docs, all columns, without the rejected rows."""
+    keys = row_keys(F.col("text"), F.col(declared), F.col(host))
+    rows = docs.select(keys[0].alias("id"), keys[1].alias("key"), "text", F.col(declared).alias("declared"), F.col(host).alias("host"))
+    gone = identify(rows).where(rejected()).select("id", "key").distinct()
+    return without(docs, cut(gone, "rejected"), keys)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import small_batches
+from gleanery.llm.common import cut, small_batches
 
 LAYER_BYTES = 32 << 20
 
@@ -365,6 +365,6 @@ def find(docs: DataFrame) -> DataFrame:
             kinds = {n: pa.string() if n in ("base_sha256", "spans") else pa.int64() for n in out}
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, kinds[n]) for n, v in out.items())], ["doc_id", *out])
 
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(scanned, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long")
+    with small_batches(docs.sparkSession):
+        return cut(rows.mapInArrow(scanned, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long"), "secrets")

@@ -9,8 +9,9 @@ and a pair is given up once the error budget is exceeded, or once both nodes lie
 What a task emits is one edge for each fingerprint at most; the edges of all tasks make the components.
 
 Null texts count as empty. Texts without words have fingerprint zero and link like any other. Repeated
-rows are reported each. A null doc_id is never a representative unless its group has no other. Other
-columns don't matter. Empty tables give empty results.
+rows are reported each. A null doc_id is never a representative unless its group has no other. Rows that
+share a doc_id are told apart by their texts: `drop_near_copies` keeps one text of a component, and the rows
+that repeat it with its doc_id. Other columns don't matter. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import connected_components, cut, small_batches, without
+from gleanery.llm.common import connected_components, cut, row_keys, small_batches, without
 
 SHINGLE = 4
 SEED = 42
@@ -55,16 +56,16 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp), written once."""
+    """(doc_id, key, fp), written once; doc_id and key tell rows apart."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(fps, pa.int64())], ["doc_id", "key", "fp"])
 
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return cut(docs.mapInArrow(hashed, "doc_id long, fp long"), "fingerprints")
+    docs = docs.select(F.col("doc_id").cast("long"), row_keys(F.col("text"))[1].alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    with small_batches(docs.sparkSession):
+        return cut(docs.mapInArrow(hashed, "doc_id long, key long, fp long"), "fingerprints")
 
 
 def split_bits(bits: list[int], parts: int) -> list[int]:
@@ -211,18 +212,26 @@ def near_edges(buckets: DataFrame, budget: int, batch_rows: int = 200_000) -> Da
     return buckets.repartition(n, "mask", "val").sortWithinPartitions("mask", "val").mapInPandas(joined, "a long, b long")
 
 
-def components(docs: DataFrame, budget: int = BUDGET, most: int = BUCKET_ROWS) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs."""
+def placed(docs: DataFrame, budget: int = BUDGET, most: int = BUCKET_ROWS) -> DataFrame:
+    """(doc_id, key, fp, root, component_id) for each row of docs: root is a fingerprint of its component."""
     rows = fingerprints(docs)
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fps")
     roots = connected_components(near_edges(bucketed(fps.select("fp"), budget, most), budget), "a", "b")
-    placed = cut(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "placed")
-    least = cut(placed.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
-    ids = cut(placed.join(least, "root").select("fp", "component_id"), "components")
-    return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
+    rooted = cut(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "placed")
+    least = cut(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
+    ids = cut(rooted.join(least, "root").select("fp", "root", "component_id"), "components")
+    return rows.join(ids, "fp").select("doc_id", "key", "fp", "root", "component_id")
+
+
+def components(docs: DataFrame, budget: int = BUDGET, most: int = BUCKET_ROWS) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of docs."""
+    return placed(docs, budget, most).select("doc_id", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """docs, all columns, with the row of the smallest doc_id of each component."""
-    found = components(docs.select("doc_id", "text"), budget)
-    return without(docs, cut(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped"), "doc_id")
+    """docs, all columns, with one text of each component: of its smallest doc_id."""
+    found = cut(placed(docs.select("doc_id", "text"), budget), "rows")
+    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("key").alias("stays"))
+    gone = found.join(cut(stays, "stays"), "root").where(~(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("key") == F.col("stays"))))
+    gone = gone.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "key").distinct()
+    return without(docs, cut(gone, "dropped"), row_keys(F.col("text")))

@@ -68,6 +68,40 @@ def test_decontamination_matches_brute_force(spark, leaky, block_words):
     assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in got}
 
 
+def test_recall_of_heavily_edited_copies(spark):
+    rng = random.Random(12)
+    common = ["the", "of", "and", "to", "in", "is"]
+    word = lambda: rng.choice(common) if rng.random() < 0.4 else f"w{rng.randrange(5000)}"
+    items = [(i, [word() for _ in range(rng.randrange(20, 50))]) for i in range(60)]
+    docs = []
+    for i in range(600):
+        copy = list(items[i % 60][1])
+        for at in rng.sample(range(len(copy)), round(len(copy) * rng.choice([0.15, 0.2, 0.25]))):
+            copy[at] = word()
+        docs.append((i, " ".join([word() for _ in range(60)] + copy + [word() for _ in range(60)])))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), bench, local_words=1000).collect()}
+    want = {}
+    for doc_id, text in docs:
+        item = items[doc_id % 60][1]
+        score = decontaminate.align(np.array([hash(w) for w in item]), np.array([hash(w) for w in text.split()]))[0] / len(item)
+        if score >= 0.5:
+            want[(doc_id, doc_id % 60)] = score
+    faint = {k for k, s in want.items() if s < 0.7}
+    recall = len(faint & got) / len(faint)
+    print(f"recall of scores from 0.5 to 0.7: {recall:.3f} of {len(faint)}")
+    assert len(faint) > 100 and recall >= 0.97 and {k for k, s in want.items() if s >= 0.7} <= got
+
+
+def test_a_clean_row_stays_beside_a_leak_with_its_id(spark):
+    rng = random.Random(13)
+    item = " ".join(f"w{rng.randrange(3000)}" for _ in range(30))
+    docs = [(1, f"so {item} then", 0), (1, "clean words only", 0), (None, item, 0), (None, "other clean words", 0), (2, None, 0)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, key int")
+    kept = decontaminate.drop_contaminated(df, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, [df.collect()[i] for i in (1, 3, 4)]))
+
+
 def test_a_part_of_a_long_item_is_a_leak(spark):
     rng = random.Random(3)
     word = lambda: f"w{rng.randrange(3000)}"
@@ -178,6 +212,45 @@ def test_language_host_prior_decides_short_texts(spark):
     assert (got[900], got[901]) == ("en", "de")
 
 
+def test_priors_and_fusion_match_brute_force(spark):
+    """Each row's prior is worked out from all other rows, one by one, and its evidence added up."""
+    rng = random.Random(21)
+    models = language_id.Models({x: np.ones(language_id.BUCKETS, np.int64) for x in ("aa", "bb", "cc")})
+    hosts = ["a.x.de", "b.x.de", "y.de", "z.fr", "", "q"]
+    rows = []
+    for i in range(150):
+        likely = None if i % 20 == 0 else [rng.uniform(-9, 0) for _ in range(3)] + [rng.choice([-9.0, 4.0])]
+        rows.append((i, rng.choice(["aa", "bb", "cc", "", "und", "zz"]), rng.choice(hosts if i % 3 else hosts[:1]), likely))
+    df = spark.createDataFrame(rows, "doc_id long, declared string, host string, likely array<double>").withColumns(language_id.host_levels(F.col("host")))
+    got = {r.doc_id: r for r in language_id.fuse(df, models).collect()}
+    level = {h: (h, ".".join(h.split(".")[-2:]), h.split(".")[-1] if "." in h else "") for h in hosts}
+    best = {i: max(range(3), key=lambda k: (likely[k], -k)) for i, _, _, likely in rows if likely}
+    for i, declared, host, likely in rows:
+        if likely is None:
+            assert (got[i].language, got[i].probability) == ("und", 1.0)
+            continue
+        others = [(level[h], best[j]) for j, _, h, l in rows if l and j != i]
+        prior = [(sum(b == k for _, b in others) + 1) / (len(others) + 3) for k in range(3)]
+        for depth in (2, 1, 0):
+            near = [b for lv, b in others if lv[depth:] == level[host][depth:]]
+            prior = [(near.count(k) + 20 * p) / (len(near) + 20) for k, p in enumerate(prior)]
+        names = ["aa", "bb", "cc", "und"]
+        meant = declared if declared in names[:3] else "und"
+        says = lambda x: 0 if declared in ("", "und") else np.log(0.9 if x == meant else 0.05)
+        odds = [a + np.log(p) + says(x) for a, p, x in zip(likely, [*prior, 1e-4], names)]
+        top = int(np.argmax(odds))
+        want = "zz" if top == 3 and declared == "zz" else names[top]
+        assert got[i].language == want and abs(got[i].probability - 1 / np.exp(np.array(odds) - max(odds)).sum()) < 1e-9
+
+
+def test_language_stage_drops_rows_not_ids(spark, spoken):
+    df, _ = spoken
+    docs = df.select("doc_id", "text", F.col("declared").alias("lang"), F.col("host").alias("source"))
+    extra = spark.createDataFrame([(0, None, "en", "h.en"), (None, "%%%", "en", None)], docs.schema)
+    kept = language_id.drop_unidentified(docs.unionByName(extra)).collect()
+    assert {r.doc_id for r in kept} >= {0} and not any(r.doc_id is None or r.text is None for r in kept)
+
+
 def test_language_stage(spark, spoken):
     df, rows = spoken
     docs = df.select("doc_id", "text", F.col("declared").alias("lang"), F.col("host").alias("source"), F.lit(1).alias("likely"))
