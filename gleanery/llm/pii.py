@@ -17,6 +17,7 @@ out. An empty table gives an empty result. Columns other than doc_id and text do
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,23 +36,54 @@ BASE = {
 NEEDS = {"email": "@", "ip": None, "card": None, "phone": "+", "ssn": "-", "local": None, "spelled": "dot", "name": None}
 
 #: Gazetteers.
-FIRST_NAMES = ["Ana", "Anna", "Carlos", "David", "Elena", "Hans", "James", "Jean", "John", "Juan", "Karl", "Maria", "Marie", "Mary", "Michael", "Paul", "Peter", "Pierre", "Robert", "Sarah", "Sophie", "Thomas"]
-TITLES = ["Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Sr", "Sra"]
-DOMAIN_ENDINGS = ["com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk"]
+FIRST_NAMES = """
+Aaron Abigail Adam Adrian Agnes Alan Albert Alejandro Alexander Alexandra Alfred Alice Alicia Amanda Amelia Amy Ana Andrea Andreas Andrew Angela
+Anita Anna Anne Anthony Antonio Arthur Barbara Beatrice Benjamin Bernard Bernd Brian Camille Carl Carla Carlos Carmen Carol Caroline Catherine
+Charles Charlotte Chloe Christian Christina Christine Christopher Claire Claudia Daniel David Deborah Dennis Diana Diego Dieter Dominique Donald
+Dorothy Edward Elena Elisabeth Elizabeth Emily Emma Eric Erika Ernst Eva Felix Fernando Florence Francisco Frank Franz Fritz Gabriel Georg George
+Gerhard Grace Guillaume Hannah Hans Heinrich Helen Helga Henri Henry Isabel Isabelle Ivan Jack Jacques James Jan Janet Javier Jean Jennifer Jessica
+Joan Johann John Jorge Jose Joseph Juan Julia Julian Julie Karen Karl Katharina Kevin Klaus Lars Laura Lauren Linda Lisa Louis Louise Lucas Lucia
+Luis Luise Lukas Manuel Marc Marco Margaret Maria Marie Mario Mark Markus Marta Martha Martin Mary Matthew Max Michael Michel Miguel Monica Monika
+Nancy Nicolas Nicole Oliver Olivia Otto Pablo Patricia Patrick Paul Paula Pedro Peter Petra Philip Philippe Pierre Rachel Rafael Ralf Raul Rebecca
+Richard Robert Rosa Ruth Samuel Sandra Sara Sarah Sofia Sophie Stefan Stephen Susan Susanne Teresa Thomas Ulrich Ursula Victor Werner William
+Wolfgang Yves
+""".split()
+TITLES = ["Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Mlle", "Sr", "Sra", "Don"]
+DOMAIN_ENDINGS = "com org net edu gov mil int info biz io dev app co me tv us uk de fr es it nl be ch at pt pl se no dk fi ie cz gr ru ua tr cn jp kr in au nz ca br mx ar cl".split()
 #: Words before a span that speak for or against personal data.
-CUES = ["mail", "contact", "call", "phone", "tel", "fax", "mobile", "reach", "write", "card", "visa", "ssn", "social security", "name", "dear", "from", "by", "server", "address"]
-ANTI_CUES = ["version", "isbn", "issn", "order", "invoice", "serial", "build", "release", "section", "chapter", "figure", "fig", "page"]
+CUES = [
+    "mail", "email", "e-mail", "courriel", "correo", "contact", "contacts", "kontakt", "contacto", "call", "calls", "phone", "phones", "telephone", "telefon", "tel", "fax", "mobile", "cell", "handy",
+    "reach", "write", "card", "cards", "carte", "karte", "tarjeta", "visa", "mastercard", "ssn", "social security", "name", "named", "dear", "from", "by", "user", "client", "server", "host", "login", "address",
+]
+ANTI_CUES = ["version", "isbn", "issn", "order", "orders", "invoice", "serial", "build", "release", "section", "chapter", "figure", "fig", "page", "pages", "part", "model", "example"]
+#: Characters before a span that are searched for these words.
+NEAR = 40
+
+
+def by_letter(words: list[str]) -> str:
+    """A pattern of words grouped by their first letter, so that most places fail at once."""
+    groups: dict[str, list[str]] = {}
+    for w in words:
+        groups.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{k}(?:{'|'.join(rest)})" for k, rest in groups.items())
+
+
+def any_word(words: list[str]) -> str:
+    return "(?<![a-z0-9])(?:" + "|".join(words) + ")(?![a-z0-9])"
+
 
 LOOSE = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "local": r"(?<![0-9+(-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
     "spelled": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}(?:\x20at\x20|\x20?\[at\]\x20?|\x20?\(at\)\x20?)[A-Za-z0-9-]{1,63}(?:\x20dot\x20|\x20?\[dot\]\x20?|\x20?\(dot\)\x20?)[A-Za-z]{2,10}",
-    "name": r"(?<![A-Za-z])(?:(?:" + "|".join(TITLES) + r")\.?\x20[A-Z][a-z]{1,30}|(?:" + "|".join(FIRST_NAMES) + r")\x20[A-Z][a-z]{1,30})(?![A-Za-z])",
+    "name": r"(?<![A-Za-z])(?=[A-Z])(?:(?:" + "|".join(TITLES) + r")\.?|(?:" + by_letter(FIRST_NAMES) + r"))\x20[A-Z][a-z]{1,30}(?![A-Za-z])",
 }
 KINDS = [*BASE, *LOOSE]
 LABELERS = ["shape", "gazetteer", "context", "edges"]
 FEATURES = ["length", "left", "right", "cue", "listed"]
-SPAN = "struct<kind:int,start:int,end:int,value:string,before:string,after:string>"
+SPAN = "struct<kind:int,start:int,end:int,value:string,left:string,after:string,cue:int>"
+#: Between spans that stand in one list, which share the words before it.
+LISTED = r"^[\s,;/|&]*(?:(?:and|or|und|oder|et|ou|y|o)\s+)?$"
 
 
 def digits(value: Column) -> Column:
@@ -79,18 +111,73 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often `use` names it, also within lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, start: int, op: Callable[[Column, Column], Column]) -> Column:
+    """The results of an associative op over the ints up to each place. They are taken in runs of about the
+    square root of their number: one fold that appends to one array would take quadratic time."""
+    none = F.array().cast("array<int>")
+
+    def fold(piece: Column, first: Column) -> Column:
+        begin = F.struct(first.alias("at"), none.alias("out"))
+        step = lambda acc, x: bind(op(acc["at"], x), lambda r: F.struct(r.alias("at"), F.array_append(acc["out"], r).alias("out")))
+        return F.aggregate(piece, begin, step, lambda acc: acc["out"])
+
+    first = F.lit(start)
+
+    def pieced(v: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(v))).cast("int")
+        return bind(size, lambda c: F.transform(F.sequence(F.lit(0), ((F.size(v) - 1) / c).cast("int")), lambda i: F.slice(v, i * c + 1, c)))
+
+    def joined(pieces: Column) -> Column:
+        heads = fold(F.transform(pieces, lambda p: F.aggregate(p, first, lambda a, x: op(a, x))), first)
+        heads = F.concat(F.array(first), F.slice(heads, F.lit(1), F.size(pieces) - 1))
+        return F.flatten(F.zip_with(pieces, heads, fold))
+
+    return bind(values, lambda v: F.when(F.size(v) == 0, none).otherwise(bind(pieced(v), joined)))
+
+
 def spans_of(found: Column, gaps: Column, number: int) -> Column:
-    """The matches with their positions, from the matches and the pieces between them."""
-    parts = F.transform(found, lambda m, i: F.struct(m.alias("value"), F.get(gaps, i).alias("gap"), F.left(F.get(gaps, i + 1), F.lit(1)).alias("after")))
-    start = F.expr(f"named_struct('at', 0, 'spans', cast(array() as array<{SPAN}>))")
+    """The matches with their positions and the cue that holds for them, from the matches and the pieces
+    between them."""
+    near = lambda gap: F.lower(F.right(gap, F.lit(NEAR)))
+    own = lambda gap: F.when(near(gap).rlike(any_word(ANTI_CUES)), 2).when(near(gap).rlike(any_word(CUES)), 1).when(gap.rlike(LISTED), -1).otherwise(0)
+
+    def placed(g: Column) -> Column:
+        with_gap = F.zip_with(found, F.slice(g, F.lit(1), F.size(found)), lambda m, x: F.struct(m.alias("value"), x.alias("gap")))
+        parts = F.zip_with(with_gap, F.slice(g, F.lit(2), F.size(found)), lambda p, x: F.struct(p["value"].alias("value"), p["gap"].alias("gap"), F.left(x, F.lit(1)).alias("after")))
+        return bind(parts, with_places)
+
+    def with_places(parts: Column) -> Column:
+        ends = running(F.transform(parts, lambda p: F.length(p["gap"]) + F.length(p["value"])), 0, lambda a, x: a + x)
+        cues = running(F.transform(parts, lambda p: own(p["gap"])), 0, lambda a, x: F.when(x < 0, a).otherwise(x))
+        places = F.zip_with(ends, cues, lambda e, c: F.struct(e.alias("end"), c.alias("cue")))
+        return F.zip_with(parts, places, span)
+
+    def span(p: Column, at: Column) -> Column:
+        start = at["end"] - F.length(p["value"])
+        return F.struct(F.lit(number).alias("kind"), start.alias("start"), at["end"].alias("end"), p["value"].alias("value"), F.right(p["gap"], F.lit(1)).alias("left"), p["after"].alias("after"), at["cue"].alias("cue"))
+
+    return bind(gaps, placed)
+
+
+def apart(loose: Column, base: Column) -> Column:
+    """The loose spans that meet no base span: both are sorted by start and swept once in each direction."""
+    far = 2**31 - 1
+    strict = F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(0).alias("tag"), b["end"].alias("end"), F.lit(-1).alias("i")))
+    other = F.transform(loose, lambda x, i: F.struct(x["start"].alias("start"), F.lit(1).alias("tag"), x["end"].alias("end"), i.alias("i")))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["value"])
-        span = F.struct(F.lit(number).alias("kind"), begin.alias("start"), end.alias("end"), x["value"].alias("value"), F.right(x["gap"], F.lit(30)).alias("before"), x["after"].alias("after"))
-        return F.struct(end.alias("at"), F.array_append(acc["spans"], span).alias("spans"))
+    def swept(events: Column) -> Column:
+        before = running(F.transform(events, lambda e: F.when(e["tag"] == 0, e["end"]).otherwise(0)), 0, F.greatest)
+        behind = running(F.transform(F.reverse(events), lambda e: F.when(e["tag"] == 0, e["start"]).otherwise(far)), far, F.least)
+        edges = F.zip_with(before, F.reverse(behind), lambda a, b: F.struct(a.alias("before"), b.alias("behind")))
+        free = F.zip_with(events, edges, lambda e, x: F.when((e["tag"] == 1) & (x["before"] <= e["start"]) & (x["behind"] >= e["end"]), e["i"]))
+        return F.transform(F.array_compact(free), lambda i: F.get(loose, i))
 
-    return F.aggregate(parts, start, step, lambda acc: acc["spans"])
+    return F.when((F.size(loose) == 0) | (F.size(base) == 0), loose).otherwise(bind(F.sort_array(F.concat(strict, other)), swept))
 
 
 def matches(docs: DataFrame) -> DataFrame:
@@ -106,29 +193,26 @@ def matches(docs: DataFrame) -> DataFrame:
     passing = lambda k: F.filter(k, lambda x: valid(k, x["value"]))
     strict = F.flatten(F.array(*[passing(k) for k in BASE]))
     df = df.select("doc_id", strict.alias("base"), F.flatten(F.array(*LOOSE)).alias("loose"))
-    apart = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    return df.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", F.filter("loose", apart).alias("loose"))
+    return df.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", bind(F.struct("base", "loose"), lambda s: apart(s["loose"], s["base"])).alias("loose"))
 
 
 def judged(span: Column, strict: bool) -> Column:
     """A span with the labelers' votes (1, 0, or -1: abstains) and the classifier's features."""
-    kind, value, before, after = span["kind"], span["value"], F.lower(span["before"]), span["after"]
+    kind, value, left, right, cue = (span[x] for x in ("kind", "value", "left", "after", "cue"))
     name, spelled, email = (kind == KINDS.index(k) for k in ("name", "spelled", "email"))
-    cue, anti = before.rlike("|".join(CUES)), before.rlike("|".join(ANTI_CUES))
     listed = (
         F.when(name, value.rlike("^(?:" + "|".join(FIRST_NAMES) + r")\x20"))
-        .when(email | spelled, value.rlike("(?:" + "|".join(DOMAIN_ENDINGS) + ")$"))
+        .when(email | spelled, F.lower(value).rlike("[^a-z](?:" + "|".join(DOMAIN_ENDINGS) + ")$"))
     )
-    left, right = F.right(span["before"], F.lit(1)), after
     clean_left, clean_right = (left == "") | ~left.rlike("[A-Za-z0-9_@#/=-]"), (right == "") | ~right.rlike("[A-Za-z0-9_@#/=-]")
     shape = F.lit(True) if strict else F.when(name, value.rlike(r"^\S+\x20[A-Z][a-z]{2,}$")).when(kind == KINDS.index("ssn"), ~value.rlike("^(?:000|666|9)|-00-|0000$")).when(kind == KINDS.index("local"), value.rlike(r"^\(?[2-9]")).otherwise(True)
     vote = lambda c: F.coalesce(c.cast("int"), F.lit(-1))
     kind_of = lambda c: F.when(c == "", 0).when(c.rlike(r"\s"), 1).when(c.rlike("[A-Za-z0-9]"), 2).otherwise(3)
     return F.struct(
         kind.alias("kind"), span["start"].alias("start"), span["end"].alias("end"), F.lit(strict).alias("strict"),
-        vote(shape).alias("shape"), vote(listed).alias("gazetteer"), F.when(anti, 0).when(cue, 1).otherwise(-1).alias("context"), (clean_left & clean_right).cast("int").alias("edges"),
+        vote(shape).alias("shape"), vote(listed).alias("gazetteer"), F.when(cue == 2, 0).when(cue == 1, 1).otherwise(-1).alias("context"), (clean_left & clean_right).cast("int").alias("edges"),
         F.least(F.length(value) / 6, F.lit(5)).cast("int").alias("length"), kind_of(left).alias("left"), kind_of(right).alias("right"),
-        F.when(anti, 2).when(cue, 1).otherwise(0).alias("cue"), vote(listed).alias("listed"),
+        cue.alias("cue"), vote(listed).alias("listed"),
     )
 
 

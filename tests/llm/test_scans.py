@@ -77,6 +77,31 @@ def test_pii_adds_spans(spark):
     assert {"local", "spelled", "name"} <= kinds
 
 
+def test_pii_cues_are_words_and_hold_for_lists(spark):
+    rows = [(0, "hotel border baby 10.0.0.1"), (1, "mail: a@b.com, c@d.org and e@f.net; g@h.de"), (2, "version 1.2.3.4"), (3, "server 10.0.0.1 said 10.0.0.2")]
+    found = pii.matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    cues = {r.doc_id: [s.cue for s in r.base] for r in found}
+    assert cues == {0: [0], 1: [1, 1, 1, 1], 2: [2], 3: [1, 0]}
+
+
+def test_loose_spans_that_meet_strict_ones_are_left_out(spark):
+    rng = random.Random(5)
+    pieces = ["743-555-3824", "+1 743-555-3824", "123-45-6789", "4785 3805-9239 1139", "Maria Lopez", "a.b@c.d", " ", ", ", "x"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 60))) for _ in range(200)]
+    for r in pii.matches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        loose = [(k, *m.span()) for k, p in pii.LOOSE.items() for m in re.finditer(p, texts[r.doc_id])]
+        base = [s[1:] for s in brute_pii(texts[r.doc_id])]
+        want = sorted(s for s in loose if not any(a < s[2] and s[1] < b for a, b in base))
+        assert sorted((pii.KINDS[s.kind], s.start, s.end) for s in r.loose) == want, texts[r.doc_id]
+
+
+def test_pii_of_a_log_takes_near_linear_time(spark):
+    text = "server " + " ".join(f"10.{i // 65536}.{i // 256 % 256}.{i % 256}" for i in range(100_000))
+    began = time.time()
+    assert pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().n_ip == 100_000
+    assert time.time() - began < 60
+
+
 def test_pii_empty(spark):
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
