@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
 import re
+import sys
 import unicodedata
 from collections.abc import Callable
 
@@ -20,27 +23,34 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 def _folding() -> tuple[str, str, dict[str, str]]:
     """Characters whose compatibility decomposition has ASCII characters: those with one, and the rest."""
     one, to, more = [], [], {}
-    for start, end in ((0xA0, 0x250), (0x1E00, 0x1F00), (0x2010, 0x2190), (0xFB00, 0xFB07), (0xFF01, 0xFF5F)):
-        for point in range(start, end):
-            folded = unicodedata.normalize("NFKD", chr(point)).encode("ascii", "ignore").decode()
-            if len(folded) == 1:
-                one.append(chr(point))
-                to.append(folded)
-            elif folded:
-                more[chr(point)] = folded
+    for point in range(0x80, sys.maxunicode + 1):
+        char = chr(point)
+        if not unicodedata.decomposition(char):
+            continue
+        folded = unicodedata.normalize("NFKD", char).encode("ascii", "ignore").decode()
+        if len(folded) == 1:
+            one.append(char)
+            to.append(folded)
+        elif folded:
+            more[char] = folded
     return "".join(one), "".join(to), more
 
 
 FOLD_FROM, FOLD_TO, FOLD_MORE = _folding()
 
 
+def constant_map(values: dict[str, str]) -> Column:
+    """A map literal, however many entries it has."""
+    return F.from_json(F.lit(json.dumps(values)), "map<string,string>")
+
+
 def fold(c: Column) -> Column:
-    """Accents dropped, other non-ASCII characters removed, lower case; null gives ''.
+    """Compatibility forms decomposed, accents dropped, other non-ASCII characters removed, lower case; null
+    gives ''.
 
     The expression is large: make it a column of its own before it is used more than once."""
     c = F.coalesce(c, F.lit(""))
-    known = F.create_map(*[F.lit(x) for item in FOLD_MORE.items() for x in item])
-    spelled = F.array_join(F.transform(F.split(c, ""), lambda ch: F.coalesce(F.element_at(known, ch), ch)), "")
+    spelled = let(constant_map(FOLD_MORE), lambda known: F.array_join(F.transform(F.split(c, ""), lambda ch: F.coalesce(F.element_at(known, ch), ch)), ""))
     has_more = F.length(F.translate(c, "".join(FOLD_MORE), "")) < F.length(c)
     rest = F.when(has_more, spelled).otherwise(c)
     rest = F.regexp_replace(F.translate(rest, FOLD_FROM, FOLD_TO), r"[^\x00-\x7F]", "")
@@ -57,15 +67,39 @@ def clean(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-#: Entities that occur in postings.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&ndash;", "–"), ("&mdash;", "—"), ("&bull;", "•"), ("&euro;", "€"), ("&pound;", "£"), ("&amp;", "&")]
+#: Tags that start a line.
 BLOCK_TAGS = "p|div|li|h[1-6]|tr|section|article|ul|ol|br"
+#: Names that count without their semicolon too, the longest first.
+_BARE = "|".join(sorted((n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+REFERENCE = rf"^&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;|(?:{_BARE}))"
+#: Numbers of the C1 range mean the characters of code page 1252.
+_C1 = {str(n): bytes([n]).decode("cp1252", "replace") if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(n) for n in range(0x80, 0xA0)} | {"0": "\ufffd", "13": "\r"}
 
 
 def unescape(c: Column) -> Column:
-    for entity, char in ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    """Named and numeric character references replaced, as HTML defines them."""
+    names = constant_map(dict(html.entities.html5))
+    c1 = constant_map(_C1)
+
+    def numbered(digits: Column, base: int) -> Column:
+        number = F.conv(F.when(F.length(digits) > 12, "999999999").otherwise(digits), base, 10).cast("long")
+        char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        bad = (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+        control = number.between(1, 8) | number.between(0xE, 0x1F) | number.between(0x7F, 0x9F) | number.between(0xFDD0, 0xFDEF) | (number == 0xB) | (number % 0x10000 >= 0xFFFE)
+        known = F.when(number < 0xA0, F.element_at(c1, number.cast("string")))
+        return F.coalesce(known, F.when(bad, "\ufffd").when(control, "").otherwise(char))
+
+    def resolved(part: Column) -> Column:
+        ref = F.regexp_extract(part, REFERENCE, 0)
+        body = F.regexp_replace(ref, "^&|;$", "")
+        hexes, digits = F.substring(body, 3, 40), F.substring(body, 2, 40)
+        char = F.when(body.rlike("^#[xX]"), numbered(hexes, 16)).when(body.startswith("#"), numbered(digits, 10)).otherwise(F.element_at(names, F.substring(ref, 2, 40)))
+        bare = F.regexp_extract(part, rf"^&({_BARE})", 1)  # an unknown name may start with one that needs no semicolon
+        short = F.when(bare != "", F.concat(F.element_at(names, bare), F.substring(part, F.length(bare) + 2, F.length(part))))
+        return F.when(ref == "", part).otherwise(F.coalesce(F.concat(char, F.substring(part, F.length(ref) + 1, F.length(part))), short, part))
+
+    parts = F.array_join(F.transform(F.split(c, "(?=&)"), lambda p: F.when(p.startswith("&"), resolved(p)).otherwise(p)), "")
+    return F.when(c.contains("&"), parts).otherwise(c)
 
 
 def html_to_text(c: Column) -> Column:
@@ -91,18 +125,31 @@ def has_any(folded: Column, terms: list[str]) -> Column:
     return folded.rlike(term_pattern(terms)) if terms else F.lit(False)
 
 
+def occurring(folded: Column, terms: list[str]) -> Column:
+    """The distinct terms that occur, in no order. One pass: at each place where a term may begin, a look-ahead
+    takes the longest term; shorter ones that the longer ones begin with are added after."""
+    ordered = sorted({t.lower() for t in terms}, key=lambda t: (-len(t), t))
+    found = F.array_distinct(F.regexp_extract_all(folded, F.lit(r"(?<![a-z0-9])(?=(" + "|".join(re.escape(t) for t in ordered) + r")(?![a-z0-9]))"), F.lit(1)))
+    within = {t: [s for s in ordered if s != t and re.search(rf"^{re.escape(s)}(?![a-z0-9])", t)] for t in ordered}
+    within = {t: parts for t, parts in within.items() if parts}
+    if not within:
+        return found
+    return let(found, lambda f: F.array_distinct(F.concat(f, F.flatten(F.array(*[F.when(F.array_contains(f, t), F.array(*map(F.lit, parts))).otherwise(F.array().cast("array<string>")) for t, parts in within.items()])))))
+
+
 def first_term(folded: Column, terms: list[str]) -> Column:
-    """The first term in the order of the list that occurs. One pass tells whether any does."""
+    """The first term in the order of the list that occurs."""
     if not terms:
         return F.lit(None).cast(NULL_STRING)
-    each = F.coalesce(*[F.when(has_term(folded, t), F.lit(t)) for t in terms], F.lit(None).cast(NULL_STRING))
-    return F.when(has_any(folded, terms), each)
+    listed = F.array(*[F.lit(t) for t in terms])
+    return let(occurring(folded, terms), lambda f: F.when(F.size(f) == 0, F.lit(None)).otherwise(F.get(F.filter(listed, lambda t: F.array_contains(f, F.lower(t))), F.lit(0))))
 
 
 def hits(folded: Column, terms: list[str]) -> Column:
-    """All terms that occur, in the order of the list. One pass tells whether any does."""
+    """All terms that occur, in the order of the list."""
     none = F.array().cast("array<string>")
-    return F.when(~has_any(folded, terms), none).otherwise(F.array_compact(F.array(*[F.when(has_term(folded, t), F.lit(t)) for t in terms])))
+    listed = F.array(*[F.lit(t) for t in terms])
+    return let(occurring(folded, terms), lambda f: F.when(F.size(f) == 0, none).otherwise(F.filter(listed, lambda t: F.array_contains(f, F.lower(t)))))
 
 
 #: Legal forms at the end of company names.
@@ -147,6 +194,7 @@ def slug(folded: Column) -> Column:
     return F.coalesce(F.nullif(F.substring(plain, 1, 40), F.lit("")), F.lit("unknown"))
 
 
+#: Fixed value: an e-mail address.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 

@@ -116,6 +116,7 @@ TABLES = {
 def derived(spark: SparkSession, sf_dir: str, name: str, given: DataFrame | None = None) -> DataFrame:
     """A derived table, of `given` (a stream, say) instead of the stored table where that is set."""
     sql, base = TABLES[name]
+    sql = sql.replace("{", "{{").replace("}", "}}")
     return spark.sql(sql.replace(f"FROM {base}", "FROM {given}"), given=table(spark, sf_dir, base) if given is None else given)
 
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.plans import posting_queries, report_queries, run_queries, stream_queries
+from gleanery.plans import posting_queries, report_queries, run_queries, source_queries, stream_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [posting_queries, report_queries, run_queries, stream_queries]
+MODULES = [posting_queries, report_queries, run_queries, source_queries, stream_queries]
 
 
 def queries() -> dict[str, Query]:

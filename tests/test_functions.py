@@ -109,3 +109,37 @@ def test_salary(spark):
 def test_classes(spark):
     assert apply(spark, ["Hybrid remote", "work from home", "On-site", "in-office", "", None], lambda c: classify.work_mode(text.fold(c))) == ["hybrid", "remote", "onsite", "onsite", "unknown", "unknown"]
     assert apply(spark, ["International", "part_time contract", "Consultant", "temp", "Permanent", "x", None], lambda c: classify.employment(text.fold(c))) == ["internship", "part_time", "contract", "temporary", "full_time", "unspecified", "unspecified"]
+
+
+def test_folding_of_all_characters(spark):
+    import sys
+    import unicodedata
+
+    chars = [chr(p) for p in range(1, sys.maxunicode + 1) if not 0xD800 <= p <= 0xDFFF]
+    texts = ["|".join(chars[i : i + 20_000]) for i in range(0, len(chars), 20_000)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", text.fold(F.col("t")).alias("f")).collect()
+    for r in got:
+        assert r.f == unicodedata.normalize("NFKD", texts[r.i]).encode("ascii", "ignore").decode().lower()
+
+
+def test_unescape_is_that_of_html(spark):
+    import html
+
+    texts = [f"a{'&' + n} b" for n in html.entities.html5] + [f"&#{n};x" for n in [*range(0, 700), 8217, 0x1F600, 0xD800, 0x10FFFF, 0x110000, 10**15]]
+    texts += [f"&#x{n:X};" for n in range(0, 300)] + ["&", "&&amp;", "&amp;lt;", "&unknown; &notit; &ampx &rsquo;&#8217;&eacute;&#x27;", "&#;", "&#x;", "&#65", "&copy2", "no", "a && b", "&lt"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", text.unescape(F.col("t")).alias("u")).collect()
+    wrong = [(texts[r.i], r.u, html.unescape(texts[r.i])) for r in got if r.u != html.unescape(texts[r.i])]
+    assert not wrong, wrong[:10]
+
+
+def test_terms_in_one_scan_are_those_of_single_scans(spark):
+    import random
+    import re
+
+    rng = random.Random(4)
+    terms = ["react", "react native", "c++", ".net", "asp.net", "it support", "support engineer", "qa", "java", "javascript", "full stack", "full", "c#", "node js"]
+    texts = ["".join(rng.choice([*terms, " ", "-", "x", ", "]) for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in df.select("i", text.first_term(F.col("t"), terms).alias("first"), text.hits(F.col("t"), terms).alias("all")).collect():
+        want = [t for t in terms if re.search(rf"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])", texts[r.i])]
+        assert r["all"] == want and r["first"] == (want[0] if want else None), texts[r.i]
