@@ -78,11 +78,9 @@ _C1 = {str(n): bytes([n]).decode("cp1252", "replace") if n not in (0x81, 0x8D, 0
 
 def unescape(c: Column) -> Column:
     """Named and numeric character references replaced, as HTML defines them."""
-    names = constant_map(dict(html.entities.html5))
-    c1 = constant_map(_C1)
+    names, c1 = constant_map(dict(html.entities.html5)), constant_map(_C1)
 
-    def numbered(digits: Column, base: int) -> Column:
-        number = F.conv(F.when(F.length(digits) > 12, "999999999").otherwise(digits), base, 10).cast("long")
+    def char_of(number: Column) -> Column:
         char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
         bad = (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
         control = number.between(1, 8) | number.between(0xE, 0x1F) | number.between(0x7F, 0x9F) | number.between(0xFDD0, 0xFDEF) | (number == 0xB) | (number % 0x10000 >= 0xFFFE)
@@ -90,27 +88,38 @@ def unescape(c: Column) -> Column:
         return F.coalesce(known, F.when(bad, "\ufffd").when(control, "").otherwise(char))
 
     def resolved(part: Column) -> Column:
-        ref = F.regexp_extract(part, REFERENCE, 0)
-        body = F.regexp_replace(ref, "^&|;$", "")
-        hexes, digits = F.substring(body, 3, 40), F.substring(body, 2, 40)
-        char = F.when(body.rlike("^#[xX]"), numbered(hexes, 16)).when(body.startswith("#"), numbered(digits, 10)).otherwise(F.element_at(names, F.substring(ref, 2, 40)))
-        bare = F.regexp_extract(part, rf"^&({_BARE})", 1)  # an unknown name may start with one that needs no semicolon
-        short = F.when(bare != "", F.concat(F.element_at(names, bare), F.substring(part, F.length(bare) + 2, F.length(part))))
-        return F.when(ref == "", part).otherwise(F.coalesce(F.concat(char, F.substring(part, F.length(ref) + 1, F.length(part))), short, part))
+        return let(F.struct(part.alias("part"), F.regexp_extract(part, REFERENCE, 0).alias("ref"), F.regexp_extract(part, rf"^&({_BARE})", 1).alias("bare")), replaced)
 
-    parts = F.array_join(F.transform(F.split(c, "(?=&)"), lambda p: F.when(p.startswith("&"), resolved(p)).otherwise(p)), "")
-    return F.when(c.contains("&"), parts).otherwise(c)
+    def replaced(s: Column) -> Column:
+        part, ref, bare = s["part"], s["ref"], s["bare"]
+        digits = F.regexp_extract(ref, "^&#[xX]?([0-9A-Fa-f]+)", 1)
+        base = F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits)
+        number = F.when(F.length(digits) > 12, 999_999_999).otherwise(base.cast("long"))
+        char = F.when(digits != "", let(number, char_of)).otherwise(F.element_at(names, F.substring(ref, 2, 40)))
+        rest = lambda taken: F.substring(part, F.length(taken) + 1, F.length(part))
+        # an unknown name may start with one that needs no semicolon
+        short = F.when(bare != "", F.concat(F.element_at(names, bare), F.substring(rest(bare), 2, 1 << 30)))
+        return F.when(ref == "", part).otherwise(F.coalesce(F.concat(char, rest(ref)), short, part))
+
+    def whole(c: Column) -> Column:
+        parts = F.transform(F.split(c, "(?=&)"), lambda p: F.when(p.startswith("&"), resolved(p)).otherwise(p))
+        return F.when(c.contains("&"), F.array_join(parts, "")).otherwise(c)
+
+    return let(c, whole)
 
 
 def html_to_text(c: Column) -> Column:
     """Text of an HTML fragment: no scripts or styles, items dashed, block tags on lines of their own."""
-    c = F.coalesce(c, F.lit(""))
-    c = F.when(c.contains("&lt;"), unescape(c)).otherwise(c)
-    markup = F.regexp_replace(c, r"(?is)<(script|style|noscript|svg|iframe)\b.*?</\1\s*>|<!--.*?-->", "")
-    markup = F.regexp_replace(markup, r"(?i)<li\b[^>]*>", "\n- ")
-    markup = F.regexp_replace(markup, rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>", "\n")
-    markup = F.regexp_replace(markup, r"<[A-Za-z/!?][^>]*>", "")
-    return clean(unescape(F.when(c.contains("<"), markup).otherwise(c)))
+
+    def shown(c: Column) -> Column:
+        markup = F.regexp_replace(c, r"(?is)<(script|style|noscript|svg|iframe)\b.*?</\1\s*>|<!--.*?-->", "")
+        markup = F.regexp_replace(markup, r"(?i)<li\b[^>]*>", "\n- ")
+        markup = F.regexp_replace(markup, rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>", "\n")
+        markup = F.regexp_replace(markup, r"<[A-Za-z/!?][^>]*>", "")
+        return F.when(c.contains("<"), markup).otherwise(c)
+
+    escaped = lambda c: F.when(c.contains("&lt;"), unescape(c)).otherwise(c)
+    return clean(unescape(let(let(F.coalesce(c, F.lit("")), escaped), shown)))
 
 
 def term_pattern(terms: list[str]) -> str:

@@ -123,4 +123,6 @@ def derived(spark: SparkSession, sf_dir: str, name: str, given: DataFrame | None
 def with_tables(sql: str, *names: str) -> str:
     """The SQL of a DuckDB query with derived tables in front."""
     ctes = ", ".join(f"{n} AS ({TABLES[n][0]})" for n in names)
+    if sql.lstrip().upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {sql.lstrip()[15:]}"
     return f"WITH {ctes} {sql}" if not sql.lstrip().upper().startswith("WITH ") else f"WITH {ctes}, {sql.lstrip()[5:]}"

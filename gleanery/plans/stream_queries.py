@@ -74,10 +74,6 @@ FROM s WHERE source <> 'arbeitnow' OR doc_id % 2 = 0
 """
 
 
-def page_routes(spark, d) -> DataFrame:
-    return pages.routed(table(spark, d, "pages")).groupBy("route", "note").agg(F.count(F.lit(1)).alias("n"))
-
-
 def page_texts(spark, d) -> DataFrame:
     rows = table(spark, d, "pages").select("page_id", pages.main_text(col("html")).alias("shown"))
     return rows.select("page_id", F.length("shown").alias("chars"), pages.looks_like_posting(col("shown")).alias("like_posting"))
@@ -88,6 +84,5 @@ QUERIES = {
     "stream_first_seen": (stream_first_seen, "SELECT DISTINCT user_id FROM events"),
     "stream_near_duplicates": (stream_near_duplicates, None),
     "feed_postings": (feed_postings, FEED_POSTINGS),
-    "page_routes": (page_routes, "SELECT 'skipped' AS route, 'Page does not look like a single job posting' AS note, count(*) AS n FROM pages"),
     "page_texts": (page_texts, None),
 }

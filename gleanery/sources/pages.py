@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleanery.config import DEFAULT, Config
-from gleanery.functions import classify, text, urls
+from gleanery.functions import classify, money, text, urls
 from gleanery.functions.dates import parsed
 from gleanery.operators import rules
 from gleanery.sources.feeds import either, filled
@@ -21,7 +21,8 @@ HIDDEN = r"(?is)<(script|style|noscript|svg|nav|footer|header|aside|form|iframe)
 
 def as_list(json: Column) -> Column:
     """The elements of a JSON list as JSON texts; one element for anything else; none for null."""
-    return F.from_json(F.when(json.startswith("["), json).otherwise(F.concat(F.lit("["), json, F.lit("]"))), "array<string>")
+    listed = F.from_json(F.when(json.startswith("["), json).otherwise(F.concat(F.lit("["), json, F.lit("]"))), "array<string>")
+    return F.when(json.rlike(r"^[\[{]"), listed).when(json.isNotNull(), F.array(json))
 
 
 def jsonld(html: Column) -> Column:
@@ -80,15 +81,14 @@ def from_jsonld(pages: DataFrame, source: str = "web", most: int = 5) -> DataFra
 def main_text(html: Column, limit: int = 15_000) -> Column:
     """Visible text of the main part of a page."""
     bare = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, " ")
-    inner = lambda tag: filled(F.regexp_extract(bare, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}\s*>", 1))
-    return F.substring(text.html_to_text(F.coalesce(inner("main"), inner("article"), inner("body"), bare)), 1, limit)
+    inner = lambda b, tag: filled(F.regexp_extract(b, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}\s*>", 1))
+    return F.substring(text.html_to_text(text.let(bare, lambda b: F.coalesce(inner(b, "main"), inner(b, "article"), inner(b, "body"), b))), 1, limit)
 
 
 def looks_like_posting(shown: Column) -> Column:
     """Two of the phrases at least, and a length that fits."""
-    low = F.lower(shown)
-    found = sum((low.contains(p).cast("int") for p in INDICATORS), F.lit(0))
-    return (found >= 2) & F.length(shown).between(500, 60_000)
+    count = lambda low: sum((low.contains(p).cast("int") for p in INDICATORS), F.lit(0))
+    return text.let(shown, lambda s: (text.let(F.lower(s), count) >= 2) & F.length(s).between(500, 60_000))
 
 
 def board_links(pages: DataFrame, most: int = 20) -> DataFrame:
@@ -111,8 +111,9 @@ def routed(pages: DataFrame, extractor: bool = True) -> DataFrame:
 
 def enriched(postings: DataFrame, pages: DataFrame) -> DataFrame:
     """Postings with the longer description of their page: structured data first, else a text that looks like one."""
-    rows = pages.select(urls.canonical(col("url")).alias("_key"), F.get(jsonld(col("html")), F.lit(0)).alias("n"), main_text(col("html")).alias("shown"))
-    found = F.when(col("n").isNotNull(), text.html_to_text(F.get_json_object("n", "$.description"))).when(looks_like_posting(col("shown")), col("shown"))
+    rows = pages.select(urls.canonical(col("url")).alias("_key"), F.get(jsonld(col("html")), F.lit(0)).alias("n"), "html")
+    visible = text.let(main_text(col("html")), lambda s: F.when(looks_like_posting(s), s))
+    found = F.when(col("n").isNotNull(), text.html_to_text(F.get_json_object("n", "$.description"))).otherwise(visible)
     rows = rows.select("_key", found.alias("_new")).where("_new is not null").groupBy("_key").agg(F.max_by("_new", F.length("_new")).alias("_new"))
     out = postings.withColumn("_key", urls.canonical(col("source_url"))).join(rows, "_key", "left")
     better = F.length(F.coalesce("_new", F.lit(""))) > F.length(F.coalesce("description", F.lit("")))
@@ -150,10 +151,17 @@ def board_pages(entries: DataFrame, now: Column, most: int, most_days: int = 30,
 
 
 def from_extraction(rows: DataFrame) -> DataFrame:
-    """Extracted rows (url, title, company, salary_text, posted_date, ...) as raw posting fields."""
-    return rows.select(F.lit("web").alias("source"), col("url").alias("source_url"), "title", col("company").alias("company_name"), "salary_text", parsed(col("posted_date")).alias("posted_at"))
+    """Postings of extracted rows (url, is_job_posting, title, company_name, company_website, location_text,
+    remote_type, employment_type, salary_text, text, apply_url, apply_email, posted_date): the page's text is the
+    description, the pay is read from its wording. Rows that are no posting, or have no title, are left out."""
+    rows = rows.where(col("is_job_posting") & (F.trim("title") != "")).withColumn("_pay", money.salary(col("salary_text")))
+    return rows.select(
+        F.lit("web").alias("source"), col("url").alias("source_url"), F.substring(F.trim("title"), 1, 300).alias("title"), F.substring(F.trim("company_name"), 1, 200).alias("company_name"), "company_website", "location_text",
+        "remote_type", "employment_type", "salary_text", col("_pay.min").alias("salary_min"), col("_pay.max").alias("salary_max"), col("_pay.currency").alias("salary_currency"), col("_pay.period").alias("salary_period"),
+        F.substring(F.coalesce("text", F.lit("")), 1, 30_000).alias("description"), either(col("apply_url"), col("url")).alias("apply_url"), "apply_email", parsed(col("posted_date")).alias("posted_at"))
 
 
 def lead_links(rows: DataFrame) -> DataFrame:
-    """Leads (url, title, company, location, why) as links with one snippet."""
+    """Leads (url, title, company, location, why) with a web address as links with one snippet."""
+    rows = rows.where(col("url").startswith("http"))
     return rows.select("url", F.lit("ai_discovery").alias("via"), "title", F.concat_ws(" | ", *[filled(col(c)) for c in ("company", "location", "why")]).alias("snippet"))
