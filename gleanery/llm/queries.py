@@ -57,7 +57,8 @@ SELECT doc_id, array_to_string(rest, chr(10)) AS text, CAST(len(lines) AS BIGINT
 """
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.weigh(table(spark, sf_dir, "documents"), budget=mixing.BUDGET)
+    """Shares of sources and languages as in `mixing.TARGETS`, topics by clusters."""
+    rows = mixing.mix_weights(table(spark, sf_dir, "documents"), drop=("text",))
     return rows.select("doc_id", "source", "lang", F.element_at(F.split("cell", "\x1f"), 3).alias("topic"), "n_tokens", "factor", "probability", "weight", "sampled")
 
 
@@ -101,7 +102,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def license_sql() -> str:
-    """SQL counts words and overlaps of every line with every template."""
+    """SQL counts the words of each template in each block of a text that has enough of them at all."""
     not_word = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     words = lambda x: f"list_filter(string_split_regex({x}, '{not_word}'), lambda w: w <> '')"
     starts, base = [], []
@@ -111,18 +112,23 @@ def license_sql() -> str:
         starts.append(f"list_filter(range(0, len(words) - {len(parts) - 1}), lambda i: {here})")
         base.append(f"CASE WHEN len(places[{len(base) + 1}]) > 0 THEN '{label}' END")
     templates = []
-    for label, text in license_scan.TEMPLATES:
-        own = sorted(set(license_scan.words_of(text)))
-        templates.append(f"('{label}', {own}, {license_scan.needed(len(own), license_scan.THRESHOLD)})")
+    for i, (label, text) in enumerate(license_scan.TEMPLATES):
+        listed = [w.decode() for w in license_scan.words_of(text)]
+        own, at = sorted(set(listed)), license_scan.THRESHOLD
+        templates.append(f"({i}, '{label}', {own}, {license_scan.needed(len(own), at)}, {license_scan.block_words(len(listed), at)})")
     return f"""
 WITH d AS (SELECT doc_id, {LOWER_SQL.format('text')} AS low FROM documents),
 w AS (SELECT doc_id, {words('low')} AS words FROM d),
 s AS (SELECT doc_id, len(words) AS n_words, [{', '.join(starts)}] AS places FROM w),
 b AS (SELECT doc_id, n_words, flatten(places) AS places, list_filter([{', '.join(base)}], lambda x: x IS NOT NULL) AS base FROM s),
-t AS (SELECT * FROM (VALUES {', '.join(templates)}) v(label, own, need)),
-l AS (SELECT doc_id, list_distinct({words('line')}) AS line FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM d)),
-m AS (SELECT doc_id, list(DISTINCT label) AS found, max(len(list_intersect(line, own)) / len(own)) AS score
-  FROM l JOIN t ON len(list_intersect(line, own)) >= need GROUP BY doc_id)
+t AS (SELECT * FROM (VALUES {', '.join(templates)}) v(tid, label, own, need, block)),
+c AS (SELECT doc_id, words, tid, label, own, need, block FROM w JOIN t ON len(list_intersect(list_distinct(words), own)) >= need),
+p AS (SELECT doc_id, tid, label, own, need, block, unnest(words) AS word, unnest(range(len(words))) AS at FROM c),
+h AS (SELECT * FROM p WHERE list_contains(own, word)),
+o AS (SELECT x.doc_id, x.label, count(DISTINCT y.word) / len(x.own) AS share
+  FROM h x JOIN h y ON x.doc_id = y.doc_id AND x.tid = y.tid AND y.at BETWEEN x.at AND x.at + x.block - 1
+  GROUP BY x.doc_id, x.tid, x.label, x.own, x.need, x.at HAVING count(DISTINCT y.word) >= x.need),
+m AS (SELECT doc_id, list(DISTINCT label) AS found, max(share) AS score FROM o GROUP BY doc_id)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, CAST(list_min(places) AS BIGINT) AS first_word, CAST(list_max(places) AS BIGINT) AS last_word,
        array_to_string(list_sort(base), ',') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(base, coalesce(found, [])))), ',') AS labels, coalesce(score, 0.0) AS score

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleanery.llm import decontaminate, language_id, mixing
+from gleanery.llm import decontaminate, language_id, mixing, topics
 
 
 def brute_align(item, passage):
@@ -176,6 +176,58 @@ def test_a_rare_cell_does_not_set_the_sample(spark, budget):
         assert abs(have.get(c, 0) - budget * want[c] * n) < 0.06 * budget * total
 
 
+def test_topics_are_clusters_and_rare_ones_gain(spark):
+    rng = random.Random(31)
+    fields = {t: [f"{t}{i}" for i in range(40)] for t in ("sea", "law", "oven")}
+    rows = []
+    for i in range(900):
+        topic = "sea" if i % 10 < 7 else "law" if i % 10 < 9 else "oven"
+        rows.append((i, " ".join(rng.choices(fields[topic], k=30)), "en", f"src{i % 4}", topic))
+    rows += [(1000, None, "en", "b", ""), (1001, " ", None, None, ""), (1002, "", "en", "b", "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string")
+    placed = topics.assign(df, "found", topics=3).collect()
+    assert [tuple(r)[:5] for r in sorted(placed, key=lambda r: r.doc_id)] == rows
+    groups = {}
+    for r in placed:
+        groups.setdefault(r.topic, set()).add(r.found)
+    assert groups.pop("") == {topics.NONE} and len(set.union(*groups.values())) == 3 and all(len(g) == 1 for g in groups.values())
+    got = mixing.mix_weights(df, clusters=3).collect()
+    mass, plain = {}, {}
+    n, _, _, chance, _ = mixing.names(df)
+    for r in got:
+        mass[r.topic] = mass.get(r.topic, 0) + r[n] * r[chance] * r[mixing.weight_name(df)]
+        plain[r.topic] = plain.get(r.topic, 0) + r[n]
+    assert mass["oven"] / plain["oven"] > 1.5 * mass["sea"] / plain["sea"]
+    kept = mixing.mix(df)
+    assert kept.columns == [*df.columns, n, "weight"] and 0 < kept.count() <= len(rows)
+    assert topics.assign(df.limit(0), "found").count() == 0 and mixing.mix(df.limit(0)).count() == 0
+
+
+def test_tempered_topics_agree_with_languages():
+    rng = random.Random(5)
+    cells = {(s, l, f"t{k}"): rng.randrange(1, 1000) for s in "a*" for l in ("en", "fr", "*") for k in range(6) if l != "fr" or k < 2}
+    language = {"en": 0.5, "fr": 0.4, "*": 0.1}
+    targets = [{"a": 0.3, "*": 0.7}, language, mixing.tempered(cells, language)]
+    factor = mixing.rake(cells, targets)
+    assert all(abs(want - have) < 1e-6 for _, _, want, have in mixing.reached(cells, factor, targets))
+
+
+def test_margins_report_and_a_target_that_cannot_be_met(spark):
+    rows = [(i, "w " * 10, "en" if i % 3 else "fr", "a" if i % 3 else "b") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    ask = lambda x: {"source": {"a": x, "b": 1 - x}, "lang": {"en": 0.5, "fr": 0.5}, "topic": {"prose": 1.0}}
+    got = {(r.dimension, r.value): (r.target, r.reached) for r in mixing.margins(df, ask(0.5)).collect()}
+    assert all(abs(a - b) < 1e-6 for a, b in got.values()) and got[("lang", "fr")][0] == 0.5
+    with pytest.warns(UserWarning, match="off by"):
+        assert any(abs(r.target - r.reached) > 0.1 for r in mixing.margins(df, ask(0.9)).collect())
+
+
+def test_forms_of_texts(spark):
+    texts = ["a | b\nc | d", "x\ty\n1\t2", "Plain words, with marks (and \"quotes\").", "w ### w", "if (a[i] == b) { return c->d; }", None, "", "one line\nof | many\nlines here\nand more", "Überraschung für Élodie"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(mixing.topic_of(F.col("text")).alias("t")).collect()
+    assert [r.t for r in rows] == ["table", "table", "prose", "symbols", "symbols", "prose", "prose", "prose", "prose"]
+
+
 WORDS = {
     "en": "the of and to in is that with for was".split(),
     "fr": "le la les des une dans pour qui est avec".split(),

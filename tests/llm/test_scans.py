@@ -319,29 +319,51 @@ def test_line_dedup(spark, limit):
 
 
 def brute_license(text, threshold):
-    low = (text or "").encode().lower().decode()
-    words = license_scan.words_of(low)
+    low = (text or "").encode().lower()
+    words = license_scan.words_of(low.decode())
     places, base, found, score = [], set(), set(), 0.0
     for phrase, label in license_scan.PHRASES.items():
-        p = phrase.split()
+        p = phrase.encode().split()
         at = [i for i in range(len(words)) if words[i : i + len(p)] == p]
         places += at
         base |= {label} if at else set()
-    for line in low.split("\n"):
-        have = set(license_scan.words_of(line))
-        for label, template in license_scan.TEMPLATES:
-            t = set(license_scan.words_of(template))
-            share = len(t & have) / len(t)
-            if share >= threshold - 1e-9:
-                found.add(label)
-                score = max(score, share)
+    for label, template in license_scan.TEMPLATES:
+        listed = license_scan.words_of(template)
+        t, size = set(listed), license_scan.block_words(len(listed), threshold)
+        if len(t & set(words)) < threshold * len(t) - 1e-9:
+            continue
+        share = max(len(t & set(words[i : i + size])) for i in range(max(1, len(words) - size + 1))) / len(t)
+        if share >= threshold - 1e-9:
+            found.add(label)
+            score = max(score, share)
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | found)), score
 
 
+def test_notices_are_found_however_they_are_wrapped(spark):
+    rng = random.Random(8)
+    fill = " ".join(f"w{rng.randrange(900)}" for _ in range(400))
+    rows = []
+    for label, text in license_scan.TEMPLATES:
+        for width, mark in ((40, "# "), (72, " * "), (10_000, "")):
+            lines, line = [], ""
+            for w in text.split():
+                if len(line) + len(w) > width:
+                    lines.append(mark + line)
+                    line = ""
+                line += w + " "
+            rows.append((len(rows), f"{fill}\n" + "\n".join([*lines, mark + line]) + f"\n{fill}", label))
+    scattered = " ".join(f"{w} {fill}" for w in "Released under the MIT License".split())
+    rows.append((len(rows), scattered, ""))
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, label string")).collect()}
+    for i, _, label in rows[:-1]:
+        assert label in got[i].labels.split(",") and got[i].score == 1.0
+    assert (got[len(rows) - 1].labels, got[len(rows) - 1].score) == ("", 0.0)
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.9])
 def test_license_join_is_exact(spark, threshold):
     rng = random.Random(6)
-    vocabulary = sorted({w for _, t in license_scan.TEMPLATES for w in license_scan.words_of(t)}) + ["É", "x"]
+    vocabulary = sorted({w.decode() for _, t in license_scan.TEMPLATES for w in license_scan.words_of(t)}) + ["É", "x"]
     texts = []
     for _ in range(300):
         lines = []
