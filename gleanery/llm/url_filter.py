@@ -130,5 +130,6 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", ranges: int
                     out.append((page_id, host, path, *(sweep.judge(key, path) or (None, default))))
             yield table_of(out, ["page_id", "host", "path", "rule", "verdict"], [pa.int64(), *[pa.string()] * 4])
 
-    ordered = both.repartition(n, "part").sortWithinPartitions("part", "key", "kind")
+    # a partition for each range, by its number
+    ordered = both.repartitionById(n, F.col("part")).sortWithinPartitions("part", "key", "kind")
     return ordered.mapInArrow(swept, "page_id long, host string, path string, rule string, verdict string")
