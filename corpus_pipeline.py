@@ -2,6 +2,12 @@
 
 Each stage gets the documents that its predecessor kept and returns those that stay, all columns of
 `documents`; the last adds each document's tokens and weight. `run` applies the stages to `documents`.
+
+Defined cases. A null or empty text, or one without letters, is rejected by the language stage. Stages drop
+rows, not ids: a clean row stays beside a bad one with its doc_id, and a null doc_id is an id like any other,
+but for copies, where it stays only if all rows of its text have none. Repeated rows are copies. Null
+languages and sources count as undeclared and as one host. An empty table gives an empty one. Extra columns,
+whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -34,8 +40,8 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample at the target shares."""
-    return mixing.sample(docs)
+    """A sample at the target shares of sources, languages and topics."""
+    return mixing.mix(docs)
 
 
 STAGES = [("language", language), ("exact_dedup", exact), ("simhash_dedup", near), ("decontaminate", leaks), ("mixing", mix)]
