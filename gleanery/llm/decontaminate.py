@@ -28,6 +28,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -44,10 +45,11 @@ MIN_SCORE = 0.5
 LOCAL_WORDS = 20
 LOCAL_BITS = 80.0
 #: Words of a block of items, and distinct words counted in one pass (8 bytes each in every task).
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 2_000_000
 VOCABULARY = 8_000_000
-#: Distinct words that a task holds as text.
+#: Distinct words that a task holds as text, and words of texts that it takes at a time (or one text).
 HELD_WORDS = 500_000
+CHUNK_WORDS = 500_000
 WORD = re.compile(r"[^\W_]+")
 ODD = np.uint64(0x9E3779B97F4A7C15)
 OUT = "doc_id long, key long, item_id long, score double, first_word long, last_word long"
@@ -183,23 +185,6 @@ def seeds_of(ids: np.ndarray, bits: np.ndarray, least: float) -> dict[int, np.nd
     return out
 
 
-class Numbers(dict):
-    """The numbers from 1 of known words, 0 for others; remembers the words that it has met."""
-
-    def __init__(self, known: np.ndarray):
-        super().__init__()
-        self.known = known
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= HELD_WORDS:
-            self.clear()
-        number = self[word] = int(places(self.known, np.array([number_of(word)]))[0]) + 1
-        return number
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-
 class Seeds:
     """The seeds of a block of items: sorted codes, the items of each, and how far around it to look."""
 
@@ -214,25 +199,32 @@ class Seeds:
         self.reach = np.maximum.reduceat(np.array([len(x) for x in items])[self.items], self.start)
         self.end = np.append(self.start[1:], len(self.items))
 
-    def passages(self, ids: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(first word, last word + 1, items) of the passages of a text that hold seeds."""
-        spots, sizes, seeds = [], [], []
+    def passages(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(number of the text, first word, words, items) of the passages that hold seeds. The texts are taken as
+        one array, with a word of no item between them."""
+        sizes = np.array([len(x) for x in texts], np.int64)
+        start = np.cumsum(sizes + 1) - sizes - 1
+        gap = np.zeros(1, np.int64)
+        ids = np.concatenate([y for x in texts for y in (x, gap)]) if texts else gap
+        spots, lengths, seeds = [], [], []
         for size in self.sizes:
             at, codes = grams(ids, size)
             seed = places(self.codes, codes)
             hit = seed >= 0
             spots.append(at[hit])
-            sizes.append(np.full(int(hit.sum()), size))
+            lengths.append(np.full(int(hit.sum()), size))
             seeds.append(seed[hit])
-        spot, size, seed = map(np.concatenate, (spots, sizes, seeds))
+        spot, length, seed = map(np.concatenate, (spots, lengths, seeds))
         if not len(spot):
             return
-        lo, hi = np.maximum(0, spot - self.reach[seed]), np.minimum(len(ids), spot + size + self.reach[seed])
+        text = np.searchsorted(start, spot, "right") - 1
+        lo, hi = np.maximum(start[text], spot - self.reach[seed]), np.minimum(start[text] + sizes[text], spot + length + self.reach[seed])
         order = np.argsort(lo, kind="stable")
-        lo, hi, seed = lo[order], np.maximum.accumulate(hi[order]), seed[order]
+        lo, hi, seed, text = lo[order], np.maximum.accumulate(hi[order]), seed[order], text[order]
         for run in np.split(np.arange(len(lo)), np.flatnonzero(lo[1:] > hi[:-1]) + 1):
             near = np.unique(np.concatenate([self.items[self.start[s] : self.end[s]] for s in np.unique(seed[run])]))
-            yield int(lo[run[0]]), int(hi[run[-1]]), near
+            first = run[0]
+            yield int(text[first]), int(lo[first] - start[text[first]]), ids[lo[first] : hi[run[-1]]], near
 
 
 def block_pairs(docs: DataFrame, items: list[tuple[int, list[str]]], counts: DataFrame, total: int, min_score: float, local_words: int) -> DataFrame:
@@ -246,18 +238,23 @@ def block_pairs(docs: DataFrame, items: list[tuple[int, list[str]]], counts: Dat
     n[places(known, held["word"].to_numpy(np.int64))] = held["n"].to_numpy()
     weights = np.concatenate([[0.0], np.log2((total + 1) / (n + 0.5))])  # by word number; 0 is no word of an item
     numbered = [places(known, numbers_of(words)) + 1 for _, words in items]
+    number = {w: int(n) for (_, words), ids in zip(items, numbered) for w, n in zip(words, ids)}
     seeds = Seeds(numbered, weights, min(SEED_BITS, math.log2(total + 2)))
 
     kinds = {"doc_id": pa.int64(), "key": pa.int64(), "at": pa.int64(), "words": pa.list_(pa.int64()), "items": pa.list_(pa.int64())}
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(known)
         for batch in batches:
-            out = []
-            for doc_id, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "text"))):
-                ids = numbers.of(words_of(text))
-                out += [(doc_id, key, lo, ids[lo:hi].tolist(), near.tolist()) for lo, hi, near in seeds.passages(ids)]
-            yield arrow(out, kinds)
+            doc_ids, keys, texts = (batch.column(c).to_pylist() for c in ("doc_id", "key", "text"))
+            at = 0
+            while at < len(texts):
+                held, size, first = [], 0, at
+                while at < len(texts) and size < CHUNK_WORDS:
+                    held.append(np.array(list(map(number.get, words_of(texts[at]), repeat(0))), np.int64))
+                    size += len(held[-1])
+                    at += 1
+                found = seeds.passages(held)
+                yield arrow([(doc_ids[first + i], keys[first + i], lo, words.tolist(), near.tolist()) for i, lo, words, near in found], kinds)
 
     rows = docs.select(F.col("doc_id").cast("long"), row_keys(F.col("text"))[1].alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     found = cut(rows.mapInArrow(passages, "doc_id long, key long, at long, words array<long>, items array<long>"), "passages")
