@@ -30,10 +30,10 @@ def work_mode(*folded: Column) -> Column:
     return first_match(F.concat_ws(" ", *folded), MODES, "unknown")
 
 
-def work_mode_or(first: list[Column], second: Column) -> Column:
+def work_mode_or(first: list[Column], second: Column, start: int = 2000) -> Column:
     """From the first texts, else from the start of the second."""
     found = work_mode(*first)
-    return F.when(found != "unknown", found).otherwise(work_mode(F.substring(second, 1, 2000)))
+    return F.when(found != "unknown", found).otherwise(work_mode(F.substring(second, 1, start)))
 
 
 def employment(folded: Column) -> Column:

@@ -20,18 +20,22 @@ LEADERS = 200
 
 
 def similarity(a: str, b: str) -> float:
-    """As functions.text.title_similarity, for two titles within a task."""
+    """As functions.text.title_similarity, for two titles within a task: the bits of one number are the row of
+    the table of common subsequences, a step for each letter of the other title."""
     x, y = " ".join(sorted(a.split())), " ".join(sorted(b.split()))
     if not x and not y:
         return 100.0
-    row = [0] * (len(y) + 1)
-    for c in x:
-        diagonal = 0
-        for j, d in enumerate(y):
-            up = row[j + 1]
-            row[j + 1] = diagonal + 1 if c == d else max(up, row[j])
-            diagonal = up
-    return 200.0 * row[-1] / (len(x) + len(y))
+    if x == y:
+        return 100.0
+    where: dict[str, int] = {}
+    for i, c in enumerate(x):
+        where[c] = where.get(c, 0) | 1 << i
+    full = (1 << len(x)) - 1
+    row = full
+    for c in y:
+        hit = row & where.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return 200.0 * (len(x) - row.bit_count()) / (len(x) + len(y))
 
 
 class Leaders:
@@ -115,12 +119,6 @@ def exact(incoming: DataFrame) -> DataFrame:
     return seen.select("first.*", "last_seen_hour", "sightings")
 
 
-def marked_first(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with `_first`: whether the row has the smallest id of its key."""
-    least = rows.groupBy(*keys).agg(F.min("id").alias("_least"))
-    return rows.join(least, keys).withColumn("_first", col("id") == col("_least")).drop("_least")
-
-
 BINARY = r"(?i)\.(?:pdf|docx?|pptx?|xlsx?|png|jpe?g|gif|zip|mp4)(?:\?|$)"
 
 
@@ -133,24 +131,27 @@ def link_outcomes(links: DataFrame, boards: DataFrame, known_urls: DataFrame, cf
     lead, url_known, page_queued, page_deferred.
 
     boards (provider, slug) and known_urls (url_hash) are what is stored. Within the links the first of a
-    board or page (by id) is new, later ones are known. Pages are queued within the caps of their run."""
+    board or page (by id) is new, later ones are known. Pages are queued within the caps of their run. The
+    links meet one table of boards and one of pages, both aggregated before."""
     url = F.trim("url")
-    rows = links.withColumn("url", url).withColumns({"_valid": valid_link(url), "_board": urls.board(url), "_key": urls.url_key(url)})
-    rows = rows.withColumns({"_provider": col("_board.provider"), "_slug": col("_board.slug"), "_lead": urls.on_domains(urls.host(col("url")), cfg.no_fetch_domains)})
-    boarded = rows.where("_valid and _board is not null")
-    stored_boards = boards.select(col("provider").alias("_provider"), col("slug").alias("_slug"), F.lit(True).alias("_stored")).distinct()
-    boarded = marked_first(boarded, ["_provider", "_slug"]).join(stored_boards, ["_provider", "_slug"], "left")
-    boarded = boarded.withColumn("outcome", F.when(F.lit(not auto_discover), "board_ignored").when(col("_stored").isNotNull() | ~col("_first"), "board_known").otherwise("board_new"))
-    plain = rows.where("_valid and _board is null")
-    leads = plain.where("_lead").withColumn("outcome", F.lit("lead"))
-    stored_urls = known_urls.select(col("url_hash").alias("_key"), F.lit(True).alias("_stored")).distinct()
-    pages = marked_first(plain.where("not _lead"), ["_key"]).join(stored_urls, "_key", "left")
-    fresh = capped(pages.where("_stored is null and _first").withColumn("kind", F.lit("page")), "run_id", [col("id")], cfg.max_tasks_per_run, {"page": cfg.max_pages_per_run})
-    fresh = fresh.withColumn("outcome", F.when(col("admitted"), "page_queued").otherwise("page_deferred"))
-    seen = pages.where("_stored is not null or not _first").withColumn("outcome", F.lit("url_known"))
-    invalid = rows.where("not coalesce(_valid, false)").withColumn("outcome", F.lit("invalid"))
-    keep = [*links.columns, "outcome"]
-    out = invalid.select(keep)
-    for part in (boarded, leads, fresh, seen):
-        out = out.unionByName(part.select(keep))
-    return out
+    rows = links.withColumn("url", url).withColumns({"_valid": F.coalesce(valid_link(url), F.lit(False)), "_board": urls.board(url), "_key": urls.url_key(url)})
+    lead = urls.on_domains(urls.host(col("url")), cfg.no_fetch_domains)
+    kind = F.when(~col("_valid"), "invalid").when(col("_board").isNotNull(), "board").when(lead, "lead").otherwise("page")
+    rows = rows.withColumns({"_provider": col("_board.provider"), "_slug": col("_board.slug"), "_kind": kind})
+
+    def firsts(what: str, keys: list[str], stored: DataFrame) -> DataFrame:
+        """Each key with the first link that has it and whether it is stored."""
+        seen = rows.where(col("_kind") == what).groupBy(*keys).agg(F.min("id").alias(f"_first_{what}"))
+        return seen.join(stored.distinct().withColumn(f"_stored_{what}", F.lit(True)), keys, "left")
+
+    rows = rows.join(firsts("board", ["_provider", "_slug"], boards.select(col("provider").alias("_provider"), col("slug").alias("_slug"))), ["_provider", "_slug"], "left")
+    rows = rows.join(firsts("page", ["_key"], known_urls.select(col("url_hash").alias("_key"))), "_key", "left")
+    new = lambda what: F.col(f"_stored_{what}").isNull() & (col(f"_first_{what}") == col("id"))
+    board = F.when(F.lit(not auto_discover), "board_ignored").when(new("board"), "board_new").otherwise("board_known")
+    told = F.when(col("_kind") == "board", board).when((col("_kind") == "page") & new("page"), "page").when(col("_kind") == "page", "url_known").otherwise(col("_kind"))
+    rows = rows.withColumn("outcome", told)
+    fresh = rows.where("outcome = 'page'").select("run_id", "id", F.lit("page").alias("kind"))
+    queued = capped(fresh, "run_id", ["id"], cfg.max_tasks_per_run, {"page": cfg.max_pages_per_run}).select("id", "admitted")
+    rows = rows.join(queued, "id", "left")
+    page = F.when(col("admitted"), "page_queued").otherwise("page_deferred")
+    return rows.withColumn("outcome", F.when(col("outcome") == "page", page).otherwise(col("outcome"))).select(*links.columns, "outcome")

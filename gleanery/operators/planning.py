@@ -60,3 +60,9 @@ def plan(feeds: DataFrame, board_rows: DataFrame, pairs: DataFrame, pages: DataF
 
 def page_tasks(links: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return links.select("id", page_source(col("via")).alias("source"), page_label(col("url")).alias("label"))
+
+
+def materials_queue(postings: DataFrame, size: int, least: int = 85) -> DataFrame:
+    """The best matches that can be applied to and have no materials yet."""
+    fit = col("recommendation").isin("auto_apply_candidate", "manual_apply") & (col("match_score") >= least) & ~col("review_status").isin("rejected", "dismissed", "applied")
+    return postings.where(fit & (col("materials_status") == "none")).orderBy(F.desc("match_score"), "id").limit(size)

@@ -65,6 +65,33 @@ def retained(postings: DataFrame, now_hour: int, days: int = 14) -> DataFrame:
     return postings.where((col("first_seen_hour") >= now_hour - 24 * days) | col("review_status").isin(PROTECTED))
 
 
+def retained_tasks(tasks: DataFrame, now_hour: int, days: int = 14) -> DataFrame:
+    return tasks.where(col("created_hour") >= now_hour - 24 * days)
+
+
+def retained_links(links: DataFrame, now_hour: int, days: int = 14) -> DataFrame:
+    """Without old addresses, but for leads."""
+    return links.where((col("seen_hour") >= now_hour - 24 * days) | (col("status") == "lead_only"))
+
+
+def retained_runs(runs: DataFrame, now_hour: int, days: int = 30) -> DataFrame:
+    return runs.where(col("started_hour") >= now_hour - 24 * days)
+
+
+def application_updates(applications: DataFrame, changes: DataFrame) -> DataFrame:
+    """applications after changes (id, status, notes, at_hour) in order of time: what a change leaves null stays."""
+    filled = lambda c: F.max_by(c, F.when(col(c).isNotNull(), col("at_hour"))).alias(f"_{c}")
+    last = changes.groupBy("id").agg(filled("status"), filled("notes"), F.max("at_hour").alias("_at"))
+    out = applications.join(last, "id", "left")
+    return out.withColumns({"status": F.coalesce("_status", "status"), "notes": F.coalesce("_notes", "notes"), "updated_hour": F.coalesce("_at", "updated_hour")}).drop("_status", "_notes", "_at")
+
+
+def board_upserts(boards: DataFrame, seeds: DataFrame) -> DataFrame:
+    """boards and the configured seeds (provider, slug) that aren't stored yet; stored ones stay as they are."""
+    fresh = seeds.select("provider", "slug").distinct().join(boards.select("provider", "slug"), ["provider", "slug"], "left_anti")
+    return boards.unionByName(fresh, allowMissingColumns=True)
+
+
 #: What a person's decision makes of the review state; reopening goes by the recommendation.
 DECISIONS = {"approve": "approved", "reject": "rejected", "dismiss": "dismissed"}
 REOPENED = {"auto_apply_candidate": "auto_apply_disabled", "manual_apply": "ready_to_apply", "approval_required": "pending_approval"}
@@ -106,6 +133,11 @@ def prescored(postings: DataFrame, scores: DataFrame, statuses: tuple[str, ...]
     return out.withColumn("prescore", F.when(fill, col("_score")).otherwise(col("prescore"))).drop("_score")
 
 
+def slotted(claimed: DataFrame, slots: int) -> DataFrame:
+    """claimed rows (with `place`, their order of claim from 1) with `analysed`: the first ones get the slots."""
+    return claimed.withColumn("analysed", col("place") <= slots)
+
+
 def awaiting(postings: DataFrame, deferred: DataFrame) -> DataFrame:
     """Postings whose analysis was put off wait for it; the reason is kept."""
     out = postings.join(deferred.select("id", col("reason").alias("_reason")), "id", "left")

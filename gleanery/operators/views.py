@@ -64,6 +64,22 @@ def claim(postings: DataFrame, run_id: int, size: int) -> DataFrame:
     return postings.where(claimable(run_id)).orderBy(*best).limit(size)
 
 
+def claimed(postings: DataFrame, run_id: int, size: int) -> DataFrame:
+    """`claim` with the place of each row. The batch is bounded, so its order fits one window."""
+    best = [F.coalesce("prescore", F.lit(40)).desc(), F.desc_nulls_last("posted_hour"), F.desc("first_seen_hour"), F.asc("id")]
+    return claim(postings, run_id, size).withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*best)))
+
+
+def active_run(runs: DataFrame) -> DataFrame:
+    """The newest running run, else the newest."""
+    return runs.orderBy((col("status") == "running").desc(), F.desc("id")).limit(1)
+
+
+def current_task(tasks: DataFrame, run_id: int) -> DataFrame:
+    """The running task of a run that started first."""
+    return tasks.where((col("run_id") == run_id) & (col("status") == "running")).orderBy("created_hour", "id").limit(1)
+
+
 def auto_apply_blockers(cfg: Config = DEFAULT, submitter: bool = False) -> Column:
     """Why a posting cannot be applied to automatically. Needs the columns recommendation, match_score,
     eligibility, legitimacy_verdict, apply_method, apply_email, materials_verified, prior_application."""
@@ -81,14 +97,17 @@ def auto_apply_blockers(cfg: Config = DEFAULT, submitter: bool = False) -> Colum
     ))
 
 
-def capped(items: DataFrame, group: str, order: list[Column], total: int, per_kind: dict[str, int]) -> DataFrame:
+def capped(items: DataFrame, group: str, order: list[str], total: int, per_kind: dict[str, int]) -> DataFrame:
     """items with `admitted`: within the total of their group first, then within their kind's cap.
 
-    Windows are by group (a run): the caps bound what a run is given, and a run's items arrive in order."""
-    rank = F.row_number().over(W.partitionBy(group).orderBy(*order))
-    kinds = F.row_number().over(W.partitionBy(group, "kind").orderBy(*order))
+    order: columns by which a group's items come; together they must tell them apart. Only the first `total`
+    items of each group are ever ranked: the caps bound them, and each partition finds its own first."""
     cap = F.coalesce(*[F.when(col("kind") == k, F.lit(v)) for k, v in per_kind.items()], F.lit(total))
-    return items.withColumn("admitted", (rank <= total) & (kinds <= cap))
+    first = W.partitionBy(group).orderBy(*order)
+    head = items.select(group, "kind", *order).withColumn("_rank", F.row_number().over(first)).where(col("_rank") <= total)  # a group limit, applied before the shuffle
+    kinds = F.row_number().over(W.partitionBy(group, "kind").orderBy(*order))
+    admitted = head.withColumn("_of_kind", kinds).where(col("_of_kind") <= cap).select(group, *order, F.lit(True).alias("_in"))
+    return items.join(admitted, [group, *order], "left").withColumn("admitted", F.coalesce("_in", F.lit(False))).drop("_in").select(*items.columns, "admitted")
 
 
 def feed(tasks: DataFrame, events: DataFrame, size: int) -> DataFrame:

@@ -226,7 +226,7 @@ def board_plan(spark, d):
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY priority, id) AS n, row_number() OVER (PARTITION BY run_id, kind ORDER BY priority, id) AS k FROM tasks)
  SELECT id, n <= 30 AND k <= CASE kind WHEN 'page' THEN 8 WHEN 'ats_board' THEN 5 ELSE 30 END AS admitted FROM r""", "tasks")
 def capped_tasks(spark, d):
-    return views.capped(derived(spark, d, "tasks"), "run_id", [col("priority"), col("id")], 30, {"page": 8, "ats_board": 5}).select("id", "admitted")
+    return views.capped(derived(spark, d, "tasks"), "run_id", ["priority", "id"], 30, {"page": 8, "ats_board": 5}).select("id", "admitted")
 
 
 @query(f"""SELECT * FROM (SELECT finished_hour AS at_hour, id, CASE status WHEN 'failed' THEN 'task_failed' WHEN 'done' THEN 'task_done' ELSE 'task' END AS label, source AS subject FROM tasks
@@ -269,16 +269,6 @@ def known_postings(spark, d):
     return joins.known(rows.where("id % 2 = 1"), stored).select("id", "known_id")
 
 
-def link_routing(spark, d):
-    links = derived(spark, d, "links")
-    boards = links.where("id % 60 = 0").withColumn("b", urls.board(col("url"))).where("b is not null").select("b.provider", "b.slug")
-    known = links.where("id % 12 = 7 and id % 5 = 0").select(urls.url_key(col("url")).alias("url_hash"))
-    return dedup.link_outcomes(links, boards, known).select("id", "outcome")
-
-
-Q["link_routing"] = (link_routing, None)
-
-
 @query("""WITH r AS (SELECT id, id % 3 = 0 AS ok, id % 11 = 0 AS gone FROM boards WHERE id % 2 = 0)
  SELECT b.id, CAST(CASE WHEN ok THEN 0 WHEN NOT ok THEN failures + 1 ELSE failures END AS INT) AS failures, enabled AND NOT coalesce(gone, false) AS enabled, CASE WHEN r.id IS NOT NULL THEN 494520 ELSE last_fetched_hour END AS last_fetched_hour FROM boards b LEFT JOIN r USING (id)""", "boards")
 def board_health(spark, d):

@@ -88,10 +88,11 @@ def run_tasks(spark, d):
     return derived(spark, d, "tasks").where(col("run_id") == RUN).orderBy("priority", "id").select("id", "kind", "status")
 
 
-@query(f"SELECT id, match_score FROM opportunities WHERE pipeline_status = 'analyzed' AND recommendation IN ('auto_apply_candidate', 'manual_apply') AND match_score >= 85 AND review_status NOT IN ('rejected', 'dismissed', 'applied') ORDER BY match_score DESC, id LIMIT 3", "opportunities")
+@query("SELECT id, match_score FROM opportunities WHERE recommendation IN ('auto_apply_candidate', 'manual_apply') AND match_score >= 85 AND review_status NOT IN ('rejected', 'dismissed', 'applied') AND id % 5 > 0 ORDER BY match_score DESC, id LIMIT 12", "opportunities")
 def materials_queue(spark, d):
-    rows = opps(spark, d).where((col("pipeline_status") == "analyzed") & col("recommendation").isin(views.ACTIONABLE[:2]) & (col("match_score") >= 85) & ~col("review_status").isin("rejected", "dismissed", "applied"))
-    return rows.orderBy(F.desc("match_score"), "id").limit(3).select("id", "match_score")
+    """The best matches without materials; every fifth posting has some."""
+    rows = opps(spark, d).withColumn("materials_status", F.when(col("id") % 5 == 0, "generated").otherwise("none"))
+    return planning.materials_queue(rows, 12).select("id", "match_score")
 
 
 @query("SELECT id, title, source FROM opportunities", "opportunities")

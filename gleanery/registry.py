@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.plans import page_queries, posting_queries, report_queries, run_queries, source_queries, stream_queries
+from gleanery.plans import detail_queries, page_queries, posting_queries, report_queries, run_queries, source_queries, stream_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [page_queries, posting_queries, report_queries, run_queries, source_queries, stream_queries]
+MODULES = [detail_queries, page_queries, posting_queries, report_queries, run_queries, source_queries, stream_queries]
 
 
 def queries() -> dict[str, Query]:

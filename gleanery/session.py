@@ -29,9 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder that all executors share: below spark.checkpoint.dir, else (tests) a temporary one."""
+    """A folder that all executors share: below spark.checkpoint.dir, else a temporary one, for a local master
+    only: the executors of a cluster don't see each other's disks."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="gleanery-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/gleanery-{spark.sparkContext.applicationId}"

@@ -71,7 +71,7 @@ def from_jsonld(pages: DataFrame, source: str = "web", most: int = 5) -> DataFra
         either(g("url"), col("url")).alias("source_url"), parsed(g("datePosted")).alias("posted_at"), parsed(g("validThrough")).alias("expires_at"),
     ).where("title <> ''")
     rows = rows.withColumns({"_t": text.fold(col("title")), "_p": text.fold(col("place")), "_d": text.fold(F.substring("description", 1, 2500)), "_k": text.fold(col("kind"))})
-    told = classify.work_mode_or([col("_t"), col("_p")], col("_d"))
+    told = classify.work_mode_or([col("_t"), col("_p")], col("_d"), 2500)
     rows = rows.withColumn("remote_type", F.when(col("tele"), "remote").otherwise(F.when((told == "unknown") & (col("place") != ""), "onsite").otherwise(told)))
     return rows.select(
         F.lit(source).alias("source"), "source_url", "title", "company_name", "company_website", F.coalesce(filled(col("place")), F.when(col("remote_type") == "remote", "Remote")).alias("location_text"), "location_restrictions",

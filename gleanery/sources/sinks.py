@@ -17,7 +17,7 @@ EXPORT = [
 def export_csv(postings: DataFrame, path: str) -> None:
     """Newest first. Spark sorts by range, so the files in order of their names are the export."""
     columns = [c for c in EXPORT if c in postings.columns]
-    postings.select(*columns).orderBy(F.desc("first_seen_hour"), "id").write.option("header", True).option("escape", '"').csv(path)
+    postings.select(*columns).orderBy(F.desc("first_seen_hour"), "id").write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def event_rows(events: DataFrame) -> DataFrame:

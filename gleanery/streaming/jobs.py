@@ -38,10 +38,14 @@ def near_duplicates(stream: DataFrame, horizon_days: int = 60, least: float = 90
     """(id, duplicate_of) of a stream of postings (id, company_norm, title_norm, first_seen timestamp).
 
     State by company: the leaders within the horizon, LEADERS at most. A row is compared in the order of its
-    micro-batch (first_seen, id)."""
+    micro-batch (first_seen, id). A company without new rows for the length of the horizon loses its state: all
+    its leaders are older by then."""
     horizon = horizon_days * 86_400
 
     def place(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         leaders = list(zip(*state.get)) if state.exists else []  # (id, title, second)
         out = []
         for r in pd.concat(list(batches)).sort_values(["first_seen", "id"]).itertuples(index=False):
@@ -56,13 +60,14 @@ def near_duplicates(stream: DataFrame, horizon_days: int = 60, least: float = 90
             out.append((r.id, original))
         if leaders:
             state.update(tuple(map(list, zip(*leaders))))
+            state.setTimeoutDuration(horizon * 1000)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=["id", "duplicate_of"]).astype({"duplicate_of": "Int64"})
 
     keyed = stream.where("company_norm <> '' and title_norm <> ''").select("id", "company_norm", "title_norm", "first_seen")
     return keyed.groupBy("company_norm").applyInPandasWithState(
-        place, "id long, duplicate_of long", "ids array<long>, titles array<string>, seconds array<long>", "append", GroupStateTimeout.NoTimeout
+        place, "id long, duplicate_of long", "ids array<long>, titles array<string>, seconds array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
