@@ -39,7 +39,7 @@ def near_duplicates(stream: DataFrame, horizon_days: int = 60, least: float = 90
 
     State by company: the leaders within the horizon, LEADERS at most. A row is compared in the order of its
     micro-batch (first_seen, id). A company without new rows for the length of the horizon loses its state: all
-    its leaders are older by then."""
+    its leaders are older by then. Time is that of arrival, so that no row is ever late."""
     horizon = horizon_days * 86_400
 
     def place(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -47,8 +47,9 @@ def near_duplicates(stream: DataFrame, horizon_days: int = 60, least: float = 90
             state.remove()
             return
         leaders = list(zip(*state.get)) if state.exists else []  # (id, title, second)
-        out = []
+        out, arrived = [], 0
         for r in pd.concat(list(batches)).sort_values(["first_seen", "id"]).itertuples(index=False):
+            arrived = int(r.arrived.timestamp() * 1000)
             now = int(r.first_seen.timestamp())
             leaders = [x for x in leaders if x[2] > now - horizon]
             equal = next((x for x in leaders if x[1] == r.title_norm), None)
@@ -60,14 +61,14 @@ def near_duplicates(stream: DataFrame, horizon_days: int = 60, least: float = 90
             out.append((r.id, original))
         if leaders:
             state.update(tuple(map(list, zip(*leaders))))
-            state.setTimeoutDuration(horizon * 1000)
+            state.setTimeoutTimestamp(max(arrived + horizon * 1000, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=["id", "duplicate_of"]).astype({"duplicate_of": "Int64"})
 
-    keyed = stream.where("company_norm <> '' and title_norm <> ''").select("id", "company_norm", "title_norm", "first_seen")
-    return keyed.groupBy("company_norm").applyInPandasWithState(
-        place, "id long, duplicate_of long", "ids array<long>, titles array<string>, seconds array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout
+    keyed = stream.where("company_norm <> '' and title_norm <> ''").select("id", "company_norm", "title_norm", "first_seen", F.current_timestamp().alias("arrived"))
+    return keyed.withWatermark("arrived", "0 seconds").groupBy("company_norm").applyInPandasWithState(
+        place, "id long, duplicate_of long", "ids array<long>, titles array<string>, seconds array<long>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
