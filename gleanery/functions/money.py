@@ -22,6 +22,7 @@ PERIODS = {
 }
 #: months' worth of one period.
 MONTHLY = {"hour": 160.0, "day": 21.67, "week": 4.33, "month": 1.0, "year": 1 / 12}
+#: How pay is written; what is read must agree with it.
 SIGN = r"(?:us\$|[$€£₹]|\brs\.?|\b(?:usd|eur|gbp|inr|npr|aud|cad|sgd|aed)\b)"
 AMOUNT = r"\d[\d,]*(?:\.\d+)?"
 SALARY = rf"(?i)({SIGN})\s*({AMOUNT})\s*(k\b)?(?:\s*(?:-|–|—|to)\s*(?:{SIGN})?\s*({AMOUNT})\s*(k\b)?)?([^\n]{{0,40}})"

@@ -59,6 +59,8 @@ def home_local(place: Column, source: Column, cfg: Config = DEFAULT) -> Column:
     return F.coalesce(source.isin(cfg.local_sources), F.lit(False)) | has_any(place, cfg.home_places)
 
 
+#: The sentences in these rules are results that other systems compare: wordings of relevance, seniority,
+#: eligibility and merged verdicts.
 def relevance(t: Column, description: Column, local: Column, cfg: Config = DEFAULT) -> Column:
     """struct(ok, reason). Only the first excluded term counts, and local postings are let off some."""
     excluded = first_term(t, cfg.exclude_title_terms)

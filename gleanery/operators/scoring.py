@@ -18,6 +18,7 @@ def clamp(c: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce(F.bround(c.cast("double"), 0), F.lit(0)))).cast("int")
 
 
+#: The sentences of points, blockers and decisions in this module are results that other systems compare.
 def compensation(low: Column, high: Column, employment: Column, cfg: Config = DEFAULT) -> Column:
     """struct(score, reasoning)."""
     least, lenient = cfg.min_monthly_pay, employment.isin(cfg.allow_low_pay_for)

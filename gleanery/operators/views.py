@@ -80,6 +80,7 @@ def current_task(tasks: DataFrame, run_id: int) -> DataFrame:
     return tasks.where((col("run_id") == run_id) & (col("status") == "running")).orderBy("created_hour", "id").limit(1)
 
 
+#: The sentences of the blockers are results that other systems compare.
 def auto_apply_blockers(cfg: Config = DEFAULT, submitter: bool = False) -> Column:
     """Why a posting cannot be applied to automatically. Needs the columns recommendation, match_score,
     eligibility, legitimacy_verdict, apply_method, apply_email, materials_verified, prior_application."""

@@ -14,6 +14,7 @@ from gleanery.plans import oracle as o
 from gleanery.plans.derived import NOW_HOUR as NOW
 from gleanery.plans.derived import OPPORTUNITIES, TABLES, derived, pick, with_tables
 from gleanery.plans.page_queries import PAYS
+from gleanery.plans.posting_queries import BOARD
 from gleanery.plans.report_queries import opps
 from gleanery.plans.source_queries import QUERIES as SOURCES
 from gleanery.plans.source_queries import payloads
@@ -321,9 +322,6 @@ def overview_warnings(spark, d) -> DataFrame:
 
 # --- links, claims, sinks ---------------------------------------------------------------------------------------
 
-_BOARD = "CASE WHEN contains(url, 'greenhouse.io/embed') THEN 'greenhouse/' || regexp_extract(url, 'for=([a-z0-9]+)', 1) WHEN contains(url, 'greenhouse.io/') THEN 'greenhouse/' || regexp_extract(url, '//[^/]*/([^/?]*)', 1) WHEN contains(url, 'lever.co/') THEN 'lever/' || regexp_extract(url, '//[^/]*/([^/?]*)', 1) WHEN contains(url, '.recruitee.com') THEN 'recruitee/' || regexp_extract(url, '//([^.]*)', 1) END"
-
-
 def link_parts(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(links, stored boards, stored addresses): boards that some links name, and addresses of others."""
     links = derived(spark, d, "links").withColumn("url", F.when(col("id") % 12 == 7, F.concat(F.lit("https://plain.example.com/"), (col("id") - col("id") % 48).cast("string"))).otherwise(col("url")))
@@ -332,7 +330,7 @@ def link_parts(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 LINK_SQL = f"""WITH l AS (SELECT id, run_id, trim(CASE WHEN id % 12 = 7 THEN concat('https://plain.example.com/', CAST(id - id % 48 AS STRING)) ELSE url END) AS url FROM links),
-b AS (SELECT *, coalesce(starts_with(url, 'http') AND length(url) <= 2000 AND NOT regexp_matches(url, '(?i)\\.(pdf|docx?|pptx?|xlsx?|png|jpe?g|gif|zip|mp4)(\\?|$)'), false) AS fine, {_BOARD} AS board FROM l),
+b AS (SELECT *, coalesce(starts_with(url, 'http') AND length(url) <= 2000 AND NOT regexp_matches(url, '(?i)\\.(pdf|docx?|pptx?|xlsx?|png|jpe?g|gif|zip|mp4)(\\?|$)'), false) AS fine, {BOARD} AS board FROM l),
 k AS (SELECT *, CASE WHEN NOT fine THEN 'invalid' WHEN board IS NOT NULL THEN 'board' WHEN regexp_matches(url, '//(www\\.)?(facebook|instagram)\\.com') THEN 'lead' ELSE 'page' END AS kind, regexp_replace(regexp_replace(regexp_replace(url, '^http:', 'https:'), '//www\\.', '//'), '([^/])/+($|[?#].*$)', '\\1\\2') AS canon FROM b),
 sb AS (SELECT DISTINCT board FROM b WHERE id % 60 = 0 AND board IS NOT NULL), sp AS (SELECT DISTINCT canon FROM k WHERE id % 12 = 7 AND id % 96 < 24),
 f AS (SELECT *, min(id) FILTER (kind = 'board') OVER (PARTITION BY board) AS first_board, min(id) FILTER (kind = 'page') OVER (PARTITION BY canon) AS first_page FROM k),

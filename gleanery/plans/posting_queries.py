@@ -66,9 +66,10 @@ def board_links(spark, sf_dir):
     return rows.select("id", "b.provider", "b.slug", urls.slug_title(col("url")).alias("title"))
 
 
-BOARD_LINKS = """
-SELECT id, CASE WHEN id % 12 IN (0, 6) THEN 'greenhouse' WHEN id % 12 = 1 THEN 'lever' WHEN id % 12 = 5 THEN 'recruitee' END AS provider,
-  CASE id % 12 WHEN 0 THEN concat(CAST(id % 50 AS STRING), 'co') WHEN 1 THEN concat('team', CAST(id % 30 AS STRING)) WHEN 5 THEN concat('company', CAST(id % 20 AS STRING)) WHEN 6 THEN 'acme' END AS slug,
+#: Provider and slug of the hosts that the links name, read from the address.
+BOARD = "CASE WHEN contains(url, 'greenhouse.io/embed') THEN 'greenhouse/' || regexp_extract(url, 'for=([a-z0-9]+)', 1) WHEN contains(url, 'greenhouse.io/') THEN 'greenhouse/' || regexp_extract(url, '//[^/]*/([^/?]*)', 1) WHEN contains(url, 'lever.co/') THEN 'lever/' || regexp_extract(url, '//[^/]*/([^/?]*)', 1) WHEN contains(url, '.recruitee.com') THEN 'recruitee/' || regexp_extract(url, '//([^.]*)', 1) END"
+BOARD_LINKS = f"""
+SELECT id, nullif(split_part({BOARD}, '/', 1), '') AS provider, nullif(split_part({BOARD}, '/', 2), '') AS slug,
   trim(regexp_replace(regexp_replace(list_last(string_split(rtrim(regexp_replace(url, '[?#].*$', ''), '/'), '/')), '-[0-9]+$', ''), '[-_]+', ' ', 'g')) AS title
 FROM links
 """
@@ -79,16 +80,18 @@ def pay_monthly(spark, sf_dir):
     return rows.select("id", "pay.currency", "pay.period", col("pay.min").alias("low"), col("pay.max").alias("high"), "pay_min", "pay_max", money.pay_label(col("pay_min"), col("pay_max")).alias("label"))
 
 
-PAY_MONTHLY = """
-WITH p(pay_text, currency, period, low, high, pay_min, pay_max, label) AS (VALUES
- ('$40k - $60k per year', 'USD', 'year', 40000.0::DOUBLE, 60000.0::DOUBLE, 466667.0::DOUBLE, 700000.0::DOUBLE, 'NPR 466,667-700,000/mo'),
- ('NPR 30,000 - 50,000', 'NPR', 'month', 30000.0, 50000.0, 30000.0, 50000.0, 'NPR 30,000-50,000/mo'),
- ('€25/hour', 'EUR', 'hour', 25.0, NULL, 632000.0, NULL, 'NPR 632,000/mo'),
- ('Rs. 800,000', 'NPR', 'year', 800000.0, NULL, 66667.0, NULL, 'NPR 66,667/mo'),
- ('£1,500 per month', 'GBP', 'month', 1500.0, NULL, 277500.0, NULL, 'NPR 277,500/mo'),
- ('USD 120-150k', 'USD', 'year', 120.0, 150000.0, 1400.0, 1750000.0, 'NPR 1,400-1,750,000/mo'),
- ('₹ 90000 monthly', 'INR', 'month', 90000.0, NULL, 144000.0, NULL, 'NPR 144,000/mo'))
-SELECT id, currency, period, low, high, pay_min, pay_max, coalesce(label, '') AS label FROM opportunities LEFT JOIN p USING (pay_text)
+_PAY = money.SALARY.replace("(?i)", "").replace("'", "''")
+_NUMBER = lambda x, k: f"try_cast(replace(nullif(p.{x}, ''), ',', '') AS DOUBLE) * CASE WHEN {k} THEN 1000 ELSE 1 END"
+_SIGNS = "CASE lower(trim(p.sign)) WHEN '$' THEN 'USD' WHEN 'us$' THEN 'USD' WHEN '€' THEN 'EUR' WHEN '£' THEN 'GBP' WHEN '₹' THEN 'INR' WHEN 'rs' THEN 'NPR' WHEN 'rs.' THEN 'NPR' ELSE upper(p.sign) END"
+_RATE = f"CASE currency {' '.join(f'WHEN {o.q(k)} THEN {v}' for k, v in C.fx.items())} END * CASE period WHEN 'hour' THEN 160.0 WHEN 'day' THEN 21.67 WHEN 'week' THEN 4.33 WHEN 'month' THEN 1.0 WHEN 'year' THEN 1.0 / 12 END"
+PAY_MONTHLY = f"""
+WITH m AS (SELECT id, regexp_extract(lower(coalesce(pay_text, '')), '{_PAY}', ['sign', 'low', 'lk', 'high', 'hk', 'tail']) AS p FROM opportunities),
+n AS (SELECT id, p.tail AS tail, {_SIGNS} AS currency, {_NUMBER('low', "p.lk <> ''")} AS low, {_NUMBER('high', "coalesce(nullif(p.hk, ''), p.lk) <> ''")} AS high FROM m WHERE p.low <> ''),
+g AS (SELECT *, CASE WHEN regexp_matches(tail, 'per hour|/ *hr|/ *hour|hourly') THEN 'hour' WHEN regexp_matches(tail, 'per day|/ *day|daily') THEN 'day' WHEN regexp_matches(tail, 'per week|weekly') THEN 'week' WHEN regexp_matches(tail, 'per month|/ *mo|monthly') THEN 'month' WHEN regexp_matches(tail, 'per year|/ *yr|annual|yearly') THEN 'year'
+  WHEN currency = 'NPR' THEN CASE WHEN coalesce(high, low) >= 600000 THEN 'year' ELSE 'month' END WHEN coalesce(high, low) < 250 THEN 'hour' WHEN coalesce(high, low) < 20000 THEN 'month' ELSE 'year' END AS period FROM n),
+h AS (SELECT *, round_even(low * {_RATE}, 0) AS pay_min, round_even(high * {_RATE}, 0) AS pay_max FROM g)
+SELECT id, currency, period, low, high, pay_min, pay_max, CASE WHEN pay_min IS NULL AND pay_max IS NULL THEN '' WHEN pay_min IS NOT NULL AND pay_max IS NOT NULL AND pay_min <> pay_max THEN format('NPR {{:,}}-{{:,}}/mo', CAST(pay_min AS BIGINT), CAST(pay_max AS BIGINT)) ELSE format('NPR {{:,}}/mo', CAST(coalesce(pay_min, pay_max) AS BIGINT)) END AS label
+FROM (SELECT id FROM opportunities) LEFT JOIN h USING (id)
 """
 
 
@@ -135,15 +138,17 @@ def posting_seniority(spark, sf_dir):
 
 
 _JUNIOR = f"regexp_matches({o.fold('title')}, '\\b(junior|jr|entry[- ]level|intern|internship|trainee|graduate|apprentice|associate)\\b')"
-#: The texts name no years but in the phrases that end them.
-_YEARS = f"CASE doc_phrase WHEN {PHRASES.index(' 3+ years of professional experience required.')} THEN 3 WHEN {PHRASES.index(' Experience with React and TypeScript, 1-2 years.')} THEN 1 END"
+_RE2 = lambda p: p.replace("(?<![\\d.])", "(^|[^0-9.])").replace("(?![- ]old)", "").replace("'", "''")
+#: The largest number of years in a sentence about experience that is not optional.
+_YEARS = f"""list_max(list_filter(flatten(list_transform(list_filter(regexp_split_to_array({o.fold('description')}, '[.\\n;•]|\\s-\\s'), lambda v: regexp_matches(v, '{_RE2(rules.EXPERIENCE)}') AND NOT regexp_matches(v, '{_RE2(rules.OPTIONAL)}')),
+  lambda v: list_transform(regexp_extract_all(v, '{_RE2(rules.YEARS)}', 2), lambda y: CAST(y AS INT)))), lambda y: y <= 20))"""
 SENIORITY_CTE = f"""
-s AS (SELECT *, {o.first_term(o.fold('title'), C.blocked_title_terms)} AS term, {_JUNIOR} AS junior_title, {_YEARS} AS required_years FROM (SELECT *, (id * 5) % {len(PHRASES)} AS doc_phrase FROM opportunities))
+s AS (SELECT *, {o.first_term(o.fold('title'), C.blocked_title_terms)} AS term, {_JUNIOR} AS junior_title, {_YEARS} AS required_years FROM opportunities)
 """
 POSTING_SENIORITY = f"""
 WITH {SENIORITY_CTE}
 SELECT id, (term IS NOT NULL AND NOT junior_title) OR coalesce(required_years > 2, false) AS blocked,
-  concat_ws('; ', CASE WHEN term IS NOT NULL AND NOT junior_title THEN concat('Senior-level title (''', term, ''')') END, CASE WHEN required_years > 2 THEN 'Requires 3+ years of experience (limit 2)' END) AS reasons,
+  concat_ws('; ', CASE WHEN term IS NOT NULL AND NOT junior_title THEN concat('Senior-level title (''', term, ''')') END, CASE WHEN required_years > 2 THEN concat('Requires ', CAST(required_years AS VARCHAR), '+ years of experience (limit 2)') END) AS reasons,
   required_years, junior_title, coalesce(seniority_hint IN ('Senior', 'Mid-Senior'), false) AND NOT junior_title AS hint_blocks
 FROM s
 """
@@ -181,13 +186,15 @@ def posting_apply(spark, sf_dir):
     return out.select("id", "a.method", "a.email", "domain")
 
 
-#: No given text has both an address and a word about applying in one sentence but for those of the phrases.
+#: The first address in a sentence about applying that is no office of its own.
+_WRITTEN = f"""list_filter(flatten(list_transform(list_filter(string_split(regexp_replace(description, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)), lambda v: regexp_matches(lower(v), '{_RE2(rules.APPLY_WORDS)}')),
+  lambda v: regexp_extract_all(v, '{text.EMAIL}'))), lambda v: NOT regexp_matches(v, '{_RE2(rules.NO_APPLY_EMAIL)}'))[1]"""
 POSTING_APPLY = f"""
-WITH x AS (SELECT *, {o.host('apply_url')} AS h, {o.host('company_website')} AS w, (id * 5) % {len(PHRASES)} AS phrase FROM opportunities),
-y AS (SELECT *, (apply_url IS NULL AND apply_email IS NULL) AS reads, CASE WHEN phrase = 1 THEN 'jobs@acme.io' WHEN phrase = 10 THEN 'hr@globex.com' END AS written FROM x)
+WITH x AS (SELECT *, {o.host('apply_url')} AS h, {o.host('company_website')} AS w FROM opportunities),
+y AS (SELECT *, (apply_url IS NULL AND apply_email IS NULL) AS reads, {_WRITTEN} AS written FROM x)
 SELECT id, CASE WHEN apply_email IS NOT NULL OR starts_with(apply_url, 'mailto:') THEN 'email' WHEN {o.on_domains('h', C.ats_domains)} THEN 'ats_form' WHEN h = 'linkedin.com' THEN 'login_required'
     WHEN apply_url IS NOT NULL THEN 'external_form' WHEN written IS NOT NULL THEN 'email' ELSE 'unclear' END AS method,
-  CASE WHEN apply_email IS NOT NULL THEN apply_email WHEN starts_with(apply_url, 'mailto:') THEN 'jobs@hooli.com' WHEN reads THEN written END AS email,
+  CASE WHEN apply_email IS NOT NULL THEN apply_email WHEN starts_with(apply_url, 'mailto:') THEN split_part(substr(apply_url, 8), '?', 1) WHEN reads THEN written END AS email,
   CASE WHEN source NOT IN ('remotive', 'himalayas') THEN coalesce(CASE w WHEN 'acme.io' THEN 'acme.io' WHEN 'hooli.com' THEN 'hooli.com' WHEN 'globex.co.uk' THEN 'globex.co.uk' END, CASE WHEN h = 'careers.acme.io' THEN 'acme.io' END) END AS domain
 FROM y
 """
@@ -269,7 +276,8 @@ SELECT id, CASE WHEN is_stale THEN 'stale' ELSE 'relevance' END AS stop_stage, '
 def decisions(spark, sf_dir):
     """Match scores and decisions of the postings that passed the rules."""
     analysis = spark.sql(ANALYSIS.replace("FROM documents", "FROM {given}"), given=table(spark, sf_dir, "documents"))
-    rows = postings.decided(staged(spark, sf_dir), analysis)
+    rows = postings.open_rows(postings.formed(opportunities(spark, sf_dir)), NOW_HOUR)
+    rows = postings.decided(postings.staged(rows, derived(spark, sf_dir, "applications"), NOW_HOUR), analysis)
     return rows.select("id", "match.score", "merged.status", "legit.verdict", "decision.recommendation", "next_review", F.size("blocked_by").alias("n_blockers"), F.size("decision.auto_blockers").alias("n_auto_blockers"))
 
 

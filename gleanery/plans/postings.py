@@ -59,6 +59,14 @@ def ruled(postings: DataFrame, now_hour: int, cfg: Config = DEFAULT) -> DataFram
     return out.withColumns({"senior": senior, "legit": legit, "queue": queue})
 
 
+def open_rows(postings: DataFrame, now_hour: int, cfg: Config = DEFAULT) -> DataFrame:
+    """Formed postings that pass the first two stages, staleness and relevance. Both are cheap, and stop most rows
+    before the other rules, the joins and the scores see them."""
+    fresh = rules.stale(at("posted_hour"), at("expires_hour"), F.timestamp_seconds(F.lit(now_hour * 3600)), cfg).isNull()
+    local = rules.home_local(col("location_folded"), col("source"), cfg)
+    return postings.where(fresh & rules.relevance(col("title_folded"), col("description_folded"), local, cfg)["ok"])
+
+
 def staged(postings: DataFrame, applications: DataFrame, now_hour: int, cfg: Config = DEFAULT) -> DataFrame:
     """Ruled postings with `stop`: where the chain of rules ends."""
     named = applications.withColumns({"company_norm": text.company_form(text.fold(col("company_name"))), "title_norm": text.title_form(text.fold(col("title")))})

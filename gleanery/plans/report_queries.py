@@ -129,9 +129,12 @@ def usage_by_purpose(spark, d):
     return reports.usage_by(derived(spark, d, "usage"), "run_id", "purpose")
 
 
-@query("""WITH p(prefix, price_in, price_out) AS (VALUES ('large', 5.0, 25.0), ('large-next', 10.0, 50.0), ('medium', 2.0, 10.0), ('small', 1.0, 5.0)),
+_PRICES = ", ".join(f"('{k}', {a}, {b})" for k, (a, b) in C.prices.items() if k != "default")
+
+
+@query(f"""WITH p(prefix, price_in, price_out) AS (VALUES {_PRICES}),
  m AS (SELECT model, arg_max(price_in, length(prefix)) AS price_in, arg_max(price_out, length(prefix)) AS price_out FROM (SELECT DISTINCT model FROM usage) JOIN p ON starts_with(model, prefix) GROUP BY model)
- SELECT purpose, model, round(sum(((tokens_in + 1.25 * cache_write + 0.1 * cache_read) * coalesce(price_in, 1.0) + tokens_out * coalesce(price_out, 5.0)) / 1e6 + searches * 10.0 / 1000), 2) AS cost FROM usage LEFT JOIN m USING (model) GROUP BY purpose, model""", "usage")
+ SELECT purpose, model, round(sum(((tokens_in + 1.25 * cache_write + 0.1 * cache_read) * coalesce(price_in, {C.prices['default'][0]}) + tokens_out * coalesce(price_out, {C.prices['default'][1]})) / 1e6 + searches * 10.0 / 1000), 2) AS cost FROM usage LEFT JOIN m USING (model) GROUP BY purpose, model""", "usage")
 def usage_costs(spark, d):
     from gleanery.functions.money import usage_cost
 
