@@ -173,7 +173,7 @@ _TAG = lambda n: f"nullif(trim(regexp_extract(body, '<item>.*?<{n}>(.*?)</{n}>',
 
 @query(f"""WITH t AS (SELECT id, {_TAG('title')} AS whole, coalesce({_TAG('region')}, '') AS region, {_TAG('type')} AS kind, {_TAG('link')} AS link, {_TAG('guid')} AS guid, {_TAG('pubDate')} AS posted, {unescaped(_TAG('description'))} AS about FROM payload_weworkremotely)
 SELECT coalesce(guid, link) AS source_external_id, link AS source_url, trim(CASE WHEN contains(whole, ':') THEN substr(whole, strpos(whole, ':') + 1) ELSE whole END) AS title, CASE WHEN contains(whole, ':') THEN split_part(whole, ':', 1) END AS company_name, nullif(region, '') AS location_text,
-  CASE WHEN contains(lower(region), 'anywhere') THEN '' ELSE array_to_string(list_filter(list_transform(string_split(replace(region, ' Only', ''), ','), lambda v: trim(v)), lambda v: v <> ''), '|') END AS restrictions, {o.employment('kind')} AS employment_type, {html('about')} AS description,
+  CASE WHEN contains(lower(region), 'anywhere') THEN '' ELSE array_to_string(list_filter(list_transform(string_split(replace(region, ' Only', ''), ','), lambda v: trim(v)), lambda v: v <> ''), '|') END AS restrictions, {o.employment('kind')} AS employment_type, left({html('about')}, 30000) AS description,
   CAST(epoch(strptime(regexp_replace(posted, ' \\+0000$', ''), '%a, %d %b %Y %H:%M:%S')) AS BIGINT) AS posted FROM t WHERE link IS NOT NULL""", "payload_weworkremotely")
 def source_weworkremotely(spark, d) -> DataFrame:
     rows = feeds.postings(payloads(spark, d, "weworkremotely"), ["weworkremotely"])
