@@ -47,3 +47,31 @@ def test_pipeline(spark):
     final = corpus_pipeline.run(spark, DATA).collect()
     assert {r.doc_id for r in final} <= {r.doc_id for r in current.collect()}
     assert all(r.n_tokens == len((r.text or "").split()) for r in final)
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    """Nulls in every column, repeated rows, shared ids, very long and empty texts, columns whose names clash."""
+    docs = table(spark, DATA, "documents").limit(60).collect()
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, 1, 2, 3, "x") for r in docs]
+    clean = rows[0][1] + " of its own"
+    rows += [(None, None, None, None, None, None, None, None, None), (None, clean + " id", None, None, None, 0, 0, 0, ""), (rows[0][0], clean + " shared", "en", None, 1, 0, 0, 0, "")]
+    rows += [(900, "", "en", "s", 0, 0, 0, 0, ""), (901, "%%% 123", "en", "s", 0, 0, 0, 0, ""), (902, "The of and to in that is " * 20_000, "en", "s", 0, 0, 0, 0, ""), rows[1], rows[1]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `key` int, n_tokens int, _h int, _topic string"
+    odd = spark.createDataFrame(rows, schema)
+    current = odd
+    for name, stage in corpus_pipeline.STAGES:
+        for given in (odd, odd.limit(0)):
+            assert stage(spark, given, DATA).columns[: len(odd.columns)] == odd.columns, name
+        assert stage(spark, odd.limit(0), DATA).count() == 0, name
+        if name == "mixing":
+            continue
+        before = [tuple(r) for r in current.collect()]
+        after = [tuple(r) for r in stage(spark, current, DATA).collect()]
+        assert not [r for r in after if r not in before], name
+        if name == "language":
+            assert {r[0] for r in before if r not in after} <= {None, 900, 901} and (None, clean + " id", None, None, None, 0, 0, 0, "") in after
+        if name == "exact_dedup":
+            texts = [(r[1] or "").encode().lower() for r in after]
+            assert len(texts) == len(set(texts)) and set(texts) == {(r[1] or "").encode().lower() for r in before}
+        current = spark.createDataFrame(after, schema)
+    assert 902 in {r.doc_id for r in current.collect()}

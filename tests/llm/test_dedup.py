@@ -47,23 +47,22 @@ def test_exact_drop(docs, limit):
 
 
 def test_rows_that_are_alone_stay_in_place_at_any_size(spark, monkeypatch):
-    rows = [(i, f"text {i % 9000}", "x", 1) for i in range(9300)]
-    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    """20,000 texts stand twice, 1,000 once; a filter of all rows takes five ranges, one of the repeated texts two."""
+    rows = [(i, f"text {i % 20_000 if i < 40_000 else i}", "x", 1) for i in range(41_000)]
+    limit = 5 * exact_dedup.BLOCK_BYTES
     plans = []
     write = exact_dedup.cut
     monkeypatch.setattr(exact_dedup, "cut", lambda d, *a, **k: plans.append((a[0], d._jdf.queryExecution().executedPlan().toString())) or write(d, *a, **k))
-    source = write(df)
-    assert exact_dedup.BloomFilter(source.select(exact_dedup.coarse_hash(source.text).alias("h")), 9300, 2, 7, 4096).ranges == 5
-    plans.clear()
-    got = exact_dedup.drop_copies(source, 4096)
-    assert sorted(r.doc_id for r in got.collect()) == sorted(set(range(9300)) - set(range(300)))
-    assert sum(name == "marked" for name, _ in plans) >= 10
+    source = write(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    got = exact_dedup.drop_copies(source, limit)
+    assert sorted(r.doc_id for r in got.collect()) == list(range(20_000, 41_000))
+    assert sum(name == "marked" for name, _ in plans) == 5 + 4 + 2
     for name, plan in plans:
         moved = [x for x in plan.splitlines() if "Exchange" in x and "BroadcastExchange" not in x]
         if name in ("digests", "ranges", "marked", "left"):  # all rows pass here
             assert not moved, plan
-    kept = sorted((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.annotate(source, 4096).collect())
-    assert kept == [(i, i + 9000 if i < 300 else i, 2 if i % 9000 < 300 else 1) for i in range(9300)]
+    kept = sorted((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.annotate(source, limit).collect())
+    assert kept == [(i, i + 20_000 if i < 20_000 else i, 1 if i >= 40_000 else 2) for i in range(41_000)]
 
 
 def test_exact_empty(spark):
