@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import decontaminate, exact_dedup, language_id, license_scan, line_dedup, mixing, pii, secret_scan, simhash_dedup, url_filter
+from gleanery.llm import bpe, decontaminate, exact_dedup, language_id, license_scan, line_dedup, mixing, pii, secret_scan, simhash_dedup, url_filter
 from gleanery.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,6 +140,16 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find(table(spark, sf_dir, "documents"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file's place is a parameter of the operator; this is where the public tokenizers are."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    rows = bpe.decode(ids.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids"), path)
+    return rows.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -158,6 +168,7 @@ def queries() -> dict[str, Query]:
         "op8_url_filter": op8_url_filter,
         "op9_license_scan": op9_license_scan,
         "op10_secret_scan": op10_secret_scan,
+        "op11_bpe": op11_bpe,
         "pipeline": pipeline,
     }
 
