@@ -16,6 +16,7 @@ from gleanery.config import DEFAULT, Config
 from gleanery.functions import money, text, urls
 from gleanery.operators import joins, rules
 from gleanery.operators.dedup import near_duplicates
+from gleanery.session import written
 
 col = F.col
 #: Columns of a stored posting, in order.
@@ -49,34 +50,61 @@ def rows_of(incoming: DataFrame, run_id: int, cfg: Config = DEFAULT) -> DataFram
     return rows.withColumn("_queue", queue).withColumns({"prescore": col("_queue.score"), "prescore_reasons": col("_queue.reasons")})
 
 
+def first_stored(rows: DataFrame) -> DataFrame:
+    """(id, seen_as) of the rows (id, url_hash, source, external_id) that are seen once earlier ones are stored, in
+    the order of the ids: a row is stored unless its url_hash, or its source and external_id, is that of a stored row.
+
+    Rounds over the rows that are open. The first row by both of its keys is stored, as no earlier row can hold it
+    up; rows that share a key with a stored one are seen. What is left waits for rows that are seen now. Nearly
+    all rows are decided in the first round; a further one takes a chain of rows that meet by turns in one key and the
+    other. Keys are grouped before they are joined, so a page that comes very often is one row of a group."""
+    by_ext = ["source", "external_id"]
+    open_rows, out = rows.select("id", "url_hash", *by_ext), None
+    while True:
+        url = open_rows.groupBy("url_hash").agg(F.min("id").alias("_url"))
+        ext = open_rows.where("external_id is not null").groupBy(*by_ext).agg(F.min("id").alias("_ext"))
+        firsts = open_rows.join(url, "url_hash").join(ext, by_ext, "left")
+        stored = firsts.where((col("_url") == col("id")) & (F.coalesce("_ext", "id") == col("id"))).select("id", "url_hash", *by_ext)
+        stored = written(stored, "stored")
+        by_url = stored.select("url_hash", col("id").alias("_url"))
+        by_id = stored.where("external_id is not null").select(*by_ext, col("id").alias("_ext"))
+        met = written(open_rows.join(by_url, "url_hash", "left").join(by_id, by_ext, "left"), "met")
+        seen = met.withColumn("seen_as", F.least("_url", "_ext")).where("seen_as < id").select("id", "seen_as")
+        out = seen if out is None else out.unionByName(seen)
+        open_rows = met.where("_url is null and _ext is null").drop("_url", "_ext")
+        if open_rows.isEmpty():
+            return out
+
+
 def outcomes(incoming: DataFrame, stored: DataFrame, run_id: int, now_hour: int, cfg: Config = DEFAULT) -> DataFrame:
-    """Rows to store with `outcome` (invalid, seen, duplicate, new), duplicate_of, pipeline_status, and
-    `sighting_of`: the posting that was sighted, which is the original of a duplicate.
-
-    In order of arrival a posting is `seen` if its address or its (source, external id) is stored or came
-    before; else a duplicate of the original that `near_duplicates` finds among stored and earlier rows."""
-    rows = rows_of(incoming, run_id, cfg).withColumn("external_id", F.nullif("source_external_id", F.lit("")))
-    rows = joins.known(rows.withColumn("_valid", valid()), stored)
-    fresh = rows.where("_valid and known_id is null")
-    # a row that comes after one with its address or external id is seen; both keys link, so the first by each
-    by_url = fresh.groupBy("url_hash").agg(F.min("id").alias("_first_url"))
-    by_ext = fresh.where("external_id is not null").groupBy("source", "external_id").agg(F.min("id").alias("_first_ext"))
-    rows = rows.join(by_url, "url_hash", "left").join(by_ext, ["source", "external_id"], "left")
-    before = F.least(F.coalesce("_first_url", "id"), F.coalesce("_first_ext", "id"))
-    rows = rows.withColumn("seen_as", F.coalesce("known_id", F.when(before < col("id"), before)))
-    new = rows.where("_valid and seen_as is null")
+    """(id, source, source_url, seen_hour, outcome, duplicate_of, pipeline_status, sighting_of): outcome is invalid,
+    seen, duplicate or new, sighting_of the posting that was sighted (the original of a duplicate).
+
+    In order of arrival a posting is `seen` if its address or its (source, external id) is that of a stored one,
+    be it stored before or earlier in this run; else it is stored, as a duplicate of the original that
+    `near_duplicates` finds among stored and earlier rows, or as new. A row that is seen lends its keys to none.
+
+    Only ids and keys are joined; company and title are folded for the rows that are stored alone."""
+    narrow = incoming.select("id", "source", "source_url", "seen_hour", urls.url_key(col("source_url")).alias("url_hash"), F.nullif("source_external_id", F.lit("")).alias("external_id"), valid().alias("_valid"))
+    narrow = written(joins.known(narrow, stored), "arrived")
+    seen = first_stored(narrow.where("_valid and known_id is null"))
+    rows = narrow.join(seen, "id", "left").withColumn("seen_as", F.coalesce("known_id", "seen_as"))
+    new = rows.where("_valid and seen_as is null").select("id")
     shape = ["id", "company_norm", "title_norm", "first_seen_hour"]
-    originals = stored.where("duplicate_of is null").select(*shape)
-    found = near_duplicates(originals.unionByName(new.select(*shape)), now_hour, cfg).withColumnRenamed("duplicate_of", "_original")
-    rows = rows.drop("duplicate_of").join(found, "id", "left")
+    named = rows_of(incoming.join(new, "id", "left_semi"), run_id, cfg).select(*shape)
+    found = near_duplicates(stored.where("duplicate_of is null").select(*shape).unionByName(named), now_hour, cfg).withColumnRenamed("duplicate_of", "_original")
+    rows = rows.join(found, "id", "left")
     outcome = F.when(~col("_valid"), "invalid").when(col("seen_as").isNotNull(), "seen").when(col("_original").isNotNull(), "duplicate").otherwise("new")
-    rows = rows.withColumns({"outcome": outcome, "duplicate_of": F.when(outcome == "duplicate", col("_original")), "pipeline_status": F.when(outcome.isin("duplicate", "new"), outcome)})
-    return rows.withColumn("sighting_of", F.when(outcome != "invalid", F.coalesce("seen_as", "duplicate_of", "id"))).select(*ROW, "outcome", "sighting_of")
+    rows = rows.withColumn("outcome", outcome)
+    rows = rows.withColumns({"duplicate_of": F.when(col("outcome") == "duplicate", col("_original")), "pipeline_status": F.when(col("outcome").isin("duplicate", "new"), col("outcome"))})
+    sighted = F.when(col("outcome") != "invalid", F.coalesce("seen_as", "duplicate_of", "id"))
+    return rows.select("id", "source", "source_url", "seen_hour", "outcome", "duplicate_of", "pipeline_status", sighted.alias("sighting_of"))
 
 
-def additions(found: DataFrame) -> DataFrame:
-    """The rows to add to the stored postings."""
-    return found.where("outcome in ('new', 'duplicate')").select(*ROW)
+def additions(incoming: DataFrame, found: DataFrame, run_id: int, cfg: Config = DEFAULT) -> DataFrame:
+    """The rows to add to the stored postings. found: the outcomes of incoming."""
+    stored = found.where("outcome in ('new', 'duplicate')").select("id", "duplicate_of", "pipeline_status")
+    return rows_of(incoming.join(stored, "id"), run_id, cfg).select(*ROW)
 
 
 def sightings(found: DataFrame, run_id: int) -> DataFrame:
@@ -87,7 +115,7 @@ def sightings(found: DataFrame, run_id: int) -> DataFrame:
 
 def touched(stored: DataFrame, found: DataFrame, run_id: int) -> DataFrame:
     """stored postings with the run and hour at which they were last seen (last_run_id, last_seen_hour)."""
-    last = found.where("outcome = 'seen'").groupBy(col("sighting_of").alias("id")).agg(F.max("first_seen_hour").alias("_at"))
+    last = found.where("outcome = 'seen'").groupBy(col("sighting_of").alias("id")).agg(F.max("seen_hour").cast("long").alias("_at"))
     out = stored.join(last, "id", "left")
     hit = col("_at").isNotNull()
     return out.withColumns({"last_run_id": F.when(hit, F.lit(run_id)).otherwise(col("last_run_id")), "last_seen_hour": F.greatest("last_seen_hour", "_at")}).drop("_at")

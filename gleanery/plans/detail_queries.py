@@ -12,7 +12,7 @@ from gleanery.functions import urls
 from gleanery.operators import dedup, detail, ingest, reports, rules, scoring, state, views
 from gleanery.plans import oracle as o
 from gleanery.plans.derived import NOW_HOUR as NOW
-from gleanery.plans.derived import OPPORTUNITIES, TABLES, derived, pick, with_tables
+from gleanery.plans.derived import OPPORTUNITIES, SOURCES as NAMES, TABLES, derived, pick, with_tables
 from gleanery.plans.page_queries import PAYS
 from gleanery.plans.posting_queries import BOARD
 from gleanery.plans.report_queries import opps
@@ -43,9 +43,10 @@ def made(name: str, columns: str, where: str = "") -> None:
 # --- ingest -----------------------------------------------------------------------------------------------------
 
 _URL = "concat('https://www.jobs.example.com/p/', CAST({} AS STRING), '/?utm_source=', CAST(id % 3 AS STRING))"
-#: Each seventh posting repeats the address of an earlier one, each 31st has no web address or no title. All titles are in
+#: Each seventh posting repeats the address of an earlier one, and up to four have an external id in common, so that some meet by
+#: turns in one and the other; each 31st has no web address or no title. All titles are in
 #: plain letters, and unlike but for their numbers, so that only equal titles of a company are duplicates.
-made("arrivals", f"""id, source, CASE WHEN id % 4 = 0 THEN concat('x', CAST(id - id % 8 AS STRING)) END AS source_external_id, CASE WHEN id % 31 = 30 THEN 'ftp://x' WHEN id % 7 = 6 THEN {_URL.format('id - 6')} ELSE {_URL.format('id')} END AS source_url,
+made("arrivals", f"""id, {pick('floor(id / 16)', NAMES)} AS source, CASE WHEN id % 4 = 0 THEN concat('x', CAST(id - id % 16 AS STRING)) END AS source_external_id, CASE WHEN id % 31 = 30 THEN 'ftp://x' WHEN id % 7 = 6 THEN {_URL.format('id - 6')} ELSE {_URL.format('id')} END AS source_url,
   CASE WHEN id % 31 = 15 THEN ' ' ELSE concat({pick('id * 7', ['Frontend', 'Kubernetes Reliability', 'Payroll', 'Quantum Physics', 'Bakery'])}, ' ', {pick('id', ['Developer', 'Chef', 'Sommelier'])}) END AS title, {pick('id', ['Acme Inc.', 'Globex', None, 'ACME LLC', 'Initech', 'Hooli'])} AS company_name,
   company_website, location_text, remote_type, 'unspecified' AS employment_type, pay_text AS salary_text, {pick('id', ['', 'EUR', None])} AS salary_currency, CASE WHEN id % 5 = 0 THEN CAST(1000 + id % 7 AS DOUBLE) END AS salary_min, description, apply_url, apply_email, {NOW} - id % 3000 AS seen_hour""")
 _COMPANY, _TITLE = "CASE company_name WHEN 'Acme Inc.' THEN 'acme' WHEN 'ACME LLC' THEN 'acme' ELSE lower(coalesce(company_name, '')) END", "lower(title)"
@@ -54,8 +55,13 @@ _CANON = "'https://jobs.example.com/p/' || regexp_extract(source_url, '/p/([0-9]
 INGEST = f"""a AS (SELECT *, sha256({_CANON}) AS url_hash, {_COMPANY} AS company_norm, {_TITLE} AS title_norm FROM arrivals),
 s AS (SELECT * FROM a WHERE id % 3 = 0 AND trim(title) <> '' AND starts_with(source_url, 'http')), i AS (SELECT *, trim(title) <> '' AND starts_with(source_url, 'http') AS fine FROM a WHERE id % 3 <> 0),
 k AS (SELECT i.*, coalesce((SELECT min(s.id) FROM s WHERE s.url_hash = i.url_hash), (SELECT min(s.id) FROM s WHERE s.source = i.source AND s.source_external_id = i.source_external_id)) AS known FROM i),
-b AS (SELECT k.*, least((SELECT min(x.id) FROM k x WHERE x.fine AND x.known IS NULL AND x.url_hash = k.url_hash), coalesce((SELECT min(x.id) FROM k x WHERE x.fine AND x.known IS NULL AND x.source = k.source AND x.source_external_id = k.source_external_id), 1000000000000)) AS earliest FROM k),
-n AS (SELECT *, coalesce(known, CASE WHEN earliest < id THEN earliest END) AS seen_as FROM b),
+p AS (SELECT id, dense_rank() OVER (ORDER BY url_hash) AS u, CASE WHEN source_external_id IS NOT NULL THEN dense_rank() OVER (ORDER BY source, source_external_id) END AS x FROM k WHERE fine AND known IS NULL),
+shared AS (SELECT id, u, x FROM p QUALIFY count(*) OVER (PARTITION BY u) > 1 OR (x IS NOT NULL AND count(*) OVER (PARTITION BY x) > 1)),
+turn AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM shared),
+walk AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS seen_as, CAST([] AS STRUCT(u BIGINT, x BIGINT, id BIGINT)[]) AS held UNION ALL
+  SELECT n, id, hit, CASE WHEN hit IS NULL THEN list_append(held, {{'u': u, 'x': x, 'id': id}}) ELSE held END
+  FROM (SELECT turn.n, turn.id, u, x, held, list_min(list_transform(list_filter(held, lambda h: h.u = turn.u OR h.x = turn.x), lambda h: h.id)) AS hit FROM walk JOIN turn ON turn.n = walk.n + 1)),
+n AS (SELECT k.*, coalesce(known, w.seen_as) AS seen_as FROM k LEFT JOIN walk w ON w.id = k.id),
 d AS (SELECT id, company_norm, title_norm, seen_hour FROM s UNION ALL SELECT id, company_norm, title_norm, seen_hour FROM n WHERE fine AND seen_as IS NULL),
 f AS (SELECT company_norm, title_norm, arg_min(id, seen_hour * 10000000 + id) AS original, min(seen_hour * 10000000 + id) AS first_at FROM d WHERE company_norm <> '' AND title_norm <> '' AND seen_hour > {NOW} - 1440 GROUP BY ALL),
 r AS (SELECT n.*, CASE WHEN NOT fine THEN 'invalid' WHEN seen_as IS NOT NULL THEN 'seen' WHEN original <> n.id AND seen_hour > {NOW} - 1440 THEN 'duplicate' ELSE 'new' END AS outcome, original FROM n LEFT JOIN f USING (company_norm, title_norm)),
@@ -72,14 +78,14 @@ def arrivals(spark, d) -> tuple[DataFrame, DataFrame]:
     return rows.where("id % 3 <> 0"), stored.withColumns({"external_id": F.nullif("source_external_id", F.lit("")), "duplicate_of": F.lit(None).cast("long"), "last_seen_hour": col("first_seen_hour")})
 
 
-@query(f"WITH {INGEST} SELECT id, outcome, duplicate_of, sighting_of, CASE WHEN outcome IN ('new', 'duplicate') THEN outcome END AS pipeline_status FROM z", "arrivals")
+@query(f"WITH RECURSIVE {INGEST} SELECT id, outcome, duplicate_of, sighting_of, CASE WHEN outcome IN ('new', 'duplicate') THEN outcome END AS pipeline_status FROM z", "arrivals")
 def ingest_outcomes(spark, d) -> DataFrame:
     incoming, stored = arrivals(spark, d)
     return ingest.outcomes(incoming, stored, RUN, NOW).select("id", "outcome", "duplicate_of", "sighting_of", "pipeline_status")
 
 
 _READ = "coalesce(i_min IS NULL AND p_min IS NOT NULL, false)"
-@query(f"""WITH {INGEST}, {PAYS}, w AS (SELECT z.*, z.salary_min AS i_min, pay.salary_min AS p_min, pay.salary_max AS p_max, pay.salary_currency AS p_cur, pay.salary_period AS p_per FROM z LEFT JOIN pay USING (salary_text) WHERE outcome IN ('new', 'duplicate')),
+@query(f"""WITH RECURSIVE {INGEST}, {PAYS}, w AS (SELECT z.*, z.salary_min AS i_min, pay.salary_min AS p_min, pay.salary_max AS p_max, pay.salary_currency AS p_cur, pay.salary_period AS p_per FROM z LEFT JOIN pay USING (salary_text) WHERE outcome IN ('new', 'duplicate')),
 x AS (SELECT *, CASE WHEN {_READ} THEN p_min ELSE i_min END AS lo, CASE WHEN {_READ} THEN p_max END AS hi, CASE WHEN {_READ} THEN p_cur ELSE salary_currency END AS cur, CASE WHEN {_READ} THEN p_per WHEN i_min IS NOT NULL THEN 'year' END AS per FROM w),
 y AS (SELECT *, CASE upper(cur) {' '.join(f"WHEN '{k}' THEN {v}" for k, v in C.fx.items())} END * CASE per WHEN 'hour' THEN 160.0 WHEN 'month' THEN 1.0 WHEN 'year' THEN 1.0 / 12 END AS rate FROM x)
 SELECT id, 7 AS first_run_id, {_CANON} AS canonical_url, url_hash, company_norm, title_norm, sha1(company_norm || '|' || title_norm) AS fingerprint, duplicate_of, lo AS salary_min, hi AS salary_max, cur AS salary_currency, per AS salary_period,
@@ -87,17 +93,17 @@ SELECT id, 7 AS first_run_id, {_CANON} AS canonical_url, url_hash, company_norm,
 def ingest_rows(spark, d) -> DataFrame:
     """The rows that an ingest adds."""
     incoming, stored = arrivals(spark, d)
-    rows = ingest.additions(ingest.outcomes(incoming, stored, RUN, NOW))
+    rows = ingest.additions(incoming, ingest.outcomes(incoming, stored, RUN, NOW), RUN)
     return rows.select("id", "first_run_id", "canonical_url", "url_hash", "company_norm", "title_norm", "fingerprint", "duplicate_of", "salary_min", "salary_max", "salary_currency", "salary_period", "pay_min", "pay_max", "pipeline_status", "description", "first_seen_hour")
 
 
-@query(f"WITH {INGEST} SELECT sighting_of AS opportunity_id, 7 AS run_id, source, arg_min(source_url, id) AS url FROM z WHERE sighting_of IS NOT NULL GROUP BY ALL", "arrivals")
+@query(f"WITH RECURSIVE {INGEST} SELECT sighting_of AS opportunity_id, 7 AS run_id, source, arg_min(source_url, id) AS url FROM z WHERE sighting_of IS NOT NULL GROUP BY ALL", "arrivals")
 def ingest_sightings(spark, d) -> DataFrame:
     incoming, stored = arrivals(spark, d)
     return ingest.sightings(ingest.outcomes(incoming, stored, RUN, NOW), RUN)
 
 
-@query(f"WITH {INGEST}, t AS (SELECT seen_as AS id, max(seen_hour) AS seen_at FROM z WHERE outcome = 'seen' GROUP BY seen_as) SELECT s.id, CASE WHEN t.id IS NULL THEN 1 ELSE 7 END AS last_run_id, greatest(s.seen_hour, seen_at) AS last_seen_hour FROM s LEFT JOIN t USING (id)", "arrivals")
+@query(f"WITH RECURSIVE {INGEST}, t AS (SELECT seen_as AS id, max(seen_hour) AS seen_at FROM z WHERE outcome = 'seen' GROUP BY seen_as) SELECT s.id, CASE WHEN t.id IS NULL THEN 1 ELSE 7 END AS last_run_id, greatest(s.seen_hour, seen_at) AS last_seen_hour FROM s LEFT JOIN t USING (id)", "arrivals")
 def ingest_touched(spark, d) -> DataFrame:
     incoming, stored = arrivals(spark, d)
     return ingest.touched(stored, ingest.outcomes(incoming, stored, RUN, NOW), RUN).select("id", "last_run_id", "last_seen_hour")

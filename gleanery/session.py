@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,13 +29,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A folder that all executors share: below spark.checkpoint.dir, else a temporary one, for a local master
-    only: the executors of a cluster don't see each other's disks."""
+#: Temporary folders of local applications, by id.
+_own_folders: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share. Where that is unset, a temporary one, for a
+    local master only: the executors of a cluster don't see each other's disks."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="gleanery-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/gleanery-{spark.sparkContext.applicationId}"
+        application = spark.sparkContext.applicationId
+        folder = _own_folders.get(application) or _own_folders.setdefault(application, tempfile.mkdtemp(prefix="gleanery-"))
+    return folder.rstrip("/")
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder of this application below the shared one."""
+    return f"{shared_folder(spark)}/gleanery-{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, read back: what follows neither repeats what made it nor depends on the
+    executors that made it."""
+    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
