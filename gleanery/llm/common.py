@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -12,6 +11,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.session import scratch
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Sides of a join up to this many bytes are broadcast; larger ones are shuffled.
@@ -32,24 +33,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, a temporary one, for a local master only:
-    the executors of a cluster don't see each other's disks."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="gleanery-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def cut(df: DataFrame, name: str = "step", by: str | None = None) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: later work neither repeats what
     made it nor depends on the executors that made it. One folder for each application holds them all.
     With `by` each value of that column has files of its own, so that a filter on it reads no others."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/gleanery-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import bpe, decontaminate, exact_dedup, language_id, license_scan, line_dedup, mixing, pii, secret_scan, simhash_dedup, url_filter
+from gleanery.llm import bpe, collocations, decontaminate, exact_dedup, language_id, license_scan, line_dedup, mixing, periodic_runs, pii, secret_scan, simhash_dedup, url_filter
 from gleanery.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -150,6 +150,56 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def collocation_sql() -> str:
+    """SQL counts every phrase of up to four words."""
+    at = lambda words, start, size: f"array_to_string({words}[{start}:{start} + {size} - 1], ' ')"
+    grams = " UNION ALL ".join(f"SELECT lang, {k} AS size, unnest(list_transform(range(1, len(words) - {k - 2}), lambda i: {at('words', 'i', k)})) AS phrase FROM w" for k in range(1, collocations.LONGEST + 1))
+    cuts = " UNION ALL ".join(f"SELECT lang, phrase, n, {k} AS k, {at('words', 1, k)} AS left_part, {at('words', k + 1, f'size - {k}')} AS right_part FROM c WHERE size > {k}" for k in range(1, collocations.LONGEST))
+    inner = " UNION ALL ".join(f"SELECT lang, n, unnest(list_transform(range(1, size - {k - 2}), lambda i: {at('words', 'i', k)})) AS phrase FROM c WHERE size > {k}" for k in range(2, collocations.LONGEST))
+    return f"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER_SQL.format('text')}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM t),
+totals AS (SELECT lang, sum(len(words)) AS total FROM w GROUP BY lang),
+f AS (SELECT lang, size, phrase, count(*) AS n FROM ({grams}) GROUP BY ALL HAVING count(*) >= {collocations.THRESHOLD}),
+c AS (SELECT lang, size, phrase, n, string_split(phrase, ' ') AS words FROM f WHERE size > 1),
+s AS (SELECT x.lang, x.phrase, x.n AS a, k, l.n AS l, r.n AS r, (2000000::HUGEINT * x.n) // (l.n + r.n) AS score
+  FROM ({cuts}) x JOIN f l ON l.lang = x.lang AND l.phrase = left_part JOIN f r ON r.lang = x.lang AND r.phrase = right_part),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+m AS (SELECT lang, phrase, max(n) AS most FROM ({inner}) GROUP BY ALL),
+k AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM b LEFT JOIN m ON m.lang = b.lang AND m.phrase = b.phrase WHERE most IS NULL OR 100::HUGEINT * most < {collocations.WITHIN}::HUGEINT * a)
+SELECT k.lang, rank, phrase, a, l, r, CAST(total AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM k JOIN totals USING (lang) WHERE rank <= {collocations.TOP}
+"""
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """(doc_id, text), where the end of every tenth document (by a hash of its id) repeats itself."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    rows = docs.select("doc_id", "text", (F.coalesce(h % 10, F.lit(1)) == 0).alias("chosen"), F.floor(h / 10).alias("g"))
+    rows = rows.withColumn("words", F.when(F.col("chosen"), F.filter(F.split("text", r"[ \t-\r]+"), lambda w: w != "")))
+    n, g = F.size("words"), F.col("g")
+    rows = rows.withColumn("n", n).withColumn("a", (g % F.col("n")).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8))).cast("int"))
+    a, p = F.col("a"), F.col("p")
+    tail = F.transform(F.sequence(a, F.col("n") - 1), lambda i: F.get("words", a + (i - a) % p))
+    text = F.when(F.col("chosen") & (F.col("n") > 0), F.array_join(F.concat(F.slice("words", F.lit(1), a), tail), " ")).otherwise(F.col("text"))
+    return rows.select("doc_id", text.alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.detect(looped(table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n")))
+    rows = found.select("doc_id", "runs", "text", periodic_runs.sharpest(F.col("runs")).alias("best"))
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -169,6 +219,8 @@ def queries() -> dict[str, Query]:
         "op9_license_scan": op9_license_scan,
         "op10_secret_scan": op10_secret_scan,
         "op11_bpe": op11_bpe,
+        "op12_collocations": op12_collocations,
+        "op13_periodic_runs": op13_periodic_runs,
         "pipeline": pipeline,
     }
 
@@ -179,4 +231,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_line_dedup": OP5_SQL,
         "op8_url_filter": OP8_SQL,
         "op9_license_scan": license_sql(),
+        "op12_collocations": collocation_sql(),
     }
