@@ -1,21 +1,24 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters and digits in lower case. The words of all test items are counted over the whole
-corpus in one pass (one for each VOCABULARY distinct words). An n-gram is a rare seed if the words'
-frequencies make it improbable: by the product of its words' shares of the corpus it has SEED_BITS bits, or as
-many as make it occur once by chance in a smaller corpus. This is rarity by chance, so a passage that leaked
-into a third of the corpus stays findable. Each place of an item takes its 3-gram, or where that is made of
-common words its 5-gram or 8-gram, and an item without any seed its most improbable 8-gram (or all of it).
-
-Seeds mark passages of the documents: the places of a seed, and as many words around them as the longest item
-with this seed has. Passages meet items by seed, and each pair is aligned word by word. The score is the best
-local alignment (match 1, mismatch and gap -1) over the item's words: 1 for a verbatim copy, less for each
-word edited, 0.5 for half of an item. Pairs from MIN_SCORE are contaminated. So are pairs whose alignment
-has LOCAL_WORDS net matches, however long the item is, if the words in it are improbable together (LOCAL_BITS).
-
-The items of a block (BLOCK_WORDS words at most) go to every task: their word numbers, seeds and texts are
-bounded by that parameter. A larger benchmark takes one more pass for each further block.
-No document text is shuffled, only passages with seeds.
+Words are runs of letters and digits in lower case. One pass over the corpus counts the items' words and all their
+3-, 5-, 8-, 13- and 21-grams. Each place of an item takes the shortest n-gram around it that is rare: it occurs at
+most once in a million words of the corpus (`most_often`) and in few items (ITEMS_EACH). So a stock phrase is no
+seed, but a longer n-gram at its place is. A place that has none, as its passage leaked into very much of the
+corpus, takes the shortest n-gram in few items whose words are improbable together (SEED_BITS, by the product of
+their shares); an item that differs from many others nowhere its longest n-grams. Each place of an item has a
+seed, so an item is found by any of its parts. Equal items are one item until the end.
+
+A second pass takes windows: an item and the words of a text around its seed, as far as the item is long; windows of
+one item that overlap are one, windows of different items never. So a document that holds the whole benchmark
+has a window for each item, dealt over all tasks, and none grows with the number of items. Equal windows are
+aligned once, those only that have enough of the item's words. The score is the best local alignment (match 1,
+mismatch and gap -1) over the item's words: 1 for a verbatim copy, less for each word edited, 0.5 for half of an
+item. Pairs from MIN_SCORE are contaminated. So are pairs whose alignment has LOCAL_WORDS net matches, however
+long the item is, if the words in it are improbable together (LOCAL_BITS).
+
+The items of a block (BLOCK_WORDS words at most) go to every task: their words and n-grams are bounded by that
+parameter. A larger benchmark takes two more passes for each further block. No document text is shuffled, only
+counts and windows.
 
 Null texts count as empty; items without words match nothing. Repeated rows are reported once for each
 doc_id and item. Empty tables give an empty result. Columns other than the id and text don't matter.
@@ -26,30 +29,30 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import cut, row_keys, small_batches, without
+from gleanery.llm.common import BROADCAST_BYTES, cut, row_keys, small_batches, without
 
-NGRAMS = (3, 5, 8)
+NGRAMS = (3, 5, 8, 13, 21)
+#: A seed occurs at most so often, or once in so many words of the corpus; and in so many different items.
+LEAST_OFTEN = 32
+ONCE_IN = 1 << 20
+ITEMS_EACH = 16
 SEED_BITS = 24.0
 MIN_SCORE = 0.5
 LOCAL_WORDS = 20
 LOCAL_BITS = 80.0
-#: Words of a block of items, and distinct words counted in one pass (8 bytes each in every task).
-BLOCK_WORDS = 2_000_000
-VOCABULARY = 8_000_000
-#: Distinct words that a task holds as text, and words of texts that it takes at a time (or one text).
-HELD_WORDS = 500_000
+#: Words of a block of items.
+BLOCK_WORDS = 1_000_000
+#: Words of texts that a task takes at a time (or one text), windows that it sends at a time.
 CHUNK_WORDS = 500_000
+SENT = 5_000
 WORD = re.compile(r"[^\W_]+")
 ODD = np.uint64(0x9E3779B97F4A7C15)
 OUT = "doc_id long, key long, item_id long, score double, first_word long, last_word long"
@@ -59,17 +62,9 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def number_of(word: str) -> int:
-    return xxhash.xxh64_intdigest(word) - (1 << 63)
-
-
-def numbers_of(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(number_of, words), np.int64, len(words))
-
-
-def arrow(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], list(kinds))
+def most_often(total: int) -> int:
+    """How often a rare n-gram occurs at most in a corpus of so many words."""
+    return max(LEAST_OFTEN, total // ONCE_IN)
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -106,180 +101,242 @@ def places(known: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(known[at] == values, at, -1)
 
 
-def vocabulary(items: DataFrame) -> DataFrame:
-    """(word): the numbers of the items' distinct words."""
+class Index:
+    """Sorted codes of n-grams by size; looks them up."""
+
+    def __init__(self, codes: dict[int, np.ndarray]):
+        self.codes = codes
+
+    def found(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(size, places, n-grams) of the block's n-grams in ids. A longer one begins with a shorter one."""
+        at, done = np.flatnonzero(ids), 0
+        h = np.zeros(len(at), np.uint64)
+        for size in sorted(self.codes):
+            for k in range(done, size):
+                inside = at + k < len(ids)
+                at, h = at[inside], h[inside]
+                word = ids[at + k]
+                known = word > 0
+                at = at[known]
+                h = mixed(h[known], word[known])
+            done = size
+            number = places(self.codes[size], closed(h))
+            hit = number >= 0
+            yield size, at[hit], number[hit]
+            if size >= NGRAMS[0]:
+                at, h = at[hit], h[hit]
+
+
+class Grams:
+    """All n-grams of a block of items, by size; items are arrays of word numbers (from 1; 0 is no word of an item)."""
+
+    def __init__(self, items: list[np.ndarray]):
+        self.lengths = np.array([len(x) for x in items], np.int64)
+        self.ids = np.concatenate(items)
+        self.start = np.cumsum(self.lengths) - self.lengths
+        self.owner = np.repeat(np.arange(len(items)), self.lengths)
+        own = np.unique(self.lengths[self.lengths < NGRAMS[0]]).tolist()  # items that are shorter are n-grams of their own
+        self.sizes = sorted({*own, *(n for n in NGRAMS if n <= self.lengths.max())})
+        self.codes: dict[int, np.ndarray] = {}
+        self.number: dict[int, np.ndarray] = {}  # by place, of the n-gram that begins there; -1: none
+        room = self.lengths[self.owner] - (np.arange(len(self.ids)) - self.start[self.owner])
+        h, done = np.zeros(len(self.ids), np.uint64), 0
+        for size in self.sizes:
+            for k in range(done, size):
+                h[room > k] = mixed(h[room > k], self.ids[np.flatnonzero(room > k) + k])
+            done = size
+            whole = room >= size
+            if size < NGRAMS[0]:
+                whole &= self.lengths[self.owner] == size
+            self.codes[size], inverse = np.unique(closed(h[whole]), return_inverse=True)
+            self.number[size] = np.full(len(self.ids), -1)
+            self.number[size][whole] = inverse
+        self.index = Index(self.codes)
+
+    def around(self, size: int) -> np.ndarray:
+        """By place, the n-gram that begins there, or is the item's last; -1 if the item is shorter."""
+        place = np.arange(len(self.ids))
+        last = (self.start + self.lengths)[self.owner] - size
+        begin = np.minimum(place, last)
+        return np.where(begin >= self.start[self.owner], self.number[size][np.maximum(begin, 0)], -1)
+
+    def items_each(self, size: int) -> np.ndarray:
+        """How many items have each n-gram."""
+        has = self.number[size] >= 0
+        pairs = np.unique(np.stack([self.number[size][has], self.owner[has]]), axis=1)
+        return np.bincount(pairs[0], minlength=len(self.codes[size]))
+
+
+def mixed(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return (h ^ words.astype(np.uint64)) * ODD
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = {w for t in batch.column("text").to_pylist() for w in words_of(t)}
-            yield pa.RecordBatch.from_arrays([pa.array(numbers_of(list(words)))], ["word"])
-
-    return cut(items.select("text").mapInArrow(each, "word long").distinct(), "vocabulary")
-
-
-def corpus_counts(docs: DataFrame, words: DataFrame, most: int = VOCABULARY) -> tuple[DataFrame, int]:
-    """(word, n): how often the words occur in docs, and how many words docs have."""
-    slices = max(1, -(-words.count() // most))
-    out, total = None, 0
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    for i in range(slices):
-        wanted = np.sort(words.where(F.pmod("word", F.lit(slices)) == i).toPandas()["word"].to_numpy(np.int64))
-
-        def counted(batches: Iterator[pa.RecordBatch], wanted: np.ndarray = wanted) -> Iterator[pa.RecordBatch]:
-            seen: Counter[str] = Counter()
-            n_words = 0
-
-            def told() -> pa.RecordBatch:
-                numbers, n = numbers_of(list(seen)), np.fromiter(seen.values(), np.int64, len(seen))
-                hit = places(wanted, numbers) >= 0
-                seen.clear()
-                return pa.RecordBatch.from_arrays([pa.array(numbers[hit]), pa.array(n[hit])], ["word", "n"])
-
-            for batch in batches:
-                for text in batch.column("text").to_pylist():
-                    found = words_of(text)
-                    n_words += len(found)
-                    seen.update(found)
-                    if len(seen) > HELD_WORDS:
-                        yield told()
-            yield told()
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([n_words])], ["word", "n"])
-
-        sums = texts.mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        sums = cut(sums, "counts")
-        total = sums.where("word is null").agg(F.sum("n")).first()[0] or 0
-        out = sums if out is None else out.unionByName(sums)
-    return out.where("word is not null"), total
-
-
-def grams(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and codes of the n-grams whose words are all numbered (from 1; 0 is no word of an item)."""
-    n = len(ids) - size + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    codes, known = np.full(n, size, np.uint64), np.ones(n, bool)
-    for k in range(size):
-        part = ids[k : n + k]
-        codes, known = (codes ^ part.astype(np.uint64)) * ODD, known & (part > 0)
-    at = np.flatnonzero(known)
-    codes = codes[at]
-    return at, codes ^ codes >> np.uint64(29)
-
-
-def seeds_of(ids: np.ndarray, bits: np.ndarray, least: float) -> dict[int, np.ndarray]:
-    """Codes of an item's seeds by size; bits of each of its words."""
-    total = np.concatenate([[0.0], np.cumsum(bits)])
-    open_ = np.ones(len(ids), bool)
-    out = {}
-    for size in [n for n in NGRAMS if n <= len(ids)]:
-        at, codes = grams(ids, size)
-        rare = open_[at] & (total[at + size] - total[at] >= least)
-        open_[at[rare]] = False
-        if rare.any():
-            out[size] = codes[rare]
-    if not out:
-        size = min(NGRAMS[-1], len(ids))
-        at, codes = grams(ids, size)
-        best = int(np.argmax(total[at + size] - total[at]))
-        out[size] = codes[best : best + 1]
-    return out
+
+def closed(h: np.ndarray) -> np.ndarray:
+    return h ^ h >> np.uint64(29)
 
 
 class Seeds:
-    """The seeds of a block of items: sorted codes, the items of each, and how far around it to look."""
-
-    def __init__(self, items: list[np.ndarray], weights: np.ndarray, least: float):
-        found = [(c, i) for i, ids in enumerate(items) for c in seeds_of(ids, weights[ids], least).items()]
-        self.sizes = sorted({size for (size, _), _ in found})
-        codes = np.concatenate([c for (_, c), _ in found])
-        owner = np.repeat([i for _, i in found], [len(c) for (_, c), _ in found])
-        order = np.lexsort((owner, codes))
-        self.codes, self.start = np.unique(codes[order], return_index=True)
-        self.items = owner[order]
-        self.reach = np.maximum.reduceat(np.array([len(x) for x in items])[self.items], self.start)
-        self.end = np.append(self.start[1:], len(self.items))
-
-    def passages(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(number of the text, first word, words, items) of the passages that hold seeds. The texts are taken as
+    """The seeds of a block: by size, for each n-gram the items that take it (none for most)."""
+
+    def __init__(self, grams: Grams, often: dict[int, np.ndarray], bits: np.ndarray, limit: int, least: float):
+        """often: how often each n-gram occurs, at least where that is above the limit. bits: of each word number."""
+        self.index, self.lengths, n = grams.index, grams.lengths, len(grams.ids)
+        total = np.concatenate([[0.0], np.cumsum(bits[grams.ids])])
+        taken, rest = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for size in grams.sizes:
+            number = grams.around(size)
+            here = number >= 0
+            few = here & (grams.items_each(size)[number] <= ITEMS_EACH)
+            begin = np.minimum(np.arange(n), (grams.start + grams.lengths)[grams.owner] - size)
+            improbable = few & (total[np.minimum(begin + size, n)] - total[np.maximum(begin, 0)] >= least)
+            taken[(taken == 0) & few & (often[size][number] <= limit)] = size
+            rest[(rest == 0) & improbable] = size
+        longest = np.zeros(n, np.int64)
+        for size in grams.sizes:
+            longest[grams.around(size) >= 0] = size
+        taken = np.where(taken > 0, taken, np.where(rest > 0, rest, longest))
+        self.first: dict[int, np.ndarray] = {}
+        self.items: dict[int, np.ndarray] = {}
+        for size in grams.sizes:
+            mine = taken == size
+            number, owner = np.unique(np.stack([grams.around(size)[mine], grams.owner[mine]]), axis=1) if mine.any() else np.empty((2, 0), np.int64)
+            self.first[size] = np.searchsorted(number, np.arange(len(grams.codes[size]) + 1))
+            self.items[size] = owner
+
+    def windows(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, first word, words one behind the other, their number) of the windows. The texts are taken as
         one array, with a word of no item between them."""
         sizes = np.array([len(x) for x in texts], np.int64)
         start = np.cumsum(sizes + 1) - sizes - 1
         gap = np.zeros(1, np.int64)
         ids = np.concatenate([y for x in texts for y in (x, gap)]) if texts else gap
-        spots, lengths, seeds = [], [], []
-        for size in self.sizes:
-            at, codes = grams(ids, size)
-            seed = places(self.codes, codes)
-            hit = seed >= 0
-            spots.append(at[hit])
-            lengths.append(np.full(int(hit.sum()), size))
-            seeds.append(seed[hit])
-        spot, length, seed = map(np.concatenate, (spots, lengths, seeds))
-        if not len(spot):
-            return
+        spots, ends, items = [], [], []
+        for size, at, number in self.index.found(ids):
+            each = self.first[size][number + 1] - self.first[size][number]
+            spot = np.repeat(at, each)
+            within = np.arange(len(spot)) - np.repeat(np.cumsum(each) - each, each)
+            spots.append(spot)
+            ends.append(spot + size)
+            items.append(self.items[size][np.repeat(self.first[size][number], each) + within])
+        spot, end, item = map(np.concatenate, (spots, ends, items))
         text = np.searchsorted(start, spot, "right") - 1
-        lo, hi = np.maximum(start[text], spot - self.reach[seed]), np.minimum(start[text] + sizes[text], spot + length + self.reach[seed])
-        order = np.argsort(lo, kind="stable")
-        lo, hi, seed, text = lo[order], np.maximum.accumulate(hi[order]), seed[order], text[order]
-        for run in np.split(np.arange(len(lo)), np.flatnonzero(lo[1:] > hi[:-1]) + 1):
-            near = np.unique(np.concatenate([self.items[self.start[s] : self.end[s]] for s in np.unique(seed[run])]))
-            first = run[0]
-            yield int(text[first]), int(lo[first] - start[text[first]]), ids[lo[first] : hi[run[-1]]], near
-
-
-def block_pairs(docs: DataFrame, items: list[tuple[int, list[str]]], counts: DataFrame, total: int, min_score: float, local_words: int) -> DataFrame:
+        lo = np.maximum(start[text], spot - self.lengths[item])
+        hi = np.minimum(start[text] + sizes[text], end + self.lengths[item])
+        order = np.lexsort((lo, item, text))
+        lo, hi, item, text = lo[order], hi[order], item[order], text[order]
+        other = np.diff(item, prepend=-1).astype(bool) | np.diff(text, prepend=-1).astype(bool)
+        lift = np.cumsum(other) * (len(ids) + 1)  # so that ends of one item and text don't count for the next
+        reach = np.maximum.accumulate(hi + lift)
+        new = np.flatnonzero(other | (lo + lift > np.concatenate([[0], reach[:-1]])))
+        lo, hi = lo[new], (reach - lift)[np.append(new[1:], len(reach)) - 1] if len(new) else hi[new]
+        length = hi - lo
+        inside = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        return text[new], item[new], lo - start[text[new]], ids[np.repeat(lo, length) + inside], length
+
+
+def chunks(batches: Iterator[pa.RecordBatch], number: dict[str, int]) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray], int]]:
+    """(batch, first row, word numbers of the texts from there on, words) by about CHUNK_WORDS words."""
+    for batch in batches:
+        texts, at = batch.column("text").to_pylist(), 0
+        while at < len(texts):
+            held, size, first = [], 0, at
+            while at < len(texts) and size < CHUNK_WORDS:
+                held.append(np.array(list(map(number.get, words_of(texts[at]), repeat(0))), np.int64))
+                size += len(held[-1])
+                at += 1
+            yield batch, first, held, size
+
+
+def counts(texts: DataFrame, index: Index, number: dict[str, int]) -> DataFrame:
+    """(size, number, n): how often the block's n-grams occur; size 0 for its words, -1 for all words."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = {0: np.zeros(len(number) + 1, np.int64)} | {size: np.zeros(len(codes), np.int64) for size, codes in index.codes.items()}
+        total = 0
+        for _, _, held, size in chunks(batches, number):
+            ids = np.concatenate([y for x in held for y in (x, np.zeros(1, np.int64))])
+            total += size
+            often[0] += np.bincount(ids, minlength=len(number) + 1)
+            for n, _, which in index.found(ids):
+                often[n] += np.bincount(which, minlength=len(often[n]))
+        often[0][0] = 0
+        for n, sums in (*often.items(), (-1, np.array([total]))):
+            some = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), n, np.int32)), pa.array(some), pa.array(sums[some])], ["size", "number", "n"])
+
+    sums = texts.mapInArrow(counted, "size int, number long, n long").groupBy("size", "number").agg(F.sum("n").alias("n"))
+    return cut(sums, "counts")
+
+
+def seeds_of(texts: DataFrame, items: list[np.ndarray], number: dict[str, int]) -> tuple[Seeds, np.ndarray]:
+    """The seeds of distinct items, and the bits of each word number. To the driver come the counts of the block's
+    words, and of its n-grams that are too frequent."""
+    grams = Grams(items)
+    sums = counts(texts, grams.index, number)
+    total = sums.where("size = -1").agg(F.sum("n")).first()[0] or 0
+    limit = most_often(total)
+    held = sums.where((F.col("size") == 0) | (F.col("size") > 0) & (F.col("n") > limit)).toPandas()
+    often = {size: np.zeros(len(codes), np.int64) for size, codes in (grams.codes | {0: np.empty(len(number) + 1)}).items()}
+    for size, rows in held.groupby("size"):
+        often[size][rows["number"].to_numpy()] = rows["n"].to_numpy()
+    bits = np.log2((total + 1) / (often.pop(0) + 0.5))
+    bits[0] = 0.0
+    return Seeds(grams, often, bits, limit, min(SEED_BITS, math.log2(total + 2))), bits
+
+
+def block_pairs(docs: DataFrame, items: list[tuple[int, list[str]]], min_score: float, local_words: int) -> DataFrame:
     """(doc_id, key, item_id, score, first_word, last_word) of the pairs of one block of items."""
     spark = docs.sparkSession
-    known = np.unique(np.concatenate([numbers_of(words) for _, words in items]))
-    # as many rows as the block has distinct words
-    named = spark.createDataFrame(pd.DataFrame({"word": known}))
-    held = counts.join(F.broadcast(named), "word").toPandas()
-    n = np.zeros(len(known))
-    n[places(known, held["word"].to_numpy(np.int64))] = held["n"].to_numpy()
-    weights = np.concatenate([[0.0], np.log2((total + 1) / (n + 0.5))])  # by word number; 0 is no word of an item
-    numbered = [places(known, numbers_of(words)) + 1 for _, words in items]
-    number = {w: int(n) for (_, words), ids in zip(items, numbered) for w, n in zip(words, ids)}
-    seeds = Seeds(numbered, weights, min(SEED_BITS, math.log2(total + 2)))
-
-    kinds = {"doc_id": pa.int64(), "key": pa.int64(), "at": pa.int64(), "words": pa.list_(pa.int64()), "items": pa.list_(pa.int64())}
-
-    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc_ids, keys, texts = (batch.column(c).to_pylist() for c in ("doc_id", "key", "text"))
-            at = 0
-            while at < len(texts):
-                held, size, first = [], 0, at
-                while at < len(texts) and size < CHUNK_WORDS:
-                    held.append(np.array(list(map(number.get, words_of(texts[at]), repeat(0))), np.int64))
-                    size += len(held[-1])
-                    at += 1
-                found = seeds.passages(held)
-                yield arrow([(doc_ids[first + i], keys[first + i], lo, words.tolist(), near.tolist()) for i, lo, words, near in found], kinds)
-
+    number = {w: i for i, w in enumerate(dict.fromkeys(w for _, words in items for w in words), 1)}
+    distinct = {words: i for i, words in enumerate(dict.fromkeys(tuple(words) for _, words in items))}
+    numbered = [np.array([number[w] for w in words], np.int64) for words in distinct]
     rows = docs.select(F.col("doc_id").cast("long"), row_keys(F.col("text"))[1].alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    found = cut(rows.mapInArrow(passages, "doc_id long, key long, at long, words array<long>, items array<long>"), "passages")
-
-    # the block's items have at most BLOCK_WORDS words
-    texts = F.broadcast(spark.createDataFrame([(i, items[i][0], ids.tolist()) for i, ids in enumerate(numbered)], "number long, item_id long, item array<long>"))
-    # the passages are few bytes but much work: dealt over as many tasks as a shuffle has
-    dealt = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    met = dealt.select("doc_id", "key", "at", "words", F.explode("items").alias("number")).join(texts, "number")
-
-    scores = {"doc_id": pa.int64(), "key": pa.int64(), "item_id": pa.int64(), "score": pa.float64(), "first_word": pa.int64(), "last_word": pa.int64()}
+    seeds, bits = seeds_of(rows.select("text"), numbered, number)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, first, held, _ in chunks(batches, number):
+            text, item, at, words, length = seeds.windows(held)
+            edge = np.concatenate([[0], np.cumsum(length)])
+            for lo in range(0, len(text), SENT):
+                some = slice(lo, lo + SENT)
+                rows = pa.array(text[some] + first)
+                values = words[edge[lo] : edge[min(lo + SENT, len(text))]].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array((edge[lo : lo + SENT + 1] - edge[lo]).astype(np.int32)), pa.array(values))
+                columns = [batch.column("doc_id").take(rows), batch.column("key").take(rows), pa.array(item[some]), pa.array(at[some]), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "number", "at", "words"])
+
+    found = rows.mapInArrow(windows, "doc_id long, key long, number long, at long, words array<int>")
+    found = cut(found.withColumns({"a": F.xxhash64("words"), "b": F.xxhash64(F.lit(1), "words")}), "windows")
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["number", "a", "b", "score", "first", "last"]
         for batch in batches:
             out = []
-            for doc_id, key, item_id, at, words, item in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "item_id", "at", "words", "item"))):
-                item, words = np.asarray(item), np.asarray(words)
+            for which, a, b, words in zip(*(batch.column(c).to_pylist() for c in ("number", "a", "b", "words"))):
+                item, words = numbered[which], np.array(words, np.int64)
+                least = min(min_score * len(item), local_words)
+                if np.isin(item, words).sum() < least:
+                    continue
                 score, first, last = align(item, words)
+                if score < least:
+                    continue
                 shared = words[first : last + 1]
-                local = score >= local_words and weights[shared[np.isin(shared, item)]].sum() >= LOCAL_BITS
+                local = score >= local_words and bits[shared[np.isin(shared, item)]].sum() >= LOCAL_BITS
                 if local or score >= min_score * len(item):
-                    out.append((doc_id, key, item_id, score / len(item), at + first, at + last))
-            yield arrow(out, scores)
-
-    return cut(met.select("doc_id", "key", "item_id", "at", "words", "item").mapInArrow(aligned, OUT), "aligned")
+                    out.append((which, a, b, score / len(item), first, last))
+            kinds = [pa.int64()] * 3 + [pa.float64()] + [pa.int64()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 6, kinds)], names)
+
+    # equal windows once; what is left is few bytes but much work, dealt over as many tasks as a shuffle has
+    same = ["number", "a", "b"]
+    once = found.select(*same, "words").dropDuplicates(same).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *same)
+    scores = cut(once.mapInArrow(aligned, "number long, a long, b long, score double, first long, last long"), "aligned")
+    small = scores.count() * 64 <= BROADCAST_BYTES
+    hits = found.drop("words").join(F.broadcast(scores) if small else scores.hint("merge"), same)
+    # the block's items: as many rows as it has items
+    named = spark.createDataFrame([(distinct[tuple(words)], item_id) for item_id, words in items], "number long, item_id long")
+    out = hits.join(F.broadcast(named), "number")
+    return cut(out.select("doc_id", "key", "item_id", "score", (F.col("at") + F.col("first")).alias("first_word"), (F.col("at") + F.col("last")).alias("last_word")), "pairs")
 
 
 def pairs(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, block_words: int = BLOCK_WORDS, local_words: int = LOCAL_WORDS) -> DataFrame:
@@ -291,12 +348,11 @@ def pairs(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, b
     docs = docs.select("doc_id", "text")
     out = None
     with small_batches(spark):
-        counts, total = corpus_counts(docs, vocabulary(items))
         for b in range(blocks):
             part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toLocalIterator()
             held = [(r.item_id, words) for r in part if (words := words_of(r.text))]
             if held:
-                found = block_pairs(docs, held, counts, total, min_score, local_words)
+                found = block_pairs(docs, held, min_score, local_words)
                 out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], OUT) if out is None else out
 
