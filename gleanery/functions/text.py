@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gleanery.functions import markup
+
 NULL_STRING = "string"
 
 
@@ -67,8 +69,6 @@ def clean(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-#: Tags that start a line.
-BLOCK_TAGS = "p|div|li|h[1-6]|tr|section|article|ul|ol|br"
 #: Names that count without their semicolon too, the longest first.
 _BARE = "|".join(sorted((n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
 REFERENCE = rf"^&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;|(?:{_BARE}))"
@@ -109,17 +109,14 @@ def unescape(c: Column) -> Column:
 
 
 def html_to_text(c: Column) -> Column:
-    """Text of an HTML fragment: no scripts or styles, items dashed, block tags on lines of their own."""
+    """Text of an HTML fragment: no scripts or styles, items dashed, block tags on lines of their own. Markup that is
+    escaped as a whole is read once more. Not for use within lambdas: see html_to_texts."""
+    return clean(markup.lines(c))
 
-    def shown(c: Column) -> Column:
-        markup = F.regexp_replace(c, r"(?is)<(script|style|noscript|svg|iframe)\b.*?</\1\s*>|<!--.*?-->", "")
-        markup = F.regexp_replace(markup, r"(?i)<li\b[^>]*>", "\n- ")
-        markup = F.regexp_replace(markup, rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>", "\n")
-        markup = F.regexp_replace(markup, r"<[A-Za-z/!?][^>]*>", "")
-        return F.when(c.contains("<"), markup).otherwise(c)
 
-    escaped = lambda c: F.when(c.contains("&lt;"), unescape(c)).otherwise(c)
-    return clean(unescape(let(let(F.coalesce(c, F.lit("")), escaped), shown)))
+def html_to_texts(c: Column) -> Column:
+    """html_to_text of each element of an array."""
+    return F.transform(markup.lines_each(c), clean)
 
 
 def term_pattern(terms: list[str]) -> str:

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleanery.config import DEFAULT, Config
 from gleanery.functions import urls
-from gleanery.functions.text import similar, title_similarity
+from gleanery.functions.text import title_similarity
+from gleanery.operators.likeness import alike
 from gleanery.operators.views import capped
+from gleanery.session import written
 
 col = F.col
 #: Leaders of a company that a posting is compared with: the earliest ones.
@@ -38,50 +38,45 @@ def similarity(a: str, b: str) -> float:
     return 200.0 * (len(x) - row.bit_count()) / (len(x) + len(y))
 
 
-class Leaders:
-    """The originals of one company, in order of arrival. At most LEADERS are kept: later ones are never
-    looked at."""
-
-    def __init__(self, least: float):
-        self.least, self.titles, self.by_title = least, [], {}
-        self.scores: OrderedDict[str, int | None] = OrderedDict()
-
-    def place(self, row_id: int, title: str) -> int | None:
-        """The original of the row, None if it is one."""
-        if title in self.by_title:
-            return self.by_title[title]
-        scored = [(similarity(title, t), -i, leader) for i, (t, leader) in enumerate(self.titles)]
-        best = max(scored, default=None)
-        if best and best[0] >= self.least:
-            return best[2]
-        if len(self.titles) < LEADERS:
-            self.titles.append((title, row_id))
-            self.by_title[title] = row_id
-        return None
+def first_leaders(rows: pd.DataFrame, least: float) -> pd.DataFrame:
+    """The leaders among titles of one company that no earlier leader is like: LEADERS rows at most, few at a time.
+    `room` says how many more the company may have."""
+    rows = rows.sort_values(["seen", "id"])
+    held: list[str] = []
+    keep = []
+    for title in rows["title_norm"]:
+        leads = len(held) < rows["room"].iloc[0] and all(similarity(title, t) < least for t in held)
+        held += [title] if leads else []
+        keep.append(leads)
+    return rows.loc[keep, ["company_norm", "title_norm", "id", "seen"]].rename(columns={"title_norm": "leader_title", "id": "leader"})
 
 
 def leaders(titles: DataFrame, least: float) -> DataFrame:
     """(company_norm, leader_title, leader, seen) for distinct titles (company_norm, title_norm, seen, id).
 
-    Companies are dealt to tasks and sorted by arrival; a task streams over them and holds the leaders of
-    one company, at most LEADERS."""
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        company, held = None, Leaders(least)
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                if r.company_norm != company:
-                    company, held = r.company_norm, Leaders(least)
-                before = len(held.titles)
-                held.place(r.id, r.title_norm)
-                if len(held.titles) > before:
-                    out.append((company, r.title_norm, r.id, r.seen))
-            yield pd.DataFrame(out, columns=["company_norm", "leader_title", "leader", "seen"]).astype({"leader": "int64", "seen": "int64"})
-
-    n = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = titles.repartition(n, "company_norm").sortWithinPartitions("company_norm", "seen", "id")
-    return order.mapInPandas(scan, "company_norm string, leader_title string, leader long, seen long")
+    In order of arrival a title leads if it is like no leader before it, up to LEADERS of a company. Rounds: the
+    first LEADERS open titles of each company are scanned, then all later titles that are like a new leader are
+    no longer open, and those of companies that have all their leaders. The first open title always leads, and most
+    of a block do, so nearly all companies take one round. A task sees LEADERS titles of a company at a time; the
+    others meet the leaders by an index of runs of letters, dealt over all tasks."""
+    order = W.partitionBy("company_norm").orderBy("seen", "id")
+    still, found = titles.withColumn("room", F.lit(LEADERS)), None
+    while True:
+        still = written(still, "open_titles")
+        block = still.withColumn("_rank", F.row_number().over(order)).where(col("_rank") <= LEADERS).drop("_rank")  # limited within tasks first
+        block = written(block, "title_block")
+        new = block.groupBy("company_norm").applyInPandas(lambda rows: first_leaders(rows, least), "company_norm string, leader_title string, leader long, seen long")
+        new = written(new, "leaders")
+        found = new if found is None else found.unionByName(new)
+        ends = block.groupBy("company_norm").agg(F.max(F.struct("seen", "id")).alias("_end"))
+        had = new.groupBy("company_norm").agg(F.count(F.lit(1)).alias("_new"))
+        rest = still.join(ends, "company_norm").where(F.struct("seen", "id") > col("_end")).join(had, "company_norm", "left")
+        rest = rest.withColumn("room", (col("room") - F.coalesce("_new", F.lit(0))).cast("int")).where("room > 0").select(*still.columns)
+        rest = written(rest, "later_titles")
+        if rest.isEmpty():
+            return found
+        led = alike(rest, new, ["company_norm"], "title_norm", "leader_title", least).select("company_norm", "title_norm").distinct()
+        still = rest.join(led, ["company_norm", "title_norm"], "left_anti")
 
 
 def near_duplicates(postings: DataFrame, now_hour: int, cfg: Config = DEFAULT) -> DataFrame:
@@ -92,18 +87,19 @@ def near_duplicates(postings: DataFrame, now_hour: int, cfg: Config = DEFAULT) -
     without company or title, and rows older than the window (which can be no candidates), are originals.
 
     Only the first row of a title can become a leader: whatever kept it from that keeps later rows of the
-    title from it too. So the ordered scan sees distinct titles, not rows, and rows then take the best of
+    title from it too. So leaders are sought among distinct titles, not rows, and rows then take the best of
     the leaders before them by a join on company and title."""
     old = now_hour - 24 * cfg.posting_window_days
     least = float(cfg.posting_title_similarity)
     rows = postings.select(col("id").cast("long"), F.coalesce("company_norm", F.lit("")).alias("company_norm"), F.coalesce("title_norm", F.lit("")).alias("title_norm"), col("first_seen_hour").cast("long").alias("seen"))
     can = (col("company_norm") != "") & (col("title_norm") != "") & (col("seen") > old)
+    rows = written(rows, "postings")
     alone = rows.where(~F.coalesce(can, F.lit(False))).select("id", F.lit(None).cast("long").alias("duplicate_of"))
     rows = rows.where(can)
     first = F.min(F.struct("seen", "id")).alias("f")  # aggregated before the shuffle
     titles = rows.groupBy("company_norm", "title_norm").agg(first).select("company_norm", "title_norm", "f.seen", "f.id")
     found = leaders(titles, least)
-    near = titles.select("company_norm", "title_norm").join(found, "company_norm").where(similar(col("title_norm"), col("leader_title"), least))
+    near = alike(titles, found, ["company_norm"], "title_norm", "leader_title", least).join(found, ["company_norm", "leader_title"])
     score = title_similarity(col("title_norm"), col("leader_title"))
     options = near.groupBy("company_norm", "title_norm").agg(F.sort_array(F.collect_list(F.struct((-score).alias("s"), "seen", "leader"))).alias("options"))  # LEADERS at most
     best = F.get(F.filter("options", lambda x: (x["seen"] < col("seen")) | ((x["seen"] == col("seen")) & (x["leader"] < col("id")))), F.lit(0))

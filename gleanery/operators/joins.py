@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleanery.functions.text import similar
+from gleanery.operators.likeness import alike
 
 col = F.col
 
@@ -34,12 +34,12 @@ def prior_applications(postings: DataFrame, applications: DataFrame, now_hour: i
     """(id, application_id): the first live application to the posting's company within the window that is
     for the same posting or for a title at least so similar.
 
-    Distinct titles of a company are compared, not rows: postings and applications that share a title are
-    one each, so a company with very many rows costs no more than its titles."""
+    Distinct titles are compared, not rows, and of these only those that an index of runs of letters brings together
+    (`likeness`), so neither a company with very many rows nor one with very many titles compares them all."""
     live = applications.where((col("status") != "withdrawn") & (col("applied_hour") > now_hour - 24 * window_days) & (col("company_norm") != ""))
     firsts = live.groupBy("company_norm", col("title_norm").alias("applied_title")).agg(F.min("id").alias("application_id"))
     titles = postings.where("company_norm <> ''").select("company_norm", "title_norm").distinct()
-    near = titles.join(firsts, "company_norm").where(similar(col("title_norm"), col("applied_title"), least))
+    near = alike(titles, firsts, ["company_norm"], "title_norm", "applied_title", least).join(firsts, ["company_norm", "applied_title"])
     by_title = near.groupBy("company_norm", "title_norm").agg(F.min("application_id").alias("_by_title"))
     same = live.groupBy("company_norm", col("opportunity_id").alias("id")).agg(F.min("id").alias("_same"))
     out = postings.join(by_title, ["company_norm", "title_norm"], "left").join(same, ["company_norm", "id"], "left")

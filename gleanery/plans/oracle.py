@@ -59,3 +59,16 @@ def on_domains(name: str, domains: list[str]) -> str:
 
 
 LOCAL = f"(coalesce(source IN ({', '.join(map(q, C.local_sources))}), false) OR {any_term(fold('location_text'), C.home_places)})"
+
+
+def likes(left: str, right: str, least: float) -> str:
+    """CTEs that give `alike` (t, u, likeness): the titles t of one table (c, t) and u of another that occur with the same c
+    and whose word-sorted forms have a common subsequence of `least` percent of their letters. For WITH RECURSIVE."""
+    words = lambda t: f"array_to_string(list_sort(list_filter(string_split({t}, ' '), lambda v: v <> '')), ' ')"
+    return f"""
+both_titles AS (SELECT DISTINCT a.t AS t, b.t AS u, {words('a.t')} AS x, {words('b.t')} AS y FROM (SELECT DISTINCT c, t FROM {left}) a JOIN (SELECT DISTINCT c, t FROM {right}) b USING (c)),
+forms AS (SELECT DISTINCT x, y FROM both_titles WHERE x <> y AND 200 * least(length(x), length(y)) >= {least} * (length(x) + length(y))),
+letters(x, y, i, r) AS (SELECT x, y, 0, list_transform(range(0, length(y) + 1), lambda v: 0) FROM forms UNION ALL
+  SELECT x, y, i + 1, list_reduce(list_prepend([0], list_transform(range(1, length(y) + 1), lambda k: [CASE WHEN x[i + 1] = y[k] THEN r[k] + 1 ELSE r[k + 1] END])), lambda acc, v: list_append(acc, greatest(acc[len(acc)], v[1]))) FROM letters WHERE i < length(x)),
+measured AS (SELECT x, y, 200.0 * r[len(r)] / (length(x) + length(y)) AS likeness FROM letters WHERE i = length(x)),
+alike AS (SELECT t, u, CASE WHEN x = y THEN 100.0 ELSE likeness END AS likeness FROM both_titles LEFT JOIN measured USING (x, y) WHERE x = y OR likeness >= {least})"""

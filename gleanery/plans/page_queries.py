@@ -43,7 +43,7 @@ _POSTING = js(
 _SCRIPT = f"""CASE id % 6 WHEN 1 THEN concat('[{{"@type":"Organization"}},', {_POSTING}, ',', {_POSTING}, ']') WHEN 2 THEN concat('{{"@graph":[{{"@type":"WebPage"}},', {_POSTING}, ']}}') WHEN 4 THEN '{{ broken' ELSE {_POSTING} END"""
 _SAYS = pick("id", ["About the role and requirements. Apply now.", "Qualifications and benefits: you will like it.", "Welcome to our shop.", "Responsibilities only."])
 made("job_pages", f"""id, concat('https://www.site.example.com/jobs/', {num('id')}, '?utm_source=x') AS url,
-  concat('<html><head><style>p {{ }}</style>', CASE WHEN id % 6 <> 5 THEN concat('<script type="application/ld+json">', {_SCRIPT}, '</script>') ELSE '' END, '</head><body><nav>Menu</nav><main><h2>', title, '</h2><p>', {_SAYS}, '</p><p>', {TEXT}, '</p></main><footer>Foot</footer>',
+  concat('<html><head><style>p {{ }}</style>', CASE WHEN id % 6 <> 5 THEN concat('<script type="application/ld+json">', {_SCRIPT}, '</script>') ELSE '' END, '</head><body><nav>Menu <nav>more</nav> rest</nav><!-- <main>old</main> --><main><h2>', title, '</h2><aside title="a > b">Ad <aside>inner</aside> tail</aside><p title="1 > 0">', {_SAYS}, '</p><p>', {TEXT}, '</p></main><footer>Foot</footer><main>Second</main>',
   '<a href="https://boards.greenhouse.io/co', {num('id % 7')}, '/jobs/1">a</a><a class="x" href="https://jobs.lever.co/team', {num('id % 5')}, '/z">b</a><a href="https://boards.greenhouse.io/co', {num('id % 7')}, '/jobs/2">again</a><a href="https://acme', {num('id % 3')}, '.recruitee.com/o/dev">c</a><a href="/own">d</a></body></html>') AS html""")
 
 #: The nodes: one or two by the shape of the script.
@@ -86,7 +86,9 @@ def page_postings(spark, d) -> DataFrame:
         "salary_min", "salary_max", "salary_currency", "salary_period", F.unix_seconds("posted_at").alias("posted"), F.unix_seconds("expires_at").alias("expires"))
 
 
-_MAIN = f"left({cleaned(chr(32).join(['regexp_replace(regexp_replace(regexp_extract(html, ', chr(39) + '<main>(.*)</main>' + chr(39), ', 1),', chr(39) + '</?(h2|p)>' + chr(39), ', chr(10), ', chr(39) + 'g' + chr(39), '),', chr(39) + '<[^>]*>' + chr(39), ', ', chr(39) * 2, ', ', chr(39) + 'g' + chr(39), ')']))}, 15000)"
+#: The first main element outside comments, without the one outer aside in it.
+_INSIDE = "regexp_replace(regexp_extract(regexp_replace(html, '<!--.*?-->', '', 'g'), '<main>(.*?)</main>', 1), '<aside.*</aside>', ' ')"
+_MAIN = f"left({cleaned(f"regexp_replace({_INSIDE}, '</?(h2|p)( [a-z]+=.[^\"]*.)?>', chr(10), 'g')")}, 15000)"
 _INDICATED = " + ".join(f"CAST(contains(low, {o.q(p)}) AS INT)" for p in pages.INDICATORS)
 LIKE = f"t AS (SELECT *, {_MAIN} AS shown FROM n), k AS (SELECT *, lower(shown) AS low FROM t), v AS (SELECT *, ({_INDICATED}) >= 2 AND length(shown) BETWEEN 500 AND 60000 AS likely FROM k)"
 

@@ -98,13 +98,13 @@ FROM (SELECT id FROM opportunities) LEFT JOIN h USING (id)
 def work_classes(spark, sf_dir):
     rows = postings.folded(opportunities(spark, sf_dir))
     mode = classify.work_mode_or([col("title_folded"), col("location_folded")], col("description_folded"))
-    return rows.select("id", mode.alias("mode"), classify.employment(F.concat_ws(" ", "title_folded", F.right("description_folded", F.lit(60)))).alias("employment"))
+    return rows.select("id", mode.alias("mode"), classify.employment(F.concat_ws(" ", "title_folded", "description_folded")).alias("employment"))
 
 
 _MODE = lambda x: o.classes(o.fold(x), {k: p.replace("(?:", "(") for k, p in classify.MODES.items()}, "unknown")
 WORK_CLASSES = f"""
 SELECT id, CASE WHEN {_MODE("concat_ws(' ', title, location_text)")} <> 'unknown' THEN {_MODE("concat_ws(' ', title, location_text)")} ELSE {_MODE('left(description, 2000)')} END AS mode,
-  {o.employment("concat_ws(' ', title, right(description, 60))")} AS employment
+  {o.employment("concat_ws(' ', title, description)")} AS employment
 FROM opportunities
 """
 

@@ -248,16 +248,36 @@ def exact_prior_applications(spark, d):
     return joins.prior_applications(rows[0], rows[1], NOW, C.duplicate_window_days, 100.0)
 
 
+@query(f"""WITH RECURSIVE p AS (SELECT id, {o.company('company_name')} AS c, {o.title('title')} AS t FROM opportunities WHERE company_name IS NOT NULL), a AS (SELECT id, opportunity_id, {o.company('company_name')} AS c, {o.title('title')} AS t FROM applications WHERE status <> 'withdrawn' AND applied_hour > {NOW} - 24 * {C.duplicate_window_days}),
+ {o.likes("p", "a", C.duplicate_title_similarity)}, m AS (SELECT p.id, min(a.id) AS by_title FROM p JOIN alike ON alike.t = p.t JOIN a ON a.c = p.c AND a.t = alike.u WHERE p.c <> '' GROUP BY p.id),
+ n AS (SELECT p.id, min(a.id) AS same FROM p JOIN a ON a.c = p.c AND a.opportunity_id = p.id WHERE p.c <> '' GROUP BY p.id)
+ SELECT v.id, least(by_title, same) AS application_id FROM opportunities v LEFT JOIN m USING (id) LEFT JOIN n USING (id)""", "opportunities", "applications")
+def similar_prior_applications(spark, d):
+    """Applications to the company for a title that is alike, not equal alone."""
+    rows = [derived(spark, d, n) for n in ("opportunities", "applications")]
+    rows = [r.withColumns({"company_folded": text.fold(col("company_name")), "title_folded": text.fold(col("title"))}) for r in rows]
+    rows = [r.withColumns({"company_norm": text.company_form(col("company_folded")), "title_norm": text.title_form(col("title_folded"))}) for r in rows]
+    return joins.prior_applications(rows[0], rows[1], NOW, C.duplicate_window_days, float(C.duplicate_title_similarity))
+
+
+#: A scan in order of arrival: a title leads if it is like no leader of its company before it.
+NEAR_DUPLICATES = f"""WITH RECURSIVE p AS (SELECT id, {o.company('company_name')} AS c, {o.title('title')} AS t, first_seen_hour * 10000000 + id AS seen FROM opportunities WHERE company_name IS NOT NULL AND first_seen_hour > {NOW} - 24 * {C.posting_window_days}),
+ w AS (SELECT * FROM p WHERE c <> '' AND t <> ''), {o.likes("w", "w", C.posting_title_similarity)},
+ sets AS (SELECT t, list(u) AS us FROM alike GROUP BY t), turn AS (SELECT c, t, us, seen, row_number() OVER (PARTITION BY c ORDER BY seen) AS n FROM (SELECT c, t, min(seen) AS seen FROM w GROUP BY ALL) JOIN sets USING (t)),
+ walk AS (SELECT DISTINCT c, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(t VARCHAR, seen BIGINT)[]) AS held FROM turn UNION ALL
+  SELECT turn.c, turn.n, CASE WHEN len(held) < 200 AND len(list_filter(held, lambda h: list_contains(us, h.t))) = 0 THEN list_append(held, {{'t': turn.t, 'seen': turn.seen}}) ELSE held END FROM walk JOIN turn ON turn.c = walk.c AND turn.n = walk.n + 1),
+ led AS (SELECT c, unnest(held) AS h FROM (SELECT c, held FROM walk QUALIFY n = max(n) OVER (PARTITION BY c))),
+ best AS (SELECT w.id, arg_min(h.seen % 10000000, {{'a': -likeness, 'b': h.seen}}) AS duplicate_of FROM w JOIN alike ON alike.t = w.t JOIN led ON led.c = w.c AND h.t = alike.u WHERE h.seen < w.seen GROUP BY w.id)
+ SELECT v.id, duplicate_of FROM opportunities v LEFT JOIN best USING (id)"""
+
+
+@query(NEAR_DUPLICATES, "opportunities")
 def near_duplicate_postings(spark, d):
-    """Order-dependent, so checked against a sequential scan in the tests."""
     rows = derived(spark, d, "opportunities").withColumns({"company_folded": text.fold(col("company_name")), "title_folded": text.fold(col("title"))})
     rows = rows.select("id", text.company_form(col("company_folded")).alias("company_norm"), text.title_form(col("title_folded")).alias("title_norm"), "first_seen_hour")
     return dedup.near_duplicates(rows, NOW)
 
 
-Q["near_duplicate_postings"] = (near_duplicate_postings, None)
-
-
 @query("""WITH s AS (SELECT sha256(url) AS url_hash, * FROM links) SELECT url_hash, min(seen_hour) AS seen_hour, max(seen_hour) AS last_seen_hour, count(*) AS sightings FROM s GROUP BY url_hash""", "links")
 def exact_sightings(spark, d):
     rows = derived(spark, d, "links").withColumn("url_hash", F.sha2("url", 256))

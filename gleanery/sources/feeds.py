@@ -155,7 +155,9 @@ def greenhouse() -> dict[str, Column]:
 
 
 def lever() -> dict[str, Column]:
-    blocks = F.transform(F.coalesce(col("r.lists"), F.array().cast("array<struct<text:string,content:string>>")), lambda b: F.concat(F.lit("\n\n"), F.coalesce(b["text"], F.lit("")), F.lit("\n"), text.html_to_text(b["content"])))
+    listed = F.coalesce(col("r.lists"), F.array().cast("array<struct<text:string,content:string>>"))
+    texts = text.html_to_texts(F.transform(listed, lambda b: b["content"]))
+    blocks = F.zip_with(listed, texts, lambda b, shown: F.concat(F.lit("\n\n"), F.coalesce(b["text"], F.lit("")), F.lit("\n"), shown))
     whole = F.concat(either(r("descriptionPlain"), text.html_to_text(r("description")), F.lit(" ")), F.array_join(blocks, ""), F.lit("\n\n"), F.coalesce(r("additionalPlain"), F.lit("")))
     interval = F.lower(F.coalesce(r("salaryRange.interval"), F.lit("")))
     return {"source_external_id": board_id(r("id")), "source_url": r("hostedUrl"), "title": r("text"), "company_name": company(), "location_text": either(r("categories.location"), F.array_join(r("categories.allLocations"), ", ")),

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleanery.config import DEFAULT, Config
-from gleanery.functions import classify, money, text, urls
+from gleanery.functions import classify, markup, money, text, urls
 from gleanery.functions.dates import parsed
 from gleanery.operators import rules
 from gleanery.sources.feeds import either, filled
@@ -16,7 +16,6 @@ col = F.col
 #: Phrases of job pages.
 INDICATORS = ["responsibilities", "requirements", "qualifications", "about the role", "what you'll do", "what you will do", "job description", "experience with", "apply now", "how to apply", "we are looking for", "you will", "benefits"]
 JSONLD = r"""(?is)<script\b[^>]*type\s*=\s*["']?[^"'>]*ld\+json[^>]*>(.*?)</script\s*>"""
-HIDDEN = r"(?is)<(script|style|noscript|svg|nav|footer|header|aside|form|iframe)\b[^>]*>.*?</\1\s*>|<!--.*?-->"
 
 
 def as_list(json: Column) -> Column:
@@ -80,9 +79,7 @@ def from_jsonld(pages: DataFrame, source: str = "web", most: int = 5) -> DataFra
 
 def main_text(html: Column, limit: int = 15_000) -> Column:
     """Visible text of the main part of a page."""
-    bare = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, " ")
-    inner = lambda b, tag: filled(F.regexp_extract(b, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}\s*>", 1))
-    return F.substring(text.html_to_text(text.let(bare, lambda b: F.coalesce(inner(b, "main"), inner(b, "article"), inner(b, "body"), b))), 1, limit)
+    return F.substring(text.clean(markup.main_lines(html)), 1, limit)
 
 
 def looks_like_posting(shown: Column) -> Column:
@@ -93,8 +90,7 @@ def looks_like_posting(shown: Column) -> Column:
 
 def board_links(pages: DataFrame, most: int = 20) -> DataFrame:
     """(page_url, url, provider, slug): the first link to each board on a page, at most `most` a page."""
-    hrefs = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']+)["']"""), F.lit(1))
-    rows = pages.select(col("url").alias("page_url"), F.posexplode(hrefs).alias("at", "url")).withColumn("b", urls.board(col("url"))).where("b is not null")
+    rows = pages.select(col("url").alias("page_url"), F.posexplode(markup.hrefs(col("html"))).alias("at", "url")).withColumn("b", urls.board(col("url"))).where("b is not null")
     rows = rows.groupBy("page_url", "b.provider", "b.slug").agg(F.min(F.struct("at", "url")).alias("f"))
     rank = F.row_number().over(W.partitionBy("page_url").orderBy("f.at"))  # a page's own links
     return rows.withColumn("_rank", rank).where(col("_rank") <= most).select("page_url", "f.url", "provider", "slug")
