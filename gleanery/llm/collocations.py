@@ -3,18 +3,18 @@
 Texts are lower-cased (A-Z), cut into pieces at punctuation and line ends, and pieces into words; phrases are runs of
 1 to 4 words within a piece, counted for each language. Three passes over the texts:
 
-1. words and pairs are mined: each task counts them exactly within CHUNK_WORDS words and sends hashes and counts
-   to hash partitions (`slot`). Each partition has a Misra-Gries summary with a capacity over its mass divided by
+1. words and pairs are mined: each task counts them exactly within CHUNK_BYTES bytes and sends hashes and counts, as
+   one row for each hash partition (`slot`). Each partition has a Misra-Gries summary with a capacity over its mass divided by
    the threshold: what it takes off the counters in all is below the threshold, so every frequent phrase keeps a
    counter. Counters that can't reach the threshold with what was taken off are dropped at the end.
    A task sends the mass of a partition before its counts, so the capacity is known when the counts come.
 2. phrases of 3 and 4 words are mined likewise, those only whose pairs survived the first pass.
 3. the survivors are counted exactly, by their words, and those below the threshold go.
 
-Counts are combined within a task before they are sent, so a phrase that a third of all texts share is one row for
+Counts are combined within a chunk before they are sent, so a phrase that a third of all texts share is one entry for
 each chunk. As many partitions are made as keep a summary within SLOT_COUNTERS on average, so memory is bounded at
 any size of the corpus. Hashes of survivors go to every task while there are at most HELD; beyond that nothing
-is left out early, and the third pass meets the survivors in a shuffled join on the hash. A clash of hashes makes
+is left out early, and the partitions of the third pass get their survivors before their counts. A clash of hashes makes
 a phrase survive that need not; the third pass counts words, not hashes.
 
 A phrase's score is 2,000,000 a / (l + r) rounded down, for the cut into two parts (l and r times) where it is
@@ -27,31 +27,33 @@ empty result. Columns other than the text and the language don't matter.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import BROADCAST_BYTES, ascii_lower, cut, small_batches
+from gleanery.llm.common import BROADCAST_BYTES, cut, small_batches
 
 LONGEST = 4
 THRESHOLD = 30
-#: Words that a task counts at a time, counters of a summary on average, and hashes that every task holds at most.
-CHUNK_WORDS = 2_000_000
+#: Bytes of texts that a task counts at a time, counters of a summary on average, and hashes that every task holds at most.
+CHUNK_BYTES = 12_000_000
 SLOT_COUNTERS = 250_000
 HELD = 4_000_000
 #: Percentage of a phrase's count from which a longer one that holds it replaces it; rows for each language.
 WITHIN = 80
 TOP = 2000
 
-#: What ends a piece.
-BREAKS = ".,;:!?\n\x0b\x0c\r"
-TOKEN = re.compile(r"[^\t-\r .,;:!?]+|[.,;:!?\n-\r]")
+#: What separates words, and what ends a piece.
+SPACES, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
+#: By byte: 0 for words, 1 for spaces, 2 for breaks; and the byte with A-Z lower-cased.
+KINDS = np.array([1 if b in SPACES else 2 if b in BREAKS else 0 for b in range(256)], np.uint8)
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -68,33 +70,34 @@ def within(known: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, codes), len(known) - 1)] == codes
 
 
-class Words(dict):
-    """Numbers from 1 for words as they come, 0 for breaks."""
-
-    def __init__(self):
-        super().__init__(dict.fromkeys(BREAKS, 0))
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self) - len(BREAKS) + 1
-        return n
-
-
 class Chunk:
-    """Texts of one language, counted together."""
+    """Texts of one language, counted together. They are taken as bytes: what separates words is ASCII, so no
+    character is cut. Words are numbered from 1."""
 
     def __init__(self, lang: str):
-        self.lang, self.words, self.parts = lang, Words(), []
+        self.lang, self.data = lang, []
 
-    def add(self, text: str) -> int:
-        tokens = TOKEN.findall(text)
-        self.parts.append(np.fromiter(map(self.words.__getitem__, tokens), np.int64, len(tokens)))
-        self.parts.append(np.zeros(1, np.int64))
-        return len(tokens)
+    def add(self, texts: pa.StringArray) -> int:
+        """Texts that end with a line end each; their bytes."""
+        edges = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        self.data.append(np.frombuffer(texts.buffers()[2], np.uint8)[edges[0] : edges[-1]])
+        return int(edges[-1] - edges[0])
 
     def close(self) -> None:
-        self.ids = np.concatenate(self.parts)
-        self.names = ["", *(w for w, n in self.words.items() if n)]
+        data = LOWER[np.concatenate(self.data)]
+        kind = KINDS[data]
+        inside = kind == 0
+        edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        start, end = edge[::2], edge[1::2]
+        offsets = np.concatenate([[0], np.cumsum(end - start)])
+        words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(data[inside]))
+        coded = words.dictionary_encode()
+        self.names = ["", *coded.dictionary.to_pylist()]
+        breaks = np.cumsum(kind == 2)
+        self.ids = np.zeros(len(start) + int(breaks[-1]) + 1, np.int64)  # a zero for each break
+        self.ids[np.arange(len(start)) + breaks[start]] = coded.indices.to_numpy() + 1
         self.hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.names), np.uint64, len(self.names))
+        self.data = []
 
     def phrase(self, start: int, size: int) -> str:
         return " ".join([self.names[i] for i in self.ids[start : start + size].tolist()])
@@ -132,15 +135,17 @@ class Chunk:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Chunk]:
-    """The batches' texts by language, of about `most` words together."""
+    """The batches' texts by language, of about `most` bytes together."""
     held: dict[str, Chunk] = {}
     size = 0
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            size += (held.get(lang) or held.setdefault(lang, Chunk(lang))).add(text)
-            if size >= most:
-                yield from held.values()
-                held, size = {}, 0
+        langs = batch.column("lang")
+        for lang in langs.unique().to_pylist():
+            mine = batch.column("text").filter(pc.equal(langs, lang))
+            size += (held.get(lang) or held.setdefault(lang, Chunk(lang))).add(mine)
+        if size >= most:
+            yield from held.values()
+            held, size = {}, 0
     yield from held.values()
 
 
@@ -176,41 +181,54 @@ class Summary:
         return self.keys[0][self.counts[0] + self.taken >= threshold]
 
 
-def mine(texts: DataFrame, sizes: range, frequent: np.ndarray | None, pruned: int, threshold: int, slots: int, chunk_words: int) -> DataFrame:
+def dealt(codes: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that puts the hashes of a partition together, the partitions that have some, and the edges between them."""
+    slot = (codes % np.uint64(slots)).astype(np.int32)
+    order = np.argsort(slot, kind="stable")
+    some, start = np.unique(slot[order], return_index=True)
+    return order, some, np.append(start, len(codes)).astype(np.int32)
+
+
+def listed(edges: np.ndarray, values: pa.Array | np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(edges), values if isinstance(values, pa.Array) else pa.array(values))
+
+
+def mine(texts: DataFrame, sizes: range, frequent: np.ndarray | None, pruned: int, threshold: int, slots: int, chunk_bytes: int) -> DataFrame:
     """(h): hashes of the phrases of these sizes that may be frequent, all that are among them."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["slot", "h", "n"]
-        for chunk in chunks(batches, chunk_words):
+        names = ["place", "mass", "h", "n"]
+        for chunk in chunks(batches, chunk_bytes):
             chunk.close()
             for _, _, count, codes in chunk.phrases(sizes, frequent, pruned):
-                slot = (codes % np.uint64(slots)).astype(np.int32)
-                mass = np.bincount(slot, count, slots)  # exact: below 2^53
-                some = np.flatnonzero(mass)
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.nulls(len(some), pa.int64()), pa.array(mass[some].astype(np.int64))], names)
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(codes.view(np.int64)), pa.array(count.astype(np.int64))], names)
+                if not len(codes):
+                    continue
+                order, some, edges = dealt(codes, slots)
+                mass = np.add.reduceat(count[order], edges[:-1])
+                none = listed(np.zeros(len(some) + 1, np.int32), np.empty(0, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(some * 2), pa.array(mass), none, none], names)
+                yield pa.RecordBatch.from_arrays([pa.array(some * 2 + 1), pa.array(np.zeros(len(some), np.int64)), listed(edges, codes[order].view(np.int64)), listed(edges, count[order])], names)
 
     def summarised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, mass, summary = None, 0, None
+        current, total, summary = None, 0, None
         for batch in batches:
-            slot, n = (batch.column(c).to_numpy() for c in ("slot", "n"))
-            told, h = batch.column("h").is_null().to_numpy(zero_copy_only=False), batch.column("h").fill_null(0).to_numpy()
-            for start, end in zip(edges := np.flatnonzero(np.diff(slot, prepend=-1)), [*edges[1:], len(slot)]):
-                if slot[start] != current:
+            for place, mass, h, n in zip(batch.column("place").to_pylist(), batch.column("mass").to_pylist(), batch.column("h"), batch.column("n")):
+                if place // 2 != current:
                     if summary:
                         yield pa.RecordBatch.from_arrays([pa.array(summary.survivors(threshold))], ["h"])
-                    current, mass, summary = slot[start], 0, None
-                here = slice(start, end)
-                mass += int(n[here][told[here]].sum())
-                if not told[here].all():
-                    summary = summary or Summary(mass // threshold + 1)
-                    summary.add(h[here][~told[here]], n[here][~told[here]])
+                    current, total, summary = place // 2, 0, None
+                if place % 2 == 0:
+                    total += mass
+                else:
+                    summary = summary or Summary(total // threshold + 1)
+                    summary.add(h.values.to_numpy(), n.values.to_numpy())
         if summary:
             yield pa.RecordBatch.from_arrays([pa.array(summary.survivors(threshold))], ["h"])
 
-    rows = texts.mapInArrow(partial, "slot int, h long, n long")
-    dealt = rows.repartition(slots, "slot").sortWithinPartitions("slot", F.col("h").isNotNull())
-    return cut(dealt.mapInArrow(summarised, "h long"), "frequent")
+    # a row is a chunk's counts for one partition. place: twice the partition's number for their mass, one more for themselves
+    rows = texts.mapInArrow(partial, "place int, mass long, h array<long>, n array<long>")
+    rows = rows.repartition(slots, F.shiftright("place", 1)).sortWithinPartitions("place")
+    return cut(rows.mapInArrow(summarised, "h long"), "frequent")
 
 
 def hashes(found: DataFrame, most: int) -> np.ndarray | None:
@@ -220,46 +238,85 @@ def hashes(found: DataFrame, most: int) -> np.ndarray | None:
     return np.sort(found.toPandas()["h"].to_numpy(np.int64).view(np.uint64))
 
 
-def counted(texts: DataFrame, frequent: np.ndarray | None, found: DataFrame, threshold: int, chunk_words: int) -> DataFrame:
+def counted(texts: DataFrame, frequent: np.ndarray | None, found: DataFrame, threshold: int, slots: int, chunk_bytes: int) -> DataFrame:
     """(lang, size, phrase, n) of the phrases with at least `threshold` occurrences; size 0 for all words of a language."""
-    fields = {"lang": pa.string(), "size": pa.int32(), "phrase": pa.string(), "h": pa.int64(), "n": pa.int64()}
+    schema = "place int, lang string, size int, h array<long>, phrases array<string>, n array<long>"
+    names = ["place", "lang", "size", "h", "phrases", "n"]
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(lang: str, size: int, phrases: list[str], codes: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-            columns = [[lang] * len(phrases), [size] * len(phrases), phrases, codes.view(np.int64), count]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, fields.values())], list(fields))
+            order, some, edges = dealt(codes, slots)
+            words = listed(edges, pa.array([phrases[i] for i in order.tolist()], pa.string()))
+            columns = [pa.array(some * 2 + 1), pa.array([lang] * len(some), pa.string()), pa.array(np.full(len(some), size, np.int32)), listed(edges, codes[order].view(np.int64)), words, listed(edges, count[order].astype(np.int64))]
+            return pa.RecordBatch.from_arrays(columns, names)
 
-        for chunk in chunks(batches, chunk_words):
+        for chunk in chunks(batches, chunk_bytes):
             chunk.close()
-            yield rows(chunk.lang, 0, [""], np.zeros(1, np.uint64), np.array([np.count_nonzero(chunk.ids)]))
+            yield rows(chunk.lang, 0, [""], np.array([xxhash.xxh64_intdigest(chunk.lang)], np.uint64), np.array([np.count_nonzero(chunk.ids)]))
             for size, place, count, codes in chunk.phrases(range(1, LONGEST + 1), frequent, LONGEST):
-                for at in range(0, len(place), 50_000):
-                    some = slice(at, at + 50_000)
-                    yield rows(chunk.lang, size, [chunk.phrase(p, size) for p in place[some].tolist()], codes[some], count[some])
+                if len(codes):
+                    yield rows(chunk.lang, size, [chunk.phrase(p, size) for p in place.tolist()], codes, count)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums by lang, size and phrase within a partition; its survivors come first if the tasks had not got them."""
+        keys = ["lang", "size", "phrase"]
+        kinds = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
+        current, known, waiting, size = None, [], [], 0
 
-    out = texts.mapInArrow(exact, "lang string, size int, phrase string, h long, n long")
+        def sums() -> pa.Table:
+            return pa.concat_tables(waiting).group_by(keys).aggregate([("n", "sum")]).rename_columns([*keys, "n"]).select(kinds.names).cast(kinds) if waiting else kinds.empty_table()
+
+        def told() -> Iterator[pa.RecordBatch]:
+            out = sums()
+            return iter(out.filter(pc.or_(pc.greater_equal(out["n"], threshold), pc.equal(out["size"], 0))).to_batches())
+
+        for batch in batches:
+            for i, place in enumerate(batch.column("place").to_pylist()):
+                if place // 2 != current:
+                    yield from told()
+                    current, known, waiting, size = place // 2, [], [], 0
+                h = batch.column("h")[i].values.to_numpy().view(np.uint64)
+                if place % 2 == 0:
+                    known.append(h)
+                    continue
+                n, phrases = batch.column("n")[i].values, batch.column("phrases")[i].values
+                lang, words = batch.column("lang")[i].as_py(), batch.column("size")[i].as_py()
+                part = pa.table({"lang": pa.array([lang] * len(n), pa.string()), "size": pa.array(np.full(len(n), words, np.int32)), "phrase": phrases, "n": n}, schema=kinds)
+                if frequent is None and words:
+                    known = [np.sort(np.concatenate(known))] if known else [np.empty(0, np.uint64)]
+                    part = part.filter(pa.array(within(known[0], h)))
+                waiting.append(part)
+                size += len(part)
+                if size > 1_000_000:
+                    waiting = [sums()]
+                    size = len(waiting[0])
+        yield from told()
+
+    out = texts.mapInArrow(exact, schema)
     if frequent is None:
-        out = out.join(found.union(texts.sparkSession.createDataFrame([(0,)], "h long")).hint("merge"), "h", "left_semi")
-    sums = out.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
-    return cut(sums.where((F.col("n") >= threshold) | (F.col("size") == 0)), "phrases")
+        place = (F.expr(f"cast(conv(hex(h), 16, 10) as decimal(20, 0)) % {slots}").cast("int") * 2).alias("place")
+        first = found.select(place, F.lit("").alias("lang"), F.lit(0).alias("size"), F.array("h").alias("h"), F.array().cast("array<string>").alias("phrases"), F.array().cast("array<long>").alias("n"))
+        out = out.unionByName(first)
+    out = out.repartition(slots, F.shiftright("place", 1)).sortWithinPartitions("place")
+    return cut(out.mapInArrow(added, "lang string, size int, phrase string, n long"), "phrases")
 
 
-def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", threshold: int = THRESHOLD, held: int = HELD, chunk_words: int = CHUNK_WORDS, slot_counters: int = SLOT_COUNTERS) -> DataFrame:
+def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", threshold: int = THRESHOLD, held: int = HELD, chunk_bytes: int = CHUNK_BYTES, slot_counters: int = SLOT_COUNTERS) -> DataFrame:
     """(lang, size, phrase, n): the exact counts of all phrases of up to LONGEST words with at least `threshold`
     occurrences, and the words of each language (size 0)."""
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), ascii_lower(F.col(text)).alias("text"))
+    texts = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.concat(F.coalesce(F.col(text), F.lit("")), F.lit("\n")).alias("text"))
     letters = docs.agg(F.sum(F.length(text))).first()[0] or 0
     # a word and its space have two letters at least, and one phrase of each size begins with it
     slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), letters // (threshold * slot_counters))
-    with small_batches(spark):
-        short = mine(texts, range(1, 3), None, 0, threshold, slots, chunk_words)
-        long = mine(texts, range(3, LONGEST + 1), hashes(short, held), 2, threshold, slots, chunk_words)
+    with small_batches(spark, 200):
+        short = mine(texts, range(1, 3), None, 0, threshold, slots, chunk_bytes)
+        long = mine(texts, range(3, LONGEST + 1), hashes(short, held), 2, threshold, slots, chunk_bytes)
         found = short.union(long)
-        return counted(texts, hashes(found, held), found, threshold, chunk_words)
+        return counted(texts, hashes(found, held), found, threshold, slots, chunk_bytes)
 
 
-def scored(phrases: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+def scored(phrases: DataFrame, limit: int = BROADCAST_BYTES // 16) -> DataFrame:
     """(lang, phrase, size, a, l, r, score) of the phrases of two words or more, at the cut with the lowest score."""
     words = F.split("phrase", " ")
     part = lambda start, n: F.array_join(F.slice("words", start, n), " ")

@@ -47,7 +47,7 @@ def texts(seed, n=150):
     return [*rows, (None, "en"), ("", None), (" ".join(["new york city"] * 3000), "en"), rows[0], rows[0]]
 
 
-@pytest.mark.parametrize(("threshold", "top", "options"), [(3, 50, {}), (5, 7, {"held": 0}), (4, 1000, {"chunk_words": 50, "slot_counters": 10}), (2, 20, {"chunk_words": 1, "held": 40})])
+@pytest.mark.parametrize(("threshold", "top", "options"), [(3, 50, {}), (5, 7, {"held": 0}), (4, 1000, {"chunk_bytes": 300, "slot_counters": 10}), (2, 20, {"chunk_bytes": 1, "held": 40})])
 def test_agrees_with_counting_everything(spark, threshold, top, options):
     rows = texts(threshold)
     docs = spark.createDataFrame([(i, t, g, "x") for i, (t, g) in enumerate(rows)], "doc_id long, text string, lang string, n string")
