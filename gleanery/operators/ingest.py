@@ -59,21 +59,25 @@ def first_stored(rows: DataFrame) -> DataFrame:
     all rows are decided in the first round; a further one takes a chain of rows that meet by turns in one key and the
     other. Keys are grouped before they are joined, so a page that comes very often is one row of a group."""
     by_ext = ["source", "external_id"]
-    open_rows, out = rows.select("id", "url_hash", *by_ext), None
-    while True:
-        url = open_rows.groupBy("url_hash").agg(F.min("id").alias("_url"))
-        ext = open_rows.where("external_id is not null").groupBy(*by_ext).agg(F.min("id").alias("_ext"))
-        firsts = open_rows.join(url, "url_hash").join(ext, by_ext, "left")
-        stored = firsts.where((col("_url") == col("id")) & (F.coalesce("_ext", "id") == col("id"))).select("id", "url_hash", *by_ext)
-        stored = written(stored, "stored")
+    given = rows.select("id", "url_hash", *by_ext)
+    still, all_stored = given, None
+
+    def met(some: DataFrame, stored: DataFrame) -> DataFrame:
+        """some with the stored rows that share a key."""
         by_url = stored.select("url_hash", col("id").alias("_url"))
         by_id = stored.where("external_id is not null").select(*by_ext, col("id").alias("_ext"))
-        met = written(open_rows.join(by_url, "url_hash", "left").join(by_id, by_ext, "left"), "met")
-        seen = met.withColumn("seen_as", F.least("_url", "_ext")).where("seen_as < id").select("id", "seen_as")
-        out = seen if out is None else out.unionByName(seen)
-        open_rows = met.where("_url is null and _ext is null").drop("_url", "_ext")
-        if open_rows.isEmpty():
-            return out
+        return some.join(by_url, "url_hash", "left").join(by_id, by_ext, "left")
+
+    while True:
+        url = still.groupBy("url_hash").agg(F.min("id").alias("_url"))
+        ext = still.where("external_id is not null").groupBy(*by_ext).agg(F.min("id").alias("_ext"))
+        firsts = still.join(url, "url_hash").join(ext, by_ext, "left")
+        stored = written(firsts.where((col("_url") == col("id")) & (F.coalesce("_ext", "id") == col("id"))).select("id", "url_hash", *by_ext), "stored")
+        all_stored = stored if all_stored is None else all_stored.unionByName(stored)
+        still = written(met(still, stored).where("_url is null and _ext is null").select("id", "url_hash", *by_ext), "still_open")
+        if still.isEmpty():
+            # which of the stored ones a row is seen as: the earliest by either key, whatever round it came from
+            return met(given, all_stored).withColumn("seen_as", F.least("_url", "_ext")).where("seen_as < id").select("id", "seen_as")
 
 
 def outcomes(incoming: DataFrame, stored: DataFrame, run_id: int, now_hour: int, cfg: Config = DEFAULT) -> DataFrame:

@@ -245,6 +245,22 @@ def merged_legitimacy(own: Column, other: Column, concerns: Column) -> Column:
     return F.struct(score.alias("score"), verdict.alias("verdict"), F.concat(own["flags"], added).alias("flags"))
 
 
+def merged_apply(own: Column, method: Column, email: Column, description: Column) -> Column:
+    """struct(method, email): the rules' way to apply; where that is unclear, the analysts', an address only if it
+    stands in the posting."""
+    written = F.coalesce((F.coalesce(email, F.lit("")) != "") & F.lower(F.coalesce(description, F.lit(""))).contains(F.lower(email)), F.lit(False))
+    pair = lambda m, e: F.struct(m.alias("method"), e.alias("email"))
+    told = (own["method"] == "unclear") & F.coalesce(method != "unclear", F.lit(False))
+    return F.when(told & (method == "email") & written, pair(method, email)).when(told & (method != "email"), pair(method, own["email"])).otherwise(pair(own["method"], own["email"]))
+
+
+def merged_seniority(own: Column, years: Column, cfg: Config = DEFAULT) -> Column:
+    """The rules' reasons; where there are none, the years that the analysts read, if they are too many."""
+    most = cfg.max_required_years
+    said = F.concat(F.lit("Requires "), years.cast("string"), F.lit(f"+ years of experience (limit {most})"))
+    return F.when((F.size(own) == 0) & (years > most), F.array(said)).otherwise(own)
+
+
 #: Hosts of the feeds themselves.
 FEED_HOSTS = ["remotive.com", "remoteok.com", "weworkremotely.com", "himalayas.app", "jobicy.com", "workingnomads.com", "ycombinator.com", "arbeitnow.com"]
 

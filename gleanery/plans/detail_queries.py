@@ -353,30 +353,30 @@ def link_routing(spark, d) -> DataFrame:
     return dedup.link_outcomes(*link_parts(spark, d), replace(C, max_pages_per_run=3)).select("id", "outcome")
 
 
-@query("SELECT event_id AS claim_id, 'done' AS outcome FROM events WHERE event_id % 3 = 0")
+@query("""SELECT event_id AS claim_id, CASE WHEN event_id % 3 = 0 THEN 'done' ELSE 'expired' END AS outcome FROM events, (SELECT max(epoch_ms(ts)) AS last FROM events)
+ WHERE event_id % 3 = 0 OR epoch_ms(ts) + 30 * 60000 < last""")
 def stream_stale_claims(spark, d) -> DataFrame:
-    """Claims that end; those that expire depend on the watermark and are tested apart."""
+    """Claims that end, and those that no end came for until half an hour later by the stream's own time."""
     claims = jobs.events(spark, d).select(col("event_id").alias("claim_id"), F.when(col("event_id") % 3 == 0, "done").otherwise("claim").alias("action"), col("ts").alias("at"))
-    return drain(jobs.stale_claims(claims)).where("outcome = 'done'")
+    return drain(jobs.stale_claims(claims))
 
 
-@query(f"SELECT id, source, title, company_name, location_text, remote_type, match_score, recommendation, review_status, pipeline_status, eligibility, first_seen_hour, apply_url, apply_email FROM opportunities", "opportunities")
+made("exports", f"""id, first_seen_hour, source, title, company_name, location_text, remote_type, {pick('id * 3', ['full_time', '', 'contract', None])} AS employment_type, match_score, recommendation, review_status, pipeline_status, eligibility,
+  {pick('id * 5', ['legitimate', None, 'uncertain', '', 'say "so", or; not'])} AS legitimacy_verdict, {pick('id * 7', ['email', 'ats_form', None])} AS apply_method, CASE WHEN id % 4 > 0 THEN CAST(id * 7 % 90000 AS DOUBLE) / 8 END AS pay_min, CASE WHEN id % 6 > 0 THEN CAST(id * 13 % 90000 AS DOUBLE) END AS pay_max,
+  CASE WHEN id % 9 = 0 THEN '' ELSE concat(' https://jobs.example.com/', CAST(id AS STRING), chr(10), '?a=1 ') END AS source_url, apply_url, apply_email""")
+
+
+@query(f"SELECT {', '.join(sinks.EXPORT)} FROM exports", "exports")
 def exported_csv(spark, d) -> DataFrame:
-    """The export written as CSV and read back."""
+    """The export, all its columns, written as CSV and read back: an empty text is quoted, a missing one is not."""
     import uuid
 
     from gleanery.session import scratch
 
-    rows = opps(spark, d)
+    rows = derived(spark, d, "exports")
     path = f"{scratch(spark)}/export-{uuid.uuid4().hex}"
     sinks.export_csv(rows, path)
-    names = [c for c in sinks.EXPORT if c in rows.columns]
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("nullValue", "").option("emptyValue", '""').csv(path, schema=", ".join(f"`{n}` {kinds[n]}" for n in names))
-    # CSV knows no difference between no text and an empty one; empty ones are taken from their table again
-    blank = rows.select("id", *[(col(c) == "").alias(f"_{c}") for c in ("location_text", "apply_email")])
-    back = back.join(blank, "id").withColumns({c: F.when(col(f"_{c}"), F.lit("")).otherwise(F.nullif(c, F.lit('""'))) for c in ("location_text", "apply_email")})
-    return back.select("id", "source", "title", "company_name", "location_text", "remote_type", "match_score", "recommendation", "review_status", "pipeline_status", "eligibility", "first_seen_hour", "apply_url", "apply_email")
+    return sinks.read_export(spark, path, rows.schema)
 
 
 @query("SELECT l_orderkey * 8 + l_linenumber AS id, '{\"type\":\"object\",\"properties\":{\"l_orderkey\":{\"type\":\"integer\"},\"l_quantity\":{\"type\":\"number\"},\"l_returnflag\":{\"type\":\"string\"}}}' AS schema FROM lineitem WHERE l_linenumber = 1 ")

@@ -11,6 +11,7 @@ from gleanery.operators import rules
 from gleanery.plans import oracle as o
 from gleanery.plans import postings
 from gleanery.plans.derived import NOW_HOUR, PHRASES, derived, with_tables
+from gleanery.plans.report_queries import SIMILAR_PRIOR
 from gleanery.session import table
 
 col = F.col
@@ -249,7 +250,9 @@ SELECT doc_id AS id, CAST((doc_id * 7) % 130 - 10 AS DOUBLE) AS skills_match, CA
   CASE WHEN doc_id % 17 = 0 THEN NULL ELSE CAST((doc_id * 3) % 101 AS DOUBLE) END AS growth_value, doc_id % 23 <> 0 AS is_real, doc_id % 29 = 0 AS senior_mismatch,
   CASE (doc_id * 3) % 4 WHEN 0 THEN 'eligible' WHEN 1 THEN 'likely_eligible' WHEN 2 THEN 'unclear' ELSE 'not_eligible' END AS eligibility_verdict, concat('says ', CAST(doc_id % 7 AS STRING)) AS eligibility_evidence,
   CASE (doc_id * 5) % 6 WHEN 0 THEN 'uncertain' WHEN 1 THEN 'suspicious' ELSE 'legitimate' END AS legitimacy_verdict, split('thin,vague', ',') AS concerns,
-  'remote' AS remote_verdict, 'full_time' AS employment_verdict
+  CASE doc_id % 3 WHEN 0 THEN 'remote' WHEN 1 THEN 'onsite' ELSE 'hybrid' END AS remote_verdict, CASE doc_id % 5 WHEN 0 THEN 'internship' ELSE 'full_time' END AS employment_verdict,
+  CASE WHEN doc_id % 31 = 0 THEN 4 WHEN doc_id % 7 = 0 THEN 2 END AS required_years, CASE (doc_id * 11) % 4 WHEN 0 THEN 'unclear' WHEN 1 THEN 'external_form' ELSE 'email' END AS application_method,
+  CASE WHEN doc_id % 5 = 4 THEN 'made@up.example' ELSE upper(regexp_extract(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z]+', 0)) END AS application_email
 FROM documents
 """
 
@@ -281,6 +284,37 @@ def decisions(spark, sf_dir):
     return rows.select("id", "match.score", "merged.status", "legit.verdict", "decision.recommendation", "next_review", F.size("blocked_by").alias("n_blockers"), F.size("decision.auto_blockers").alias("n_auto_blockers"))
 
 
+#: Each rule's own SQL by posting, and where the chain of them stops.
+STOPS = f"""rel AS ({POSTING_RELEVANCE}), sen AS ({POSTING_SENIORITY}), eli AS ({POSTING_ELIGIBILITY}), leg AS (WITH {LEGITIMACY_CTE} SELECT id, score AS legit_score, scam FROM l), que AS ({QUEUE_SCORES}), pri AS ({SIMILAR_PRIOR}), mon AS ({PAY_MONTHLY}), app AS ({POSTING_APPLY}),
+st AS (SELECT v.*, rel.local, eli.status AS rule, eli.onsite_home, legit_score, scam, que.score AS queue_score, mon.pay_min AS low, mon.pay_max AS high, app.method, app.email, CASE WHEN coalesce(expires_hour < {NOW_HOUR}, false) OR coalesce(posted_hour < {NOW_HOUR} - 720, false) THEN 'stale' WHEN NOT rel.ok THEN 'relevance'
+    WHEN sen.blocked OR sen.hint_blocks THEN 'seniority' WHEN eli.status = 'not_eligible' AND eli.explicit THEN 'eligibility' WHEN scam THEN 'scam' WHEN application_id IS NOT NULL THEN 'prior_application' ELSE 'passed' END AS stop_stage
+  FROM opportunities v JOIN rel USING (id) JOIN sen USING (id) JOIN eli USING (id) JOIN leg USING (id) JOIN que USING (id) JOIN pri USING (id) JOIN mon USING (id) JOIN app USING (id))"""
+RULE_STAGE = f"""WITH {STOPS} SELECT source, stop_stage, CASE WHEN stop_stage = 'passed' THEN 'awaiting_ai' ELSE 'filtered_out' END AS status, count(*) AS postings, CAST(sum(queue_score) AS BIGINT) AS queue_total FROM st GROUP BY ALL"""
+
+_RANKED = lambda c: f"CASE {c} WHEN 'not_eligible' THEN 0 WHEN 'unclear' THEN 1 WHEN 'likely_eligible' THEN 2 ELSE 3 END"
+_GRADE = lambda s: f"CASE WHEN scam OR {s} < 40 THEN 2 WHEN {s} < 65 THEN 1 ELSE 0 END"
+_POINTS = lambda x: f"greatest(0, least(100, coalesce(round_even({x}, 0), 0)))"
+_LOW_PAY = "kind IN ('internship', 'part_time')"
+#: The analysts' verdicts merged with the rules', the score, the blockers and the decision.
+DECISIONS = f"""WITH {STOPS}, an AS ({ANALYSIS}),
+a AS (SELECT st.*, an.* EXCLUDE (id), CASE WHEN coalesce(remote_type, 'unknown') = 'unknown' THEN remote_verdict ELSE remote_type END AS mode, CASE WHEN {o.employment('title')} = 'unspecified' THEN employment_verdict ELSE {o.employment('title')} END AS kind,
+  CASE WHEN method = 'unclear' AND application_method = 'email' AND application_email <> '' AND contains(lower(coalesce(description, '')), lower(application_email)) THEN 'email' WHEN method = 'unclear' AND application_method NOT IN ('unclear', 'email') THEN application_method ELSE method END AS way_in,
+  CASE WHEN method = 'unclear' AND application_method = 'email' AND application_email <> '' AND contains(lower(coalesce(description, '')), lower(application_email)) THEN application_email ELSE email END AS mail FROM st JOIN an ON an.id = st.id WHERE stop_stage = 'passed'),
+b AS (SELECT *, eligibility_verdict AS other, CAST(round_even(0.6 * legit_score + 0.4 * CASE legitimacy_verdict WHEN 'legitimate' THEN 80 WHEN 'uncertain' THEN 50 WHEN 'suspicious' THEN 15 ELSE 50 END, 0) AS INT) AS blended FROM a),
+c AS (SELECT *, CASE WHEN 'not_eligible' IN (rule, other) AND 'eligible' IN (rule, other) THEN 'unclear' WHEN 'not_eligible' IN (rule, other) THEN 'not_eligible' WHEN rule = 'unclear' THEN other WHEN other = 'unclear' THEN rule WHEN {_RANKED('rule')} <= {_RANKED('other')} THEN rule ELSE other END AS status,
+  CASE WHEN legitimacy_verdict = 'suspicious' THEN 'suspicious' ELSE ['legitimate', 'uncertain', 'suspicious'][1 + greatest({_GRADE('legit_score')}, {_GRADE('blended')})] END AS verdict,
+  onsite_home OR (mode IN ('onsite', 'hybrid') AND {o.any_term(o.fold('location_text'), C.home_places[:5])}) AS at_home,
+  CASE WHEN low IS NULL AND high IS NULL THEN 60 WHEN low >= 40000 THEN 100 WHEN high >= 40000 THEN 85 WHEN coalesce(high, low) >= 20000 THEN CASE WHEN {_LOW_PAY} THEN 75 ELSE 55 END WHEN {_LOW_PAY} THEN 50 ELSE 25 END AS pay FROM b),
+e AS (SELECT *, CASE status WHEN 'eligible' THEN 100 WHEN 'likely_eligible' THEN 80 WHEN 'unclear' THEN 50 ELSE 0 END AS fit FROM c),
+s AS (SELECT *, CAST({_POINTS(f"{_POINTS('skills_match')} * 35 / 100 + {_POINTS('experience_fit')} * 20 / 100 + {_POINTS('role_fit')} * 15 / 100 + fit * 10 / 100 + pay * 10 / 100 + {_POINTS('growth_value')} * 10 / 100")} AS INT) AS score,
+  CAST(NOT is_real AS INT) + CASE WHEN required_years > 2 OR senior_mismatch THEN 1 ELSE 0 END + CAST(status = 'not_eligible' AS INT) + CAST(verdict = 'suspicious' AS INT) + CAST(mode IN ('onsite', 'hybrid') AND NOT at_home AS INT) AS blocks,
+  CAST(status NOT IN ('eligible', 'likely_eligible') AS INT) + CAST(verdict <> 'legitimate' AS INT) + CAST(mode <> 'remote' AS INT) AS autos,
+  CASE WHEN way_in = 'unclear' THEN 'unclear' WHEN way_in IN ('ats_form', 'external_form', 'login_required') THEN 'manual' WHEN coalesce(mail, '') = '' THEN 'no email' END AS way FROM e),
+f AS (SELECT *, CASE WHEN blocks > 0 THEN 'blocked' WHEN score < 70 THEN 'ignore' WHEN score < 85 THEN 'approval_required' WHEN autos = 0 AND way IS NULL THEN 'auto_apply_candidate' WHEN autos = 0 AND way = 'manual' THEN 'manual_apply' ELSE 'approval_required' END AS advice FROM s),
+g AS (SELECT *, CASE advice WHEN 'auto_apply_candidate' THEN 'auto_apply_disabled' WHEN 'manual_apply' THEN 'ready_to_apply' WHEN 'approval_required' THEN 'pending_approval' ELSE 'none' END AS review FROM f)
+SELECT id, score, status, verdict, advice AS recommendation, CASE WHEN coalesce(review_status, 'none') IN ('none', 'pending_approval', 'ready_to_apply', 'auto_apply_disabled') THEN review ELSE review_status END AS next_review, blocks AS n_blockers,
+  CAST(CASE advice WHEN 'blocked' THEN blocks WHEN 'ignore' THEN 1 WHEN 'auto_apply_candidate' THEN 0 ELSE greatest(CAST(score < 85 AS INT), autos + CAST(way IS NOT NULL AS INT)) END AS INT) AS n_auto_blockers FROM g"""
+
 #: name: (query, SQL or None)
 QUERIES = {
     "posting_forms": (posting_forms, with_tables(POSTING_FORMS, "opportunities")),
@@ -295,7 +329,7 @@ QUERIES = {
     "posting_apply": (posting_apply, with_tables(POSTING_APPLY, "opportunities")),
     "posting_legitimacy": (posting_legitimacy, with_tables(POSTING_LEGITIMACY, "opportunities")),
     "queue_scores": (queue_scores, with_tables(QUEUE_SCORES, "opportunities")),
-    "rule_stage": (rule_stage, None),
+    "rule_stage": (rule_stage, with_tables(RULE_STAGE, "opportunities", "applications")),
     "rule_outcomes": (rule_outcomes, with_tables(RULE_OUTCOMES, "opportunities")),
-    "decisions": (decisions, None),
+    "decisions": (decisions, with_tables(DECISIONS, "opportunities", "applications")),
 }

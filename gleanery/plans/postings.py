@@ -79,23 +79,30 @@ def decided(postings: DataFrame, analysis: DataFrame, cfg: Config = DEFAULT) ->
     """Staged postings that passed, merged with the analysts' verdicts: score, blockers, decision.
 
     analysis: id, four component scores (skills_match, experience_fit, role_fit, growth_value), is_real,
-    senior_mismatch, eligibility_verdict, eligibility_evidence, legitimacy_verdict, concerns,
-    remote_verdict, employment_verdict."""
+    senior_mismatch, required_years, eligibility_verdict, eligibility_evidence, legitimacy_verdict, concerns,
+    remote_verdict, employment_verdict, application_method, application_email.
+
+    Where the rules found no way to apply, the analysts' holds; but an address only if it stands in the posting. Their
+    years count where the rules found no sign of seniority. A posting whose mode they tell is on site at home if its
+    place is."""
     rows = postings.where(col("stop.stop_stage") == "passed").join(analysis, "id")
     rows = rows.withColumns({
         "mode": F.when((col("remote_type") == "unknown") | col("remote_type").isNull(), F.coalesce("remote_verdict", F.lit("unknown"))).otherwise(col("remote_type")),
         "kind": F.when(col("employment_type") == "unspecified", F.coalesce("employment_verdict", F.lit("unspecified"))).otherwise(col("employment_type")),
         "merged": rules.merged_eligibility(col("eligible.status"), col("eligible.evidence"), col("eligibility_verdict"), col("eligibility_evidence")),
         "legit": rules.merged_legitimacy(col("legit"), col("legitimacy_verdict"), col("concerns")),
+        "apply": rules.merged_apply(col("apply"), col("application_method"), col("application_email"), col("description")),
+        "seniority_reasons": rules.merged_seniority(col("senior.reasons"), col("required_years"), cfg),
     })
+    at_home = col("mode").isin("onsite", "hybrid") & text.has_any(col("location_folded"), cfg.home_places[:5])
     pay = scoring.compensation(col("pay_min"), col("pay_max"), col("kind"), cfg)
     fit = F.coalesce(*[F.when(col("merged.status") == k, F.lit(v)) for k, v in scoring.ELIGIBILITY_POINTS.items()], F.lit(50))
     none = F.lit("")
     parts = {n: (col(n), none) for n in ("skills_match", "experience_fit", "role_fit", "growth_value")} | {"eligibility": (fit, col("merged.evidence")), "compensation": (pay["score"], pay["reasoning"])}
     rows = rows.withColumn("match", scoring.match_score(parts, cfg.weights))
     blocked = scoring.blockers(
-        real=col("is_real"), seniority_reasons=col("senior.reasons"), senior_mismatch=col("senior_mismatch"), eligibility=col("merged.status"), evidence=col("merged.evidence"),
-        legitimacy=col("legit.verdict"), prior_id=col("prior_application"), mode=col("mode"), onsite_home=col("eligible.onsite_home"), cfg=cfg)
+        real=col("is_real"), seniority_reasons=col("seniority_reasons"), senior_mismatch=col("senior_mismatch"), eligibility=col("merged.status"), evidence=col("merged.evidence"),
+        legitimacy=col("legit.verdict"), prior_id=col("prior_application"), mode=col("mode"), onsite_home=col("eligible.onsite_home") | at_home, cfg=cfg)
     rows = rows.withColumn("blocked_by", blocked)
     decision = scoring.decide(
         score=col("match.score"), blocked_by=col("blocked_by"), eligibility=col("merged.status"), legitimacy=col("legit.verdict"), mode=col("mode"), method=col("apply.method"), email=col("apply.email"), cfg=cfg)

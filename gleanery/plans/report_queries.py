@@ -248,10 +248,13 @@ def exact_prior_applications(spark, d):
     return joins.prior_applications(rows[0], rows[1], NOW, C.duplicate_window_days, 100.0)
 
 
-@query(f"""WITH RECURSIVE p AS (SELECT id, {o.company('company_name')} AS c, {o.title('title')} AS t FROM opportunities WHERE company_name IS NOT NULL), a AS (SELECT id, opportunity_id, {o.company('company_name')} AS c, {o.title('title')} AS t FROM applications WHERE status <> 'withdrawn' AND applied_hour > {NOW} - 24 * {C.duplicate_window_days}),
+SIMILAR_PRIOR = f"""WITH RECURSIVE p AS (SELECT id, {o.company('company_name')} AS c, {o.title('title')} AS t FROM opportunities WHERE company_name IS NOT NULL), a AS (SELECT id, opportunity_id, {o.company('company_name')} AS c, {o.title('title')} AS t FROM applications WHERE status <> 'withdrawn' AND applied_hour > {NOW} - 24 * {C.duplicate_window_days}),
  {o.likes("p", "a", C.duplicate_title_similarity)}, m AS (SELECT p.id, min(a.id) AS by_title FROM p JOIN alike ON alike.t = p.t JOIN a ON a.c = p.c AND a.t = alike.u WHERE p.c <> '' GROUP BY p.id),
  n AS (SELECT p.id, min(a.id) AS same FROM p JOIN a ON a.c = p.c AND a.opportunity_id = p.id WHERE p.c <> '' GROUP BY p.id)
- SELECT v.id, least(by_title, same) AS application_id FROM opportunities v LEFT JOIN m USING (id) LEFT JOIN n USING (id)""", "opportunities", "applications")
+ SELECT v.id, least(by_title, same) AS application_id FROM opportunities v LEFT JOIN m USING (id) LEFT JOIN n USING (id)"""
+
+
+@query(SIMILAR_PRIOR, "opportunities", "applications")
 def similar_prior_applications(spark, d):
     """Applications to the company for a title that is alike, not equal alone."""
     rows = [derived(spark, d, n) for n in ("opportunities", "applications")]

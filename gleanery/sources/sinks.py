@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The columns of an export, in order; columns that a table lacks are left out.
 EXPORT = [
@@ -20,6 +21,13 @@ def export_csv(postings: DataFrame, path: str) -> None:
     postings.select(*columns).orderBy(F.desc("first_seen_hour"), "id").write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
+def read_export(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """An export as a table. A quoted empty value is an empty text, one without quotes is missing: what is read for the
+    latter must not be an empty text too."""
+    fields = StructType([schema[c] for c in EXPORT if c in schema.names])
+    return spark.read.options(header=True, escape='"', multiLine=True, nullValue="\0").csv(path, schema=fields)
+
+
 def event_rows(events: DataFrame) -> DataFrame:
     """Audit events as they are stored: level info by default, message cut to 4,000 characters."""
     return events.withColumns({"level": F.coalesce("level", F.lit("info")), "message": F.substring(F.coalesce("message", F.lit("")), 1, 4000)})

@@ -165,3 +165,17 @@ def test_auto_apply_blockers(spark):
     row = spark.range(1).select(lit("auto_apply_candidate").alias("recommendation"), lit(90).alias("match_score"), lit("eligible").alias("eligibility"), lit("legitimate").alias("legitimacy_verdict"), lit("email").alias("apply_method"), lit("a@b.c").alias("apply_email"), lit(True).alias("materials_verified"), lit(None).cast("long").alias("prior_application"))
     assert row.select(views.auto_apply_blockers(replace(DEFAULT, auto_apply_enabled=True), submitter=True)).first()[0] == []
     assert len(row.select(views.auto_apply_blockers()).first()[0]) == 2
+
+
+def test_merged_ways_to_apply_and_seniority(spark):
+    """An address of the analysts counts only if the posting has it; their years only without a reason of the rules."""
+    rows = [
+        ("unclear", None, "email", "Jobs@X.example", "write to jobs@x.example now", [], 3), ("unclear", None, "email", "made@up.example", "write to us", [], 2), ("unclear", None, "ats_form", "a@b.co", "a@b.co", ["Senior"], 9),
+        ("email", "own@x.co", "ats_form", "a@b.co", "a@b.co", [], None), ("unclear", None, "unclear", None, None, [], 3), ("unclear", None, None, None, None, [], None), ("unclear", "k@l.mn", "email", "", "", [], 1), ("unclear", None, "email", None, "x", [], 1),
+    ]
+    df = spark.createDataFrame(rows, "m string, e string, method string, email string, d string, own array<string>, years int")
+    from pyspark.sql import functions as F
+
+    out = df.select(rules.merged_apply(F.struct(F.col("m").alias("method"), F.col("e").alias("email")), F.col("method"), F.col("email"), F.col("d")).alias("a"), rules.merged_seniority(F.col("own"), F.col("years")).alias("s")).collect()
+    assert [tuple(r.a) for r in out] == [("email", "Jobs@X.example"), ("unclear", None), ("ats_form", None), ("email", "own@x.co"), ("unclear", None), ("unclear", None), ("unclear", "k@l.mn"), ("unclear", None)]
+    assert [r.s for r in out] == [["Requires 3+ years of experience (limit 2)"], [], ["Senior"], [], ["Requires 3+ years of experience (limit 2)"], [], [], []]
