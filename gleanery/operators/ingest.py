@@ -16,6 +16,7 @@ from gleanery.config import DEFAULT, Config
 from gleanery.functions import money, text, urls
 from gleanery.operators import joins, rules
 from gleanery.operators.dedup import near_duplicates
+from gleanery.operators.store import Store
 from gleanery.session import written
 
 col = F.col
@@ -123,3 +124,17 @@ def touched(stored: DataFrame, found: DataFrame, run_id: int) -> DataFrame:
     out = stored.join(last, "id", "left")
     hit = col("_at").isNotNull()
     return out.withColumns({"last_run_id": F.when(hit, F.lit(run_id)).otherwise(col("last_run_id")), "last_seen_hour": F.greatest("last_seen_hour", "_at")}).drop("_at")
+
+
+#: What the store keeps of a posting besides the columns of ROW.
+KEPT = [*ROW, "external_id", "last_seen_hour"]
+
+
+def ingest_into(store: Store, incoming: DataFrame, run_id: int, now_hour: int, batch: str, cfg: Config = DEFAULT) -> bool:
+    """Stores what comes in and touches what is seen again; a batch that was ingested before changes nothing."""
+    incoming, stored = written(incoming, "incoming"), store.read()
+    found = written(outcomes(incoming, stored, run_id, now_hour, cfg), "outcomes")
+    added = additions(incoming, found, run_id, cfg).withColumns({"external_id": F.nullif("source_external_id", F.lit("")), "last_seen_hour": col("first_seen_hour")})
+    # only postings that are new or were seen again are written
+    again = stored.join(found.where("outcome = 'seen'").select(col("sighting_of").alias("id")).distinct(), "id", "left_semi")
+    return store.upsert(touched(again.select(*KEPT).unionByName(added.select(*KEPT)), found, run_id), batch)

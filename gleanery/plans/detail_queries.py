@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gleanery.config import DEFAULT as C
 from gleanery.functions import urls
 from gleanery.operators import dedup, detail, ingest, reports, rules, scoring, state, views
+from gleanery.operators.store import Store
 from gleanery.plans import oracle as o
 from gleanery.plans.derived import NOW_HOUR as NOW
 from gleanery.plans.derived import OPPORTUNITIES, SOURCES as NAMES, TABLES, derived, pick, with_tables
@@ -109,6 +110,24 @@ def ingest_touched(spark, d) -> DataFrame:
     return ingest.touched(stored, ingest.outcomes(incoming, stored, RUN, NOW), RUN).select("id", "last_run_id", "last_seen_hour")
 
 
+@query(f"""WITH RECURSIVE {INGEST}, t AS (SELECT seen_as AS id, max(seen_hour) AS seen_at FROM z WHERE outcome = 'seen' GROUP BY seen_as),
+ u AS (SELECT id, url_hash, CAST(NULL AS BIGINT) AS duplicate_of, 1 AS run, seen_hour, title_norm FROM s UNION ALL SELECT id, url_hash, duplicate_of, 7, seen_hour, title_norm FROM z WHERE outcome IN ('new', 'duplicate'))
+ SELECT id, url_hash, duplicate_of, CASE WHEN t.id IS NULL THEN run ELSE 7 END AS last_run_id, greatest(seen_hour, seen_at) AS last_seen_hour, title_norm FROM u LEFT JOIN t USING (id)""", "arrivals")
+def ingest_stored(spark, d) -> DataFrame:
+    """The stored postings after a run, read back from the table; the run is sent twice, and counts once."""
+    import uuid
+
+    from gleanery.session import scratch
+
+    incoming, before = arrivals(spark, d)
+    before = before.withColumn("pipeline_status", F.lit("new")).select(*ingest.KEPT)
+    store = Store(spark, f"{scratch(spark)}/postings-{uuid.uuid4().hex}", "id", before.schema, 16)
+    store.upsert(before, "load")
+    for _ in range(2):
+        ingest.ingest_into(store, incoming, RUN, NOW, f"run {RUN}")
+    return store.read().select("id", "url_hash", "duplicate_of", "last_run_id", "last_seen_hour", "title_norm")
+
+
 @query("""WITH f AS (SELECT *, concat(lower(coalesce(company_name, '')), '|', lower(title)) AS print FROM arrivals WHERE company_name IS NOT NULL) SELECT print, arg_min(id, seen_hour * 10000000 + id) AS original FROM f GROUP BY print""", "arrivals")
 def fingerprint_originals(spark, d) -> DataFrame:
     rows = derived(spark, d, "arrivals").where("company_name is not null")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gleanery.operators.dedup import LEADERS, similarity
+from gleanery.operators.ingest import ingest_into
+from gleanery.operators.store import Store
 
 col = F.col
 
@@ -93,3 +95,14 @@ def stale_claims(stream: DataFrame, minutes: int = 30) -> DataFrame:
 
     timed = stream.withWatermark("at", "0 seconds")
     return timed.groupBy("claim_id").applyInPandasWithState(follow, "claim_id long, outcome string", "open int", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def ingest_stream(stream: DataFrame, store: Store, run_id: int, now_hour: int, checkpoint: str, name: str = "ingest") -> None:
+    """Ingests what a stream of postings has into the store, a micro-batch after the other. A batch that is tried again
+    after a failure carries its number, and so changes the store once."""
+
+    def take(batch: DataFrame, number: int) -> None:
+        ingest_into(store, batch, run_id, now_hour, f"{name} {number}")
+
+    query = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
