@@ -50,9 +50,9 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/gleanery-{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """df as a table in the shared folder, read back: what follows neither repeats what made it nor depends on the
-    executors that made it."""
+    executors that made it. With `by`, a filter on that column reads the files of its value alone."""
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import classify, text
 from gleanery.functions.dates import parsed
+from gleanery.session import written
 
 col = F.col
 #: What an adapter may set; the rest is null.
@@ -299,10 +300,13 @@ def completed(rows: DataFrame) -> DataFrame:
 
 
 def postings(payloads: DataFrame, sources: list[str] | None = None) -> DataFrame:
-    """All sources' postings. Sources without payloads cost a filter each."""
+    """All sources' postings. The payloads are read once, and laid out by source, so that each reader gets its own
+    alone; those of one source, or of a stream, are filtered as they come."""
     readers: dict[str, Callable[[DataFrame], DataFrame]] = {s: (lambda p, s=s: read(p, s)) for s in ADAPTERS} | {"weworkremotely": read_rss, "hackernews": read_thread}
-    out = None
-    for name in sources or list(readers):
+    sources, out = sources or list(readers), None
+    if len(sources) > 1 and not payloads.isStreaming:
+        payloads = written(payloads.where(col("source").isin(sources)), "payloads", by="source")
+    for name in sources:
         rows = readers[name](payloads)
         out = rows if out is None else out.unionByName(rows)
     return completed(out)

@@ -110,3 +110,20 @@ def test_search(spark):
     df = spark.createDataFrame([("brave", json.dumps({"web": {"results": [{"url": "a", "title": "t", "description": "<b>d</b>"}, {"title": "no url"}]}})), ("tavily", json.dumps({"results": [{"url": "b", "content": "x" * 600}]})), ("google_cse", json.dumps({"items": [{"link": "c", "snippet": "s"}]}))], "source string, body string")
     got = sorted((r.url, r.via, len(r.snippet)) for r in feeds.search_links(df).collect())
     assert got == [("a", "search:brave", 1), ("b", "search:tavily", 500), ("c", "search:google_cse", 1)]
+
+
+def test_payloads_of_many_sources_are_read_once(spark):
+    """Each reader sees the files of its own source; the values are those of the readers alone."""
+    import json
+
+    from pyspark.sql import functions as F
+
+    body = lambda i: json.dumps({"jobs": [{"id": i, "url": f"https://x.example/{i}", "title": f"Developer {i}", "company_name": "Co", "job_type": "contract", "description": "<p>Text</p>"}]})
+    rows = [(["remotive", "lever", "findwork", None][i % 4], "u", "{}", None, body(i)) for i in range(40)]
+    payloads = spark.createDataFrame(rows, "source string, url string, params string, fetched_at timestamp_ntz, body string")
+    together = feeds.postings(payloads)
+    each = [feeds.postings(payloads, [s]) for s in ("remotive", "lever", "findwork")]
+    alone = each[0].unionByName(each[1]).unionByName(each[2])
+    assert sorted(map(str, together.collect())) == sorted(map(str, alone.collect())) and together.count() == 10
+    plan = together.groupBy("source").agg(F.count("*"))._jdf.queryExecution().toString()
+    assert "Scan ExistingRDD" not in plan and "PartitionFilters" in plan
