@@ -179,3 +179,11 @@ def test_merged_ways_to_apply_and_seniority(spark):
     out = df.select(rules.merged_apply(F.struct(F.col("m").alias("method"), F.col("e").alias("email")), F.col("method"), F.col("email"), F.col("d")).alias("a"), rules.merged_seniority(F.col("own"), F.col("years")).alias("s")).collect()
     assert [tuple(r.a) for r in out] == [("email", "Jobs@X.example"), ("unclear", None), ("ats_form", None), ("email", "own@x.co"), ("unclear", None), ("unclear", None), ("unclear", "k@l.mn"), ("unclear", None)]
     assert [r.s for r in out] == [["Requires 3+ years of experience (limit 2)"], [], ["Senior"], [], ["Requires 3+ years of experience (limit 2)"], [], [], []]
+
+
+def test_work_mode_is_read_from_the_start_of_the_text_before_folding(spark, tmp_path):
+    from gleanery import registry
+
+    rows = [(3, "世" * 100 + " " * 1900 + "remote work", "en", "a", 2011), (14, "世" * 100 + " " * 1800 + "remote work", "en", "a", 1911)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.id: r.mode for r in registry.queries()["work_classes"](spark, str(tmp_path)).collect()} == {3: "unknown", 14: "remote"}
