@@ -103,3 +103,13 @@ def test_long_and_broken_markup_takes_linear_time():
         markup.plain(bad)
         markup.main_markup(bad)
     assert time.time() - began < 20
+
+
+def test_rows_go_to_python_in_small_batches(spark):
+    df = spark.createDataFrame([("<main>a<p>b</main>", ["<b>x</b>", None]), (None, None)], "html string, parts array<string>")
+    each = {"lines": markup.lines("html"), "main": markup.main_lines("html"), "hrefs": markup.hrefs("html"), "parts": markup.lines_each("parts")}
+    for name, column in each.items():
+        plan = df.select(column.alias(name))._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    rows = df.select(*[c.alias(n) for n, c in each.items()]).collect()
+    assert [tuple(r) for r in rows] == [("a\nb", "a\nb", [], ["x", ""]), ("", "", [], None)]
