@@ -1,9 +1,10 @@
-"""Topics of documents: clusters of their words, fitted on a bounded sample.
+"""Topics of documents: clusters of their words, fitted on all of them.
 
 Words (runs of other characters than white space, in lower case) are hashed to WIDTH counts, weighed by inverse
-document frequency and scaled to length 1; k-means finds TOPICS centres in a hashed sample of SAMPLE_ROWS
-distinct texts in expectation. Every document takes the nearest centre. Spark's own feature transformers and
-k-means do the work inside executors; the model is TOPICS x WIDTH numbers.
+document frequency and scaled to length 1; k-means finds TOPICS centres among all rows with words. A copy counts
+as a row, as its tokens do in the mix. The hashed counts are written once, and the frequencies and rounds work on
+that table. Every document takes the nearest centre. Spark's own feature transformers and k-means do the work
+inside executors; the model is TOPICS x WIDTH numbers.
 
 Null texts and texts without words have the topic NONE. Empty tables give empty results. Repeated rows and
 rows with an equal text have the same topic. Other columns are kept; their names may clash.
@@ -21,35 +22,33 @@ from gleanery.llm.common import cut, fresh
 
 TOPICS = 16
 WIDTH = 1024
-SAMPLE_ROWS = 5000
 NONE = "none"
 PARTS = ("words", "counts", "weighed", "scaled", "topic")
 
 
-def fit(docs: DataFrame, topics: int = TOPICS, sample_rows: int = SAMPLE_ROWS, seed: int = 3) -> tuple[PipelineModel | None, list[str]]:
-    """The fitted model, None if no text has words, and the names of its columns."""
+def fit(docs: DataFrame, topics: int = TOPICS, seed: int = 3) -> tuple[PipelineModel | None, list[str]]:
+    """The model fitted on all rows, None if no text has words, and the names of its columns."""
     names = [fresh(docs, f"_topic_{x}") for x in PARTS]
     words, counts, weighed, scaled, topic = names
-    filled = docs.where(r"text rlike '\\S'").select("text", F.xxhash64("text").alias("_key"))
-    share = min(1_000_000, int(1e6 * sample_rows / max(1, docs.count())) + 1)
-    sample = filled.where(F.pmod("_key", F.lit(1_000_000)) < share).dropDuplicates(["_key"]).select("text")
-    sample = cut(sample, "topic_sample")
-    found = sample.count()
-    if not found:
-        return None, names
-    stages = [
+    hashing = [
         RegexTokenizer(inputCol="text", outputCol=words, pattern=r"\s+", toLowercase=True),
         HashingTF(inputCol=words, outputCol=counts, numFeatures=WIDTH),
+    ]
+    hashed = cut(PipelineModel(hashing).transform(docs.where(r"text rlike '\\S'").select("text")).select(counts), "topic_counts")
+    found = hashed.count()
+    if not found:
+        return None, names
+    clusters = [
         IDF(inputCol=counts, outputCol=weighed),
         Normalizer(inputCol=weighed, outputCol=scaled),
         KMeans(featuresCol=scaled, predictionCol=topic, k=max(2, min(topics, found)), seed=seed, maxIter=15),
     ]
-    return Pipeline(stages=stages).fit(sample), names
+    return PipelineModel([*hashing, *Pipeline(stages=clusters).fit(hashed).stages]), names
 
 
-def assign(docs: DataFrame, name: str, topics: int = TOPICS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def assign(docs: DataFrame, name: str, topics: int = TOPICS) -> DataFrame:
     """docs with the topic under the given name: `t0`, `t1`, ... or NONE."""
-    model, names = fit(docs, topics, sample_rows)
+    model, names = fit(docs, topics)
     if model is None:
         return docs.withColumn(name, F.lit(NONE))
     null = fresh(docs, "_topic_null")  # a null text comes back as null

@@ -353,3 +353,11 @@ def test_markup_evidence(spark):
     got = [tuple(r) for r in df.select(language_id.code(language_id.markup_language(F.col("html"))), language_id.markup_text(F.col("html"))).collect()]
     assert [g[0] for g in got] == ["fr", "", "", "", ""]
     assert got[0][1].split() == ["Bonjour", "le", "monde"] and got[1][1] == ""
+
+
+def test_topics_are_fitted_on_all_rows(spark):
+    rows = [(i, " ".join(random.Random(i).choices(["alpha", "beta", "gamma", "delta"], k=6)) + f" {i}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    model, _ = topics.fit(df.union(df.limit(1).selectExpr("-1L", "cast(null as string)")), topics=2)
+    idf, clusters = model.stages[2], model.stages[4]
+    assert idf.numDocs == 6000 and sum(clusters.summary.clusterSizes) == 6000
