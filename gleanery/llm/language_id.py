@@ -1,10 +1,9 @@
 """Language identification by Bayesian evidence fusion.
 
 For each row and language the log-probabilities of four kinds of evidence are added:
-- the text, by character n-grams of the letters (1 to 3), under models fitted on a sample of the distinct
-  texts with a declared language. Which languages there are is counted over all rows: those with LEAST_ROWS
-  distinct texts (about), or LEAST_SHARE of all. The sample has MODEL_ROWS texts in expectation, whatever the
-  table's size, and LANGUAGE_ROWS of each language or all that it has; each text is taken whole and once.
+- the text, by character n-grams of the letters (1 to 3), under models fitted on all distinct texts with a
+  declared language, each taken whole and once. Which languages there are is counted over all rows: those with
+  LEAST_ROWS distinct texts, or LEAST_SHARE of all. A caller of `fit` may ask for fewer texts (model_rows).
   The mean of the n-grams counts as EFFECTIVE n-grams at most, so that long texts don't drown the rest. A
   uniform model stands for all other languages (`und`);
 - the declared language (markup or metadata), right with probability RELIABILITY. Where it has no model, it
@@ -36,10 +35,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import cut, row_keys, small_batches, without
+from gleanery.llm.common import BROADCAST_BYTES, cut, row_keys, small_batches, without
 
 BUCKETS = 1 << 15
-MODEL_ROWS = 10_000
 LANGUAGE_ROWS = 500
 MOST_LANGUAGES = 400
 LEAST_ROWS = 10
@@ -108,21 +106,27 @@ class Models:
         return (total / len(found) * min(len(found), EFFECTIVE)).tolist()
 
 
-def fit(rows: DataFrame, model_rows: int = MODEL_ROWS, language_rows: int = LANGUAGE_ROWS) -> Models:
-    """Models from rows (text, declared): a hashed sample of model_rows distinct texts in expectation, with
-    language_rows of each language where it has them."""
+def fit(rows: DataFrame, model_rows: int | None = None, language_rows: int = LANGUAGE_ROWS) -> Models:
+    """Models from all distinct texts of rows (text, declared). With model_rows, from a hashed part of them: so many
+    in expectation, and language_rows of each language where it has them."""
     spark = rows.sparkSession
     rows = rows.where(f"declared <> '' and declared <> '{UNKNOWN}' and text <> ''").select("declared", "text", F.xxhash64("text").alias("key"))
+    keys = cut(rows.groupBy("declared", "key").agg(F.count(F.lit(1)).alias("n")), "text_keys")
     # one row for each code of two or three letters
-    texts = {r.declared: r.n for r in rows.groupBy("declared").agg(F.approx_count_distinct("key").alias("n")).collect()}
+    texts = {r.declared: r.n for r in keys.groupBy("declared").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(texts.values())
     keep = [x for x, n in texts.items() if n >= LEAST_ROWS or n >= LEAST_SHARE * total]
     keep = sorted(keep, key=lambda x: (-texts[x], x))[:MOST_LANGUAGES]
-    share = lambda n: 1 if n <= language_rows or total <= model_rows else max(model_rows / total, language_rows / n)
+    share = lambda n: 1 if model_rows is None or n <= language_rows or total <= model_rows else max(model_rows / total, language_rows / n)
     parts = spark.createDataFrame([(x, min(1_000_000, math.ceil(1e6 * share(texts[x])))) for x in keep], "declared string, part long")
-    sample = rows.join(F.broadcast(parts), "declared").where(F.pmod("key", F.lit(1_000_000)) < F.col("part"))
-    # each text once: copies are met before they move. Then dealt out, for the few texts would be one task
-    sample = sample.groupBy("declared", "key").agg(F.first("text").alias("text")).repartition(spark.sparkContext.defaultParallelism)
+    taken = rows.join(F.broadcast(parts), "declared").where(F.pmod("key", F.lit(1_000_000)) < F.col("part")).select("declared", "text", "key")
+    # texts that are alone stay where they are; of the others one each, copies are met before they move
+    copied = cut(keys.where("n > 1").select("declared", "key"), "copied_keys")
+    alone = without(taken, copied, [F.col("declared"), F.col("key")])
+    small = copied.count() * 32 <= BROADCAST_BYTES
+    again = taken.join(F.broadcast(copied) if small else copied.hint("merge"), ["declared", "key"], "left_semi")
+    again = again.groupBy("declared", "key").agg(F.first("text").alias("text"))
+    sample = alone.select("declared", "text").union(again.select("declared", "text"))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, np.ndarray] = {}
@@ -133,16 +137,28 @@ def fit(rows: DataFrame, model_rows: int = MODEL_ROWS, language_rows: int = LANG
                 yield pd.DataFrame({"declared": language, "bucket": at, "n": c[at]})
             counts.clear()
 
+        held: dict[str, list[np.ndarray]] = {}  # n-grams that are not counted yet
+
+        def count(language: str) -> None:
+            counts[language] += np.bincount(np.concatenate(held.pop(language)), minlength=BUCKETS)
+
         for batch in batches:
             for language, text in zip(batch["declared"], batch["text"]):
                 if language not in counts:
                     if len(counts) == 100:
+                        for full in list(held):
+                            count(full)
                         yield from told()
                     counts[language] = np.zeros(BUCKETS, np.int64)
-                counts[language] += np.bincount(grams(text), minlength=BUCKETS)
+                waiting = held.setdefault(language, [])
+                waiting.append(grams(text))
+                if len(waiting) == 32:
+                    count(language)
+            for language in list(held):
+                count(language)
         yield from told()
 
-    parts = sample.select("declared", "text").mapInPandas(counted, "declared string, bucket int, n long")
+    parts = sample.mapInPandas(counted, "declared string, bucket int, n long")
     with small_batches(spark):
         parts = cut(parts.groupBy("declared", "bucket").agg(F.sum("n").alias("n")), "models")
     counts: dict[str, np.ndarray] = {}
@@ -239,7 +255,7 @@ def fuse(rows: DataFrame, models: Models, reliability: float = RELIABILITY) -> D
     ).drop("likely")
 
 
-def identify(rows: DataFrame, models: Models | None = None, model_rows: int = MODEL_ROWS) -> DataFrame:
+def identify(rows: DataFrame, models: Models | None = None, model_rows: int | None = None) -> DataFrame:
     """rows (text, declared, host and any key columns) without the text, plus domain, suffix, language,
     probability, text_language."""
     rows = rows.withColumns({"text": F.coalesce("text", F.lit("")), "declared": code(F.col("declared"))})

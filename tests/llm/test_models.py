@@ -361,3 +361,13 @@ def test_topics_are_fitted_on_all_rows(spark):
     model, _ = topics.fit(df.union(df.limit(1).selectExpr("-1L", "cast(null as string)")), topics=2)
     idf, clusters = model.stages[2], model.stages[4]
     assert idf.numDocs == 6000 and sum(clusters.summary.clusterSizes) == 6000
+
+
+def test_language_models_count_every_distinct_text(spark):
+    texts = [f"{'ab' if i % 2 else 'ba'}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} {chr(97 + i // 676)} w" for i in range(12000)]
+    rows = [(t, "aa" if i % 3 else "bb") for i, t in enumerate(texts)] + [(texts[1], "aa")] * 50
+    models = language_id.fit(spark.createDataFrame(rows, "text string, declared string").repartition(4))
+    want = {x: np.zeros(language_id.BUCKETS, np.int64) for x in ("aa", "bb")}
+    for text, x in set(rows):
+        want[x] += np.bincount(language_id.grams(text), minlength=language_id.BUCKETS)
+    assert np.array_equal(models.table, language_id.Models(want).table)
