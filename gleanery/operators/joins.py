@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gleanery.functions import text
 from gleanery.operators.likeness import alike
+from gleanery.session import written
 
 col = F.col
 
@@ -30,18 +32,35 @@ def known(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return out.withColumn("known_id", F.coalesce("_by_url", "_by_ext")).drop("_by_url", "_by_ext")
 
 
+def named(rows: DataFrame) -> DataFrame:
+    """rows with company_norm, and title_norm if they have a title; as they are if they have company_norm."""
+    if "company_norm" in rows.columns:
+        return rows
+    forms = {"company": ("company_name", text.company_form)} | ({"title": ("title", text.title_form)} if "title" in rows.columns else {})
+    folded = rows.withColumns({f"{n}_folded": text.fold(col(c)) for n, (c, _) in forms.items()})
+    return folded.withColumns({f"{n}_norm": form(col(f"{n}_folded")) for n, (_, form) in forms.items()})
+
+
 def prior_applications(postings: DataFrame, applications: DataFrame, now_hour: int, window_days: int, least: float) -> DataFrame:
     """(id, application_id): the first live application to the posting's company within the window that is
     for the same posting or for a title at least so similar.
 
+    Both tables have company_norm and title_norm, or company_name and title to make them of. Applications are grouped by
+    their names as they are written before these are folded: a name is folded once, not once for each application. The
+    distinct titles of both sides are written, as the comparison reads them several times.
+
     Distinct titles are compared, not rows, and of these only those that an index of runs of letters brings together
     (`likeness`), so neither a company with very many rows nor one with very many titles compares them all."""
-    live = applications.where((col("status") != "withdrawn") & (col("applied_hour") > now_hour - 24 * window_days) & (col("company_norm") != ""))
-    firsts = live.groupBy("company_norm", col("title_norm").alias("applied_title")).agg(F.min("id").alias("application_id"))
-    titles = postings.where("company_norm <> ''").select("company_norm", "title_norm").distinct()
+    company, title = ("company_norm", "title_norm") if "company_norm" in applications.columns else ("company_name", "title")
+    live = applications.where((col("status") != "withdrawn") & (col("applied_hour") > now_hour - 24 * window_days))
+    firsts = named(live.groupBy(company, title).agg(F.min("id").alias("_first"))).where("company_norm <> ''")
+    firsts = written(firsts.groupBy("company_norm", col("title_norm").alias("applied_title")).agg(F.min("_first").alias("application_id")), "applied_titles")
+    postings = named(postings)
+    titles = written(postings.where("company_norm <> ''").select("company_norm", "title_norm").distinct(), "titles")
     near = alike(titles, firsts, ["company_norm"], "title_norm", "applied_title", least).join(firsts, ["company_norm", "applied_title"])
     by_title = near.groupBy("company_norm", "title_norm").agg(F.min("application_id").alias("_by_title"))
-    same = live.groupBy("company_norm", col("opportunity_id").alias("id")).agg(F.min("id").alias("_same"))
+    same = named(live.groupBy(company, col("opportunity_id").alias("id")).agg(F.min("id").alias("_first"))).where("company_norm <> ''")
+    same = same.groupBy("company_norm", "id").agg(F.min("_first").alias("_same"))
     out = postings.join(by_title, ["company_norm", "title_norm"], "left").join(same, ["company_norm", "id"], "left")
     return out.select("id", F.coalesce(F.least("_by_title", "_same"), "_by_title", "_same").alias("application_id"))
 

@@ -242,10 +242,7 @@ def activity_feed(spark, d):
 @query(f"""WITH p AS (SELECT id, {o.company('company_name')} AS c, {o.title('title')} AS t FROM opportunities), a AS (SELECT id, opportunity_id, {o.company('company_name')} AS c, {o.title('title')} AS t FROM applications WHERE status <> 'withdrawn' AND applied_hour > {NOW} - 24 * 365)
  SELECT p.id, min(a.id) AS application_id FROM p LEFT JOIN a ON p.c = a.c AND p.c <> '' AND (p.t = a.t OR p.id = a.opportunity_id) GROUP BY p.id""", "opportunities", "applications")
 def exact_prior_applications(spark, d):
-    rows = [derived(spark, d, n) for n in ("opportunities", "applications")]
-    rows = [r.withColumns({"company_folded": text.fold(col("company_name")), "title_folded": text.fold(col("title"))}) for r in rows]
-    rows = [r.withColumns({"company_norm": text.company_form(col("company_folded")), "title_norm": text.title_form(col("title_folded"))}) for r in rows]
-    return joins.prior_applications(rows[0], rows[1], NOW, C.duplicate_window_days, 100.0)
+    return joins.prior_applications(derived(spark, d, "opportunities"), derived(spark, d, "applications"), NOW, C.duplicate_window_days, 100.0)
 
 
 SIMILAR_PRIOR = f"""WITH RECURSIVE p AS (SELECT id, {o.company('company_name')} AS c, {o.title('title')} AS t FROM opportunities WHERE company_name IS NOT NULL), a AS (SELECT id, opportunity_id, {o.company('company_name')} AS c, {o.title('title')} AS t FROM applications WHERE status <> 'withdrawn' AND applied_hour > {NOW} - 24 * {C.duplicate_window_days}),
@@ -257,10 +254,7 @@ SIMILAR_PRIOR = f"""WITH RECURSIVE p AS (SELECT id, {o.company('company_name')}
 @query(SIMILAR_PRIOR, "opportunities", "applications")
 def similar_prior_applications(spark, d):
     """Applications to the company for a title that is alike, not equal alone."""
-    rows = [derived(spark, d, n) for n in ("opportunities", "applications")]
-    rows = [r.withColumns({"company_folded": text.fold(col("company_name")), "title_folded": text.fold(col("title"))}) for r in rows]
-    rows = [r.withColumns({"company_norm": text.company_form(col("company_folded")), "title_norm": text.title_form(col("title_folded"))}) for r in rows]
-    return joins.prior_applications(rows[0], rows[1], NOW, C.duplicate_window_days, float(C.duplicate_title_similarity))
+    return joins.prior_applications(derived(spark, d, "opportunities"), derived(spark, d, "applications"), NOW, C.duplicate_window_days, float(C.duplicate_title_similarity))
 
 
 #: A scan in order of arrival: a title leads if it is like no leader of its company before it.
