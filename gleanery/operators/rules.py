@@ -299,13 +299,21 @@ def queue_score(cfg: Config = DEFAULT, *, t: Column, d: Column, text: Column, pl
     return let(parts, lambda p: F.struct(score(p).alias("score"), F.transform(p, lambda x: x["reason"]).alias("reasons")))
 
 
+def stopped(at: str, blocked: bool, reason: Column) -> Column:
+    return F.struct(F.lit(at).alias("stop_stage"), F.lit("filtered_out").alias("status"), F.lit("blocked" if blocked else None).cast("string").alias("recommendation"), reason.alias("reason"))
+
+
+def first_stops(stale: Column, relevant: Column) -> Column:
+    """The first two stages of `stage`; null where neither stops a posting."""
+    return F.when(stale.isNotNull(), stopped("stale", False, stale)).when(~relevant["ok"], stopped("relevance", False, relevant["reason"]))
+
+
 def stage(cfg: Config = DEFAULT, *, stale: Column, relevant: Column, senior: Column, eligible: Column, legit: Column, prior_application: Column) -> Column:
     """struct(stop_stage, status, recommendation, reason): where the chain of rules stops a posting."""
     none = F.lit(None).cast("string")
-    stop = lambda at, blocked, reason: F.struct(F.lit(at).alias("stop_stage"), F.lit("filtered_out").alias("status"), (F.lit("blocked") if blocked else none).alias("recommendation"), reason.alias("reason"))
+    stop = stopped
     return (
-        F.when(stale.isNotNull(), stop("stale", False, stale))
-        .when(~relevant["ok"], stop("relevance", False, relevant["reason"]))
+        first_stops(stale, relevant)
         .when(senior["blocked"], stop("seniority", True, F.array_join(senior["reasons"], "; ")))
         .when((eligible["status"] == "not_eligible") & eligible["explicit"], stop("eligibility", True, F.concat(F.lit(f"Not open to {cfg.home_label}-based candidates: "), eligible["evidence"])))
         .when(strong(legit["flags"]), stop("scam", True, F.concat(F.lit("Listing looks like a scam: "), F.array_join(F.transform(F.filter(legit["flags"], lambda f: f["severity"] == "high"), lambda f: f["message"]), "; "))))
