@@ -131,7 +131,10 @@ KEPT = [*ROW, "external_id", "last_seen_hour"]
 
 
 def ingest_into(store: Store, incoming: DataFrame, run_id: int, now_hour: int, batch: str, cfg: Config = DEFAULT) -> bool:
-    """Stores what comes in and touches what is seen again; a batch that was ingested before changes nothing."""
+    """Stores what comes in and touches what is seen again; a batch that was ingested before changes nothing, and is
+    not worked out again."""
+    if store.has_batch(batch):
+        return False
     incoming, stored = written(incoming, "incoming"), store.read()
     found = written(outcomes(incoming, stored, run_id, now_hour, cfg), "outcomes")
     added = additions(incoming, found, run_id, cfg).withColumns({"external_id": F.nullif("source_external_id", F.lit("")), "last_seen_hour": col("first_seen_hour")})

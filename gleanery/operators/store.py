@@ -52,11 +52,14 @@ class Store:
         named = [f for p, f in sorted(folders.items()) if parts is None or p in parts]
         return self.spark.read.schema(self.schema).parquet(*named) if named else self.spark.createDataFrame([], self.schema)
 
+    def has_batch(self, batch: str) -> bool:
+        return not self.manifests().where(col("batch") == batch).isEmpty()
+
     def change(self, batch: str, keys: DataFrame, how: Callable[[DataFrame], DataFrame]) -> bool:
         """Replaces the partitions of the keys by how(their rows); False if the batch was applied before.
 
         how may use rows of these partitions alone, and give rows of them alone."""
-        if not self.manifests().where(col("batch") == batch).isEmpty():
+        if self.has_batch(batch):
             return False
         last, folders = self.state()
         parts = sorted(r[0] for r in keys.select(self.partition(col(self.key)).alias("p")).distinct().collect())
