@@ -3,19 +3,21 @@
 Texts are lower-cased (A-Z), cut into pieces at punctuation and line ends, and pieces into words; phrases are runs of
 1 to 4 words within a piece, counted for each language. Three passes over the texts:
 
-1. words and pairs are mined: each task counts them exactly within CHUNK_BYTES bytes and sends hashes and counts, as
-   one row for each hash partition (`slot`). Each partition has a Misra-Gries summary with a capacity over its mass divided by
+1. words and pairs are mined: each task counts them exactly within CHUNK_BYTES bytes, adds up what its chunks have until
+   TALLY hashes wait, and sends hashes and counts, as one row for each hash partition (`slot`). Each partition has a
+   Misra-Gries summary with a capacity over its mass divided by
    the threshold: what it takes off the counters in all is below the threshold, so every frequent phrase keeps a
    counter. Counters that can't reach the threshold with what was taken off are dropped at the end.
    A task sends the mass of a partition before its counts, so the capacity is known when the counts come.
 2. phrases of 3 and 4 words are mined likewise, those only whose pairs survived the first pass.
 3. the survivors are counted exactly, by their words, and those below the threshold go.
 
-Counts are combined within a chunk before they are sent, so a phrase that a third of all texts share is one entry for
-each chunk. As many partitions are made as keep a summary within SLOT_COUNTERS on average, so memory is bounded at
-any size of the corpus. Hashes of survivors go to every task while there are at most HELD; beyond that nothing
-is left out early, and the partitions of the third pass get their survivors before their counts. A clash of hashes makes
-a phrase survive that need not; the third pass counts words, not hashes.
+What is sent is small: hashes have 32 bits within their partition and travel sorted, as differences, about three bytes each;
+words travel as compressed lists. Phrases are combined within a task before they are sent, so one that a third of all texts share is one
+entry for each task. As many partitions are made as keep a summary within SLOT_COUNTERS on average, so memory is bounded at
+any size of the corpus. Every task knows the survivors by a Bloom filter, which loses none: BITS bits for each of them up to HELD
+survivors (30 MB); more of them share these bits, so that more phrases pass that need not, in no case all at once. A clash of hashes, or
+in the filter, makes a phrase survive that need not; the third pass counts words, not hashes.
 
 A phrase's score is 2,000,000 a / (l + r) rounded down, for the cut into two parts (l and r times) where it is
 lowest. Phrases that lie within a longer one with 80 % or more of their count are dropped. Products and
@@ -41,10 +43,14 @@ from gleanery.llm.common import BROADCAST_BYTES, cut, small_batches
 
 LONGEST = 4
 THRESHOLD = 30
-#: Bytes of texts that a task counts at a time, counters of a summary on average, and hashes that every task holds at most.
+#: Bytes of texts that a task counts at a time, counters of a summary on average, and entries that a task adds up before it sends them.
 CHUNK_BYTES = 12_000_000
 SLOT_COUNTERS = 250_000
-HELD = 4_000_000
+TALLY = 3_000_000
+#: Bits of the filter for each survivor, places that each of them sets, and survivors that it is made for at most.
+BITS = 12
+PROBES = 4
+HELD = 20_000_000
 #: Percentage of a phrase's count from which a longer one that holds it replaces it; rows for each language.
 WITHIN = 80
 TOP = 2000
@@ -63,11 +69,72 @@ def mixed(codes: np.ndarray, words: np.ndarray) -> np.ndarray:
     return codes ^ codes >> np.uint64(32)
 
 
-def within(known: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Which codes are in the sorted array known."""
-    if not len(known):
-        return np.zeros(len(codes), bool)
-    return known[np.minimum(np.searchsorted(known, codes), len(known) - 1)] == codes
+def reduced(codes: np.ndarray, slots: int) -> np.ndarray:
+    """Hashes of 32 bits within their partition: their order is that of the partitions."""
+    return (codes >> np.uint64(32 - slots.bit_length())).view(np.int64)
+
+
+def slot_of(keys: np.ndarray, slots: int) -> np.ndarray:
+    """The partitions of reduced hashes."""
+    return (keys >> slots.bit_length()) * slots >> 32
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers, compressed: the first byte of all, then the second of all, and so on; the upper ones are nearly all zero."""
+    return pa.compress(np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * n, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<i8").ravel()
+
+
+def edges_of(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of an array in order, and the edges between them."""
+    start = np.flatnonzero(np.diff(ordered, prepend=-1))
+    return ordered[start], np.append(start, len(ordered))
+
+
+def added_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, with the sums of their counts."""
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key)
+    key, edges = edges_of(key[order])
+    return key, np.add.reduceat(count[order], edges[:-1]) if len(key) else count
+
+
+class Survivors:
+    """Which hashes survived: a Bloom filter with a part of equal size for each partition."""
+
+    def __init__(self, part: int, slots: int):
+        self.part, self.slots = part, slots
+        self.bits = np.zeros(part * slots // 8, np.uint8)
+
+    def places(self, keys: np.ndarray, probe: int) -> np.ndarray:
+        """The bit, counted within its part, that reduced hashes set at a probe."""
+        mix = keys.view(np.uint64) * (ODD + np.uint64(2 * (probe // 2)))
+        mix = (mix ^ mix >> np.uint64(29)) * ODD
+        half = mix >> np.uint64(32) if probe % 2 else mix & np.uint64(0xFFFFFFFF)
+        return (half * np.uint64(self.part) >> np.uint64(32)).view(np.int64)
+
+    def part_of(self, keys: np.ndarray) -> np.ndarray:
+        """The part that has these reduced hashes of one partition."""
+        flags = np.zeros(self.part, bool)
+        for probe in range(PROBES):
+            flags[self.places(keys, probe)] = True
+        return np.packbits(flags, bitorder="little")
+
+    def has(self, codes: np.ndarray) -> np.ndarray:
+        keys = reduced(codes, self.slots)
+        base = slot_of(keys, self.slots) * self.part
+        out = np.ones(len(keys), bool)
+        left = np.arange(len(keys))
+        for probe in range(PROBES):
+            place = base[left] + self.places(keys[left], probe)
+            hit = self.bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0
+            out[left[~hit]] = False
+            left = left[hit]
+        return out
 
 
 class Chunk:
@@ -92,20 +159,23 @@ class Chunk:
         offsets = np.concatenate([[0], np.cumsum(end - start)])
         words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(data[inside]))
         coded = words.dictionary_encode()
-        self.names = ["", *coded.dictionary.to_pylist()]
+        self.words = coded.dictionary.cast(pa.string())
+        names = ["", *self.words.to_pylist()]
         breaks = np.cumsum(kind == 2)
         self.ids = np.zeros(len(start) + int(breaks[-1]) + 1, np.int64)  # a zero for each break
         self.ids[np.arange(len(start)) + breaks[start]] = coded.indices.to_numpy() + 1
-        self.hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.names), np.uint64, len(self.names))
+        self.hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in names), np.uint64, len(names))
         self.data = []
 
-    def phrase(self, start: int, size: int) -> str:
-        return " ".join([self.names[i] for i in self.ids[start : start + size].tolist()])
+    def texts(self, place: np.ndarray, size: int) -> pa.StringArray:
+        """The phrases of this size at these places."""
+        words = [self.words.take(pa.array(self.ids[place + i] - 1)) for i in range(size)]
+        return pc.binary_join_element_wise(*words, " ") if size > 1 else words[0]
 
-    def phrases(self, sizes: range, frequent: np.ndarray | None, pruned: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    def phrases(self, sizes: range, frequent: Survivors | None, pruned: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(size, a place, count, hash) of the distinct phrases of these sizes. Up to the size `pruned` frequent has
         all phrases that matter: others are left out, and so are longer ones that hold them."""
-        ids, width = self.ids, len(self.names)
+        ids, width = self.ids, len(self.hashes)
         seed = np.full(1, xxhash.xxh64_intdigest(self.lang, 1), np.uint64)
         at = np.flatnonzero(ids)
         rank, codes = np.zeros(len(at), np.int64), seed
@@ -124,7 +194,7 @@ class Chunk:
                 good[at] = True
                 keep = slice(None)
             else:
-                keep = within(frequent, codes)
+                keep = frequent.has(codes)
                 good[at] = keep[rank]
             if size in sizes:
                 yield size, place[keep], count[keep], codes[keep]
@@ -164,11 +234,7 @@ class Summary:
             self.merge()
 
     def merge(self) -> None:
-        keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-        keys, counts = keys[start], np.add.reduceat(counts, start) if len(start) else counts
+        keys, counts = added_up(self.keys, self.counts)
         if len(keys) > self.capacity:
             spare = len(keys) - self.capacity - 1
             least = int(np.partition(counts, spare)[spare])  # the largest that has no place: each place pays as much
@@ -181,38 +247,40 @@ class Summary:
         return self.keys[0][self.counts[0] + self.taken >= threshold]
 
 
-def dealt(codes: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order that puts the hashes of a partition together, the partitions that have some, and the edges between them."""
-    slot = (codes % np.uint64(slots)).astype(np.int32)
-    order = np.argsort(slot, kind="stable")
-    some, start = np.unique(slot[order], return_index=True)
-    return order, some, np.append(start, len(codes)).astype(np.int32)
-
-
-def listed(edges: np.ndarray, values: pa.Array | np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(edges), values if isinstance(values, pa.Array) else pa.array(values))
+def mine(texts: DataFrame, sizes: range, frequent: Survivors | None, pruned: int, threshold: int, slots: int, chunk_bytes: int) -> DataFrame:
+    """(h): reduced hashes of the phrases of these sizes that may be frequent, all that are among them."""
+    # a row has a task's counts for one partition. place: twice the partition's number for their mass, one more for themselves
+    schema, names = "place int, mass long, size int, h binary, n binary", ["place", "mass", "size", "h", "n"]
 
-
-def mine(texts: DataFrame, sizes: range, frequent: np.ndarray | None, pruned: int, threshold: int, slots: int, chunk_bytes: int) -> DataFrame:
-    """(h): hashes of the phrases of these sizes that may be frequent, all that are among them."""
+    def sent(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        some, edges = edges_of(slot_of(keys, slots))
+        spans = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+        none, zero = pa.nulls(len(some), pa.binary()), pa.array(np.zeros(len(some), np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array((some * 2).astype(np.int32)), pa.array(np.add.reduceat(counts, edges[:-1])), zero, none, none], names)
+        h, n = (pa.array([packed(x) for x in parts], pa.binary()) for parts in ([np.diff(keys[i:j], prepend=0) for i, j in spans], [counts[i:j] for i, j in spans]))
+        yield pa.RecordBatch.from_arrays([pa.array((some * 2 + 1).astype(np.int32)), pa.array(np.zeros(len(some), np.int64)), pa.array(np.diff(edges).astype(np.int32)), h, n], names)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["place", "mass", "h", "n"]
+        keys, counts, waiting = [], [], 0
         for chunk in chunks(batches, chunk_bytes):
             chunk.close()
             for _, _, count, codes in chunk.phrases(sizes, frequent, pruned):
-                if not len(codes):
-                    continue
-                order, some, edges = dealt(codes, slots)
-                mass = np.add.reduceat(count[order], edges[:-1])
-                none = listed(np.zeros(len(some) + 1, np.int32), np.empty(0, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(some * 2), pa.array(mass), none, none], names)
-                yield pa.RecordBatch.from_arrays([pa.array(some * 2 + 1), pa.array(np.zeros(len(some), np.int64)), listed(edges, codes[order].view(np.int64)), listed(edges, count[order])], names)
+                keys.append(reduced(codes, slots))
+                counts.append(count)
+                waiting += len(codes)
+            if waiting > TALLY:
+                key, count = added_up(keys, counts)
+                keys, counts, waiting = [key], [count], len(key)
+                if waiting > TALLY // 2:
+                    yield from sent(key, count)
+                    keys, counts, waiting = [], [], 0
+        if waiting:
+            yield from sent(*added_up(keys, counts))
 
     def summarised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, total, summary = None, 0, None
         for batch in batches:
-            for place, mass, h, n in zip(batch.column("place").to_pylist(), batch.column("mass").to_pylist(), batch.column("h"), batch.column("n")):
+            for place, mass, size, h, n in zip(*(batch.column(c).to_pylist() for c in names)):
                 if place // 2 != current:
                     if summary:
                         yield pa.RecordBatch.from_arrays([pa.array(summary.survivors(threshold))], ["h"])
@@ -221,84 +289,115 @@ def mine(texts: DataFrame, sizes: range, frequent: np.ndarray | None, pruned: in
                     total += mass
                 else:
                     summary = summary or Summary(total // threshold + 1)
-                    summary.add(h.values.to_numpy(), n.values.to_numpy())
+                    summary.add(np.cumsum(unpacked(h, size)), unpacked(n, size))
         if summary:
             yield pa.RecordBatch.from_arrays([pa.array(summary.survivors(threshold))], ["h"])
 
-    # a row is a chunk's counts for one partition. place: twice the partition's number for their mass, one more for themselves
-    rows = texts.mapInArrow(partial, "place int, mass long, h array<long>, n array<long>")
-    rows = rows.repartition(slots, F.shiftright("place", 1)).sortWithinPartitions("place")
-    return cut(rows.mapInArrow(summarised, "h long"), "frequent")
-
+    with small_batches(texts.sparkSession, 200):
+        rows = texts.mapInArrow(partial, schema)
+        rows = rows.repartition(slots, F.shiftright("place", 1)).sortWithinPartitions("place")
+        return cut(rows.mapInArrow(summarised, "h long"), "frequent")
 
-def hashes(found: DataFrame, most: int) -> np.ndarray | None:
-    """The sorted hashes, or None if there are more than `most`: they are counted first."""
-    if found.count() > most:
-        return None
-    return np.sort(found.toPandas()["h"].to_numpy(np.int64).view(np.uint64))
 
+def survivors(found: DataFrame, most: int, slots: int) -> Survivors:
+    """The filter of the hashes found, made for `most` of them at most. Tasks fill its parts, the driver puts them together."""
+    out = Survivors(max(8, -(-BITS * min(found.count(), most) // slots) + 7 & ~7), slots)
+    empty = Survivors(out.part, slots)
 
-def counted(texts: DataFrame, frequent: np.ndarray | None, found: DataFrame, threshold: int, slots: int, chunk_bytes: int) -> DataFrame:
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            keys = np.sort(batch.column("h").to_numpy())
+            some, edges = edges_of(slot_of(keys, slots))
+            for slot, i, j in zip(some.tolist(), edges[:-1].tolist(), edges[1:].tolist()):
+                part = empty.part_of(keys[i:j])
+                parts[slot] = parts[slot] | part if slot in parts else part
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([p.tobytes() for p in parts.values()], pa.binary())], ["slot", "part"])
+
+    own = out.bits.reshape(slots, -1)
+    for batch in found.mapInArrow(filled, "slot int, part binary").toArrow().to_batches():
+        for slot, part in zip(batch.column("slot").to_pylist(), batch.column("part")):
+            own[slot] |= np.frombuffer(part.as_buffer(), np.uint8)
+    return out
+
+
+def counted(texts: DataFrame, frequent: Survivors, threshold: int, slots: int, chunk_bytes: int) -> DataFrame:
     """(lang, size, phrase, n) of the phrases with at least `threshold` occurrences; size 0 for all words of a language."""
-    schema = "place int, lang string, size int, h array<long>, phrases array<string>, n array<long>"
-    names = ["place", "lang", "size", "h", "phrases", "n"]
+    # a row has a task's phrases of a language for one partition, by lines (no word has a line end), and their counts
+    schema, names = "slot int, lang string, size int, bytes long, phrases binary, n binary", ["slot", "lang", "size", "bytes", "phrases", "n"]
+    kinds = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(lang: str, size: int, phrases: list[str], codes: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-            order, some, edges = dealt(codes, slots)
-            words = listed(edges, pa.array([phrases[i] for i in order.tolist()], pa.string()))
-            columns = [pa.array(some * 2 + 1), pa.array([lang] * len(some), pa.string()), pa.array(np.full(len(some), size, np.int32)), listed(edges, codes[order].view(np.int64)), words, listed(edges, count[order].astype(np.int64))]
-            return pa.RecordBatch.from_arrays(columns, names)
-
+        held: dict[str, list[pa.Table]] = {}
+
+        def sums(lang: str) -> pa.Table:
+            return pa.concat_tables(held[lang]).group_by("phrase").aggregate([("h", "min"), ("n", "sum")]).rename_columns(["phrase", "h", "n"])
+
+        def sent(lang: str, rows: pa.Table) -> pa.RecordBatch:
+            slot = slot_of(rows["h"].to_numpy(), slots)
+            order = np.argsort(slot, kind="stable")
+            some, edges = edges_of(slot[order])
+            spans = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+            phrases = rows["phrase"].combine_chunks().take(pa.array(order))
+            lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), phrases), "\n")
+            count = rows["n"].to_numpy()[order]
+            packs = pa.array([pa.compress(x.as_buffer(), codec="zstd", asbytes=True) for x in lines], pa.binary())
+            columns = [pa.array(some.astype(np.int32)), pa.array([lang] * len(some), pa.string()), pa.array(np.diff(edges).astype(np.int32)), pc.binary_length(lines).cast(pa.int64()), packs]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([packed(count[i:j]) for i, j in spans], pa.binary())], names)
+
+        def entries(phrases: pa.Array, codes: np.ndarray, count: np.ndarray) -> pa.Table:
+            return pa.table({"phrase": phrases, "h": reduced(codes, slots), "n": count.astype(np.int64)})
+
+        waiting = 0
         for chunk in chunks(batches, chunk_bytes):
             chunk.close()
-            yield rows(chunk.lang, 0, [""], np.array([xxhash.xxh64_intdigest(chunk.lang)], np.uint64), np.array([np.count_nonzero(chunk.ids)]))
+            mine = held.setdefault(chunk.lang, [])
+            mine.append(entries(pa.array([""]), np.array([xxhash.xxh64_intdigest(chunk.lang)], np.uint64), np.array([np.count_nonzero(chunk.ids)])))
             for size, place, count, codes in chunk.phrases(range(1, LONGEST + 1), frequent, LONGEST):
-                if len(codes):
-                    yield rows(chunk.lang, size, [chunk.phrase(p, size) for p in place.tolist()], codes, count)
+                mine.append(entries(chunk.texts(place, size), codes, count))
+                waiting += len(codes)
+            if waiting > TALLY:
+                held = {lang: [sums(lang)] for lang in held}
+                waiting = sum(len(rows) for (rows,) in held.values())
+                if waiting > TALLY // 2:
+                    for lang, (rows,) in held.items():
+                        yield sent(lang, rows)
+                    held, waiting = {}, 0
+        for lang in held:
+            yield sent(lang, sums(lang))
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums by lang, size and phrase within a partition; its survivors come first if the tasks had not got them."""
-        keys = ["lang", "size", "phrase"]
-        kinds = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
-        current, known, waiting, size = None, [], [], 0
+        """Sums by lang and phrase within a partition."""
+        current, waiting, size, most = None, [], 0, 1_000_000
 
         def sums() -> pa.Table:
-            return pa.concat_tables(waiting).group_by(keys).aggregate([("n", "sum")]).rename_columns([*keys, "n"]).select(kinds.names).cast(kinds) if waiting else kinds.empty_table()
+            return pa.concat_tables(waiting).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns(kinds.names)
 
         def told() -> Iterator[pa.RecordBatch]:
-            out = sums()
-            return iter(out.filter(pc.or_(pc.greater_equal(out["n"], threshold), pc.equal(out["size"], 0))).to_batches())
+            if waiting:
+                out = sums()
+                words = pc.if_else(pc.equal(out["phrase"], ""), 0, pc.add(pc.count_substring(out["phrase"], " "), 1)).cast(pa.int32())
+                out = pa.table({"lang": out["lang"], "size": words, "phrase": out["phrase"], "n": out["n"]})
+                yield from out.filter(pc.or_(pc.greater_equal(out["n"], threshold), pc.equal(out["size"], 0))).to_batches()
 
         for batch in batches:
-            for i, place in enumerate(batch.column("place").to_pylist()):
-                if place // 2 != current:
+            for slot, lang, many, raw, lines, n in zip(*(batch.column(c).to_pylist() for c in names)):
+                if slot != current:
                     yield from told()
-                    current, known, waiting, size = place // 2, [], [], 0
-                h = batch.column("h")[i].values.to_numpy().view(np.uint64)
-                if place % 2 == 0:
-                    known.append(h)
-                    continue
-                n, phrases = batch.column("n")[i].values, batch.column("phrases")[i].values
-                lang, words = batch.column("lang")[i].as_py(), batch.column("size")[i].as_py()
-                part = pa.table({"lang": pa.array([lang] * len(n), pa.string()), "size": pa.array(np.full(len(n), words, np.int32)), "phrase": phrases, "n": n}, schema=kinds)
-                if frequent is None and words:
-                    known = [np.sort(np.concatenate(known))] if known else [np.empty(0, np.uint64)]
-                    part = part.filter(pa.array(within(known[0], h)))
-                waiting.append(part)
-                size += len(part)
-                if size > 1_000_000:
+                    current, waiting, size, most = slot, [], 0, 1_000_000
+                phrases = pc.split_pattern(pa.array([pa.decompress(lines, raw, codec="zstd").to_pybytes()], pa.binary()).cast(pa.string()), "\n").values
+                waiting.append(pa.table([pa.array([lang], pa.string()).take(pa.array(np.zeros(many, np.int64))), phrases, unpacked(n, many)], schema=kinds))
+                size += many
+                if size > most:
                     waiting = [sums()]
                     size = len(waiting[0])
+                    most = max(most, 2 * size)
         yield from told()
 
-    out = texts.mapInArrow(exact, schema)
-    if frequent is None:
-        place = (F.expr(f"cast(conv(hex(h), 16, 10) as decimal(20, 0)) % {slots}").cast("int") * 2).alias("place")
-        first = found.select(place, F.lit("").alias("lang"), F.lit(0).alias("size"), F.array("h").alias("h"), F.array().cast("array<string>").alias("phrases"), F.array().cast("array<long>").alias("n"))
-        out = out.unionByName(first)
-    out = out.repartition(slots, F.shiftright("place", 1)).sortWithinPartitions("place")
-    return cut(out.mapInArrow(added, "lang string, size int, phrase string, n long"), "phrases")
+    with small_batches(texts.sparkSession, 200):
+        out = texts.mapInArrow(exact, schema).repartition(slots, "slot").sortWithinPartitions("slot")
+        return cut(out.mapInArrow(added, "lang string, size int, phrase string, n long"), "phrases")
 
 
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", threshold: int = THRESHOLD, held: int = HELD, chunk_bytes: int = CHUNK_BYTES, slot_counters: int = SLOT_COUNTERS) -> DataFrame:
@@ -309,11 +408,9 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", th
     letters = docs.agg(F.sum(F.length(text))).first()[0] or 0
     # a word and its space have two letters at least, and one phrase of each size begins with it
     slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), letters // (threshold * slot_counters))
-    with small_batches(spark, 200):
-        short = mine(texts, range(1, 3), None, 0, threshold, slots, chunk_bytes)
-        long = mine(texts, range(3, LONGEST + 1), hashes(short, held), 2, threshold, slots, chunk_bytes)
-        found = short.union(long)
-        return counted(texts, hashes(found, held), found, threshold, slots, chunk_bytes)
+    short = mine(texts, range(1, 3), None, 0, threshold, slots, chunk_bytes)
+    long = mine(texts, range(3, LONGEST + 1), survivors(short, held, slots), 2, threshold, slots, chunk_bytes)
+    return counted(texts, survivors(short.union(long), held, slots), threshold, slots, chunk_bytes)
 
 
 def scored(phrases: DataFrame, limit: int = BROADCAST_BYTES // 16) -> DataFrame:

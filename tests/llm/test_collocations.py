@@ -94,3 +94,37 @@ def test_a_shuffled_join_gives_the_same_scores(spark):
     rows = [("en", 1, w, 50 + i) for i, w in enumerate("abc")] + [("en", 2, "a b", 40), ("en", 2, "b c", 41), ("en", 3, "a b c", 33)]
     phrases = spark.createDataFrame(rows, "lang string, size int, phrase string, n long")
     assert sorted(map(str, C.scored(phrases, 0).collect())) == sorted(map(str, C.scored(phrases).collect()))
+
+
+def test_with_more_survivors_than_are_held_not_all_phrases_travel(spark):
+    """Words alone are frequent, twice as many as the filter is made for: next to no longer phrase is sent."""
+    rnd = random.Random(9)
+    docs = spark.createDataFrame([(" ".join(f"w{rnd.randrange(2000)}" for _ in range(400)), "en") for _ in range(500)], "text string, lang string").repartition(4).cache()
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+    stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    before = {stages().apply(i).stageId() for i in range(stages().size())} if docs.count() else None
+    found = C.frequent_phrases(docs, held=1000)
+    now = [stages().apply(i) for i in range(stages().size())]
+    sent = sum(s.shuffleWriteBytes() for s in now if s.stageId() not in before)
+    assert found.where("size = 1").count() == 2000 and found.where("size > 1").isEmpty()
+    assert 0 < sent < 10 * 200_000  # bytes for each word; all phrases of up to four words are 60 and more
+
+
+@pytest.mark.parametrize("held", [0, 100, 5000])
+def test_the_filter_loses_none(spark, held):
+    rnd = np.random.default_rng(held)
+    codes = rnd.integers(0, 2**64, 3000, np.uint64)
+    for slots in (1, 7, 64, 1344):
+        rows = spark.createDataFrame([(int(k),) for k in C.reduced(codes, slots)], "h long").repartition(3)
+        known = C.survivors(rows, held, slots)
+        assert known.has(codes).all()
+        assert held < 3000 or known.has(rnd.integers(0, 2**64, 20_000, np.uint64)).mean() < 0.03
+
+
+def test_numbers_come_back_from_their_packs():
+    values = np.array([0, 1, 255, 256, 2**40, 2**62, 3], np.int64)
+    assert (C.unpacked(C.packed(values), len(values)) == values).all()
+    keys = np.sort(C.reduced(np.random.default_rng(1).integers(0, 2**64, 150_000, np.uint64), 100))
+    slot = C.slot_of(keys, 100)
+    assert slot[0] == 0 and slot[-1] == 99 and (np.diff(slot) >= 0).all() and np.bincount(slot).max() < 2000
+    assert sum(len(C.packed(np.diff(keys[slot == s], prepend=keys[slot == s][0]))) for s in range(100)) < 4 * len(keys)
