@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -122,15 +124,15 @@ def valid_link(url: Column) -> Column:
     return url.rlike("^https?://") & (F.length(url) <= 2000) & ~url.rlike(BINARY)
 
 
-def link_outcomes(links: DataFrame, boards: DataFrame, known_urls: DataFrame, cfg: Config = DEFAULT, auto_discover: bool = True) -> DataFrame:
+def link_outcomes(links: DataFrame, boards: DataFrame, known_urls: DataFrame, cfg: Config = DEFAULT, auto_discover: bool = True, key: Callable[[Column], Column] = urls.url_key) -> DataFrame:
     """links (id, run_id, url, ...) with an outcome each: invalid, board_ignored, board_known, board_new,
     lead, url_known, page_queued, page_deferred.
 
-    boards (provider, slug) and known_urls (url_hash) are what is stored. Within the links the first of a
+    boards (provider, slug) and known_urls (url_hash, as `key` makes them of addresses) are what is stored. Within the links the first of a
     board or page (by id) is new, later ones are known. Pages are queued within the caps of their run. The
     links meet one table of boards and one of pages, both aggregated before."""
     url = F.trim("url")
-    rows = links.withColumn("url", url).withColumns({"_valid": F.coalesce(valid_link(url), F.lit(False)), "_board": urls.board(url), "_key": urls.url_key(url)})
+    rows = links.withColumn("url", url).withColumns({"_valid": F.coalesce(valid_link(url), F.lit(False)), "_board": urls.board(url), "_key": key(url)})
     lead = urls.on_domains(urls.host(col("url")), cfg.no_fetch_domains)
     kind = F.when(~col("_valid"), "invalid").when(col("_board").isNotNull(), "board").when(lead, "lead").otherwise("page")
     rows = rows.withColumns({"_provider": col("_board.provider"), "_slug": col("_board.slug"), "_kind": kind})
