@@ -17,7 +17,7 @@ from gleanery.operators.views import capped
 from gleanery.session import written
 
 col = F.col
-#: Leaders of a company that a posting is compared with: the earliest ones.
+#: Leaders of a company that a posting is compared with where they are capped: the earliest ones. Titles of a company that a task scans.
 LEADERS = 200
 
 
@@ -41,7 +41,7 @@ def similarity(a: str, b: str) -> float:
 
 
 def first_leaders(rows: pd.DataFrame, least: float) -> pd.DataFrame:
-    """The leaders among titles of one company that no earlier leader is like: LEADERS rows at most, few at a time.
+    """The leaders among titles of one company that no earlier leader is like: few rows at a time.
     `room` says how many more the company may have."""
     rows = rows.sort_values(["seen", "id"])
     held: list[str] = []
@@ -53,22 +53,48 @@ def first_leaders(rows: pd.DataFrame, least: float) -> pd.DataFrame:
     return rows.loc[keep, ["company_norm", "title_norm", "id", "seen"]].rename(columns={"title_norm": "leader_title", "id": "leader"})
 
 
-def leaders(titles: DataFrame, least: float) -> DataFrame:
+def independent(block: DataFrame, least: float) -> DataFrame:
+    """As first_leaders, for blocks of any size and without `room`: titles meet by the index, and in rounds those
+    lead that no open title before them is like, and what is like them is no longer open."""
+    at = F.struct("seen", "id")
+    later, earlier = block.select("company_norm", "title_norm", at.alias("_at")), block.select("company_norm", col("title_norm").alias("leader_title"), at.alias("_lead"))
+    pairs = alike(later, earlier, ["company_norm"], "title_norm", "leader_title", least).join(later, ["company_norm", "title_norm"]).join(earlier, ["company_norm", "leader_title"])
+    pairs = written(pairs.where("_lead < _at").select("company_norm", "title_norm", "leader_title"), "title_pairs")
+    still, found = block.select("company_norm", "title_norm", "id", "seen"), None
+    while True:
+        waits = pairs.select("company_norm", "title_norm").distinct()
+        new = written(still.join(waits, ["company_norm", "title_norm"], "left_anti").select("company_norm", col("title_norm").alias("leader_title"), col("id").alias("leader"), "seen"), "block_leaders")
+        found = new if found is None else found.unionByName(new)
+        led = pairs.join(new, ["company_norm", "leader_title"], "left_semi").select("company_norm", "title_norm").distinct()
+        still = written(still.join(waits, ["company_norm", "title_norm"], "left_semi").join(led, ["company_norm", "title_norm"], "left_anti"), "block_open")
+        if still.isEmpty():
+            return found
+        ends = still.select("company_norm", "title_norm")
+        pairs = pairs.join(ends, ["company_norm", "title_norm"], "left_semi").join(ends.withColumnRenamed("title_norm", "leader_title"), ["company_norm", "leader_title"], "left_semi")
+        pairs = written(pairs, "open_pairs")
+
+
+def leaders(titles: DataFrame, least: float, whole: bool = False) -> DataFrame:
     """(company_norm, leader_title, leader, seen) for distinct titles (company_norm, title_norm, seen, id).
 
-    In order of arrival a title leads if it is like no leader before it, up to LEADERS of a company. Rounds: the
+    In order of arrival a title leads if it is like no leader before it, up to LEADERS of a company, or all with `whole`. Rounds: the
     first LEADERS open titles of each company are scanned, then all later titles that are like a new leader are
     no longer open, and those of companies that have all their leaders. The first open title always leads, and most
     of a block do, so nearly all companies take one round. A task sees LEADERS titles of a company at a time; the
-    others meet the leaders by an index of runs of letters, dealt over all tasks."""
+    others meet the leaders by an index of runs of letters, dealt over all tasks. With `whole` each further block has four
+    times the titles, which meet by that index too, so the rounds grow with the logarithm of a company's titles."""
     order = W.partitionBy("company_norm").orderBy("seen", "id")
-    still, found = titles.withColumn("room", F.lit(LEADERS)), None
+    still, found, most = titles.withColumn("room", F.lit(2**31 - 1 if whole else LEADERS)), None, LEADERS
     while True:
         still = written(still, "open_titles")
-        block = still.withColumn("_rank", F.row_number().over(order)).where(col("_rank") <= LEADERS).drop("_rank")  # limited within tasks first
+        block = still.withColumn("_rank", F.row_number().over(order)).where(col("_rank") <= most).drop("_rank")  # limited within tasks first
         block = written(block, "title_block")
-        new = block.groupBy("company_norm").applyInPandas(lambda rows: first_leaders(rows, least), "company_norm string, leader_title string, leader long, seen long")
+        if most == LEADERS:
+            new = block.groupBy("company_norm").applyInPandas(lambda rows: first_leaders(rows, least), "company_norm string, leader_title string, leader long, seen long")
+        else:
+            new = independent(block, least)
         new = written(new, "leaders")
+        most *= 4 if whole else 1
         found = new if found is None else found.unionByName(new)
         ends = block.groupBy("company_norm").agg(F.max(F.struct("seen", "id")).alias("_end"))
         had = new.groupBy("company_norm").agg(F.count(F.lit(1)).alias("_new"))
@@ -81,12 +107,13 @@ def leaders(titles: DataFrame, least: float) -> DataFrame:
         still = rest.join(led, ["company_norm", "title_norm"], "left_anti")
 
 
-def near_duplicates(postings: DataFrame, now_hour: int, cfg: Config = DEFAULT) -> DataFrame:
+def near_duplicates(postings: DataFrame, now_hour: int, cfg: Config = DEFAULT, whole: bool = False) -> DataFrame:
     """(id, duplicate_of) for postings (id, company_norm, title_norm, first_seen_hour).
 
     In order of arrival a row is the duplicate of its company's leader with its title, else of the most
     similar leader (the earliest on ties) from the threshold on, else it becomes a leader itself. Rows
     without company or title, and rows older than the window (which can be no candidates), are originals.
+    A company has LEADERS leaders at most, or with `whole` all that it has.
 
     Only the first row of a title can become a leader: whatever kept it from that keeps later rows of the
     title from it too. So leaders are sought among distinct titles, not rows, and rows then take the best of
@@ -100,10 +127,10 @@ def near_duplicates(postings: DataFrame, now_hour: int, cfg: Config = DEFAULT) -
     rows = rows.where(can)
     first = F.min(F.struct("seen", "id")).alias("f")  # aggregated before the shuffle
     titles = rows.groupBy("company_norm", "title_norm").agg(first).select("company_norm", "title_norm", "f.seen", "f.id")
-    found = leaders(titles, least)
+    found = leaders(titles, least, whole)
     near = alike(titles, found, ["company_norm"], "title_norm", "leader_title", least).join(found, ["company_norm", "leader_title"])
     score = title_similarity(col("title_norm"), col("leader_title"))
-    options = near.groupBy("company_norm", "title_norm").agg(F.sort_array(F.collect_list(F.struct((-score).alias("s"), "seen", "leader"))).alias("options"))  # LEADERS at most
+    options = near.groupBy("company_norm", "title_norm").agg(F.sort_array(F.collect_list(F.struct((-score).alias("s"), "seen", "leader"))).alias("options"))  # those that are like this title
     best = F.get(F.filter("options", lambda x: (x["seen"] < col("seen")) | ((x["seen"] == col("seen")) & (x["leader"] < col("id")))), F.lit(0))
     return rows.join(options, ["company_norm", "title_norm"], "left").select("id", best["leader"].alias("duplicate_of")).unionByName(alone)
 

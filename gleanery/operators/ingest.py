@@ -87,7 +87,7 @@ def outcomes(incoming: DataFrame, stored: DataFrame, run_id: int, now_hour: int,
 
     In order of arrival a posting is `seen` if its address or its (source, external id) is that of a stored one,
     be it stored before or earlier in this run; else it is stored, as a duplicate of the original that
-    `near_duplicates` finds among stored and earlier rows, or as new. A row that is seen lends its keys to none.
+    `near_duplicates` finds among all stored and earlier rows, or as new. A row that is seen lends its keys to none.
 
     Only ids and keys are joined; company and title are folded for the rows that are stored alone."""
     narrow = incoming.select("id", "source", "source_url", "seen_hour", urls.url_key(col("source_url")).alias("url_hash"), F.nullif("source_external_id", F.lit("")).alias("external_id"), valid().alias("_valid"))
@@ -97,7 +97,7 @@ def outcomes(incoming: DataFrame, stored: DataFrame, run_id: int, now_hour: int,
     new = rows.where("_valid and seen_as is null").select("id")
     shape = ["id", "company_norm", "title_norm", "first_seen_hour"]
     named = rows_of(incoming.join(new, "id", "left_semi"), run_id, cfg).select(*shape)
-    found = near_duplicates(stored.where("duplicate_of is null").select(*shape).unionByName(named), now_hour, cfg).withColumnRenamed("duplicate_of", "_original")
+    found = near_duplicates(stored.where("duplicate_of is null").select(*shape).unionByName(named), now_hour, cfg, whole=True).withColumnRenamed("duplicate_of", "_original")
     rows = rows.join(found, "id", "left")
     outcome = F.when(~col("_valid"), "invalid").when(col("seen_as").isNotNull(), "seen").when(col("_original").isNotNull(), "duplicate").otherwise("new")
     rows = rows.withColumn("outcome", outcome)
