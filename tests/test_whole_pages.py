@@ -23,3 +23,12 @@ def test_a_given_limit_holds(spark):
     html = "<main>" + "word " * 9000 + "</main>"
     (r,) = spark.range(1).select(F.length(pages.main_text(F.lit(html))).alias("all"), F.length(pages.main_text(F.lit(html), pages.SHOWN)).alias("some")).collect()
     assert (r.all, r.some) == (44_999, 15_000)
+
+
+def test_all_postings_of_a_page_count(spark):
+    nodes = ",".join(f'{{"@type":"JobPosting","title":"{"" if i == 4 else f"Chef {i}"}"}}' for i in range(30))
+    scripts = [f"[{nodes}]", f'{{"@graph":[{{"@type":"WebPage"}},{nodes}]}}', f"[{nodes[: nodes.index('},') + 1]}]"]
+    rows = [(f"https://x.io/{k}", f'<script type="application/ld+json">{s}</script>') for k, s in enumerate(scripts)]
+    rows.append(("https://x.io/3", "".join(h for _, h in rows)))
+    found = pages.from_jsonld(spark.createDataFrame(rows, "url string, html string")).groupBy("source_url").count().collect()
+    assert {r.source_url[-1]: r["count"] for r in found} == {"0": 29, "1": 29, "2": 1, "3": 59}
